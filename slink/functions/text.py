@@ -55,7 +55,7 @@ def unqualified(name: Column) -> Column:
 
 
 def quoted_fqn(name: Column) -> Column:
-    return F.regexp_replace(name, r"([^.]*)$", '"$1"')
+    return F.regexp_replace(name, r"([^.]+)$", '"$1"')
 
 
 def prettify_name(name: Column) -> Column:

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slink.functions import fixed_values as fixed
 from slink.operators import catalog
-from slink.sources.tables import read_table, read_tables
 
 TABLES = [
     "benchmark",
@@ -30,8 +30,19 @@ TABLES = [
 ]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table; its schema is read from the file footers only once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return read_tables(spark, sf_dir, TABLES)
+    return {name: table(spark, sf_dir, name) for name in TABLES}
 
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +55,7 @@ def warehouse_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector asks once."""
-    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding", "label")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding", "label")
 
 
 def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +64,7 @@ def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = (vec % 9).cast("int")
     name = F.element_at(F.array(*[F.lit(i) for i in fixed.ALL_INDEXES]), slot + 1)
     column_id = F.col("label") * 100 + (F.floor(vec / 9) % 2).cast("int")
-    return read_table(spark, sf_dir, "embeddings").select(
+    return table(spark, sf_dir, "embeddings").select(
         F.lit(1).alias("data_source_id"),
         name.alias("index_name"),
         vec,
