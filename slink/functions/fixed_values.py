@@ -36,6 +36,12 @@ COLUMN_INDEXES = [
 VALUE_INDEXES = ["value", "table_column_and_value"]
 ALL_INDEXES = TABLE_INDEXES + COLUMN_INDEXES + VALUE_INDEXES
 
+# Their scores side by side, as features.
+TABLE_SCORES = [f"{name}_score" for name in TABLE_INDEXES]
+COLUMN_SCORES = [f"{name}_score" for name in COLUMN_INDEXES]
+VALUE_SCORES = [f"{name}_score" for name in VALUE_INDEXES]
+ALL_SCORES = TABLE_SCORES + COLUMN_SCORES + VALUE_SCORES
+
 # Default weights of the fixed-weight ranker.
 TABLE_WEIGHTS = [1.5, 0.0, 0.1]
 COLUMN_WEIGHTS = [0.1, 0.0, 0.0, 0.0]

@@ -15,9 +15,9 @@ from slink.operators.search import exact_knn, hits_to_elements, limits_for
 ELEMENT = ["table_id", "column_id", "value"]
 LEVELS = ["table", "column", "value"]
 FEATURES = {
-    "table": fixed.TABLE_INDEXES,
-    "column": fixed.TABLE_INDEXES + fixed.COLUMN_INDEXES,
-    "value": fixed.VALUE_INDEXES,
+    "table": fixed.TABLE_SCORES,
+    "column": fixed.TABLE_SCORES + fixed.COLUMN_SCORES,
+    "value": fixed.VALUE_SCORES,
 }
 DEFAULT_WEIGHTS = dict(
     zip(fixed.ALL_INDEXES, fixed.TABLE_WEIGHTS + fixed.COLUMN_WEIGHTS + fixed.VALUE_WEIGHTS, strict=True)
@@ -73,7 +73,7 @@ def merge_rankings(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def index_scores(element_hits: DataFrame) -> DataFrame:
     """Nine scores per question and element. Of several chunks of one element the lowest kept hit counts."""
-    measures = [F.min(F.when(F.col("index_name") == name, F.col("score"))).alias(name) for name in fixed.ALL_INDEXES]
+    measures = [F.min(F.when(F.col("index_name") == name, F.col("score"))).alias(f"{name}_score") for name in fixed.ALL_INDEXES]
     return element_hits.groupBy("question_id", *ELEMENT).agg(*measures)
 
 
@@ -87,7 +87,7 @@ def copy_table_scores(features: DataFrame) -> DataFrame:
     is_table, is_column = level() == "table", level() == "column"
     copied = {
         name: F.when(is_column, F.max(F.when(is_table, F.col(name))).over(same_table)).otherwise(F.col(name))
-        for name in fixed.TABLE_INDEXES
+        for name in fixed.TABLE_SCORES
     }
     return features.withColumns(copied)
 
@@ -151,12 +151,12 @@ def mlp_score(features: DataFrame, models: dict[str, MlpWeights], decimals: int
         for name, model in models.items():
             rows = np.flatnonzero(kinds == name)
             if len(rows):
-                used = [fixed.ALL_INDEXES.index(f) for f in FEATURES[name]]
+                used = [fixed.ALL_SCORES.index(f) for f in FEATURES[name]]
                 y = model.score(x[np.ix_(rows, used)])
                 out[rows] = y * fixed.VALUE_SCORE_SCALE if name == "value" else y
         return pd.Series(out)
 
-    raw = score(level(), *[F.col(name) for name in fixed.ALL_INDEXES])
+    raw = score(level(), *[F.col(name) for name in fixed.ALL_SCORES])
     return features.withColumn("score", F.round(raw, decimals))
 
 

@@ -55,7 +55,7 @@ def positives_ci(scores: DataFrame, touches: DataFrame) -> DataFrame:
     One join on the lower-case key finds both kinds; each touch keeps its best
     candidate with a map-side minimum. Touches without any are left out.
     """
-    best = F.greatest(*[F.coalesce(F.col(n), F.lit(float("-inf"))) for n in fixed.VALUE_INDEXES])
+    best = F.greatest(*[F.coalesce(F.col(n), F.lit(float("-inf"))) for n in fixed.VALUE_SCORES])
     known = scores.filter(F.col("value").isNotNull()).withColumns({"_lower": F.lower("value"), "_best": best})
     wanted = touches.filter(F.col("value").isNotNull()).select(
         "question_id", "table_id", "column_id", F.col("value").alias("_wanted"), F.lower("value").alias("_lower")

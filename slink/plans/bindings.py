@@ -160,9 +160,10 @@ ranked AS (
 
 def features_cte(limits: tuple[int, int]) -> str:
     """features(question_id, table_id, column_id, value, nine scores), table scores copied onto columns."""
-    lows = ", ".join(f"min(score) FILTER (index_name = '{n}') AS {n}" for n in fixed.ALL_INDEXES)
-    copied = ", ".join(f"CASE WHEN {LEVEL_SQL.replace('value ', 'f.value ').replace('column_id', 'f.column_id')} = 'column' THEN t.{n} ELSE f.{n} END AS {n}" for n in fixed.TABLE_INDEXES)
-    own = ", ".join(f"f.{n}" for n in fixed.COLUMN_INDEXES + fixed.VALUE_INDEXES)
+    lows = ", ".join(f"min(score) FILTER (index_name = '{n}') AS {n}_score" for n in fixed.ALL_INDEXES)
+    level = "CASE WHEN f.value IS NOT NULL THEN 'value' WHEN f.column_id IS NOT NULL THEN 'column' ELSE 'table' END"
+    copied = ", ".join(f"CASE WHEN {level} = 'column' THEN t.{n} ELSE f.{n} END AS {n}" for n in fixed.TABLE_SCORES)
+    own = ", ".join(f"f.{n}" for n in fixed.COLUMN_SCORES + fixed.VALUE_SCORES)
     return f"""{hits_cte(limits)},
 lows AS (SELECT question_id, table_id, column_id, value, {lows} FROM hits GROUP BY question_id, table_id, column_id, value),
 features AS (

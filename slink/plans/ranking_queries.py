@@ -124,7 +124,7 @@ def a6(spark, sf_dir):
     return ranking.best_score(element_hits(spark, sf_dir))
 
 
-LOWS = ", ".join(f"min(score) FILTER (index_name = '{n}') AS {n}" for n in fixed.ALL_INDEXES)
+LOWS = ", ".join(f"min(score) FILTER (index_name = '{n}') AS {n}_score" for n in fixed.ALL_INDEXES)
 
 
 @query("a7_index_scores", HITS + f"SELECT question_id, table_id, column_id, value, {LOWS} FROM hits GROUP BY question_id, table_id, column_id, value")
@@ -167,17 +167,17 @@ def u1(spark, sf_dir):
 
 
 FEATURES_K = f"WITH {b.INDEX_CTE}, {b.features_cte((K, K))}"
-NINE = ", ".join(fixed.ALL_INDEXES)
+NINE = ", ".join(fixed.ALL_SCORES)
 
 
 def features(spark, sf_dir, limits=(K, K)):
     return ranking.score_features(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir), limits)
 
 
-@query("j4_copy_table_scores", FEATURES_K + f"SELECT question_id, table_id, column_id, {', '.join(fixed.TABLE_INDEXES)} FROM features WHERE value IS NULL AND column_id IS NOT NULL")
+@query("j4_copy_table_scores", FEATURES_K + f"SELECT question_id, table_id, column_id, {', '.join(fixed.TABLE_SCORES)} FROM features WHERE value IS NULL AND column_id IS NOT NULL")
 def j4(spark, sf_dir):
     columns = features(spark, sf_dir).filter(ranking.level() == "column")
-    return columns.select("question_id", "table_id", "column_id", *fixed.TABLE_INDEXES)
+    return columns.select("question_id", "table_id", "column_id", *fixed.TABLE_SCORES)
 
 
 @query(

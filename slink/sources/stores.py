@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slink.sources.shared import new_path
 
@@ -52,22 +53,38 @@ def write_evaluation(questions: DataFrame, rows: DataFrame, path: str) -> None:
     rows.join(correct, "case_id").write.mode("overwrite").partitionBy("correct").parquet(f"{path}/rows")
 
 
+CSV_OPTIONS = {"header": True, "lineSep": "\r\n", "escape": '"', "nullValue": "", "emptyValue": '""'}
+
+
+def _text_fields(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, quoted text, empty NULLs, CRLF line ends."""
-    (
-        df.write.mode("overwrite")
-        .option("header", True)
-        .option("lineSep", "\r\n")
-        .option("escape", '"')
-        .option("nullValue", "")
-        .option("emptyValue", '""')
-        .csv(path)
-    )
-
-
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("nullValue", "")
-    return reader.option("lineSep", "\r\n").csv(path)
+    """Header, CRLF line ends, NULL as an empty cell, text cells with JSON escapes for line breaks.
+
+    A cell never spans lines, so the files can be split when they are read.
+    """
+    encoded = df.withColumns({name: _escaped(F.col(f"`{name}`")) for name in _text_fields(df.schema)})
+    encoded.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What `write_csv` wrote, cell by cell."""
+    raw = spark.read.schema(schema).options(**CSV_OPTIONS | {"emptyValue": ""}).csv(path)
+    return raw.withColumns({name: _unescaped(F.col(f"`{name}`")) for name in _text_fields(schema)})
+
+
+def _escaped(value: Column) -> Column:
+    # A JSON string without its quotes; `"` itself is left to the CSV writer.
+    listed = F.to_json(F.array(value))
+    body = F.substring(listed, F.lit(3), F.length(listed) - 4)
+    return F.when(value.isNotNull(), F.replace(body, F.lit('\\"'), F.lit('"')))
+
+
+def _unescaped(value: Column) -> Column:
+    quoted = F.concat(F.lit('["'), F.replace(value, F.lit('"'), F.lit('\\"')), F.lit('"]'))
+    return F.from_json(quoted, "array<string>")[0]
 
 
 def write_json(df: DataFrame, path: str) -> None:
