@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,18 +15,30 @@ from slink.functions import text
 # Texts longer than this are compared by digest when distinct values are counted.
 KEY_CHARS = 64
 
-COLUMN_SCHEMA = T.StructType(
+COLUMN_SCHEMA = pa.schema(
     [
-        T.StructField("table_name", T.StringType()),
-        T.StructField("ordinal", T.IntegerType()),
-        T.StructField("column_name", T.StringType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("is_null", T.BooleanType()),
-        T.StructField("default", T.StringType()),
-        T.StructField("comment", T.StringType()),
+        ("table_name", pa.string()),
+        ("ordinal", pa.int32()),
+        ("column_name", pa.string()),
+        ("type", pa.string()),
+        ("kind", pa.string()),
+        ("is_null", pa.bool_()),
+        ("default", pa.string()),
+        ("comment", pa.string()),
     ]
 )
+ID_SCHEMA = pa.schema([("table_name", pa.string()), ("table_id", pa.int32())])
+
+
+def metadata_frame(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """Metadata as a local relation: its true size is known to the planner, which then broadcasts it or not."""
+    columns = [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
+
+
+def table_ids(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """Table ids in name order, from 0."""
+    return metadata_frame(spark, [(name.upper(), i) for i, name in enumerate(sorted(tables))], ID_SCHEMA)
 
 
 def warehouse_type(data_type: T.DataType) -> str:
@@ -63,7 +76,7 @@ def describe_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataF
         for name, df in sorted(tables.items())
         for ordinal, field in enumerate(df.schema.fields)
     ]
-    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+    return metadata_frame(spark, rows, COLUMN_SCHEMA)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -156,9 +169,7 @@ def catalog_tables(
     schema: str = "PUBLIC",
 ) -> DataFrame:
     """Tables with ids in name order (from 0) and row counts."""
-    ids = [(name.upper(), i) for i, name in enumerate(sorted(tables))]
-    named = spark.createDataFrame(ids, "table_name string, table_id int")
-    return named.join(row_counts(tables), "table_name").select(
+    return table_ids(spark, tables).join(row_counts(tables), "table_name").select(
         F.lit(data_source_id).alias("data_source_id"),
         "table_id",
         "table_name",
@@ -179,9 +190,7 @@ def catalog_columns(
     widest = max(len(df.columns) for df in tables.values())
     if widest > id_stride:
         raise ValueError(f"id_stride {id_stride} is below the widest table ({widest} columns)")
-    ids = [(name.upper(), i) for i, name in enumerate(sorted(tables))]
-    named = spark.createDataFrame(ids, "table_name string, table_id int")
-    return describe_columns(spark, tables).join(named, "table_name").select(
+    return describe_columns(spark, tables).join(table_ids(spark, tables), "table_name").select(
         "table_id",
         "table_name",
         text.fqn(F.lit(database), F.lit(schema), F.col("table_name")).alias("fqn"),

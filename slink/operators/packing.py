@@ -12,14 +12,15 @@ from slink.functions.text import count_tokens, is_empty
 
 def column_costs(columns: DataFrame, default_pattern: str = fixed.DEFAULT_COLUMN_PATTERN, dialect: str = "postgres") -> DataFrame:
     """Line, tokens (one more for the line break) and default flag per column; dropped columns cost nothing."""
-    line = render.column_line(F.col("column_name"), render.render_type(F.col("type"), dialect))
-    return columns.select(
+    shown_type = render.render_type(F.col("type"), dialect)
+    line = render.column_line(F.col("column_name"), F.col("shown_type"))
+    return columns.withColumn("shown_type", shown_type).select(
         "table_id",
         "fqn",
         "column_id",
         "ordinal",
         "column_name",
-        "type",
+        "shown_type",
         F.col("column_name").rlike(default_pattern).alias("is_default"),
         F.coalesce(count_tokens(line) + 1, F.lit(0)).alias("column_cost"),
     )
@@ -43,7 +44,7 @@ def element_cost(ranked: DataFrame, costs: DataFrame) -> DataFrame:
     """
     elements = (
         ranked.join(table_costs(costs).drop("fqn"), "table_id", "left")
-        .join(costs.select("column_id", "column_cost", "is_default"), "column_id", "left")
+        .join(costs.select("column_id", "column_name", "shown_type", "column_cost", "is_default"), "column_id", "left")
         .repartition("question_id")
     )
     table = ["question_id", "table_id"]
@@ -96,27 +97,11 @@ def table_output_order(ranked: DataFrame) -> DataFrame:
     return seen.withColumn("position", position)
 
 
-def packed_columns(kept: DataFrame, costs: DataFrame) -> DataFrame:
-    """Shown columns per question and table: default ones first, then by rank, with their hints."""
-    no_hints = F.array().cast("array<struct<hint_no:bigint,value:string>>")
-    stored = F.col("hint_no") <= fixed.HINTS_STORED
-    chosen = (
-        kept.filter(F.col("column_id").isNotNull())
-        .groupBy("question_id", "table_id", "column_id")
-        .agg(
-            F.min("rank").cast("long").alias("place"),
-            F.array_sort(F.collect_list(F.when(stored, F.struct(F.col("hint_no").cast("long").alias("hint_no"), "value")))).alias("hints"),
-        )
-    )
-    defaults = (
-        kept.select("question_id", "table_id")
-        .distinct()
-        .join(costs.filter("is_default").select("table_id", "column_id", "ordinal"), "table_id")
-        # Before every rank, in catalogue order.
-        .select("question_id", "table_id", "column_id", (F.col("ordinal") - 1_000_000_000).cast("long").alias("place"), no_hints.alias("hints"))
-    )
-    merged = chosen.unionByName(defaults).groupBy("question_id", "table_id", "column_id")
-    return merged.agg(F.min("place").alias("place"), F.flatten(F.collect_list("hints")).alias("hints"))
+def table_entries(costs: DataFrame) -> DataFrame:
+    """Per table its name and default columns with their plain lines, in catalogue order."""
+    line = render.column_line(F.col("column_name"), F.col("shown_type"))
+    entry = F.when(F.col("is_default"), F.struct("ordinal", "column_id", line.alias("line")))
+    return costs.groupBy("table_id", "fqn").agg(F.array_sort(F.collect_list(entry)).alias("defaults"))
 
 
 def pack_schema(
@@ -126,31 +111,39 @@ def pack_schema(
     default_pattern: str = fixed.DEFAULT_COLUMN_PATTERN,
     dialect: str = "postgres",
 ) -> DataFrame:
-    """One DDL text per question from its ranking, within the token budget."""
+    """One DDL text per question from its ranking, within the token budget.
+
+    One straight line of steps, so the ranking is computed once: elements are
+    kept by the budget, folded into columns and then into tables on the
+    partitioning by question they already have, and joined with the catalogue
+    at one row per shown table.
+    """
     costs = column_costs(columns, default_pattern, dialect)
     kept = pack_budget(element_cost(ranked, costs), budget)
-    line = render.column_line(
-        F.col("column_name"), render.render_type(F.col("type"), dialect), F.transform("hints", lambda h: h["value"])
-    )
-    lines = (
-        packed_columns(kept, costs)
-        .join(costs.select("column_id", "column_name", "type"), "column_id")
-        .select("question_id", "table_id", F.struct("place", line.alias("line")).alias("entry"))
-        .filter(F.col("entry.line").isNotNull())
-        .groupBy("question_id", "table_id")
-        .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
-    )
-    names = columns.select("table_id", "fqn").distinct()
-    tables = (
-        kept.groupBy("question_id", "table_id")
-        .agg(F.min("rank").alias("first_rank"), F.sum("cost").alias("tokens"))
-        .join(lines, ["question_id", "table_id"], "left")
-        .join(names, "table_id")
+    stored = F.when(F.col("hint_no") <= fixed.HINTS_STORED, F.struct("hint_no", "value"))
+    shown_columns = kept.groupBy("question_id", "table_id", "column_id").agg(
+        F.min("rank").alias("place"),
+        F.sum("cost").alias("tokens"),
+        F.first("column_name").alias("column_name"),
+        F.first("shown_type").alias("shown_type"),
+        F.array_sort(F.collect_list(stored)).alias("hints"),
     )
-    shown = F.coalesce(F.transform("entries", lambda e: e["line"]), F.array().cast("array<string>"))
-    per_table = tables.select(
-        "question_id", "tokens", F.struct((-F.col("first_rank")).alias("place"), render.table_ddl(F.col("fqn"), shown).alias("ddl")).alias("entry")
+    line = render.column_line(F.col("column_name"), F.col("shown_type"), F.transform("hints", lambda h: h["value"]))
+    chosen = F.when(F.col("column_id").isNotNull(), F.struct("place", "column_id", line.alias("line")))
+    shown_tables = shown_columns.groupBy("question_id", "table_id").agg(
+        F.min("place").alias("first_rank"), F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(chosen)).alias("chosen")
     )
-    return per_table.groupBy("question_id").agg(F.array_sort(F.collect_list("entry")).alias("entries"), F.sum("tokens").alias("tokens")).select(
-        "question_id", "tokens", F.array_join(F.transform("entries", lambda e: e["ddl"]), "\n").alias("schema_ddl")
+    described = shown_tables.join(table_entries(costs), "table_id")
+
+    def same(entry: Column) -> Column:
+        return F.filter("chosen", lambda c: c["column_id"] == entry["column_id"])
+
+    first = F.transform("defaults", lambda d: F.coalesce(F.get(same(d), 0)["line"], d["line"]))
+    others = F.filter("chosen", lambda c: ~F.exists("defaults", lambda d: d["column_id"] == c["column_id"]))
+    lines = F.filter(F.concat(first, F.transform(others, lambda c: c["line"])), lambda text: text.isNotNull())
+    ddl = F.struct((-F.col("first_rank")).alias("place"), render.table_ddl(F.col("fqn"), lines).alias("ddl"))
+    return (
+        described.groupBy("question_id")
+        .agg(F.array_sort(F.collect_list(ddl)).alias("ddls"), F.sum("tokens").alias("tokens"))
+        .select("question_id", "tokens", F.array_join(F.transform("ddls", lambda d: d["ddl"]), "\n").alias("schema_ddl"))
     )

@@ -109,17 +109,34 @@ def in_value_touches(log: DataFrame, columns: DataFrame) -> DataFrame:
     return _values(resolve_references(quoted, "in_items", columns))
 
 
+def _reference(entry: Column, value: Column, times: Column) -> Column:
+    return F.struct(
+        entry["qualifier"].alias("qualifier"), entry["name"].alias("name"), value.alias("value"), times.alias("times"), entry["scope"].alias("scope")
+    )
+
+
 def touch_counts(log: DataFrame, columns: DataFrame) -> DataFrame:
-    """All touches per query and element."""
+    """All touches per query and element.
+
+    Columns, equalities and IN items become one list of references, so the log
+    is resolved against the catalogue once and not once per kind.
+    """
+    once = F.lit(1)
+    references = F.concat(
+        F.transform("columns", lambda c: _reference(c, _null(), c["times"])),
+        F.transform("eq", lambda e: _reference(e, e["value"], once)),
+        F.transform(F.filter("in_items", lambda i: i["quoted_identifier"]), lambda i: _reference(i, i["value"], once)),
+    )
+    resolved = resolve_references(log.withColumn("references", references), "references", columns).filter("resolved")
+    referenced = resolved.groupBy("query_id", "table_name", "column_name", F.col("r.value").alias("value")).agg(
+        F.sum("r.times").alias("touches")
+    )
     parts = [
         table_touches(log).withColumns({"column_name": _null(), "value": _null()}),
-        column_touches(log, columns).withColumn("value", _null()),
         star_touches(log, columns).withColumn("value", _null()),
-        value_touches(log, columns),
-        in_value_touches(log, columns),
+        referenced,
     ]
-    union = reduce(DataFrame.unionByName, parts)
-    return union.groupBy(*TOUCH).agg(F.sum("touches").alias("touches"))
+    return reduce(DataFrame.unionByName, parts).groupBy(*TOUCH).agg(F.sum("touches").alias("touches"))
 
 
 def workload_touches(touches: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from slink.operators import catalog, documents, search, values
 from slink.operators.grouping import top_k_per_group
 from slink.plans import bindings as b
 from slink.plans.registry import query
+from slink.sources.stores import materialize
 from slink.sources.tables import list_tables
 
 STRINGS = {
@@ -445,7 +446,9 @@ built AS (
 
 
 def built_documents(spark, sf_dir):
-    return documents.build_documents(b.columns(spark, sf_dir), kept_values(spark, sf_dir))
+    # Five of the nine kinds use the values: they are written once instead of scanning the warehouse five times.
+    kept = materialize(kept_values(spark, sf_dir), "kept-values")
+    return documents.build_documents(b.columns(spark, sf_dir), kept)
 
 
 @query(
@@ -466,7 +469,8 @@ def m2(spark, sf_dir):
       PARTITION BY index_name ORDER BY table_id, coalesce(column_id, -1), value, chunk_no) - 1 AS vec_id FROM built""",
 )
 def w12(spark, sf_dir):
-    return documents.assign_offsets(built_documents(spark, sf_dir)).select(
+    built = materialize(built_documents(spark, sf_dir), "documents")
+    return documents.assign_offsets(built).select(
         "index_name", "table_id", "column_id", "value", "chunk_no", "vec_id"
     )
 

@@ -158,8 +158,12 @@ def o2(spark, sf_dir):
 
 @query("u1_union_levels", HITS + f"SELECT {b.LEVEL_SQL} AS level, question_id, count(*) AS elements, min(score) AS low, max(score) AS high FROM (SELECT question_id, table_id, column_id, value, max(score) AS score FROM hits GROUP BY ALL) GROUP BY ALL")
 def u1(spark, sf_dir):
-    best = ranking.best_score(element_hits(spark, sf_dir)).withColumn("level", ranking.level())
-    levels = [best.filter(F.col("level") == name) for name in ranking.LEVELS]
+    levels = []
+    for kind, names in zip(ranking.LEVELS, (fixed.TABLE_INDEXES, fixed.COLUMN_INDEXES, fixed.VALUE_INDEXES), strict=True):
+        # Each level searches its own indexes.
+        index = b.index_documents(spark, sf_dir).filter(F.col("index_name").isin(names))
+        found = search.exact_knn(b.questions(spark, sf_dir), index, K)
+        levels.append(ranking.best_score(search.hits_to_elements(found, index)).withColumn("level", F.lit(kind)))
     merged = ranking.union_levels(*levels)
     return merged.groupBy("level", "question_id").agg(
         F.count("*").alias("elements"), F.min("score").alias("low"), F.max("score").alias("high")
