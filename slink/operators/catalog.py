@@ -92,17 +92,43 @@ def _as_text(field: T.StructField) -> Column:
     return column.cast("string")
 
 
-def long_cells(tables: dict[str, DataFrame], only_strings: bool = False) -> DataFrame:
-    """Every cell as (table_name, column_name, value), one row each."""
-    parts = []
+def _as_key(field: T.StructField) -> Column:
+    """A cell as a short text: long ones become a digest, longer than any plain key so the two never meet."""
+    value = _as_text(field)
+    if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return value
+    return F.when(F.length(value) > KEY_CHARS, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
+
+
+def long_cells(tables: dict[str, DataFrame], only_strings: bool = False, as_key: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every cell as (column_no, value), one row each, and the names of the numbered columns."""
+    parts, names = [], []
     for name, df in tables.items():
         fields = [f for f in df.schema.fields if not only_strings or isinstance(f.dataType, T.StringType)]
         if not fields:
             continue
-        cells = df.select(*[_as_text(f).alias(f.name.upper()) for f in fields])
-        melted = cells.unpivot([], cells.columns, "column_name", "value")
-        parts.append(melted.select(F.lit(name.upper()).alias("table_name"), "column_name", "value"))
-    return reduce(DataFrame.unionByName, parts)
+        pairs = []
+        for field in fields:
+            pairs += [F.lit(len(names)), _as_key(field) if as_key else _as_text(field)]
+            names.append((len(names), name.upper(), field.name.upper()))
+        parts.append(df.select(F.stack(F.lit(len(fields)), *pairs).alias("column_no", "value")))
+    spark = parts[0].sparkSession
+    schema = pa.schema([("column_no", pa.int32()), ("table_name", pa.string()), ("column_name", pa.string())])
+    return reduce(DataFrame.unionByName, parts), metadata_frame(spark, names, schema)
+
+
+def _approx_counts(name: str, df: DataFrame) -> DataFrame:
+    measures = [
+        F.struct(
+            F.lit(f.name.upper()).alias("column_name"),
+            F.approx_count_distinct(_as_text(f)).alias("distinct_rows"),
+            F.count("*").alias("rows"),
+            (F.count("*") - F.count(F.col(f"`{f.name}`"))).alias("null_rows"),
+        )
+        for f in df.schema.fields
+    ]
+    one = df.agg(F.array(*measures).alias("measures"))
+    return one.select(F.lit(name.upper()).alias("table_name"), F.inline("measures"))
 
 
 def distinct_counts(tables: dict[str, DataFrame], approx: bool = False) -> DataFrame:
@@ -110,37 +136,18 @@ def distinct_counts(tables: dict[str, DataFrame], approx: bool = False) -> DataF
 
     Exact form: cells are combined per (column, value) on the map side, shuffled
     once by that pair, then added up per column, so a hot value is one row per
-    task. Long texts travel as digests.
+    task. Long texts travel as digests, and columns as numbers.
     """
     if approx:
-        parts = []
-        for name, df in tables.items():
-            measures = [
-                F.struct(
-                    F.lit(f.name.upper()).alias("column_name"),
-                    F.approx_count_distinct(_as_text(f)).alias("distinct_rows"),
-                    F.count("*").alias("rows"),
-                    (F.count("*") - F.count(F.col(f"`{f.name}`"))).alias("null_rows"),
-                )
-                for f in df.schema.fields
-            ]
-            one = df.agg(F.array(*measures).alias("measures"))
-            parts.append(one.select(F.lit(name.upper()).alias("table_name"), F.inline("measures")))
-        return reduce(DataFrame.unionByName, parts)
-    value = F.col("value")
-    is_long = F.length(value) > KEY_CHARS
-    keyed = long_cells(tables).select(
-        "table_name",
-        "column_name",
-        is_long.alias("is_digest"),
-        F.when(is_long, F.sha2(value, 256)).otherwise(value).alias("key"),
-    )
-    per_value = keyed.groupBy("table_name", "column_name", "is_digest", "key").agg(F.count("*").alias("n"))
-    return per_value.groupBy("table_name", "column_name").agg(
-        F.count("key").alias("distinct_rows"),
+        return reduce(DataFrame.unionByName, [_approx_counts(name, df) for name, df in tables.items()])
+    cells, names = long_cells(tables, as_key=True)
+    per_value = cells.groupBy("column_no", "value").agg(F.count("*").alias("n"))
+    counted = per_value.groupBy("column_no").agg(
+        F.count("value").alias("distinct_rows"),
         F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("null_rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_rows"),
     )
+    return counted.join(names, "column_no").select("table_name", "column_name", "distinct_rows", "rows", "null_rows")
 
 
 def profile(spark: SparkSession, tables: dict[str, DataFrame], approx: bool = False) -> DataFrame:

@@ -14,11 +14,18 @@ from slink.operators.grouping import DEFAULT_SALTS, top_k_per_group
 
 QUESTION_BLOCK = 512
 DOCUMENT_BLOCK = 8192
+LEAST_QUESTIONS = 64
 SCORE_DECIMALS = 4
 
-HIT_SCHEMA = "question_id long, index_name string, vec_id long, score double"
+HIT_SCHEMA = "question_id long, index_name string, vec_id long, score double, rank int"
 _ARROW_HITS = pa.schema(
-    [("question_id", pa.int64()), ("index_name", pa.string()), ("vec_id", pa.int64()), ("score", pa.float64())]
+    [
+        ("question_id", pa.int64()),
+        ("index_name", pa.string()),
+        ("vec_id", pa.int64()),
+        ("score", pa.float64()),
+        ("rank", pa.int32()),
+    ]
 )
 
 
@@ -60,49 +67,43 @@ def _block_hits(k: int | dict[str, int]):
         codes, names = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
         vec_ids = documents["vec_id"].to_numpy()
         d = _matrix(documents["embedding"])
-        out_q, out_v, out_s, out_i = [], [], [], []
+        out_q, out_v, out_s, out_i, out_r = [], [], [], [], []
         for code, name in enumerate(names):
             mine = np.flatnonzero(codes == code)
             scores = np.round(q @ d[mine].T, SCORE_DECIMALS) + 0.0
-            keep = k if isinstance(k, int) else k[name]
-            if keep < len(mine):
-                # Documents are in vec_id order, so a stable sort breaks ties by id.
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-                scores = np.take_along_axis(scores, best, axis=1)
-                ids = vec_ids[mine][best]
-            else:
-                ids = np.broadcast_to(vec_ids[mine], scores.shape)
-            out_q.append(np.repeat(question_ids, scores.shape[1]))
-            out_v.append(ids.ravel())
-            out_s.append(scores.ravel())
-            out_i.append(np.full(scores.size, code, dtype=np.int32))
+            keep = min(k if isinstance(k, int) else k[name], len(mine))
+            # Documents are in vec_id order, so a stable sort breaks ties by id.
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+            out_q.append(np.repeat(question_ids, keep))
+            out_v.append(vec_ids[mine][best].ravel())
+            out_s.append(np.take_along_axis(scores, best, axis=1).ravel())
+            out_i.append(np.full(best.size, code, dtype=np.int32))
+            out_r.append(np.tile(np.arange(1, keep + 1, dtype=np.int32), len(question_ids)))
         index = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(out_i)), pa.array(names)).cast(pa.string())
-        return pa.Table.from_arrays(
-            [pa.array(np.concatenate(out_q)), index, pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))],
-            schema=_ARROW_HITS,
-        )
+        columns = [np.concatenate(out) for out in (out_q, out_v, out_s, out_r)]
+        ids, vecs, values, ranks = [pa.array(c) for c in columns]
+        return pa.Table.from_arrays([ids, index, vecs, values, ranks], schema=_ARROW_HITS)
 
     return search
 
 
 def _blocks(rows: int, block: int, least: int = 1) -> int:
-    return max(least, math.ceil(rows / block), 1)
+    return max(math.ceil(rows / block), least, 1)
 
 
 def similarity_join(questions: DataFrame, documents: DataFrame, k: int | dict[str, int]) -> DataFrame:
-    """Block-local best hits of every question in every index.
+    """Block-local best hits of every question in every index, ranked in their block.
 
     Both sides are cut into blocks by a hash of their unique id, so a block is
     never larger than planned however the indexes are filled. Each (question
     block, document block) pair is one matrix product in one task, and only
     the local top k of each index leaves it. Nothing is broadcast or collected.
     """
-    n_questions, n_documents = questions.count(), documents.count()
+    n_questions, document_blocks = questions.count(), _blocks(documents.count(), DOCUMENT_BLOCK)
     parallelism = questions.sparkSession.sparkContext.defaultParallelism
-    question_blocks = _blocks(n_questions, QUESTION_BLOCK)
-    # Enough tasks for the cores, but no blocks too small to be worth a task.
-    wanted = min(math.ceil(parallelism / question_blocks), math.ceil(n_documents / QUESTION_BLOCK))
-    document_blocks = _blocks(n_documents, DOCUMENT_BLOCK, wanted)
+    # Enough tasks for the cores, by more question blocks: only these leave nothing to merge.
+    wanted = min(math.ceil(parallelism / document_blocks), math.ceil(n_questions / LEAST_QUESTIONS))
+    question_blocks = _blocks(n_questions, QUESTION_BLOCK, wanted)
 
     def spread(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -133,9 +134,14 @@ def top_k_hits(hits: DataFrame, k: int | dict[str, int], salted: bool = True) ->
 
 
 def exact_knn(questions: DataFrame, documents: DataFrame, k: int | dict[str, int]) -> DataFrame:
-    """Exact top k by cosine: block-local cuts, then one global cut per question and index."""
+    """Exact top k by cosine, with `rank` from 1 per question and index.
+
+    With one document block the block-local cut is already the answer; with
+    more, the block results are cut once more per question and index.
+    """
     blocks = _blocks(documents.count(), DOCUMENT_BLOCK)
-    return top_k_hits(similarity_join(questions, documents, k), k, salted=blocks > DEFAULT_SALTS)
+    found = similarity_join(questions, documents, k)
+    return found if blocks == 1 else top_k_hits(found, k, salted=blocks > DEFAULT_SALTS)
 
 
 def drop_missing_hits(hits: DataFrame) -> DataFrame:

@@ -25,7 +25,20 @@ def _null() -> Column:
 
 
 def _catalog(columns: DataFrame) -> DataFrame:
-    return columns.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name"), "ordinal")
+    return columns.select("table_id", F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name"))
+
+
+def _table_names(columns: DataFrame) -> DataFrame:
+    return columns.select("table_id", F.lower("table_name").alias("table_name")).distinct()
+
+
+def _place(scope: Column, position: Column, table_id: Column) -> Column:
+    """Scope, position in the query and table id in one number that sorts like them, so a plain maximum finds the winner."""
+    return F.shiftleft(scope.cast("long"), 48) + F.shiftleft(position.cast("long"), 32) + table_id.cast("long")
+
+
+def _table_of(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
 def table_touches(log: DataFrame) -> DataFrame:
@@ -34,50 +47,62 @@ def table_touches(log: DataFrame) -> DataFrame:
     return occurrences.groupBy("query_id", F.lower("t.name").alias("table_name")).agg(F.count("*").alias("touches"))
 
 
+REFERENCE = ["qualifier", "column_name", "value", "times"]
+
+
 def resolve_references(log: DataFrame, references: str, columns: DataFrame, strict: bool = False) -> DataFrame:
     """Table and column of every reference in an array field of the log.
 
     A qualifier must equal a table's alias, or its name where it has none. Of
     several tables with the column the nearest scope wins, and in it the last
-    table. References never leave their own query's row until they are matched
-    with the catalogue, so there is no join of the log with itself.
+    table. A reference meets the tables of its own query inside its row, so
+    the log is never joined with itself.
     """
-    ref = log.select("query_id", "tables", F.posexplode(references).alias("ref_no", "r"))
-    visible = F.filter(
-        F.transform("tables", lambda t, i: F.struct(t["name"].alias("name"), t["alias"].alias("alias"), t["scope"].alias("scope"), i.alias("position"))),
-        lambda t: (t["scope"] <= F.col("r.scope"))
-        & (F.col("r.qualifier").isNull() | (F.lower(F.coalesce(t["alias"], t["name"])) == F.lower("r.qualifier"))),
+    fields = {f.name for f in log.schema[references].dataType.elementType.fields}
+    ref = log.select("query_id", "tables", F.posexplode(references).alias("ref_no", "r")).select(
+        "query_id",
+        "tables",
+        "ref_no",
+        F.col("r.qualifier").alias("qualifier"),
+        F.lower("r.name").alias("column_name"),
+        (F.col("r.value") if "value" in fields else _null()).alias("value"),
+        (F.col("r.times") if "times" in fields else F.lit(1)).alias("times"),
+        F.col("r.scope").alias("scope"),
     )
-    candidates = ref.select("query_id", "ref_no", "r", F.explode_outer(visible).alias("t")).select(
-        "query_id", "ref_no", "r", "t", F.lower("t.name").alias("table_name"), F.lower("r.name").alias("column_name")
+    pairs = ref.select("query_id", "ref_no", *REFERENCE, "scope", F.posexplode("tables").alias("position", "t"))
+    visible = (F.col("t.scope") <= F.col("scope")) & (
+        F.col("qualifier").isNull() | (F.lower(F.coalesce("t.alias", "t.name")) == F.lower("qualifier"))
     )
-    known = _catalog(columns).select("table_name", "column_name", F.lit(True).alias("found"))
-    matched = candidates.join(known, ["table_name", "column_name"], "left")
-    winner = F.max(F.when(F.col("found"), F.struct("t.scope", "t.position", "table_name")))
-    resolved = matched.groupBy("query_id", "ref_no", "column_name").agg(winner.alias("w"), F.first("r").alias("r"))
-    table = F.col("w.table_name")
+    candidates = pairs.select(
+        "query_id", "ref_no", *REFERENCE, "position", F.col("t.scope").alias("t_scope"), F.when(visible, F.lower("t.name")).alias("table_name")
+    )
+    matched = candidates.join(_catalog(columns), ["table_name", "column_name"], "left")
+    winner = F.max(_place(F.col("t_scope"), F.col("position"), F.col("table_id")))
+    resolved = matched.groupBy("query_id", "ref_no", *REFERENCE).agg(winner.alias("w"))
+    table_id = _table_of(F.col("w"))
     if strict:
-        message = F.concat(F.lit("unresolved column "), F.coalesce(F.concat(F.col("r.qualifier"), F.lit(".")), F.lit("")), F.col("column_name"))
-        table = F.when(F.col("w").isNull(), F.raise_error(message)).otherwise(table)
-    return resolved.select("query_id", "ref_no", table.alias("table_name"), "column_name", "r", F.col("w").isNotNull().alias("resolved"))
+        message = F.concat(F.lit("unresolved column "), F.coalesce(F.concat(F.col("qualifier"), F.lit(".")), F.lit("")), F.col("column_name"))
+        table_id = F.when(F.col("w").isNull(), F.raise_error(message).cast("int")).otherwise(table_id)
+    numbered = resolved.select("query_id", "ref_no", *REFERENCE, table_id.alias("table_id"), F.col("w").isNotNull().alias("resolved"))
+    return numbered.join(_table_names(columns), "table_id", "left")
 
 
 def column_touches(log: DataFrame, columns: DataFrame, strict: bool = False) -> DataFrame:
     """Touches per column; `times` of a reference counts its aliases too."""
     resolved = resolve_references(log, "columns", columns, strict).filter("resolved")
-    return resolved.groupBy("query_id", "table_name", "column_name").agg(F.sum("r.times").alias("touches"))
+    return resolved.groupBy("query_id", "table_name", "column_name").agg(F.sum("times").alias("touches"))
 
 
 def alias_touches(log: DataFrame, columns: DataFrame) -> DataFrame:
     """The part of the column touches that aliases add."""
     resolved = resolve_references(log, "columns", columns).filter("resolved")
-    extra = F.sum(F.col("r.times") - 1)
+    extra = F.sum(F.col("times") - 1)
     return resolved.groupBy("query_id", "table_name", "column_name").agg(extra.alias("touches")).filter(F.col("touches") > 0)
 
 
 def unresolved_references(log: DataFrame, columns: DataFrame) -> DataFrame:
     resolved = resolve_references(log, "columns", columns).filter(~F.col("resolved"))
-    return resolved.select("query_id", F.col("r.qualifier").alias("qualifier"), "column_name")
+    return resolved.select("query_id", "qualifier", "column_name")
 
 
 def star_touches(log: DataFrame, columns: DataFrame) -> DataFrame:
@@ -89,13 +114,14 @@ def star_touches(log: DataFrame, columns: DataFrame) -> DataFrame:
     )
     named = scoped.select("query_id", "star_no", "position", F.lower("t.name").alias("table_name"))
     shown = named.join(_catalog(columns), "table_name").groupBy("query_id", "star_no", "column_name")
-    winners = shown.agg(F.max_by("table_name", "position").alias("table_name"))
-    return winners.groupBy("query_id", "table_name", "column_name").agg(F.count("*").alias("touches"))
+    winners = shown.agg(F.max(_place(F.lit(0), F.col("position"), F.col("table_id"))).alias("w"))
+    counted = winners.groupBy("query_id", _table_of(F.col("w")).alias("table_id"), "column_name").agg(F.count("*").alias("touches"))
+    return counted.join(_table_names(columns), "table_id").select("query_id", "table_name", "column_name", "touches")
 
 
 def _values(resolved: DataFrame) -> DataFrame:
     kept = resolved.filter("resolved")
-    return kept.groupBy("query_id", "table_name", "column_name", F.col("r.value").alias("value")).agg(F.count("*").alias("touches"))
+    return kept.groupBy("query_id", "table_name", "column_name", "value").agg(F.count("*").alias("touches"))
 
 
 def value_touches(log: DataFrame, columns: DataFrame) -> DataFrame:
@@ -128,9 +154,7 @@ def touch_counts(log: DataFrame, columns: DataFrame) -> DataFrame:
         F.transform(F.filter("in_items", lambda i: i["quoted_identifier"]), lambda i: _reference(i, i["value"], once)),
     )
     resolved = resolve_references(log.withColumn("references", references), "references", columns).filter("resolved")
-    referenced = resolved.groupBy("query_id", "table_name", "column_name", F.col("r.value").alias("value")).agg(
-        F.sum("r.times").alias("touches")
-    )
+    referenced = resolved.groupBy(*TOUCH).agg(F.sum("times").alias("touches"))
     parts = [
         table_touches(log).withColumns({"column_name": _null(), "value": _null()}),
         star_touches(log, columns).withColumn("value", _null()),

@@ -13,8 +13,9 @@ from slink.operators.grouping import top_k_per_group
 
 def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, value, n) of every text column, nulls left out."""
-    cells = long_cells(tables, only_strings=True).filter(F.col("value").isNotNull())
-    return cells.groupBy("table_name", "column_name", "value").agg(F.count("*").alias("n"))
+    cells, names = long_cells(tables, only_strings=True)
+    counts = cells.filter(F.col("value").isNotNull()).groupBy("column_no", "value").agg(F.count("*").alias("n"))
+    return counts.join(names, "column_no").select("table_name", "column_name", "value", "n")
 
 
 def top_values(counts: DataFrame, n: int = fixed.MAX_LIMIT, keys: list[str] | None = None) -> DataFrame:
