@@ -79,11 +79,12 @@ def resolve_references(log: DataFrame, references: str, columns: DataFrame, stri
     matched = candidates.join(_catalog(columns), ["table_name", "column_name"], "left")
     winner = F.max(_place(F.col("t_scope"), F.col("position"), F.col("table_id")))
     resolved = matched.groupBy("query_id", "ref_no", *REFERENCE).agg(winner.alias("w"))
-    table_id = _table_of(F.col("w"))
+    found = F.col("w").isNotNull()
     if strict:
         message = F.concat(F.lit("unresolved column "), F.coalesce(F.concat(F.col("qualifier"), F.lit(".")), F.lit("")), F.col("column_name"))
-        table_id = F.when(F.col("w").isNull(), F.raise_error(message).cast("int")).otherwise(table_id)
-    numbered = resolved.select("query_id", "ref_no", *REFERENCE, table_id.alias("table_id"), F.col("w").isNotNull().alias("resolved"))
+        # In the flag itself, so that a filter on it cannot skip the error.
+        found = F.when(found, True).otherwise(F.raise_error(message).cast("boolean"))
+    numbered = resolved.select("query_id", "ref_no", *REFERENCE, _table_of(F.col("w")).alias("table_id"), found.alias("resolved"))
     return numbered.join(_table_names(columns), "table_id", "left")
 
 
