@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from slink.functions import fixed_values as fixed
 from slink.operators.grouping import DEFAULT_SALTS, top_k_per_group
 
-QUESTION_BLOCK = 512
+# Documents per block, and the bounds of questions per block. Between these
+# bounds a block has as many questions as keep its hits below HITS_PER_BLOCK:
+# larger question blocks mean fewer copies of the documents.
 DOCUMENT_BLOCK = 8192
 LEAST_QUESTIONS = 64
+QUESTION_BLOCK = 4096
+HITS_PER_BLOCK = 4_000_000
+# Questions scored at a time inside a block, which bounds the score matrix.
+SCORED_AT_ONCE = 256
 SCORE_DECIMALS = 4
 
 HIT_SCHEMA = "question_id long, index_name string, vec_id long, score double, rank int"
@@ -70,15 +76,16 @@ def _block_hits(k: int | dict[str, int]):
         out_q, out_v, out_s, out_i, out_r = [], [], [], [], []
         for code, name in enumerate(names):
             mine = np.flatnonzero(codes == code)
-            scores = np.round(q @ d[mine].T, SCORE_DECIMALS) + 0.0
-            keep = min(k if isinstance(k, int) else k[name], len(mine))
-            # Documents are in vec_id order, so a stable sort breaks ties by id.
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-            out_q.append(np.repeat(question_ids, keep))
-            out_v.append(vec_ids[mine][best].ravel())
-            out_s.append(np.take_along_axis(scores, best, axis=1).ravel())
-            out_i.append(np.full(best.size, code, dtype=np.int32))
-            out_r.append(np.tile(np.arange(1, keep + 1, dtype=np.int32), len(question_ids)))
+            candidates, keep = d[mine].T, min(k if isinstance(k, int) else k[name], len(mine))
+            for start in range(0, len(q), SCORED_AT_ONCE):
+                scores = np.round(q[start : start + SCORED_AT_ONCE] @ candidates, SCORE_DECIMALS) + 0.0
+                # Documents are in vec_id order, so a stable sort breaks ties by id.
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+                out_q.append(np.repeat(question_ids[start : start + SCORED_AT_ONCE], keep))
+                out_v.append(vec_ids[mine][best].ravel())
+                out_s.append(np.take_along_axis(scores, best, axis=1).ravel())
+                out_i.append(np.full(best.size, code, dtype=np.int32))
+                out_r.append(np.tile(np.arange(1, keep + 1, dtype=np.int32), len(scores)))
         index = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(out_i)), pa.array(names)).cast(pa.string())
         columns = [np.concatenate(out) for out in (out_q, out_v, out_s, out_r)]
         ids, vecs, values, ranks = [pa.array(c) for c in columns]
@@ -101,9 +108,11 @@ def similarity_join(questions: DataFrame, documents: DataFrame, k: int | dict[st
     """
     n_questions, document_blocks = questions.count(), _blocks(documents.count(), DOCUMENT_BLOCK)
     parallelism = questions.sparkSession.sparkContext.defaultParallelism
+    hits_each = min(DOCUMENT_BLOCK, k * len(fixed.ALL_INDEXES) if isinstance(k, int) else sum(k.values()))
+    question_block = max(LEAST_QUESTIONS, min(QUESTION_BLOCK, HITS_PER_BLOCK // hits_each))
     # Enough tasks for the cores, by more question blocks: only these leave nothing to merge.
     wanted = min(math.ceil(parallelism / document_blocks), math.ceil(n_questions / LEAST_QUESTIONS))
-    question_blocks = _blocks(n_questions, QUESTION_BLOCK, wanted)
+    question_blocks = _blocks(n_questions, question_block, wanted)
 
     def spread(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

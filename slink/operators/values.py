@@ -11,17 +11,37 @@ from slink.operators.catalog import long_cells
 from slink.operators.grouping import top_k_per_group
 
 
-def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, value, n) of every text column, nulls left out."""
+def value_counts(tables: dict[str, DataFrame], digest_from: int | None = None) -> DataFrame:
+    """(table_name, column_name, value, n) of every text column, nulls left out.
+
+    With `digest_from`, texts of that many characters or more are counted by
+    `digest` and have no `value`: a document that no index can hold is still
+    counted, but its text never leaves its task.
+    """
     cells, names = long_cells(tables, only_strings=True)
-    counts = cells.filter(F.col("value").isNotNull()).groupBy("column_no", "value").agg(F.count("*").alias("n"))
-    return counts.join(names, "column_no").select("table_name", "column_name", "value", "n")
+    value = F.col("value")
+    cells, keys = cells.filter(value.isNotNull()), ["column_no", "value"]
+    if digest_from is not None:
+        is_long = F.length(value) >= digest_from
+        cells = cells.select("column_no", F.when(~is_long, value).alias("value"), F.when(is_long, F.sha2(value, 256)).alias("digest"))
+        keys.append("digest")
+    counts = cells.groupBy(*keys).agg(F.count("*").alias("n")).join(names, "column_no")
+    return counts.select("table_name", "column_name", *keys[1:], "n")
 
 
 def top_values(counts: DataFrame, n: int = fixed.MAX_LIMIT, keys: list[str] | None = None) -> DataFrame:
-    """Most frequent values of each column, ties by value."""
+    """Most frequent values of each column, ties by value, then by digest."""
     keys = keys or ["table_name", "column_name"]
-    return top_k_per_group(counts, keys, [F.desc("n"), F.asc("value")], n, "value_rank", salt_by=["value"])
+    order, salt_by = [F.desc("n"), F.asc_nulls_last("value")], ["value"]
+    if "digest" in counts.columns:
+        order, salt_by = [*order, F.asc("digest")], ["value", "digest"]
+    return top_k_per_group(counts, keys, order, n, "value_rank", salt_by=salt_by)
+
+
+def indexed_values(tables: dict[str, DataFrame], n: int = fixed.MAX_LIMIT) -> DataFrame:
+    """Values that go into the indexes: the most frequent of each column, cleaned."""
+    top = top_values(value_counts(tables, digest_from=fixed.MAX_VALUE_LENGTH), n)
+    return clean_values(top.filter(F.col("value").isNotNull()).drop("digest"))
 
 
 def length_flags(value: Column) -> tuple[Column, Column]:

@@ -352,16 +352,16 @@ VALUE_LIMIT = fixed.MAX_LIMIT
 CLEAN_CTE = f"""
 kept AS (
   SELECT table_id, column_id, table_name, fqn, column_name, value, value_rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY n DESC, value) AS value_rank FROM ({VALUE_COUNTS_SQL})
+    SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY n DESC,
+      CASE WHEN length(value) < 600 THEN value END NULLS LAST, sha256(value)) AS value_rank FROM ({VALUE_COUNTS_SQL})
   ) JOIN cat USING (table_name, column_name)
   WHERE value_rank <= {VALUE_LIMIT} AND ({REASON_SQL}) IS NULL
 )"""
 
 
 def kept_values(spark, sf_dir):
-    top = values.top_values(values.value_counts(b.tables(spark, sf_dir)), VALUE_LIMIT)
     ids = b.columns(spark, sf_dir).select("table_name", "column_name", "table_id", "column_id")
-    return values.clean_values(top).join(ids, ["table_name", "column_name"])
+    return values.indexed_values(b.tables(spark, sf_dir), VALUE_LIMIT).join(ids, ["table_name", "column_name"])
 
 
 @query(

@@ -29,11 +29,13 @@ def brute(q, d, names, k):
     return want
 
 
-@pytest.mark.parametrize("blocks", [(512, 8192), (16, 8192), (16, 40), (512, 5)])
+@pytest.mark.parametrize("blocks", [(4096, 8192), (16, 8192), (16, 40), (4096, 5)])
 @pytest.mark.parametrize("k", [7, {"value": 3, "column_name": 1000}])
 def test_exact_for_any_block_size(spark, monkeypatch, blocks, k):
     monkeypatch.setattr(search, "QUESTION_BLOCK", blocks[0])
     monkeypatch.setattr(search, "DOCUMENT_BLOCK", blocks[1])
+    monkeypatch.setattr(search, "LEAST_QUESTIONS", 4)
+    monkeypatch.setattr(search, "SCORED_AT_ONCE", 3)
     questions, docs, q, d, names = frames(spark)
     got = {tuple(r) for r in search.exact_knn(questions, docs, k).select("question_id", "index_name", "vec_id", "score", "rank").collect()}
     assert got == brute(q, d, names, k)
