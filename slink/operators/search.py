@@ -98,7 +98,13 @@ def _blocks(rows: int, block: int, least: int = 1) -> int:
     return max(math.ceil(rows / block), least, 1)
 
 
-def similarity_join(questions: DataFrame, documents: DataFrame, k: int | dict[str, int]) -> DataFrame:
+def document_block_count(documents: DataFrame) -> int:
+    return _blocks(documents.count(), DOCUMENT_BLOCK)
+
+
+def similarity_join(
+    questions: DataFrame, documents: DataFrame, k: int | dict[str, int], document_blocks: int | None = None
+) -> DataFrame:
     """Block-local best hits of every question in every index, ranked in their block.
 
     Both sides are cut into blocks by a hash of their unique id, so a block is
@@ -106,7 +112,7 @@ def similarity_join(questions: DataFrame, documents: DataFrame, k: int | dict[st
     block, document block) pair is one matrix product in one task, and only
     the local top k of each index leaves it. Nothing is broadcast or collected.
     """
-    n_questions, document_blocks = questions.count(), _blocks(documents.count(), DOCUMENT_BLOCK)
+    n_questions, document_blocks = questions.count(), document_blocks or document_block_count(documents)
     parallelism = questions.sparkSession.sparkContext.defaultParallelism
     hits_each = min(DOCUMENT_BLOCK, k * len(fixed.ALL_INDEXES) if isinstance(k, int) else sum(k.values()))
     question_block = max(LEAST_QUESTIONS, min(QUESTION_BLOCK, HITS_PER_BLOCK // hits_each))
@@ -148,8 +154,8 @@ def exact_knn(questions: DataFrame, documents: DataFrame, k: int | dict[str, int
     With one document block the block-local cut is already the answer; with
     more, the block results are cut once more per question and index.
     """
-    blocks = _blocks(documents.count(), DOCUMENT_BLOCK)
-    found = similarity_join(questions, documents, k)
+    blocks = document_block_count(documents)
+    found = similarity_join(questions, documents, k, blocks)
     return found if blocks == 1 else top_k_hits(found, k, salted=blocks > DEFAULT_SALTS)
 
 
