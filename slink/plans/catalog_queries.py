@@ -605,7 +605,10 @@ def f15(spark, sf_dir):
     FROM stored s FULL JOIN fresh f ON s.table_name = f.table_name AND s.column_name = f.column_name""",
 )
 def j13(spark, sf_dir):
-    profiled = catalog.profile(spark, b.tables(spark, sf_dir)).select("table_name", "column_name", "distinct_rows", "rows")
+    # Written once: both sides of the upsert come from it.
+    profiled = materialize(catalog.profile(spark, b.tables(spark, sf_dir)), "profile").select(
+        "table_name", "column_name", "distinct_rows", "rows"
+    )
     stored = profiled.filter(~F.col("table_name").isin("PART", "REGION")).withColumn("distinct_rows", F.lit(0).cast("long"))
     fresh = profiled.filter(~F.col("table_name").isin("ORDERS", "NATION"))
     return catalog.catalog_upsert(stored, fresh, ["table_name", "column_name"], ["distinct_rows", "rows"])

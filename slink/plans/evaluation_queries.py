@@ -173,7 +173,8 @@ def a11(spark, sf_dir):
     JOIN (SELECT case_id, row_idx FROM old_r UNION SELECT case_id, row_idx FROM new_r) r USING (case_id) GROUP BY ALL""",
 )
 def s10(spark, sf_dir):
-    old, new = old_result(spark, sf_dir), new_result(spark, sf_dir)
+    old = stores.materialize(old_result(spark, sf_dir), "old-result")
+    new = stores.materialize(new_result(spark, sf_dir), "new-result")
     scored = evaluation.error_cases(evaluation.result_match(cases(spark, sf_dir), old, new), failed_cases(spark, sf_dir))
     path = new_path(spark, "evaluation")
     stores.write_evaluation(scored, evaluation.positional_row_join(old, new, keep_extra=True), path)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slink.functions import fixed_values as fixed
@@ -57,7 +58,11 @@ def first_requests_stream(requests: DataFrame, delay: str = "1 hour") -> DataFra
     passed the entry's lifetime. Rows later than `delay` are dropped. Bound the
     micro-batch at the source, for example with `maxFilesPerTrigger`.
     """
-    timed = requests.select("key", "request_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("micros", F.unix_micros("ts"))
+    ts = F.col("ts").cast("timestamp")
+    if isinstance(requests.schema["ts"].dataType, T.TimestampNTZType):
+        # A time without zone counts as UTC, whatever the session's zone is.
+        ts = F.from_utc_timestamp(ts, F.current_timezone())
+    timed = requests.select("key", "request_id", ts.alias("ts")).withColumn("micros", F.unix_micros("ts"))
     return (
         timed.withWatermark("ts", delay)
         .groupBy("key")
