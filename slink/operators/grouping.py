@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 32
+MOST_SALTS = 512
+
+
+def salts(df: DataFrame) -> int:
+    """As many salts as the cluster shuffles into, so that a hot group can use all of it."""
+    return min(max(DEFAULT_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_SALTS)
 
 
 def top_k_per_group(
@@ -18,7 +24,7 @@ def top_k_per_group(
     second window then gets at most k rows per salt. `order` must be total.
     """
     if salt_by:
-        salt = F.pmod(F.xxhash64(*salt_by), F.lit(DEFAULT_SALTS))
+        salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts(df)))
         salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", salt)

@@ -51,16 +51,15 @@ def element_cost(ranked: DataFrame, costs: DataFrame) -> DataFrame:
     column = [*table, "column_id"]
 
     def first_of(keys: list[str]) -> Column:
-        return F.row_number().over(Window.partitionBy(*keys).orderBy("rank")) == 1
+        return F.min("rank").over(Window.partitionBy(*keys)) == F.col("rank")
 
     has_column = F.col("column_id").isNotNull()
     has_hint = has_column & ~is_empty(F.col("value"))
-    marked = elements.withColumns(
-        {
-            "first_table": first_of(table),
-            "first_column": has_column & first_of(column),
-            "first_hint": has_hint & first_of([*column, "value"]),
-        }
+    # From the finest key to the coarsest, so one sort serves all three.
+    marked = (
+        elements.withColumn("first_hint", has_hint & first_of([*column, "value"]))
+        .withColumn("first_column", has_column & first_of(column))
+        .withColumn("first_table", first_of(table))
     )
     so_far = Window.partitionBy(*column).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     numbered = marked.withColumn("hint_no", F.when(F.col("first_hint"), F.sum(F.col("first_hint").cast("int")).over(so_far)))

@@ -19,6 +19,9 @@ DOCUMENT_BLOCK = 8192
 LEAST_QUESTIONS = 64
 QUESTION_BLOCK = 4096
 HITS_PER_BLOCK = 4_000_000
+# Shuffle partitions per pair of blocks, and in all.
+SPREAD = 3
+MOST_PARTITIONS = 20_000
 # Questions scored at a time inside a block, which bounds the score matrix.
 SCORED_AT_ONCE = 256
 SCORE_DECIMALS = 4
@@ -136,6 +139,10 @@ def similarity_join(
         F.pmod(F.xxhash64("index_name", "vec_id"), F.lit(document_blocks)).cast("int").alias("db"),
         spread(question_blocks).alias("qb"),
     )
+    # A fixed number of partitions, several per pair: little data but much arithmetic is in each, so they must
+    # neither be merged by size nor often share a task.
+    partitions = min(SPREAD * question_blocks * document_blocks, MOST_PARTITIONS)
+    left, right = (side.repartition(partitions, "qb", "db") for side in (left, right))
     return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(_block_hits(k), HIT_SCHEMA)
 
 
