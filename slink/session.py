@@ -14,11 +14,18 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: str | int = 8, partitions: int = 8, app: str = "slink") -> SparkSession:
-    """Single-JVM session for tests and the bench; on a cluster use the one you are given."""
+def local_session(
+    cpus: str | int = 8, partitions: int = 8, app: str = "slink", shared: str | None = None
+) -> SparkSession:
+    """Single-JVM session for tests and the bench; on a cluster use the one you are given.
+
+    `shared` is the folder for written intermediate tables (`spark.checkpoint.dir`).
+    """
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("SLINK_DRIVER_MEMORY", "8g"))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by `spark.checkpoint.dir`; a temporary one only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """Folder named by `spark.checkpoint.dir`, else one below the session's warehouse folder.
+
+    A warehouse on a local disk is no shared folder of a cluster, so there it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="slink-")
-        spark.sparkContext.setCheckpointDir(folder)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir: executors do not share {warehouse}")
+        folder = f"{warehouse}/checkpoints"
     return folder.rstrip("/")
 
 
