@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slink.llm import quality_mil, simhash_pivots
+from slink.llm import pii_boost, quality_mil, simhash_pivots, toxicity_neighbours
 from slink.plans.bindings import table
 from slink.plans.registry import query
 
@@ -16,6 +16,19 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_mil.held_out().alias("held_out"), "score", "predicted")
 
 
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_boost.find(docs, pii_boost.fit(docs), ["doc_id"])
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity_neighbours.score(docs, toxicity_neighbours.fit(docs, labels), ["doc_id"])
+    return scored.select("doc_id", quality_mil.held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.components(table(spark, sf_dir, "documents"))
