@@ -195,7 +195,9 @@ def _with_components(slim: DataFrame) -> DataFrame:
     known = prints.join(ids, "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("root"), F.coalesce("low_id", "first_id").alias("component_id")
     )
-    return slim.join(known, "fp")
+    # Written, so that both sides of the join are plain shuffles and a frequent fingerprint can be split.
+    known.write.parquet(path := new_path(spark, "known"))
+    return slim.join(spark.read.parquet(path), "fp")
 
 
 def components(docs: DataFrame) -> DataFrame:
