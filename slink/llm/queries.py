@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slink.llm import pii_boost, quality_mil, simhash_pivots, toxicity_neighbours
+from slink.llm import bpe_fragments, pii_boost, quality_mil, simhash_pivots, token_records, toxicity_neighbours
 from slink.plans.bindings import table
 from slink.plans.registry import query
+from slink.sources.shared import new_path
 
 
 @query("op1_quality_classifier")
@@ -22,6 +24,20 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.find(docs, pii_boost.fit(docs), ["doc_id"])
 
 
+@query("op6_token_records")
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "records")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_records.write(table(spark, sf_dir, "documents"), folder, path, end_id=2)
+    return token_records.read_back(spark, folder)
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe_fragments.encode(table(spark, sf_dir, "documents"), path, ["doc_id"])
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
