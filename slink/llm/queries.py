@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slink.llm import bpe_fragments, pii_boost, quality_mil, simhash_pivots, token_records, toxicity_neighbours
+from slink.llm import bpe_fragments, mixing, pii_boost, quality_mil, simhash_pivots, token_records, toxicity_neighbours
 from slink.plans.bindings import table
 from slink.plans.registry import query
 from slink.sources.shared import new_path
@@ -24,6 +24,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.find(docs, pii_boost.fit(docs), ["doc_id"])
 
 
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draws(table(spark, sf_dir, "documents")).drop("_h")
+
+
 @query("op6_token_records")
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "records")
