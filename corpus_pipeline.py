@@ -1,10 +1,12 @@
-"""Five stages from raw documents to token ids; each takes and returns the columns of documents, the last token ids."""
+"""Five stages from raw documents to token ids; all but the last return the columns of documents."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slink.llm import quality_mil, simhash_pivots
+from slink.llm import bpe_fragments, mixing, pii_boost, quality_mil, simhash_pivots
 from slink.plans.bindings import table
 from slink.sources.shared import new_path
 
@@ -20,7 +22,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_pivots.deduplicate(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind; n_chars follows."""
+    others = [c for c in docs.columns if c != "text"]
+    clean = pii_boost.find(docs, pii_boost.fit(docs), others, redact="text")
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources draw them, block by block."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the decoded text."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe_fragments.encode(docs, path, ["doc_id", "lang", "source"], ids="token_ids")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mix", mix),
+    ("encode", encode),
+]
 ORACLE_SQL = None
 
 
