@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slink.llm import bpe_fragments, mixing, pii_boost, quality_mil, simhash_pivots, token_records, toxicity_neighbours
+from slink.llm import bpe_fragments, mixing, pii_boost, quality_mil, quality_rules, secret_layers, simhash_pivots, token_records, toxicity_neighbours
 from slink.plans.bindings import table
 from slink.plans.registry import query
 from slink.sources.shared import new_path
@@ -24,11 +24,66 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.find(docs, pii_boost.fit(docs), ["doc_id"])
 
 
+_STOP_WORDS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
+_MEASURES = {
+    "n_words": "n_words",
+    "mean_word_chars": "word_chars / d",
+    "symbols_per_word": "n_symbols / d",
+    "shouts_per_word": "n_shouts / d",
+    "stop_word_share": "n_stop_words / d",
+    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+    "repeat_word_share": "n_repeat_words / d",
+}
+_FAILED = " OR ".join(f"{_MEASURES[name]} {comparison} {threshold}" for name, comparison, threshold in quality_rules.RULES)
+
+OP3_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT r, doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM t
+),
+m AS (
+  SELECT r, doc_id, len(words) AS n_words, greatest(len(words), 1)::DOUBLE AS d,
+         length(array_to_string(words, '')) AS word_chars,
+         len(regexp_extract_all(array_to_string(words, ''), '[#*$%&|<>]')) AS n_symbols,
+         len(regexp_extract_all(array_to_string(words, ''), '!')) AS n_shouts,
+         len(list_filter(words, lambda x: lower(x) IN ({_STOP_WORDS}))) AS n_stop_words,
+         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines
+  FROM w
+),
+g AS (
+  SELECT r, i, array_to_string(words[i:i + 7], ' ') AS gram
+  FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)
+),
+marked AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+covered AS (
+  SELECT r, sum(coalesce(least(8, i - before), 8))::BIGINT AS n_repeat_words
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM marked) GROUP BY r
+),
+a AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN covered USING (r)),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({_FAILED}) AS kept
+FROM j
+"""
+
+
+@query("op3_quality_rules", OP3_SQL)
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @query("op4_mixing")
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draws(table(spark, sf_dir, "documents")).drop("_h")
 
 
+@query("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_layers.find(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @query("op6_token_records")
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "records")
