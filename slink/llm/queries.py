@@ -4,8 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from slink.llm import bpe_fragments, mixing, pii_boost, quality_mil, quality_rules, secret_layers, simhash_pivots, token_records, toxicity_neighbours
+from pyspark.sql import functions as F
+
+from slink.llm import (
+    bpe_fragments,
+    mixing,
+    permutation_index,
+    pii_boost,
+    quality_mil,
+    quality_rules,
+    secret_layers,
+    simhash_pivots,
+    token_records,
+    toxicity_neighbours,
+)
 from slink.plans.bindings import table
 from slink.plans.registry import query
 from slink.sources.shared import new_path
@@ -92,6 +104,11 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_back(spark, folder)
 
 
+@query("op7_permutation_index")
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
