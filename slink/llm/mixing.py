@@ -170,10 +170,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         _key(F.col("source")).alias("_k"), "block", "position",
     )
     keyed = docs.select(
-        "*", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_none"),
+        F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_none"),
         F.xxhash64("text").alias("_h"), _key(F.col("source")).alias("_k"),
     )
     taken = keyed.join(drawn, ["_id", "_none", "_h", "_k"])
-    return (
-        taken.repartition("block").sortWithinPartitions("block", "position").select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    return taken.repartition("block").sortWithinPartitions("block", "position").select("row.*")

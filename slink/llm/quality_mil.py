@@ -48,14 +48,14 @@ FEATURES = KINDS - 26 + 10
 
 
 def _windows(text: str) -> list[bytes]:
-    """The text in pieces of bounded size, cut at blanks where there are any."""
+    """The text in pieces of bounded size, cut at blanks where there are any, without white space at their ends."""
     out, start = [], 0
     while len(text) - start > WINDOW_CHARS:
         cut = text.rfind(" ", start, start + WINDOW_CHARS)
         cut = start + WINDOW_CHARS if cut <= start else cut
-        out.append(text[start:cut].encode())
+        out.append(text[start:cut].encode().strip())
         start = cut
-    out.append(text[start:].encode())
+    out.append(text[start:].encode().strip())
     return out
 
 

@@ -229,9 +229,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     first = found.groupBy("root").agg(F.min(F.struct("_none", "_id", "_h")).alias("first")).select("first.*")
     repeated = Window.partitionBy("_id", "_none", "_h").orderBy("_h")
     return (
-        docs.select("*", *keys)
+        docs.select(F.struct("*").alias("row"), *keys)
         .join(first.distinct(), ["_id", "_none", "_h"])
         .withColumn("_copy", F.row_number().over(repeated))
         .filter("_copy = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select("row.*")
     )
