@@ -11,10 +11,17 @@ from slink.plans.bindings import table
 from slink.sources.shared import new_path
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """text, and all other columns in one, so that no name of theirs can clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("text", F.struct(*others).alias("row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     network = quality_mil.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_mil.score(docs, network, docs.columns).filter("predicted = 1").select(*docs.columns)
+    accepted = quality_mil.score(_carried(docs), network, ["text", "row"]).filter("predicted = 1")
+    return accepted.select("text", "row.*").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; n_chars follows."""
-    others = [c for c in docs.columns if c != "text"]
-    clean = pii_boost.find(docs, pii_boost.fit(docs), others, redact="text")
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    clean = pii_boost.find(_carried(docs), pii_boost.fit(docs), ["row"], redact="text").select("text", "row.*")
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
