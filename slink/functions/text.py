@@ -125,9 +125,12 @@ def ordered_unique(values: Column) -> Column:
 
 
 def canonical_cell(column: Column, data_type: str) -> Column:
-    """One cell as text. Fractions get a fixed four decimals so both sides agree."""
+    """One cell as text. Fractions get ten significant digits; NaN, infinities and NULL stay apart."""
     if data_type in ("double", "float") or data_type.startswith("decimal"):
-        column = column.cast("decimal(38,4)")
+        number = column.cast("double")
+        finite = ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
+        shown = F.format_string("%.9e", F.when(finite, number + F.lit(0.0)).otherwise(0.0))
+        column = F.when(number.isNull(), None).when(finite, shown).otherwise(F.lower(number.cast("string")))
     elif data_type.startswith("timestamp"):
         column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return F.coalesce(column.cast("string"), F.lit("None"))

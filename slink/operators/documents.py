@@ -189,19 +189,31 @@ def embed(df: DataFrame, column: str, embedder: Embedder | None = None, name: st
     return df.withColumn(name, encode_batch(F.col(column)))
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, text: str, key: str = "key") -> tuple[DataFrame, DataFrame]:
+def cache_lookup(
+    requests: DataFrame, cache: DataFrame, text: str, key: str = "key", now: Column | None = None, hours: int = 48
+) -> tuple[DataFrame, DataFrame]:
     """(requests with hit flag and cached value, distinct missing texts).
 
+    An empty cached value is a miss. With `now`, entries whose `cached_at` is
+    `hours` or more before it are misses too. Of several entries of a key one
+    counts, the latest where `cached_at` is known.
+
     Requests are matched by content hash. A text repeated in a third of all
     requests skews only the probe side, which AQE splits; the misses are
     reduced to one row per key on the map side before they move.
     """
     keyed = requests.withColumn(key, content_hash(F.col(text)))
-    known = cache.select(key, F.col("cached_value"), F.lit(True).alias("_known"))
+    if now is not None:
+        cache = cache.filter(F.col("cached_at") > now - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    kept = cache.filter(F.coalesce(F.col("cached_value").cast("string"), F.lit("")) != "")
+    latest = F.max_by("cached_value", "cached_at") if "cached_at" in cache.columns else F.max("cached_value")
+    known = kept.groupBy(key).agg(latest.alias("cached_value")).withColumn("_known", F.lit(True))
     looked = keyed.join(known, key, "left").withColumn("hit", F.coalesce("_known", F.lit(False))).drop("_known")
     misses = looked.filter(~F.col("hit")).groupBy(key).agg(F.first(text).alias(text))
     return looked, misses
 
 
-def append_to_cache(cache: DataFrame, computed: DataFrame) -> DataFrame:
-    return cache.unionByName(computed)
+def append_to_cache(cache: DataFrame, computed: DataFrame, key: str = "key") -> DataFrame:
+    """The cache with computed rows in place of its own of the same key; a repeated append changes nothing."""
+    fresh = computed.dropDuplicates([key])
+    return cache.join(fresh.select(key), key, "left_anti").unionByName(fresh)

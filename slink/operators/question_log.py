@@ -106,7 +106,8 @@ def section_tokens(sections: DataFrame, budget: int, strict: bool = False) -> Da
     used = sections.groupBy("question_id").agg(F.sum(T.count_tokens(F.col("text"))).alias("used_tokens"))
     over = F.col("used_tokens") > budget
     if strict:
-        over = F.when(over, F.raise_error(F.lit("prompt is over its token budget"))).otherwise(False)
+        # In a filter, which no selection of columns can prune.
+        used = used.filter(F.when(over, F.raise_error(F.lit("prompt is over its token budget")).cast("boolean")).otherwise(True))
     return used.withColumns({"remaining_tokens": budget - F.col("used_tokens"), "over_budget": over})
 
 

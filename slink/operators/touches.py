@@ -1,11 +1,12 @@
 """Which tables, columns and values logged queries touch.
 
 The log is structured, one row per query:
-query_id, tables ARRAY<STRUCT<name, alias, scope>>,
-columns ARRAY<STRUCT<qualifier, name, times, scope>>, stars ARRAY<STRUCT<qualifier, scope>>,
-eq ARRAY<STRUCT<qualifier, name, value, scope>>,
-in_items ARRAY<STRUCT<qualifier, name, value, quoted_identifier, scope>>.
-Scope 0 is the outermost query; a deeper scope sees the ones around it.
+query_id, tables ARRAY<STRUCT<name, alias, path>>,
+columns ARRAY<STRUCT<qualifier, name, times, path>>, stars ARRAY<STRUCT<qualifier, path>>,
+eq ARRAY<STRUCT<qualifier, name, value, path>>,
+in_items ARRAY<STRUCT<qualifier, name, value, quoted_identifier, path>>.
+A path (ARRAY<INT>) tells the query that an entry stands in: empty for the outermost one, and one number more for
+each subquery on the way down, so that siblings differ. A query sees the tables of the queries around it.
 """
 
 from __future__ import annotations
@@ -32,13 +33,16 @@ def _table_names(columns: DataFrame) -> DataFrame:
     return columns.select("table_id", F.lower("table_name").alias("table_name")).distinct()
 
 
-def _place(scope: Column, position: Column, table_id: Column) -> Column:
-    """Scope, position in the query and table id in one number that sorts like them, so a plain maximum finds the winner."""
-    return F.shiftleft(scope.cast("long"), 48) + F.shiftleft(position.cast("long"), 32) + table_id.cast("long")
+def _place(depth: Column, position: Column, table_id: Column) -> Column:
+    """Depth, position in the query and table id, so that a plain maximum finds the winner; null without a table."""
+    return F.when(
+        table_id.isNotNull(), F.struct(depth.alias("depth"), position.alias("position"), table_id.alias("table_id"))
+    )
 
 
-def _table_of(place: Column) -> Column:
-    return place.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+def _encloses(outer: Column, inner: Column) -> Column:
+    """Whether the query at path `outer` is that at `inner` or lies around it."""
+    return (F.size(outer) <= F.size(inner)) & (F.slice(inner, 1, F.size(outer)) == outer)
 
 
 def table_touches(log: DataFrame) -> DataFrame:
@@ -54,9 +58,9 @@ def resolve_references(log: DataFrame, references: str, columns: DataFrame, stri
     """Table and column of every reference in an array field of the log.
 
     A qualifier must equal a table's alias, or its name where it has none. Of
-    several tables with the column the nearest scope wins, and in it the last
-    table. A reference meets the tables of its own query inside its row, so
-    the log is never joined with itself.
+    several tables with the column the nearest enclosing query wins, and in it
+    the last table. A reference meets the tables of its own row, so the log is
+    never joined with itself; one in a query without tables stays unresolved.
     """
     fields = {f.name for f in log.schema[references].dataType.elementType.fields}
     ref = log.select("query_id", "tables", F.posexplode(references).alias("ref_no", "r")).select(
@@ -67,24 +71,24 @@ def resolve_references(log: DataFrame, references: str, columns: DataFrame, stri
         F.lower("r.name").alias("column_name"),
         (F.col("r.value") if "value" in fields else _null()).alias("value"),
         (F.col("r.times") if "times" in fields else F.lit(1)).alias("times"),
-        F.col("r.scope").alias("scope"),
+        F.col("r.path").alias("path"),
     )
-    pairs = ref.select("query_id", "ref_no", *REFERENCE, "scope", F.posexplode("tables").alias("position", "t"))
-    visible = (F.col("t.scope") <= F.col("scope")) & (
+    pairs = ref.select("query_id", "ref_no", *REFERENCE, "path", F.posexplode_outer("tables").alias("position", "t"))
+    visible = _encloses(F.col("t.path"), F.col("path")) & (
         F.col("qualifier").isNull() | (F.lower(F.coalesce("t.alias", "t.name")) == F.lower("qualifier"))
     )
     candidates = pairs.select(
-        "query_id", "ref_no", *REFERENCE, "position", F.col("t.scope").alias("t_scope"), F.when(visible, F.lower("t.name")).alias("table_name")
+        "query_id", "ref_no", *REFERENCE, "position", F.size("t.path").alias("depth"), F.when(visible, F.lower("t.name")).alias("table_name")
     )
     matched = candidates.join(_catalog(columns), ["table_name", "column_name"], "left")
-    winner = F.max(_place(F.col("t_scope"), F.col("position"), F.col("table_id")))
+    winner = F.max(_place(F.col("depth"), F.col("position"), F.col("table_id")))
     resolved = matched.groupBy("query_id", "ref_no", *REFERENCE).agg(winner.alias("w"))
     found = F.col("w").isNotNull()
     if strict:
         message = F.concat(F.lit("unresolved column "), F.coalesce(F.concat(F.col("qualifier"), F.lit(".")), F.lit("")), F.col("column_name"))
         # In the flag itself, so that a filter on it cannot skip the error.
         found = F.when(found, True).otherwise(F.raise_error(message).cast("boolean"))
-    numbered = resolved.select("query_id", "ref_no", *REFERENCE, _table_of(F.col("w")).alias("table_id"), found.alias("resolved"))
+    numbered = resolved.select("query_id", "ref_no", *REFERENCE, F.col("w.table_id").alias("table_id"), found.alias("resolved"))
     return numbered.join(_table_names(columns), "table_id", "left")
 
 
@@ -110,13 +114,13 @@ def star_touches(log: DataFrame, columns: DataFrame) -> DataFrame:
     """`*` touches every column in scope (a later table wins a shared name), `t.*` those of t."""
     stars = log.select("query_id", "tables", F.posexplode("stars").alias("star_no", "s"))
     scoped = stars.select("query_id", "star_no", "s", F.posexplode("tables").alias("position", "t")).filter(
-        (F.col("t.scope") == F.col("s.scope"))
+        (F.col("t.path") == F.col("s.path"))
         & (F.col("s.qualifier").isNull() | (F.lower(F.coalesce("t.alias", "t.name")) == F.lower("s.qualifier")))
     )
     named = scoped.select("query_id", "star_no", "position", F.lower("t.name").alias("table_name"))
     shown = named.join(_catalog(columns), "table_name").groupBy("query_id", "star_no", "column_name")
     winners = shown.agg(F.max(_place(F.lit(0), F.col("position"), F.col("table_id"))).alias("w"))
-    counted = winners.groupBy("query_id", _table_of(F.col("w")).alias("table_id"), "column_name").agg(F.count("*").alias("touches"))
+    counted = winners.groupBy("query_id", F.col("w.table_id").alias("table_id"), "column_name").agg(F.count("*").alias("touches"))
     return counted.join(_table_names(columns), "table_id").select("query_id", "table_name", "column_name", "touches")
 
 
@@ -138,7 +142,7 @@ def in_value_touches(log: DataFrame, columns: DataFrame) -> DataFrame:
 
 def _reference(entry: Column, value: Column, times: Column) -> Column:
     return F.struct(
-        entry["qualifier"].alias("qualifier"), entry["name"].alias("name"), value.alias("value"), times.alias("times"), entry["scope"].alias("scope")
+        entry["qualifier"].alias("qualifier"), entry["name"].alias("name"), value.alias("value"), times.alias("times"), entry["path"].alias("path")
     )
 
 
@@ -178,7 +182,8 @@ def resolve_element_ids(elements: DataFrame, columns: DataFrame, strict: bool =
     joined = keyed.join(tables, "_table", "left").join(names, ["table_id", "_column"], "left").drop("_table", "_column")
     missing = F.col("table_id").isNull() | (F.col("column_name").isNotNull() & F.col("column_id").isNull())
     if strict:
-        return joined.withColumn("resolved", F.when(missing, F.raise_error(F.lit("element is not in the catalogue"))).otherwise(True))
+        # In a filter, which no selection of columns can prune.
+        joined = joined.filter(F.when(missing, F.raise_error(F.lit("element is not in the catalogue")).cast("boolean")).otherwise(True))
     return joined.withColumn("resolved", ~missing)
 
 

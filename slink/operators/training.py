@@ -126,8 +126,8 @@ def nan_guard(df: DataFrame, features: str = "features", label: str = "label", s
     bad = F.exists(features, F.isnan) | F.isnan(label)
     if not strict:
         return df.withColumn("has_nan", bad)
-    checked = F.when(bad, F.raise_error(F.lit("found NaN in a training example"))).otherwise(F.col(label))
-    return df.withColumn(label, checked)
+    # In a filter, which no selection of columns can prune.
+    return df.filter(F.when(bad, F.raise_error(F.lit("found NaN in a training example")).cast("boolean")).otherwise(True))
 
 
 def predict(examples: DataFrame, models: dict[str, MlpWeights]) -> DataFrame:

@@ -15,13 +15,13 @@ from slink.sources.tables import cap_rows, run_sql
 
 # Each customer is a question whose gold result is the list of its orders. The new result is
 # the same, a changed value, extra rows, missing rows, or another order, by the customer number.
-OLD_ROWS_SQL = """SELECT o_custkey AS case_id, o_orderkey AS place, o_orderkey AS k, CAST(o_totalprice AS DECIMAL(38,4)) AS price, o_orderstatus AS status FROM orders"""
+OLD_ROWS_SQL = """SELECT o_custkey AS case_id, o_orderkey AS place, o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS price, o_orderstatus AS status FROM orders"""
 NEW_ROWS_SQL = """SELECT o_custkey AS case_id, CASE WHEN o_custkey % 5 = 4 THEN -o_orderkey ELSE o_orderkey END AS place, o_orderkey AS k,
-    CAST(o_totalprice + CASE WHEN o_custkey % 5 = 1 AND o_orderstatus = 'F' THEN 1 ELSE 0 END AS DECIMAL(38,4)) AS price, o_orderstatus AS status
+    CAST(o_totalprice + CASE WHEN o_custkey % 5 = 1 AND o_orderstatus = 'F' THEN 1 ELSE 0 END AS DOUBLE) AS price, o_orderstatus AS status
   FROM orders WHERE NOT (o_custkey % 5 = 3 AND o_orderstatus = 'P')
-  UNION ALL SELECT o_custkey, o_orderkey + 1000000000000, o_orderkey, CAST(o_totalprice AS DECIMAL(38,4)), o_orderstatus FROM orders WHERE o_custkey % 5 = 2"""
+  UNION ALL SELECT o_custkey, o_orderkey + 1000000000000, o_orderkey, CAST(o_totalprice AS DOUBLE), o_orderstatus FROM orders WHERE o_custkey % 5 = 2"""
 
-CELLS = "array_to_string(list_sort([CAST(k AS VARCHAR), CAST(price AS VARCHAR), status]), '|')"
+CELLS = "array_to_string(list_sort([CAST(k AS VARCHAR), printf('%.9e', price + 0.0), status]), '|')"
 RESULTS_CTE = f"""
 old_r AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY place) - 1 AS row_idx, {CELLS} AS cells FROM ({OLD_ROWS_SQL})),
 new_r AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY place) - 1 AS row_idx, {CELLS} AS cells FROM ({NEW_ROWS_SQL})),

@@ -80,52 +80,63 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 #   view     SELECT * FROM documents, labels
 #   click    SELECT o.o_orderkey AS k FROM orders AS o WHERE o.o_orderstatus = 'F' AND o.o_orderpriority = <p>
 #            AND EXISTS (SELECT l_orderkey FROM lineitem WHERE o_orderkey = l_orderkey)
+#            AND EXISTS (SELECT c_custkey FROM customer WHERE c_custkey = o_custkey AND l_partkey = 1)
+#            (the sibling's lineitem is out of sight, so l_partkey is not resolved)
 #   purchase SELECT l.*, p_name FROM lineitem AS l JOIN part ON l.l_partkey = p_partkey
 #            WHERE p_brand = <brand of the user> AND LOWER(p_type) = 'economy'
 #   signup   SELECT COUNT(*), doc_id FROM documents, labels, customer
 #            WHERE c_mktsegment IN ("BUILDING", "segment of the user") AND c_name IN ('x')
 #   error    SELECT orders.o_orderkey, no_such FROM orders AS o, customer WHERE c_name = <user>
+#   bare     SELECT lonely (views of every fourth user: a query without tables)
+KIND_SQL = "CASE WHEN event_type = 'view' AND user_id % 4 = 0 THEN 'bare' ELSE event_type END"
 LOG = {
+    "bare": {
+        "columns": [(None, "lonely", 1, ())],
+    },
     "view": {
-        "tables": [("documents", None, 0), ("labels", None, 0)],
-        "stars": [(None, 0)],
+        "tables": [("documents", None, ()), ("labels", None, ())],
+        "stars": [(None, ())],
     },
     "click": {
-        "tables": [("orders", "o", 0), ("lineitem", None, 1)],
-        "columns": [("o", "o_orderkey", 2, 0), ("o", "o_orderstatus", 1, 0), ("o", "o_orderpriority", 1, 0), (None, "l_orderkey", 2, 1), (None, "o_orderkey", 1, 1)],
-        "eq": [("o", "o_orderstatus", "'F'", 0), ("o", "o_orderpriority", "concat('P', CAST(user_id % 5 AS {string}))", 0)],
+        "tables": [("orders", "o", ()), ("lineitem", None, (1,)), ("customer", None, (2,))],
+        "columns": [("o", "o_orderkey", 2, ()), ("o", "o_orderstatus", 1, ()), ("o", "o_orderpriority", 1, ()), (None, "l_orderkey", 2, (1,)), (None, "o_orderkey", 1, (1,)),
+                    (None, "c_custkey", 2, (2,)), (None, "o_custkey", 1, (2,)), (None, "l_partkey", 1, (2,))],
+        "eq": [("o", "o_orderstatus", "'F'", ()), ("o", "o_orderpriority", "concat('P', CAST(user_id % 5 AS {string}))", ())],
     },
     "purchase": {
-        "tables": [("lineitem", "l", 0), ("part", None, 0)],
-        "columns": [("l", "l_partkey", 1, 0), (None, "p_partkey", 1, 0), (None, "p_name", 1, 0), (None, "p_brand", 1, 0), (None, "p_type", 1, 0)],
-        "stars": [("l", 0)],
-        "eq": [(None, "p_brand", "concat('Brand#', CAST(user_id % 25 AS {string}))", 0), (None, "p_type", "'economy'", 0)],
+        "tables": [("lineitem", "l", ()), ("part", None, ())],
+        "columns": [("l", "l_partkey", 1, ()), (None, "p_partkey", 1, ()), (None, "p_name", 1, ()), (None, "p_brand", 1, ()), (None, "p_type", 1, ())],
+        "stars": [("l", ())],
+        "eq": [(None, "p_brand", "concat('Brand#', CAST(user_id % 25 AS {string}))", ()), (None, "p_type", "'economy'", ())],
     },
     "signup": {
-        "tables": [("documents", None, 0), ("labels", None, 0), ("customer", None, 0)],
-        "columns": [(None, "doc_id", 1, 0), (None, "c_mktsegment", 1, 0), (None, "c_name", 1, 0)],
+        "tables": [("documents", None, ()), ("labels", None, ()), ("customer", None, ())],
+        "columns": [(None, "doc_id", 1, ()), (None, "c_mktsegment", 1, ()), (None, "c_name", 1, ())],
         "in_items": [
-            (None, "c_mktsegment", "'BUILDING'", True, 0),
-            (None, "c_mktsegment", "concat('S', CAST(user_id AS {string}))", True, 0),
-            (None, "c_name", "'x'", False, 0),
+            (None, "c_mktsegment", "'BUILDING'", True, ()),
+            (None, "c_mktsegment", "concat('S', CAST(user_id AS {string}))", True, ()),
+            (None, "c_name", "'x'", False, ()),
         ],
     },
     "error": {
-        "tables": [("orders", "o", 0), ("customer", None, 0)],
-        "columns": [("orders", "o_orderkey", 1, 0), (None, "no_such", 1, 0), (None, "c_name", 1, 0)],
-        "eq": [(None, "c_name", "concat('U', CAST(user_id AS {string}))", 0)],
+        "tables": [("orders", "o", ()), ("customer", None, ())],
+        "columns": [("orders", "o_orderkey", 1, ()), (None, "no_such", 1, ()), (None, "c_name", 1, ())],
+        "eq": [(None, "c_name", "concat('U', CAST(user_id AS {string}))", ())],
     },
 }
 FIELDS = {
-    "tables": [("name", "string"), ("alias", "string"), ("scope", "int")],
-    "columns": [("qualifier", "string"), ("name", "string"), ("times", "int"), ("scope", "int")],
-    "stars": [("qualifier", "string"), ("scope", "int")],
-    "eq": [("qualifier", "string"), ("name", "string"), ("value", "expression"), ("scope", "int")],
-    "in_items": [("qualifier", "string"), ("name", "string"), ("value", "expression"), ("quoted_identifier", "boolean"), ("scope", "int")],
+    "tables": [("name", "string"), ("alias", "string"), ("path", "path")],
+    "columns": [("qualifier", "string"), ("name", "string"), ("times", "int"), ("path", "path")],
+    "stars": [("qualifier", "string"), ("path", "path")],
+    "eq": [("qualifier", "string"), ("name", "string"), ("value", "expression"), ("path", "path")],
+    "in_items": [("qualifier", "string"), ("name", "string"), ("value", "expression"), ("quoted_identifier", "boolean"), ("path", "path")],
 }
 
 
 def _literal(value, kind: str, string: str) -> str:
+    if kind == "path":
+        numbers = ", ".join(map(str, value))
+        return f"CAST(array({numbers}) AS array<int>)" if string == "STRING" else f"CAST([{numbers}] AS INT[])"
     if kind == "expression":
         return value.format(string=string)
     if value is None:
@@ -134,7 +145,8 @@ def _literal(value, kind: str, string: str) -> str:
 
 
 def _spark_array(field: str, rows: list[tuple]) -> str:
-    types = ",".join(f"{n}:{'string' if k == 'expression' else k}" for n, k in FIELDS[field])
+    plain = {"expression": "string", "path": "array<int>"}
+    types = ",".join(f"{n}:{plain.get(k, k)}" for n, k in FIELDS[field])
     structs = [
         "named_struct(" + ", ".join(f"'{n}', {_literal(v, k, 'STRING')}" for (n, k), v in zip(FIELDS[field], row, strict=True)) + ")"
         for row in rows
@@ -147,7 +159,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [F.col("event_id").alias("query_id")]
     for field in FIELDS:
         cases = " ".join(f"WHEN '{kind}' THEN {_spark_array(field, parts.get(field, []))}" for kind, parts in LOG.items())
-        columns.append(F.expr(f"CASE event_type {cases} END").alias(field))
+        columns.append(F.expr(f"CASE {KIND_SQL} {cases} END").alias(field))
     return table(spark, sf_dir, "events").select(*columns)
 
 
@@ -157,17 +169,22 @@ def _flat(field: str) -> str:
     for kind, parts in LOG.items():
         for no, row in enumerate(parts.get(field, [])):
             cells = ", ".join(f"{_literal(v, k, 'VARCHAR')} AS {n}" for (n, k), v in zip(FIELDS[field], row, strict=True))
-            selects.append(f"SELECT event_id AS query_id, {no} AS no, {cells} FROM events WHERE event_type = '{kind}'")
+            selects.append(f"SELECT event_id AS query_id, {no} AS no, {cells} FROM events WHERE {KIND_SQL} = '{kind}'")
     return " UNION ALL ".join(selects)
 
 
 def _resolved(field: str, name: str) -> str:
-    return f"""{name} AS (
+    """References by the paths of the queries around them, so that tables join by equal (query, path)."""
+    return f"""{field}_seen AS (
+  SELECT query_id, no, qualifier, name, depth, path[1:depth] AS path
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM {field}_flat)
+),
+{name} AS (
   SELECT r.*, w.table_name FROM {field}_flat r LEFT JOIN (
-    SELECT r.query_id, r.no, arg_max(lower(c.table_name), t.scope * 1000 + t.no) AS table_name
-    FROM {field}_flat r JOIN tables_flat t ON t.query_id = r.query_id AND t.scope <= r.scope
-      AND (r.qualifier IS NULL OR r.qualifier = coalesce(t.alias, t.name))
+    SELECT r.query_id, r.no, arg_max(lower(c.table_name), r.depth * 1000 + t.no) AS table_name
+    FROM {field}_seen r JOIN tables_flat t ON t.query_id = r.query_id AND t.path = r.path
     JOIN cat c ON lower(c.table_name) = t.name AND lower(c.column_name) = r.name
+    WHERE r.qualifier IS NULL OR r.qualifier = coalesce(t.alias, t.name)
     GROUP BY r.query_id, r.no) w ON w.query_id = r.query_id AND w.no = r.no
 )"""
 
@@ -184,7 +201,7 @@ t2 AS (SELECT query_id, table_name, name AS column_name, NULL::VARCHAR AS value,
 t3 AS (
   SELECT query_id, table_name, column_name, NULL::VARCHAR AS value, count(*) AS touches FROM (
     SELECT s.query_id, s.no, lower(c.column_name) AS column_name, arg_max(t.name, t.no) AS table_name
-    FROM stars_flat s JOIN tables_flat t ON s.query_id = t.query_id AND s.scope = t.scope
+    FROM stars_flat s JOIN tables_flat t ON s.query_id = t.query_id AND s.path = t.path
       AND (s.qualifier IS NULL OR s.qualifier = coalesce(t.alias, t.name))
     JOIN cat c ON lower(c.table_name) = t.name GROUP BY s.query_id, s.no, lower(c.column_name)
   ) GROUP BY ALL

@@ -19,18 +19,20 @@ from slink.plans.registry import query
 from slink.sources.shared import new_path
 from slink.sources.stores import materialize, read_index, read_training, write_index, write_training
 
-K = 10
-HITS = f"WITH {b.INDEX_CTE}, {b.hits_cte((K, K))}"
+HITS = f"WITH {b.INDEX_CTE}, {b.hits_cte(fixed.WEIGHTED_RANK_LIMITS)}"
 RANKED = f"WITH {b.INDEX_CTE}, {b.WEIGHTED_CTE}"
 DEFAULT_NAMES = "(KEY|_ID)$"
 BUDGET = 150
 
 
-def hits(spark, sf_dir, k=K):
+WEIGHTED = search.limits_for(fixed.WEIGHTED_RANK_LIMITS)
+
+
+def hits(spark, sf_dir, k=WEIGHTED):
     return search.exact_knn(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir), k)
 
 
-def element_hits(spark, sf_dir, k=K):
+def element_hits(spark, sf_dir, k=WEIGHTED):
     return search.hits_to_elements(hits(spark, sf_dir, k), b.index_documents(spark, sf_dir))
 
 
@@ -73,8 +75,8 @@ def f4(spark, sf_dir):
 
 @query("j11_similarity_join", HITS + "SELECT question_id, index_name, vec_id, score FROM hits")
 def j11(spark, sf_dir):
-    local = search.similarity_join(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir), K)
-    return search.top_k_hits(local.drop("rank"), K).drop("rank")
+    local = search.similarity_join(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir), WEIGHTED)
+    return search.top_k_hits(local.drop("rank"), WEIGHTED).drop("rank")
 
 
 @query(
@@ -145,15 +147,12 @@ def a8(spark, sf_dir):
 @query(
     "o2_order_rankings",
     HITS
-    + f"""SELECT question_id, vec_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank
-    FROM hits WHERE index_name = 'column_name'""",
+    + f"""SELECT question_id, table_id, column_id, value, score,
+      row_number() OVER (PARTITION BY question_id ORDER BY score DESC, {b.ELEMENT_ORDER_SQL}) AS rank FROM hits""",
 )
 def o2(spark, sf_dir):
-    # One index, so that the vector id stands for the element's place among equal scores.
-    one = b.index_documents(spark, sf_dir).filter(F.col("index_name") == "column_name")
-    found = search.exact_knn(b.questions(spark, sf_dir), one, K)
-    elements = found.drop("rank").withColumns({"table_id": F.col("vec_id"), "column_id": F.lit(None).cast("int"), "value": F.lit(None).cast("string")})
-    return ranking.order_rankings(elements).select("question_id", "vec_id", "score", "rank")
+    """All hits of all nine indexes; an element can stand in the list more than once."""
+    return ranking.order_rankings(element_hits(spark, sf_dir)).select(*RANK_COLUMNS)
 
 
 @query("u1_union_levels", HITS + f"SELECT {b.LEVEL_SQL} AS level, question_id, count(*) AS elements, min(score) AS low, max(score) AS high FROM (SELECT question_id, table_id, column_id, value, max(score) AS score FROM hits GROUP BY ALL) GROUP BY ALL")
@@ -162,7 +161,7 @@ def u1(spark, sf_dir):
     for kind, names in zip(ranking.LEVELS, (fixed.TABLE_INDEXES, fixed.COLUMN_INDEXES, fixed.VALUE_INDEXES), strict=True):
         # Each level searches its own indexes.
         index = b.index_documents(spark, sf_dir).filter(F.col("index_name").isin(names))
-        found = search.exact_knn(b.questions(spark, sf_dir), index, K)
+        found = search.exact_knn(b.questions(spark, sf_dir), index, WEIGHTED)
         levels.append(ranking.best_score(search.hits_to_elements(found, index)).withColumn("level", F.lit(kind)))
     merged = ranking.union_levels(*levels)
     return merged.groupBy("level", "question_id").agg(
@@ -170,15 +169,16 @@ def u1(spark, sf_dir):
     )
 
 
-FEATURES_K = f"WITH {b.INDEX_CTE}, {b.features_cte((K, K))}"
+LEARNED_FEATURES = f"WITH {b.INDEX_CTE}, {b.features_cte(fixed.LEARNED_RANK_LIMITS)}"
+TRAINING_FEATURES = f"WITH {b.INDEX_CTE}, {b.features_cte(fixed.TRAINING_RANK_LIMITS)}"
 NINE = ", ".join(fixed.ALL_SCORES)
 
 
-def features(spark, sf_dir, limits=(K, K)):
+def features(spark, sf_dir, limits=fixed.LEARNED_RANK_LIMITS):
     return ranking.score_features(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir), limits)
 
 
-@query("j4_copy_table_scores", FEATURES_K + f"SELECT question_id, table_id, column_id, {', '.join(fixed.TABLE_SCORES)} FROM features WHERE value IS NULL AND column_id IS NOT NULL")
+@query("j4_copy_table_scores", LEARNED_FEATURES + f"SELECT question_id, table_id, column_id, {', '.join(fixed.TABLE_SCORES)} FROM features WHERE value IS NULL AND column_id IS NOT NULL")
 def j4(spark, sf_dir):
     columns = features(spark, sf_dir).filter(ranking.level() == "column")
     return columns.select("question_id", "table_id", "column_id", *fixed.TABLE_SCORES)
@@ -203,7 +203,7 @@ def shown(vector):
     return F.array_join(F.transform(vector, lambda x: x.cast("decimal(9,4)").cast("string")), "|")
 
 
-@query("f19_feature_vector", FEATURES_K + f"SELECT question_id, table_id, column_id, value, {VECTOR_SQL} AS features FROM features")
+@query("f19_feature_vector", LEARNED_FEATURES + f"SELECT question_id, table_id, column_id, value, {VECTOR_SQL} AS features FROM features")
 def f19(spark, sf_dir):
     wide = features(spark, sf_dir)
     return wide.select("question_id", *ranking.ELEMENT, shown(ranking.feature_vectors()).alias("features"))
@@ -245,7 +245,7 @@ NETWORK_SQL = (
 SCALED_SQL = f"round({NETWORK_SQL} * CASE WHEN value IS NULL THEN 1.0 ELSE 0.9 END, 6) + 0.0"
 
 
-@query("m6_mlp_score", FEATURES_K + f"SELECT question_id, table_id, column_id, value, {SCALED_SQL} AS score FROM features")
+@query("m6_mlp_score", LEARNED_FEATURES + f"SELECT question_id, table_id, column_id, value, {SCALED_SQL} AS score FROM features")
 def m6(spark, sf_dir):
     scored = ranking.mlp_score(features(spark, sf_dir), MODELS)
     return scored.select("question_id", *ranking.ELEMENT, (F.col("score") + 0.0).alias("score"))
@@ -294,7 +294,7 @@ def touched(spark, sf_dir):
     return asked.join(elements(spark, sf_dir), "table_id").withColumn("value", value).select("question_id", *ranking.ELEMENT)
 
 
-def written_features(spark, sf_dir, limits=(K, K)):
+def written_features(spark, sf_dir, limits=fixed.TRAINING_RANK_LIMITS):
     return materialize(features(spark, sf_dir, limits), "features")
 
 
@@ -321,26 +321,26 @@ negative AS (
 SEED = 7
 
 
-@query("j5_positives", FEATURES_K + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id FROM exact")
+@query("j5_positives", TRAINING_FEATURES + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id FROM exact")
 def j5(spark, sf_dir):
-    scores = features(spark, sf_dir).filter(F.col("value").isNull())
+    scores = features(spark, sf_dir, fixed.TRAINING_RANK_LIMITS).filter(F.col("value").isNull())
     exact = touched(spark, sf_dir).filter(F.col("value").isNull())
     return training.positives(scores, exact).select("question_id", "table_id", "column_id")
 
 
-@query("j6_positives_ci", FEATURES_K + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value FROM loose")
+@query("j6_positives_ci", TRAINING_FEATURES + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value FROM loose")
 def j6(spark, sf_dir):
-    return training.positives_ci(features(spark, sf_dir), touched(spark, sf_dir)).select("question_id", *ranking.ELEMENT)
+    return training.positives_ci(features(spark, sf_dir, fixed.TRAINING_RANK_LIMITS), touched(spark, sf_dir)).select("question_id", *ranking.ELEMENT)
 
 
-@query("j7_negative_pool", FEATURES_K + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value FROM pool")
+@query("j7_negative_pool", TRAINING_FEATURES + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value FROM pool")
 def j7(spark, sf_dir):
     scores = written_features(spark, sf_dir)
     found = training.positives(scores, touched(spark, sf_dir)).unionByName(training.positives_ci(scores, touched(spark, sf_dir)))
     return training.negative_pool(scores, found).select("question_id", *ranking.ELEMENT)
 
 
-@query("m8_sample_negatives", FEATURES_K + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value, wanted FROM negative")
+@query("m8_sample_negatives", TRAINING_FEATURES + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value, wanted FROM negative")
 def m8(spark, sf_dir):
     scores = written_features(spark, sf_dir)
     found = training.positives_ci(scores, touched(spark, sf_dir)).unionByName(
@@ -352,7 +352,7 @@ def m8(spark, sf_dir):
 
 @query(
     "u3_stack_examples",
-    FEATURES_K
+    TRAINING_FEATURES
     + f""", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value, label FROM (
       SELECT question_id, table_id, column_id, value, 1.0::DOUBLE AS label FROM positive
       UNION ALL SELECT question_id, table_id, column_id, value, 0.0::DOUBLE FROM pool)""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +24,28 @@ def upsert_batch(path: str, keys: list[str], values: list[str], order: str):
         spark = batch.sparkSession
         newest = F.max_by(F.struct(*values), F.col(order)).alias("n")
         incoming = batch.groupBy(*keys).agg(newest).select(*keys, "n.*")
-        if batch_id > 0:
-            current = spark.read.parquet(version_path(path, batch_id - 1))
-        else:
-            current = incoming.limit(0)
+        before = last_version(spark, path, below=batch_id)
+        current = incoming.limit(0) if before is None else read_version(spark, path, before)
         catalog_upsert(current, incoming, keys, values).drop("action").write.mode("overwrite").parquet(version_path(path, batch_id))
 
     return merge
 
 
+def last_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """Number of the newest version written (before `below`), None if there is none. Only folder names are read."""
+    try:
+        versions = spark.read.parquet(path).select("version").distinct()
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return versions.filter(F.col("version") < below if below is not None else F.lit(True)).agg(F.max("version")).first()[0]
+
+
 def catalog_upsert_stream(
     incoming: DataFrame, path: str, checkpoint: str, keys: list[str], values: list[str], order: str
-) -> int:
-    """Run over all waiting batches and stop; the number of the last version."""
+) -> int | None:
+    """Run over all waiting batches and stop; the number of the last version, None if there is none yet."""
     query = (
         incoming.writeStream.foreachBatch(upsert_batch(path, keys, values, order))
         .option("checkpointLocation", checkpoint)
@@ -43,7 +53,7 @@ def catalog_upsert_stream(
         .start()
     )
     query.awaitTermination()
-    return query.lastProgress["batchId"] if query.lastProgress else -1
+    return last_version(incoming.sparkSession, path)
 
 
 def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:

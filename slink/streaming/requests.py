@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from slink.functions import fixed_values as fixed
 
 OUTPUT = "key string, request_id long, micros long"
-STATE = "last long"
+STATE = "last long, micros array<long>, ids array<long>"
 LIFETIME_MICROS = fixed.CACHE_SECONDS * 1_000_000
 
 
@@ -33,29 +33,38 @@ def accepted_positions(micros: np.ndarray, last: int | None, lifetime: int = LIF
 
 
 def _first_requests(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
+    last, micros, ids = state.get if state.exists else (None, [], [])
+    waiting = [np.array([micros, ids], np.int64).reshape(2, -1).T]
     # Two numbers per request of one key in one micro-batch, whose size the source's admission limits bound.
-    parts = [batch[["micros", "request_id"]].to_numpy(dtype=np.int64) for batch in batches]
-    rows = np.concatenate(parts)
+    if not state.hasTimedOut:
+        waiting += [batch[["micros", "request_id"]].to_numpy(dtype=np.int64) for batch in batches]
+    rows = np.concatenate(waiting)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    last = state.get[0] if state.exists else None
-    taken = accepted_positions(rows[:, 0], last)
+    # No earlier request can come before the watermark, so what lies before it is decided, in order of time.
+    watermark = state.getCurrentWatermarkMs()
+    open_from = int(np.searchsorted(rows[:, 0], watermark * 1000, side="left"))
+    decided, rows = rows[:open_from], rows[open_from:]
+    taken = accepted_positions(decided[:, 0], last)
     if taken:
-        last = int(rows[taken[-1], 0])
-        state.update((last,))
-    expires = (last + LIFETIME_MICROS) // 1000 + 1
-    state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        last = int(decided[taken[-1], 0])
+    expired = last is None or (last + LIFETIME_MICROS) // 1000 < watermark
+    if len(rows) or not expired:
+        state.update((last, rows[:, 0].tolist(), rows[:, 1].tolist()))
+        due = int(rows[0, 0]) // 1000 if len(rows) else (last + LIFETIME_MICROS) // 1000 + 1
+        state.setTimeoutTimestamp(max(due, watermark + 1))
+    elif state.exists:
+        state.remove()
     if taken:
-        yield pd.DataFrame({"key": key[0], "request_id": rows[taken, 1], "micros": rows[taken, 0]})
+        yield pd.DataFrame({"key": key[0], "request_id": decided[taken, 1], "micros": decided[taken, 0]})
 
 
 def first_requests_stream(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Requests (key, ts, request_id) that were not in the cache; a live key drops its later requests.
 
-    The state per key is one number, and it is removed once the watermark has
-    passed the entry's lifetime. Rows later than `delay` are dropped. Bound the
+    A request is decided when the watermark has passed it, so the answer does
+    not depend on how arrivals fall into micro-batches; until then it waits in
+    the state of its key. The state is removed once the watermark has passed
+    the last entry's lifetime. Rows later than `delay` are dropped. Bound the
     micro-batch at the source, for example with `maxFilesPerTrigger`.
     """
     ts = F.col("ts").cast("timestamp")

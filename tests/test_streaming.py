@@ -22,8 +22,8 @@ def test_accepted_positions():
 
 
 def run(spark, tmp_path, batches):
-    """Batches arrive as files, one micro-batch each."""
-    for rows in batches:
+    """Batches arrive as files, one micro-batch each; a last row far ahead lets the watermark pass all others."""
+    for rows in [*batches, [("ahead", at(10_000), -1)]]:
         spark.createDataFrame(rows, "key string, ts timestamp, request_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, ts timestamp, request_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     write_stream(first_requests_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
@@ -48,6 +48,16 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert ("c", 5) not in got and ("a", 2) in got and ("a", 6) in got and ("a", 4) not in got
 
 
+def test_answer_does_not_depend_on_micro_batches(spark, tmp_path):
+    rows = [("k", at(1), 1), ("k", at(0.5), 2), ("j", at(1.2), 4), ("j", at(0.4), 5), ("k", at(48.6), 3)]
+    for name, batches in (("one", [rows]), ("two", [rows[:1] + rows[2:3], rows[1:2] + rows[3:]])):
+        assert run(spark, tmp_path / name, batches) == [("j", 5), ("k", 2), ("k", 3)]
+
+
+def test_earlier_request_in_a_later_batch_counts(spark, tmp_path):
+    assert run(spark, tmp_path, [[("k", at(1), 1)], [("k", at(0.5), 2)]]) == [("k", 2)]
+
+
 def test_hot_key_keeps_its_distance(spark, tmp_path):
     rows = [("hot", at(i / 10), i) for i in range(5000)]
     got = run(spark, tmp_path, [rows[:2500], rows[2500:]])
@@ -66,3 +76,9 @@ def test_catalog_versions(spark, tmp_path):
     final = {r.column_name: r.rows for r in read_version(spark, str(tmp_path / "out"), last).collect()}
     assert final == {"A": 3, "B": 1, "C": 9}
     assert read_version(spark, str(tmp_path / "out"), 0).filter(F.col("column_name") == "C").count() == 0
+    # A restart without new data keeps the last version; with new data it builds on it.
+    again = [stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["table_name", "column_name"], ["rows", "seq"], "seq"]
+    assert catalog_upsert_stream(*again) == last
+    spark.createDataFrame([("T", "D", 4, 4)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    later = catalog_upsert_stream(*again)
+    assert later > last and read_version(spark, str(tmp_path / "out"), later).count() == 4

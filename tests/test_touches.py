@@ -4,10 +4,10 @@ import pytest
 
 from slink.operators import touches
 
-SCHEMA = """query_id long, tables array<struct<name:string,alias:string,scope:int>>,
-columns array<struct<qualifier:string,name:string,times:int,scope:int>>, stars array<struct<qualifier:string,scope:int>>,
-eq array<struct<qualifier:string,name:string,value:string,scope:int>>,
-in_items array<struct<qualifier:string,name:string,value:string,quoted_identifier:boolean,scope:int>>"""
+SCHEMA = """query_id long, tables array<struct<name:string,alias:string,path:array<int>>>,
+columns array<struct<qualifier:string,name:string,times:int,path:array<int>>>, stars array<struct<qualifier:string,path:array<int>>>,
+eq array<struct<qualifier:string,name:string,value:string,path:array<int>>>,
+in_items array<struct<qualifier:string,name:string,value:string,quoted_identifier:boolean,path:array<int>>>"""
 
 
 def catalog(spark, tables):
@@ -16,7 +16,12 @@ def catalog(spark, tables):
 
 
 def counts(spark, schema, tables, columns=(), stars=(), eq=(), in_items=()):
-    row = (1, [(*t, 0) if len(t) == 2 else t for t in tables], list(columns), list(stars), list(eq), list(in_items))
+    def placed(entries):
+        """Entries end in their path, or in the depth of a nest of single subqueries."""
+        return [(*e[:-1], [1] * e[-1] if isinstance(e[-1], int) else list(e[-1])) for e in entries]
+
+    tables = [(*t, 0) if len(t) == 2 else t for t in tables]
+    row = (1, *(placed(entries) for entries in (tables, columns, stars, eq, in_items)))
     log = spark.createDataFrame([row], SCHEMA)
     found = touches.touch_counts(log, catalog(spark, schema)).collect()
     return {(r.table_name, r.column_name, r.value): r.touches for r in found}
@@ -87,13 +92,46 @@ def test_unqualified_prefers_last_table_then_outer_scope(spark):
 
 
 def test_own_name_is_hidden_by_an_alias(spark):
-    log = spark.createDataFrame([(1, [("table1", "t1", 0)], [("table1", "col1", 1, 0)], [], [], [])], SCHEMA)
+    log = spark.createDataFrame([(1, [("table1", "t1", [])], [("table1", "col1", 1, [])], [], [], [])], SCHEMA)
     columns = catalog(spark, TWO)
     assert [tuple(r) for r in touches.unresolved_references(log, columns).collect()] == [(1, "table1", "col1")]
     with pytest.raises(Exception, match="unresolved column table1.col1"):
         touches.column_touches(log, columns, strict=True).collect()
 
 
+def test_siblings_do_not_see_each_other(spark):
+    """EXISTS (SELECT x FROM a) AND EXISTS (SELECT x FROM b)."""
+    tables = [("outer_t", None, ()), ("a", None, (1,)), ("b", None, (2,)), ("c", None, (1, 1))]
+    schema = {"outer_t": ["o"], "a": ["x"], "b": ["x", "only_b"], "c": ["y"]}
+    got = counts(spark, schema, tables, [(None, "x", 1, (1,)), (None, "x", 1, (2,)), (None, "x", 1, (1, 1)), (None, "o", 1, (1, 1))])
+    assert got[("a", "x", None)] == 2 and got[("b", "x", None)] == 1 and got[("outer_t", "o", None)] == 1
+    log = spark.createDataFrame([(1, [("a", None, [1]), ("b", None, [2])], [(None, "only_b", 1, [1])], [], [], [])], SCHEMA)
+    assert touches.unresolved_references(log, catalog(spark, schema)).count() == 1
+
+
+def test_references_of_a_query_without_tables_are_unresolved(spark):
+    log = spark.createDataFrame([(1, [], [(None, "col1", 1, [])], [], [], [])], SCHEMA)
+    columns = catalog(spark, TWO)
+    assert [tuple(r) for r in touches.unresolved_references(log, columns).collect()] == [(1, None, "col1")]
+    with pytest.raises(Exception, match="unresolved column col1"):
+        touches.column_touches(log, columns, strict=True).collect()
+
+
+def test_many_tables_keep_their_order(spark):
+    """Positions beyond any packing of bits."""
+    wide = [("outer_t", None, [])] * 70_000 + [("last_t", None, [])]
+    log = spark.createDataFrame([(1, wide, [(None, "k", 1, [])], [], [], [])], SCHEMA)
+    found = touches.column_touches(log, catalog(spark, {"outer_t": ["k"], "last_t": ["k"]})).collect()
+    assert [(r.table_name, r.touches) for r in found] == [("last_t", 1)]
+
+
+def test_strict_errors_survive_pruning(spark):
+    columns = catalog(spark, TWO)
+    elements = spark.createDataFrame([("nope", None, None)], "table_name string, column_name string, value string")
+    with pytest.raises(Exception, match="not in the catalogue"):
+        touches.resolve_element_ids(elements, columns, strict=True).select("table_name").collect()
+
+
 def test_ids_and_back(spark):
     columns = catalog(spark, TWO)
     elements = spark.createDataFrame([("table2", "col3", "x"), ("table1", None, None), ("nope", None, None)], "table_name string, column_name string, value string")

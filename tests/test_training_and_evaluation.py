@@ -1,10 +1,12 @@
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
-from slink.functions.text import canonical_row
-from slink.operators import catalog, evaluation, ranking, training
+from slink.functions.text import canonical_row, content_hash
+from slink.operators import catalog, documents, evaluation, question_log, ranking, training
 from slink.sources import stores
 
 FEATURE_SCHEMA = "question_id long, table_id int, column_id int, value string, " + ", ".join(f"{n} double" for n in fixed.ALL_SCORES)
@@ -110,7 +112,42 @@ def test_result_match_is_lopsided(spark):
 def test_column_order_and_names_do_not_matter(spark):
     a = spark.createDataFrame([(1, 2.5, None)], "a int, b double, c string")
     z = spark.createDataFrame([(None, 1, 2.5)], "x string, y int, z double")
-    assert a.select(canonical_row(a, a.columns)).first()[0] == z.select(canonical_row(z, z.columns)).first()[0] == ["1", "2.5000", "None"]
+    assert a.select(canonical_row(a, a.columns)).first()[0] == z.select(canonical_row(z, z.columns)).first()[0] == ["1", "2.500000000e+00", "None"]
+
+
+def test_cells_keep_nan_infinity_null_and_small_numbers_apart(spark):
+    values = [float("nan"), float("inf"), float("-inf"), None, 0.00001, 0.00004, 0.0, 1e300, 1e-300]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    cells = [r[0] for r in df.select(canonical_row(df, ["x"])).collect()]
+    assert len({c[0] for c in cells}) == len(values)
+    close = spark.createDataFrame([(0.1 + 0.2,), (0.3,), (-0.0,), (0.0,)], "x double")
+    a, b, c, d = (r[0][0] for r in close.select(canonical_row(close, ["x"])).collect())
+    assert a == b and c == d
+
+
+def test_strict_errors_survive_pruning(spark):
+    examples = spark.createDataFrame([(1, [1.0, float("nan")], 0.0)], "id int, features array<double>, label double")
+    with pytest.raises(Exception, match="found NaN"):
+        training.nan_guard(examples).select("id").collect()
+    sections = spark.createDataFrame([(1, "many words are here")], "question_id long, text string")
+    with pytest.raises(Exception, match="over its token budget"):
+        question_log.section_tokens(sections, 1, strict=True).select("question_id").collect()
+
+
+def test_cache_lifetime_repeats_and_empty_results(spark):
+    when = datetime.datetime(2024, 1, 10)
+    hours = datetime.timedelta(hours=1)
+    requests = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "text string")
+    rows = [("a", "old", when - 50 * hours), ("a", "new", when - hours), ("a", "older", when - 3 * hours), ("b", "gone", when - 48 * hours), ("c", "", when)]
+    cache = spark.createDataFrame(rows, "text string, cached_value string, cached_at timestamp").select(
+        content_hash(F.col("text")).alias("key"), "cached_value", "cached_at"
+    )
+    looked, misses = documents.cache_lookup(requests, cache, "text", now=F.lit(when))
+    assert sorted((r.text, r.hit, r.cached_value) for r in looked.collect()) == [("a", True, "new"), ("b", False, None), ("c", False, None), ("d", False, None)]
+    assert sorted(r.text for r in misses.collect()) == ["b", "c", "d"]
+    computed = misses.select("key", F.lit("x").alias("cached_value"), F.lit(when).alias("cached_at"))
+    once = documents.append_to_cache(cache, computed)
+    assert documents.append_to_cache(once, computed).count() == once.count()
 
 
 def test_report(spark):
