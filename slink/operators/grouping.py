@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 32
-MOST_SALTS = 512
-
-
 def salts(df: DataFrame) -> int:
     """As many salts as the cluster shuffles into, so that a hot group can use all of it."""
-    return min(max(DEFAULT_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_SALTS)
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def top_k_per_group(
-    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank", salt_by: list[str] | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    k: int | Column,
+    rank: str = "rank",
+    salt_by: list[str] | None = None,
 ) -> DataFrame:
-    """First k rows of each group, numbered from 1.
+    """First k rows of each group, numbered from 1; k may be a column that is the same in a group.
 
     With `salt_by` the rows of a group are first spread over salts and cut to k
     in each, so that no task sorts more than its share of a hot group; the

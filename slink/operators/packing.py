@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slink.functions import fixed_values as fixed
 from slink.functions import render
 from slink.functions.text import count_tokens, is_empty
+from slink.operators.grouping import top_k_per_group
 
 
 def column_costs(columns: DataFrame, default_pattern: str = fixed.DEFAULT_COLUMN_PATTERN, dialect: str = "postgres") -> DataFrame:
@@ -84,8 +85,8 @@ def cap_hints(ranked: DataFrame) -> DataFrame:
     """First six distinct hints of each column in rank order, numbered from 1."""
     hinted = ranked.filter(F.col("column_id").isNotNull() & ~is_empty(F.col("value")))
     distinct = hinted.groupBy("question_id", "table_id", "column_id", "value").agg(F.min("rank").alias("rank"))
-    numbered = F.row_number().over(Window.partitionBy("question_id", "table_id", "column_id").orderBy("rank"))
-    stored = distinct.withColumn("hint_no", numbered).filter(F.col("hint_no") <= fixed.HINTS_STORED)
+    keys = ["question_id", "table_id", "column_id"]
+    stored = top_k_per_group(distinct, keys, [F.col("rank")], fixed.HINTS_STORED, "hint_no", ["value"])
     return stored.withColumn("rendered", F.col("hint_no") <= fixed.HINTS_RENDERED)
 
 

@@ -6,11 +6,12 @@ groups: group_id, status, gold_sql
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
 from slink.functions import text as T
+from slink.operators.grouping import top_k_per_group
 
 CORRECT = "CORRECT"
 
@@ -67,8 +68,8 @@ def unique_group_questions(questions: DataFrame) -> DataFrame:
 
 def preview(questions: DataFrame, n: int = fixed.PREVIEW_QUESTIONS) -> DataFrame:
     """First n questions of each group, comma-joined."""
-    order = Window.partitionBy("group_id").orderBy("created", "question_id")
-    first = questions.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    order = [F.col("created"), F.col("question_id")]
+    first = top_k_per_group(questions, ["group_id"], order, n, "place", ["question_id"])
     ordered = F.array_sort(F.collect_list(F.struct("place", "text")))
     return first.groupBy("group_id").agg(F.array_join(F.transform(ordered, lambda q: q["text"]), ", ").alias("preview"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
-from slink.operators.grouping import DEFAULT_SALTS, top_k_per_group
+from slink.operators.grouping import top_k_per_group
 
 # Documents per block, and the bounds of questions per block. Between these
 # bounds a block has as many questions as keep its hits below HITS_PER_BLOCK:
@@ -19,17 +19,20 @@ DOCUMENT_BLOCK = 8192
 LEAST_QUESTIONS = 64
 QUESTION_BLOCK = 4096
 HITS_PER_BLOCK = 4_000_000
-# Shuffle partitions per pair of blocks, and in all.
+# Shuffle partitions per pair of blocks.
 SPREAD = 3
-MOST_PARTITIONS = 20_000
 # Questions scored at a time inside a block, which bounds the score matrix.
 SCORED_AT_ONCE = 256
-SCORE_DECIMALS = 4
+# Hits are ranked on the full score, less the noise of the arithmetic, and shown with fewer decimals.
+RANKED_DECIMALS = 12
+SHOWN_DECIMALS = 4
 
-HIT_SCHEMA = "question_id long, index_name string, vec_id long, score double, rank int"
+SOURCE = "data_source_id"
+HIT_SCHEMA = f"question_id long, {SOURCE} long, index_name string, vec_id long, score double, rank int"
 _ARROW_HITS = pa.schema(
     [
         ("question_id", pa.int64()),
+        (SOURCE, pa.int64()),
         ("index_name", pa.string()),
         ("vec_id", pa.int64()),
         ("score", pa.float64()),
@@ -70,29 +73,34 @@ def _block_hits(k: int | dict[str, int]):
         if questions.num_rows == 0 or documents.num_rows == 0:
             return _ARROW_HITS.empty_table()
         documents = documents.sort_by("vec_id")
-        question_ids = questions["question_id"].to_numpy()
+        question_ids, question_sources = questions["question_id"].to_numpy(), questions[SOURCE].to_numpy()
         q = _matrix(questions["embedding"])
+        document_sources = documents[SOURCE].to_numpy()
         encoded = documents["index_name"].combine_chunks().dictionary_encode()
         codes, names = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
         vec_ids = documents["vec_id"].to_numpy()
         d = _matrix(documents["embedding"])
-        out_q, out_v, out_s, out_i, out_r = [], [], [], [], []
-        for code, name in enumerate(names):
-            mine = np.flatnonzero(codes == code)
-            candidates, keep = d[mine].T, min(k if isinstance(k, int) else k[name], len(mine))
-            for start in range(0, len(q), SCORED_AT_ONCE):
-                scores = np.round(q[start : start + SCORED_AT_ONCE] @ candidates, SCORE_DECIMALS) + 0.0
+        out_q, out_d, out_v, out_s, out_i, out_r = [], [], [], [], [], []
+        groups = [(s, code) for s in np.unique(question_sources) for code in range(len(names))]
+        for source, code in groups:
+            asking = np.flatnonzero(question_sources == source)
+            mine = np.flatnonzero((codes == code) & (document_sources == source))
+            candidates, keep = d[mine].T, min(k if isinstance(k, int) else k[names[code]], len(mine))
+            for start in range(0, len(asking), SCORED_AT_ONCE):
+                some = asking[start : start + SCORED_AT_ONCE]
+                scores = np.round(q[some] @ candidates, RANKED_DECIMALS) + 0.0
                 # Documents are in vec_id order, so a stable sort breaks ties by id.
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-                out_q.append(np.repeat(question_ids[start : start + SCORED_AT_ONCE], keep))
+                out_q.append(np.repeat(question_ids[some], keep))
+                out_d.append(np.full(best.size, source, dtype=np.int64))
                 out_v.append(vec_ids[mine][best].ravel())
                 out_s.append(np.take_along_axis(scores, best, axis=1).ravel())
                 out_i.append(np.full(best.size, code, dtype=np.int32))
                 out_r.append(np.tile(np.arange(1, keep + 1, dtype=np.int32), len(scores)))
         index = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(out_i)), pa.array(names)).cast(pa.string())
-        columns = [np.concatenate(out) for out in (out_q, out_v, out_s, out_r)]
-        ids, vecs, values, ranks = [pa.array(c) for c in columns]
-        return pa.Table.from_arrays([ids, index, vecs, values, ranks], schema=_ARROW_HITS)
+        columns = [np.concatenate(out) for out in (out_q, out_d, out_v, out_s, out_r)]
+        ids, sources, vecs, values, ranks = [pa.array(c) for c in columns]
+        return pa.Table.from_arrays([ids, sources, index, vecs, values, ranks], schema=_ARROW_HITS)
 
     return search
 
@@ -105,10 +113,19 @@ def document_block_count(documents: DataFrame) -> int:
     return _blocks(documents.count(), DOCUMENT_BLOCK)
 
 
+def _source(df: DataFrame) -> Column:
+    """A question's or document's data source; tables without the column are all of one source."""
+    return (F.col(SOURCE) if SOURCE in df.columns else F.lit(1)).cast("long").alias(SOURCE)
+
+
+def shown_score(score: str = "score") -> Column:
+    return (F.round(score, SHOWN_DECIMALS) + F.lit(0.0)).alias(score)
+
+
 def similarity_join(
     questions: DataFrame, documents: DataFrame, k: int | dict[str, int], document_blocks: int | None = None
 ) -> DataFrame:
-    """Block-local best hits of every question in every index, ranked in their block.
+    """Block-local best hits of every question in every index of its data source, ranked in their block.
 
     Both sides are cut into blocks by a hash of their unique id, so a block is
     never larger than planned however the indexes are filled. Each (question
@@ -128,30 +145,32 @@ def similarity_join(
 
     left = questions.select(
         "question_id",
+        _source(questions),
         "embedding",
         F.pmod(F.xxhash64("question_id"), F.lit(question_blocks)).cast("int").alias("qb"),
         spread(document_blocks).alias("db"),
     )
     right = documents.select(
+        _source(documents),
         "index_name",
         "vec_id",
         "embedding",
-        F.pmod(F.xxhash64("index_name", "vec_id"), F.lit(document_blocks)).cast("int").alias("db"),
+        F.pmod(F.xxhash64(_source(documents), "index_name", "vec_id"), F.lit(document_blocks)).cast("int").alias("db"),
         spread(question_blocks).alias("qb"),
     )
     # A fixed number of partitions, several per pair: little data but much arithmetic is in each, so they must
     # neither be merged by size nor often share a task.
-    partitions = min(SPREAD * question_blocks * document_blocks, MOST_PARTITIONS)
+    partitions = SPREAD * question_blocks * document_blocks
     left, right = (side.repartition(partitions, "qb", "db") for side in (left, right))
     return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(_block_hits(k), HIT_SCHEMA)
 
 
-def top_k_hits(hits: DataFrame, k: int | dict[str, int], salted: bool = True) -> DataFrame:
+def top_k_hits(hits: DataFrame, k: int | dict[str, int]) -> DataFrame:
     """Best k hits per question and index, ties by vec_id, with `rank` from 1."""
     order = [F.desc("score"), F.asc("vec_id")]
     keys = ["question_id", "index_name"]
     largest = k if isinstance(k, int) else max(k.values())
-    ranked = top_k_per_group(hits, keys, order, largest, salt_by=["vec_id"] if salted else None)
+    ranked = top_k_per_group(hits, keys, order, largest, salt_by=["vec_id"])
     return ranked if isinstance(k, int) else ranked.filter(F.col("rank") <= limit_column(k, F.col("index_name")))
 
 
@@ -163,7 +182,8 @@ def exact_knn(questions: DataFrame, documents: DataFrame, k: int | dict[str, int
     """
     blocks = document_block_count(documents)
     found = similarity_join(questions, documents, k, blocks)
-    return found if blocks == 1 else top_k_hits(found, k, salted=blocks > DEFAULT_SALTS)
+    ranked = found if blocks == 1 else top_k_hits(found, k)
+    return ranked.withColumn("score", shown_score())
 
 
 def drop_missing_hits(hits: DataFrame) -> DataFrame:
@@ -173,8 +193,9 @@ def drop_missing_hits(hits: DataFrame) -> DataFrame:
 
 def hits_to_elements(hits: DataFrame, links: DataFrame) -> DataFrame:
     """Vector number to (table, column, value)."""
-    elements = links.select("index_name", "vec_id", "table_id", "column_id", "value")
-    return hits.join(elements, ["index_name", "vec_id"])
+    elements = links.select(_source(links), "index_name", "vec_id", "table_id", "column_id", "value")
+    keyed = hits if SOURCE in hits.columns else hits.withColumn(SOURCE, _source(hits))
+    return keyed.join(elements, [SOURCE, "index_name", "vec_id"])
 
 
 def sentinel_to_null(table_id: Column, column_id: Column, value: Column) -> list[Column]:

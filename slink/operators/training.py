@@ -7,13 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
+from slink.operators.grouping import top_k_per_group
 from slink.operators.ranking import ELEMENT, FEATURES, MlpWeights, feature_vectors, level
 
 KEY = ["question_id", *ELEMENT]
+BATCH_ROWS = 256
+PART_ROWS = 65_536
 
 
 def split_of(group_id: Column) -> Column:
@@ -83,8 +86,9 @@ def sample_negatives(pool: DataFrame, touches: DataFrame, seed: int = 0) -> Data
     """As many untouched elements per question and level as were touched. `wanted` shows short pools."""
     wanted = touches.distinct().groupBy("question_id", level().alias("level")).agg(F.count("*").alias("wanted"))
     leveled = pool.withColumn("level", level()).join(wanted, ["question_id", "level"])
-    place = F.row_number().over(Window.partitionBy("question_id", "level").orderBy(sample_order(seed), *ELEMENT))
-    return leveled.withColumn("_place", place).filter(F.col("_place") <= F.col("wanted")).drop("_place")
+    # Cut per salt first: with the training limits a question's pool can be millions of elements.
+    order = [sample_order(seed), *[F.col(c) for c in ELEMENT]]
+    return top_k_per_group(leveled, ["question_id", "level"], order, F.col("wanted"), "_place", ELEMENT).drop("_place")
 
 
 def short_pools(sampled: DataFrame) -> DataFrame:
@@ -178,44 +182,74 @@ def _gradient(w: MlpWeights, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def _adam_epochs(
+    theta: np.ndarray, inputs: int, hidden: int, x: np.ndarray, y: np.ndarray, epochs: int, rate: float, seed: tuple
+) -> np.ndarray:
+    """Weights after some epochs of Adam over seeded batches of the given rows."""
+    theta, step = theta.copy(), 0
+    momentum, velocity = np.zeros_like(theta), np.zeros_like(theta)
+    random = np.random.default_rng(seed)
+    for _ in range(epochs):
+        order = random.permutation(len(y))
+        for start in range(0, len(y), BATCH_ROWS):
+            rows = order[start : start + BATCH_ROWS]
+            gradient = _gradient(_shaped(theta, inputs, hidden), x[rows], y[rows])[:-2] / len(rows)
+            step += 1
+            momentum = 0.9 * momentum + 0.1 * gradient
+            velocity = 0.999 * velocity + 0.001 * gradient**2
+            theta -= rate * (momentum / (1 - 0.9**step)) / (np.sqrt(velocity / (1 - 0.999**step)) + 1e-8)
+    return theta
+
+
 def train_mlp(
-    examples: DataFrame, kind: str, steps: int = 1000, learning_rate: float = 1e-3, hidden: int = fixed.HIDDEN_UNITS, seed: int = 0
+    examples: DataFrame,
+    kind: str,
+    epochs: int = 1000,
+    learning_rate: float = 1e-3,
+    hidden: int = fixed.HIDDEN_UNITS,
+    seed: int = 0,
+    start: MlpWeights | None = None,
+    local_epochs: int = 250,
 ) -> tuple[MlpWeights, list[float]]:
-    """Adam on the mean squared error of one element type; (weights, loss before each step).
+    """Adam on the mean squared error of one element type; (weights, loss before each round and at the end).
 
-    Every step, tasks add up the gradient of their own rows and Spark sums the
-    few hundred numbers over tasks; only that sum reaches the driver. A step
-    uses all rows, where a single machine would draw batches of 256.
+    A round is one job: every part of the rows takes `local_epochs` epochs of
+    256-row batches from the common weights, and Spark sums the results by
+    their row counts to the next common weights. Only that sum, a few hundred
+    numbers, reaches the driver. Up to `PART_ROWS` rows there is one part and
+    the rounds are plain training.
     """
     inputs = len(FEATURES[kind])
-    data = examples.filter(F.col("element_type") == kind).select("features", "label").persist()
+    data = examples.filter(F.col("element_type") == kind).select("features", "label")
+    parts = max(1, -(-data.count() // PART_ROWS))
+    data = data.repartition(parts).persist()
     schema = pa.schema([("position", pa.int32()), ("total", pa.float64())])
-    theta = _flat(initial_weights(inputs, hidden, seed))
-    momentum, velocity, losses = np.zeros_like(theta), np.zeros_like(theta), []
+    theta, losses = _flat(start or initial_weights(inputs, hidden, seed)), []
+    rounds = -(-epochs // local_epochs)
     try:
-        for step in range(1, steps + 1):
-            weights = _shaped(theta, inputs, hidden)
-
-            def partial(batches: Iterator[pa.RecordBatch], weights: MlpWeights = weights) -> Iterator[pa.RecordBatch]:
-                total = None
-                for batch in batches:
-                    if batch.num_rows:
-                        x = batch["features"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                        g = _gradient(weights, x, batch["label"].to_numpy(zero_copy_only=False))
-                        total = g if total is None else total + g
-                if total is not None:
+        for number in range(rounds + 1):
+            # The last round only measures.
+            taken = min(local_epochs, epochs - number * local_epochs) if number < rounds else 0
+
+            def local(
+                batches: Iterator[pa.RecordBatch], theta: np.ndarray = theta, taken: int = taken, number: int = number
+            ) -> Iterator[pa.RecordBatch]:
+                held = [b for b in batches if b.num_rows]
+                if held:
+                    x = np.concatenate([b["features"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held])
+                    y = np.concatenate([b["label"].to_numpy(zero_copy_only=False) for b in held])
+                    error = _gradient(_shaped(theta, inputs, hidden), x, y)[-2]
+                    moved = _adam_epochs(theta, inputs, hidden, x, y, taken, learning_rate, (seed, number, len(y)))
+                    total = np.concatenate([moved * len(y), [error, len(y)]])
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], schema=schema)
 
-            summed = data.mapInArrow(partial, "position int, total double").groupBy("position").agg(F.sum("total").alias("total"))
+            summed = data.mapInArrow(local, "position int, total double").groupBy("position").agg(F.sum("total").alias("total"))
             rows = summed.orderBy("position").collect()
             if not rows:
                 raise ValueError(f"not enough training data for {kind}")
             sums = np.array([r["total"] for r in rows])
-            gradient = sums[:-2] / sums[-1]
             losses.append(float(sums[-2] / sums[-1]))
-            momentum = 0.9 * momentum + 0.1 * gradient
-            velocity = 0.999 * velocity + 0.001 * gradient**2
-            theta = theta - learning_rate * (momentum / (1 - 0.9**step)) / (np.sqrt(velocity / (1 - 0.999**step)) + 1e-8)
+            theta = sums[:-2] / sums[-1]
     finally:
         data.unpersist()
     return _shaped(theta, inputs, hidden), losses

@@ -117,7 +117,7 @@ docs AS (
 ),
 pairs AS (
   SELECT q.vec_id AS question_id, d.index_name, d.vec_id, d.table_id, d.column_id, d.value,
-         round(list_dot_product(q.e, d.e) / (q.n * d.n), 4) + 0.0 AS score
+         round(list_dot_product(q.e, d.e) / (q.n * d.n), 12) + 0.0 AS score
   FROM docs q, docs d
 )"""
 
@@ -125,7 +125,7 @@ pairs AS (
 def hits_cte(limits: tuple[int, int], name: str = "hits") -> str:
     """Scored pairs cut to the limits per question and index."""
     return f"""{name} AS (
-  SELECT * FROM (
+  SELECT * REPLACE (round(score, 4) + 0.0 AS score) FROM (
     SELECT *, row_number() OVER (PARTITION BY question_id, index_name ORDER BY score DESC, vec_id) AS hit_rank FROM pairs
   ) WHERE hit_rank <= CASE WHEN index_name IN ({_names(fixed.VALUE_INDEXES)}) THEN {limits[1]} ELSE {limits[0]} END
 )"""

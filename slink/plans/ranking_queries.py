@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
@@ -76,7 +77,8 @@ def f4(spark, sf_dir):
 @query("j11_similarity_join", HITS + "SELECT question_id, index_name, vec_id, score FROM hits")
 def j11(spark, sf_dir):
     local = search.similarity_join(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir), WEIGHTED)
-    return search.top_k_hits(local.drop("rank"), WEIGHTED).drop("rank")
+    best = search.top_k_hits(local.drop("rank"), WEIGHTED)
+    return best.select("question_id", "index_name", "vec_id", search.shown_score())
 
 
 @query(
@@ -84,12 +86,12 @@ def j11(spark, sf_dir):
     f"WITH {b.INDEX_CTE}, {b.hits_cte((5, 2))} SELECT question_id, index_name, vec_id, score, hit_rank AS rank FROM hits",
 )
 def w2(spark, sf_dir):
-    return hits(spark, sf_dir, search.limits_for((5, 2)))
+    return hits(spark, sf_dir, search.limits_for((5, 2))).drop("data_source_id")
 
 
 @query(
     "m3_exact_knn",
-    f"""WITH {b.INDEX_CTE} SELECT question_id, vec_id, score, rank FROM (
+    f"""WITH {b.INDEX_CTE} SELECT question_id, vec_id, round(score, 4) + 0.0 AS score, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 50""",
 )
 def m3(spark, sf_dir):
@@ -274,6 +276,35 @@ def m4(spark, sf_dir):
     return ranked(spark, sf_dir).select(*RANK_COLUMNS)
 
 
+# ---- two data sources: even labels are one, odd labels the other, each numbering its vectors from 0 ----
+
+TWO_SOURCES = f"""WITH {b.INDEX_CTE},
+sourced AS (SELECT *, table_id % 2 AS source FROM docs),
+near AS (
+  SELECT q.vec_id AS question_id, d.source, d.index_name, d.vec_id, d.table_id, d.column_id, d.value,
+         round(list_dot_product(q.e, d.e) / (q.n * d.n), 12) + 0.0 AS score
+  FROM (SELECT * FROM sourced) q JOIN sourced d ON q.source = d.source
+),
+cut AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, index_name ORDER BY score DESC, vec_id) AS n FROM near)
+  WHERE n <= CASE WHEN index_name IN ({", ".join(f"'{n}'" for n in fixed.VALUE_INDEXES)}) THEN 2 ELSE 5 END
+)
+SELECT question_id, source AS data_source_id, index_name, table_id, column_id, value, round(score, 4) + 0.0 AS score FROM cut"""
+
+
+@query("j11_similarity_join_sources", TWO_SOURCES)
+def j11_sources(spark, sf_dir):
+    """Questions find only elements of their own source, whose vector numbers stand in the other source as well."""
+    index = b.index_documents(spark, sf_dir).withColumn("data_source_id", (F.col("table_id") % 2).cast("long"))
+    number = F.dense_rank().over(Window.partitionBy("data_source_id", "index_name").orderBy("vec_id")) - 1
+    index = index.withColumn("vec_id", number.cast("long"))
+    asking = b.questions(spark, sf_dir).withColumn("data_source_id", (F.col("label") % 2).cast("long"))
+    found = search.exact_knn(asking, index, search.limits_for((5, 2)))
+    return search.hits_to_elements(found, index).select(
+        "question_id", "data_source_id", "index_name", "table_id", "column_id", "value", "score"
+    )
+
+
 # ---- touched elements: all elements of the table a question is labelled with; every other question writes values in upper case ----
 
 TOUCHED_CTE = """
@@ -415,15 +446,20 @@ def m10(spark, sf_dir):
     return training.evaluate_mse(training_set(spark, sf_dir), MODELS)
 
 
-@query("m7_train_mlp")
+@query(
+    "m7_train_mlp",
+    TRAINING
+    + f"""SELECT element_type, round(avg((label - {NETWORK_SQL}) * (label - {NETWORK_SQL})), 6) AS first_loss, true AS falls
+    FROM examples WHERE split = 'train' GROUP BY ALL""",
+)
 def m7(spark, sf_dir):
-    """Loss of the first steps of each level; it has to fall."""
+    """The loss that training starts from, with weights by rule, and whether all its epochs lower it."""
     examples = materialize(training_set(spark, sf_dir).filter(F.col("split") == "train"), "examples")
     rows = []
     for kind in ranking.LEVELS:
-        _, losses = training.train_mlp(examples, kind, steps=8, learning_rate=0.01)
-        rows += [(kind, step, loss) for step, loss in enumerate(losses)]
-    return spark.createDataFrame(rows, "element_type string, step int, loss double")
+        _, losses = training.train_mlp(examples, kind, start=MODELS[kind])
+        rows.append((kind, round(losses[0], 6), losses[-1] < losses[0]))
+    return spark.createDataFrame(rows, "element_type string, first_loss double, falls boolean")
 
 
 @query(
@@ -449,7 +485,7 @@ def f20(spark, sf_dir):
 STORED_CTE = """
 stored AS (SELECT vec_id AS matched_id, vec_id // 4 AS group_id, label FROM embeddings),
 near AS (
-  SELECT question_id, vec_id AS matched_id, score, rank FROM (
+  SELECT question_id, vec_id AS matched_id, round(score, 4) + 0.0 AS score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 3
 ),
 shots AS (

@@ -19,13 +19,13 @@ def frames(spark, n_questions=40, n_documents=300, width=8, hot=0.7, seed=1):
 
 def brute(q, d, names, k):
     unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-    scores = np.round(unit(q) @ unit(d).T, 4) + 0.0
+    scores = np.round(unit(q) @ unit(d).T, 12) + 0.0
     want = set()
     for i in range(len(q)):
         for name in set(names):
             mine = [j for j in range(len(d)) if names[j] == name]
             best = sorted(mine, key=lambda j: (-scores[i, j], j))[: k if isinstance(k, int) else k[name]]
-            want |= {(i, name, j, float(scores[i, j]), r) for r, j in enumerate(best, 1)}
+            want |= {(i, name, j, float(np.round(scores[i, j], 4)) + 0.0, r) for r, j in enumerate(best, 1)}
     return want
 
 
@@ -41,6 +41,21 @@ def test_exact_for_any_block_size(spark, monkeypatch, blocks, k):
     assert got == brute(q, d, names, k)
 
 
+def test_questions_find_only_their_own_source(spark):
+    """Vector numbers restart in each source."""
+    questions, docs, q, d, names = frames(spark)
+    sourced = lambda df, s: df.withColumn("data_source_id", F.lit(s))
+    both = sourced(docs, 1).unionByName(sourced(docs.withColumn("embedding", F.transform("embedding", lambda x: -x)), 2))
+    asking = sourced(questions.filter("question_id % 2 = 0"), 1).unionByName(sourced(questions.filter("question_id % 2 = 1"), 2))
+    found = search.exact_knn(asking, both, 7)
+    got = {tuple(r) for r in found.select("question_id", "index_name", "vec_id", "score", "rank").collect()}
+    want = {r for r in brute(q, d, names, 7) if r[0] % 2 == 0} | {r for r in brute(q, -d, names, 7) if r[0] % 2 == 1}
+    assert got == want
+    links = both.select("data_source_id", "index_name", "vec_id", F.col("data_source_id").alias("table_id"), F.lit(None).cast("int").alias("column_id"), F.lit(None).cast("string").alias("value"))
+    elements = search.hits_to_elements(found, links)
+    assert elements.count() == len(want) and not elements.filter("table_id <> data_source_id").count()
+
+
 def test_no_documents_no_hits(spark):
     questions, docs, *_ = frames(spark)
     assert search.exact_knn(questions, docs.limit(0), 5).count() == 0

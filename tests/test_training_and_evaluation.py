@@ -51,19 +51,23 @@ def test_splits(spark):
     assert got == ["train"] * 7 + ["test", "validation", "unused"]
 
 
-def test_training_lowers_the_loss(spark):
+def test_training_lowers_the_loss(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = []
     for _ in range(400):
         x = rng.random(3)
         rows.append(("table", "train", x.tolist(), float(x[0] > 0.5)))
     examples = spark.createDataFrame(rows, "element_type string, split string, features array<double>, label double").repartition(5)
-    model, losses = training.train_mlp(examples, "table", steps=40, learning_rate=0.02)
+    model, losses = training.train_mlp(examples, "table", epochs=200, learning_rate=0.02)
     assert losses[-1] < losses[0] / 2
     mse = training.evaluate_mse(examples, {"table": model}).first()["mse"]
     assert mse <= losses[-1] + 1e-6
     with pytest.raises(ValueError, match="not enough training data"):
-        training.train_mlp(examples, "column", steps=1)
+        training.train_mlp(examples, "column", epochs=1)
+    # Several parts that are averaged after each round.
+    monkeypatch.setattr(training, "PART_ROWS", 16)
+    _, averaged = training.train_mlp(examples, "table", epochs=200, learning_rate=0.02, local_epochs=10)
+    assert len(averaged) == 21 and averaged[-1] < averaged[0] / 2
 
 
 def test_gradient_is_the_slope_of_the_loss():
