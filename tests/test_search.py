@@ -20,12 +20,13 @@ def frames(spark, n_questions=40, n_documents=300, width=8, hot=0.7, seed=1):
 def brute(q, d, names, k):
     unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
     scores = np.round(unit(q) @ unit(d).T, 12) + 0.0
+    shown = lambda x: float(np.sign(x) * np.floor(abs(x) * 1e4 + 0.5) / 1e4) + 0.0
     want = set()
     for i in range(len(q)):
         for name in set(names):
             mine = [j for j in range(len(d)) if names[j] == name]
             best = sorted(mine, key=lambda j: (-scores[i, j], j))[: k if isinstance(k, int) else k[name]]
-            want |= {(i, name, j, float(np.round(scores[i, j], 4)) + 0.0, r) for r, j in enumerate(best, 1)}
+            want |= {(i, name, j, shown(scores[i, j]), r) for r, j in enumerate(best, 1)}
     return want
 
 
