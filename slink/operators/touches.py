@@ -7,6 +7,8 @@ eq ARRAY<STRUCT<qualifier, name, value, path>>,
 in_items ARRAY<STRUCT<qualifier, name, value, quoted_identifier, path>>.
 A path (ARRAY<INT>) tells the query that an entry stands in: empty for the outermost one, and one number more for
 each subquery on the way down, so that siblings differ. A query sees the tables of the queries around it.
+A log may also have derived ARRAY<STRUCT<alias, name, qualifier, column, path, inner>>: column `name` of a subquery in
+the FROM of the query at `path` is column `qualifier`.`column` of the subquery, whose own path is `inner`.
 """
 
 from __future__ import annotations
@@ -33,11 +35,56 @@ def _table_names(columns: DataFrame) -> DataFrame:
     return columns.select("table_id", F.lower("table_name").alias("table_name")).distinct()
 
 
-def _place(depth: Column, position: Column, table_id: Column) -> Column:
-    """Depth, position in the query and table id, so that a plain maximum finds the winner; null without a table."""
-    return F.when(
-        table_id.isNotNull(), F.struct(depth.alias("depth"), position.alias("position"), table_id.alias("table_id"))
-    )
+def _place(depth: Column, position: Column, table_id: Column, derived: Column | None = None) -> Column:
+    """Depth, position in the query and table id, so that a plain maximum finds the winner; null without a table.
+
+    Of one query's tables a derived one counts as the last.
+    """
+    derived = F.lit(False) if derived is None else derived
+    parts = depth.alias("depth"), derived.alias("derived"), position.alias("position"), table_id.alias("table_id")
+    return F.when(table_id.isNotNull(), F.struct(*parts))
+
+
+DERIVED_LEVELS = 8  # derived tables inside one another that a reference is followed through
+
+
+def _readings(derived: Column, qualifier: Column, name: Column, path: Column) -> Column:
+    """What a reference can mean: itself, and, for each derived column it can name, that column's source.
+
+    `depth` is that of the query whose FROM has the derived table, null for the reference itself.
+    """
+
+    def struct(qualifier: Column, name: Column, path: Column, depth: Column) -> Column:
+        return F.struct(
+            qualifier.alias("qualifier"), F.lower(name).alias("column_name"), path.alias("path"), depth.alias("depth")
+        )
+
+    def named(qualifier: Column, name: Column, path: Column) -> Column:
+        """Derived columns that a reference can name; a subquery does not see its own result."""
+        return F.filter(
+            derived,
+            lambda d: _encloses(d["path"], path)
+            & ~_encloses(d["inner"], path)
+            & (F.lower(d["name"]) == F.lower(name))
+            & (qualifier.isNull() | F.coalesce(F.lower(d["alias"]) == F.lower(qualifier), F.lit(False))),
+        )
+
+    def source(d: Column, depth: Column) -> Column:
+        return struct(d["qualifier"], d["column"], d["inner"], depth)
+
+    found = F.transform(named(qualifier, name, path), lambda d: source(d, F.size(d["path"])))
+    for _ in range(DERIVED_LEVELS - 1):
+        found = F.flatten(
+            F.transform(
+                found,
+                lambda v: F.concat(
+                    F.array(v),
+                    F.transform(named(v["qualifier"], v["column_name"], v["path"]), lambda d: source(d, v["depth"])),
+                ),
+            )
+        )
+        found = F.array_distinct(found)
+    return F.concat(F.array(struct(qualifier, name, path, F.lit(None).cast("int"))), found)
 
 
 def _encloses(outer: Column, inner: Column) -> Column:
@@ -63,9 +110,11 @@ def resolve_references(log: DataFrame, references: str, columns: DataFrame, stri
     never joined with itself; one in a query without tables stays unresolved.
     """
     fields = {f.name for f in log.schema[references].dataType.elementType.fields}
-    ref = log.select("query_id", "tables", F.posexplode(references).alias("ref_no", "r")).select(
+    nested = "derived" in log.columns
+    ref = log.select("query_id", "tables", *(["derived"] if nested else []), F.posexplode(references).alias("ref_no", "r")).select(
         "query_id",
         "tables",
+        *(["derived"] if nested else []),
         "ref_no",
         F.col("r.qualifier").alias("qualifier"),
         F.lower("r.name").alias("column_name"),
@@ -73,22 +122,38 @@ def resolve_references(log: DataFrame, references: str, columns: DataFrame, stri
         (F.col("r.times") if "times" in fields else F.lit(1)).alias("times"),
         F.col("r.path").alias("path"),
     )
-    pairs = ref.select("query_id", "ref_no", *REFERENCE, "path", F.posexplode_outer("tables").alias("position", "t"))
-    visible = _encloses(F.col("t.path"), F.col("path")) & (
-        F.col("qualifier").isNull() | (F.lower(F.coalesce("t.alias", "t.name")) == F.lower("qualifier"))
+    if nested:
+        read = _readings(F.coalesce("derived", F.array().cast(log.schema["derived"].dataType)), *(F.col(c) for c in ("qualifier", "column_name", "path")))
+    else:
+        read = F.array(F.struct("qualifier", "column_name", "path", F.lit(None).cast("int").alias("depth")))
+    ref = ref.withColumn("v", F.explode(read))
+    pairs = ref.select("query_id", "ref_no", *REFERENCE, "v", F.posexplode_outer("tables").alias("position", "t"))
+    visible = _encloses(F.col("t.path"), F.col("v.path")) & (
+        F.col("v.qualifier").isNull() | (F.lower(F.coalesce("t.alias", "t.name")) == F.lower("v.qualifier"))
     )
     candidates = pairs.select(
-        "query_id", "ref_no", *REFERENCE, "position", F.size("t.path").alias("depth"), F.when(visible, F.lower("t.name")).alias("table_name")
+        "query_id",
+        "ref_no",
+        *REFERENCE,
+        "position",
+        F.col("v.depth").isNotNull().alias("derived"),
+        F.coalesce("v.depth", F.size("t.path")).alias("depth"),
+        F.when(visible, F.lower("t.name")).alias("_table"),
+        F.col("v.column_name").alias("_column"),
     )
-    matched = candidates.join(_catalog(columns), ["table_name", "column_name"], "left")
-    winner = F.max(_place(F.col("depth"), F.col("position"), F.col("table_id")))
+    known = _catalog(columns).select("table_id", F.col("table_name").alias("_table"), F.col("column_name").alias("_column"))
+    matched = candidates.join(known, ["_table", "_column"], "left")
+    winner = F.max(F.struct(_place(F.col("depth"), F.col("position"), F.col("table_id"), F.col("derived")).alias("at"), F.col("_column").alias("real")))
     resolved = matched.groupBy("query_id", "ref_no", *REFERENCE).agg(winner.alias("w"))
-    found = F.col("w").isNotNull()
+    found = F.col("w.at").isNotNull()
     if strict:
         message = F.concat(F.lit("unresolved column "), F.coalesce(F.concat(F.col("qualifier"), F.lit(".")), F.lit("")), F.col("column_name"))
         # In the flag itself, so that a filter on it cannot skip the error.
         found = F.when(found, True).otherwise(F.raise_error(message).cast("boolean"))
-    numbered = resolved.select("query_id", "ref_no", *REFERENCE, F.col("w.table_id").alias("table_id"), found.alias("resolved"))
+    # A reference to a derived column touches the column behind it.
+    real = F.when(F.col("w.at").isNotNull(), F.col("w.real")).otherwise(F.col("column_name"))
+    rest = [c for c in REFERENCE if c != "column_name"]
+    numbered = resolved.select("query_id", "ref_no", real.alias("column_name"), *rest, F.col("w.at.table_id").alias("table_id"), found.alias("resolved"))
     return numbered.join(_table_names(columns), "table_id", "left")
 
 

@@ -88,8 +88,17 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 #            WHERE c_mktsegment IN ("BUILDING", "segment of the user") AND c_name IN ('x')
 #   error    SELECT orders.o_orderkey, no_such FROM orders AS o, customer WHERE c_name = <user>
 #   bare     SELECT lonely (views of every fourth user: a query without tables)
-KIND_SQL = "CASE WHEN event_type = 'view' AND user_id % 4 = 0 THEN 'bare' ELSE event_type END"
+#   nested   SELECT d.c, p_name, d.nope FROM (SELECT l_partkey AS c FROM lineitem) AS d, part (purchases of every fourth user)
+KIND_SQL = (
+    "CASE WHEN event_type = 'view' AND user_id % 4 = 0 THEN 'bare' "
+    "WHEN event_type = 'purchase' AND user_id % 4 = 1 THEN 'nested' ELSE event_type END"
+)
 LOG = {
+    "nested": {
+        "tables": [("part", None, ()), ("lineitem", None, (1,))],
+        "columns": [("d", "c", 1, ()), (None, "p_name", 1, ()), ("d", "nope", 1, ()), (None, "l_partkey", 2, (1,))],
+        "derived": [("d", "c", None, "l_partkey", (), (1,))],
+    },
     "bare": {
         "columns": [(None, "lonely", 1, ())],
     },
@@ -125,6 +134,7 @@ LOG = {
     },
 }
 FIELDS = {
+    "derived": [("alias", "string"), ("name", "string"), ("qualifier", "string"), ("column", "string"), ("path", "path"), ("inner", "path")],
     "tables": [("name", "string"), ("alias", "string"), ("path", "path")],
     "columns": [("qualifier", "string"), ("name", "string"), ("times", "int"), ("path", "path")],
     "stars": [("qualifier", "string"), ("path", "path")],
@@ -168,20 +178,31 @@ def _flat(field: str) -> str:
     selects = []
     for kind, parts in LOG.items():
         for no, row in enumerate(parts.get(field, [])):
-            cells = ", ".join(f"{_literal(v, k, 'VARCHAR')} AS {n}" for (n, k), v in zip(FIELDS[field], row, strict=True))
+            cells = ", ".join(f"{_literal(v, k, 'VARCHAR')} AS \"{n}\"" for (n, k), v in zip(FIELDS[field], row, strict=True))
             selects.append(f"SELECT event_id AS query_id, {no} AS no, {cells} FROM events WHERE {KIND_SQL} = '{kind}'")
     return " UNION ALL ".join(selects)
 
 
+# Depth, then a derived table as the last of its query, then position.
+_PLACE_SQL = "coalesce(r.shown, r.depth) * 1000000 + CAST(r.shown IS NOT NULL AS INT) * 1000 + t.no"
+
+
 def _resolved(field: str, name: str) -> str:
     """References by the paths of the queries around them, so that tables join by equal (query, path)."""
-    return f"""{field}_seen AS (
-  SELECT query_id, no, qualifier, name, depth, path[1:depth] AS path
-  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM {field}_flat)
+    return f"""{field}_read AS (
+  SELECT query_id, no, qualifier, name, path, NULL::INT AS shown FROM {field}_flat
+  UNION ALL
+  SELECT r.query_id, r.no, d.qualifier, d."column", d."inner", len(d.path)
+  FROM {field}_flat r JOIN derived_flat d ON d.query_id = r.query_id AND d.name = r.name
+  WHERE (r.qualifier IS NULL OR r.qualifier = d.alias) AND r.path[1:len(d.path)] = d.path AND r.path[1:len(d."inner")] <> d."inner"
+),
+{field}_seen AS (
+  SELECT query_id, no, qualifier, name, shown, depth, path[1:depth] AS path
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM {field}_read)
 ),
 {name} AS (
-  SELECT r.*, w.table_name FROM {field}_flat r LEFT JOIN (
-    SELECT r.query_id, r.no, arg_max(lower(c.table_name), r.depth * 1000 + t.no) AS table_name
+  SELECT r.* REPLACE (coalesce(w.real_name, r.name) AS name), w.table_name FROM {field}_flat r LEFT JOIN (
+    SELECT r.query_id, r.no, arg_max(lower(c.table_name), {_PLACE_SQL}) AS table_name, arg_max(r.name, {_PLACE_SQL}) AS real_name
     FROM {field}_seen r JOIN tables_flat t ON t.query_id = r.query_id AND t.path = r.path
     JOIN cat c ON lower(c.table_name) = t.name AND lower(c.column_name) = r.name
     WHERE r.qualifier IS NULL OR r.qualifier = coalesce(t.alias, t.name)

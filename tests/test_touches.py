@@ -132,6 +132,42 @@ def test_strict_errors_survive_pruning(spark):
         touches.resolve_element_ids(elements, columns, strict=True).select("table_name").collect()
 
 
+DERIVED = SCHEMA + ", derived array<struct<alias:string,name:string,qualifier:string,column:string,path:array<int>,inner:array<int>>>"
+
+
+def derived_log(spark, alias, columns, outputs, tables=(("table2", None, [1]),)):
+    derived = [(alias, name, None, column, [], [1]) for name, column in outputs]
+    return spark.createDataFrame([(1, list(tables), columns, [], [], [], derived)], DERIVED)
+
+
+@pytest.mark.parametrize("alias", [None, "t1"])
+def test_columns_of_a_derived_table_touch_their_source(spark, alias):
+    """SELECT col1, [t1.]c3 FROM (SELECT col1, col3 AS c3 FROM table2) [AS t1]."""
+    columns = [(None, "col1", 1, []), (alias, "c3", 1, []), (None, "col1", 1, [1]), (None, "col3", 2, [1])]
+    log = derived_log(spark, alias, columns, [("col1", "col1"), ("c3", "col3")])
+    catalog_ = catalog(spark, {"table1": ["col1", "col2"], "table2": ["col1", "col3"]})
+    found = {(r.table_name, r.column_name): r.touches for r in touches.touch_counts(log, catalog_).collect()}
+    assert found == {("table2", None): 1, ("table2", "col1"): 2, ("table2", "col3"): 3}
+
+
+@pytest.mark.parametrize("reference", [("table2", "col3", 1, []), ("t1", "col3", 1, [])])
+def test_what_a_derived_table_does_not_show_is_unresolved(spark, reference):
+    log = derived_log(spark, "t1", [(None, "col1", 1, []), reference], [("col1", "col1")])
+    catalog_ = catalog(spark, {"table2": ["col1", "col3"]})
+    assert [r.column_name for r in touches.unresolved_references(log, catalog_).collect()] == ["col3"]
+    with pytest.raises(Exception, match="unresolved column"):
+        touches.column_touches(log, catalog_, strict=True).collect()
+
+
+def test_derived_tables_inside_one_another(spark):
+    """SELECT a FROM (SELECT b AS a FROM (SELECT col1 AS b FROM table2) AS u) AS t."""
+    derived = [("t", "a", None, "b", [], [1]), ("u", "b", None, "col1", [1], [1, 1])]
+    columns = [("t", "a", 1, []), ("u", "b", 1, [1]), (None, "col1", 1, [1, 1])]
+    log = spark.createDataFrame([(1, [("table2", None, [1, 1])], columns, [], [], [], derived)], DERIVED)
+    found = touches.column_touches(log, catalog(spark, {"table2": ["col1", "b"]}), strict=True).collect()
+    assert [(r.table_name, r.column_name, r.touches) for r in found] == [("table2", "col1", 3)]
+
+
 def test_ids_and_back(spark):
     columns = catalog(spark, TWO)
     elements = spark.createDataFrame([("table2", "col3", "x"), ("table1", None, None), ("nope", None, None)], "table_name string, column_name string, value string")
