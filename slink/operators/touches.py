@@ -84,7 +84,9 @@ def _readings(derived: Column, qualifier: Column, name: Column, path: Column) ->
             )
         )
         found = F.array_distinct(found)
-    return F.concat(F.array(struct(qualifier, name, path, F.lit(None).cast("int"))), found)
+    itself = F.array(struct(qualifier, name, path, F.lit(None).cast("int")))
+    # Most queries have no derived table, and skip all of this.
+    return F.when(F.size(derived) > 0, F.concat(itself, found)).otherwise(itself)
 
 
 def _encloses(outer: Column, inner: Column) -> Column:
