@@ -3,30 +3,35 @@
 Generators propose overlapping spans that look like emails, addresses, cards and phones in any spelling. Trees judge
 them by format and context. They learn from the texts themselves: spans of the base rules are positive, also respelt
 (" at ", "(dot)", other separators, no plus sign) in their own context; look-alikes that fail the rules, respelt the
-same way, are negative. A kind's threshold is the lowest chance at which held-back candidates are precise enough.
+same way, are negative. A kind's threshold is the lowest chance at which the candidates of all held-back documents
+of the table are precise enough.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.llm import arrow, boosting
 from slink.llm.pii_rules import KINDS, Span, base_spans, digits_of, listed, luhn, small
+from slink.operators.grouping import top_k_per_group
 
 SAMPLE_DOCS = 6000  # documents whose candidates the trees are fitted on, at most
-SAMPLE_CANDIDATES = 30_000  # candidates, respelt ones included, at most
+SAMPLE_CANDIDATES = 30_000  # candidates, respelt ones included, at most; each kind and verdict has an equal quota
 PRECISION = 0.995
 LEAST_PROVEN = 20  # held-back positives that a threshold needs
+FALLBACK = 0.98  # least chance for a kind that has fewer
+HELD_BACK = 3  # one text of so many, by its checksum, is held back from the trees
+STEPS = 1024  # chances are counted in steps; a power of two, so that a step is exact
 CONTEXT = 24
 LONGEST_PART = 64
 
@@ -188,60 +193,91 @@ class Model:
         return base, every
 
 
-def train(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, back: np.ndarray) -> Model:
-    """Trees fitted on the rows not held back, thresholds set on those that are."""
-    trees = boosting.train(x[~back], y[~back].astype(np.float64)) if (~back).any() else None
-    thresholds = {}
+def thresholds(counts: dict[tuple[str, int, bool], int]) -> dict[str, float]:
+    """Threshold of each kind from held-back candidates counted by (kind, step of the chance, verdict).
+
+    A kind with too few positives to prove one takes FALLBACK, or the chance above all of its own look-alikes if that
+    is higher. A kind with enough positives of which no threshold is precise adds nothing.
+    """
+    found = {}
     for kind in KINDS:
-        thresholds[kind] = np.inf
-        own = back & (kinds == kind)
-        if trees is None or y[own].sum() < LEAST_PROVEN:
+        steps = np.array(sorted({step for k, step, _ in counts if k == kind}, reverse=True), np.int64)
+        right, wrong = (np.array([counts.get((kind, int(s), y), 0) for s in steps], np.int64) for y in (True, False))
+        if right.sum() < LEAST_PROVEN:
+            above = (steps[wrong > 0].max(initial=-1) + 1) / STEPS
+            found[kind] = max(FALLBACK, float(above))
             continue
-        chances = trees.chance(x[own])
-        order = np.argsort(-chances, kind="stable")
-        right = np.cumsum(y[own][order])
-        shown = np.arange(1, len(order) + 1)
-        ties = np.r_[chances[order][1:] != chances[order][:-1], True]  # a threshold takes all of a tie
-        proven = np.flatnonzero((right / shown >= PRECISION) & (right >= LEAST_PROVEN) & ties)
-        if len(proven):
-            thresholds[kind] = float(max(chances[order][proven[-1]], 0.5))
-    empty = boosting.Trees(np.zeros((0, 7), np.int64), np.zeros((0, 7)), np.zeros((0, 8)), 0.0)
-    return Model(trees or empty, thresholds)
+        good, bad = np.cumsum(right), np.cumsum(wrong)
+        proven = np.flatnonzero((good >= LEAST_PROVEN) & (good >= PRECISION * (good + bad)))
+        found[kind] = max(float(steps[proven[-1]]) / STEPS, 0.5) if len(proven) else np.inf
+    return found
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Model learned from the candidates of at most `sample_docs` documents, chosen by a hash of doc_id.
+def _checksum() -> Column:
+    return F.crc32(F.col("text").cast("binary")) % HELD_BACK
+
+
+def calibration(docs: DataFrame, trees: boosting.Trees) -> dict[tuple[str, int, bool], int]:
+    """Candidates of all held-back documents, counted by kind, step of the chance and verdict."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded: forty small trees
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for whole in batches:
+            for batch in arrow.pieces(whole, "text"):
+                found = [e for text in arrow.strings(batch.column("text")) for e in examples(text)]
+                if found:
+                    steps = np.floor(shared.value.chance(np.array([f[0] for f in found])) * STEPS).astype(int)
+                    counts.update((f[2], int(s), f[1]) for f, s in zip(found, steps, strict=True))
+        # At most one row per kind, step and verdict leaves a task.
+        rows = [(*key, n) for key, n in sorted(counts.items())]
+        types = (("kind", pa.string()), ("step", pa.int64()), ("y", pa.bool_()), ("n", pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], names=[n for n, _ in types])
 
-    With too few candidates of a kind to prove a threshold, that kind keeps its base spans only.
+    held = docs.filter(_checksum() == 0).select("text").mapInArrow(run, "kind string, step long, y boolean, n long")
+    return {(r["kind"], r["step"], r["y"]): r["n"] for r in held.groupBy("kind", "step", "y").agg(F.sum("n").alias("n")).collect()}
+
+
+def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """Candidates (x, y, kind) that the trees are fitted on; the same for any partitioning.
+
+    Of the texts not held back those of `sample_docs` documents are read, by a hash of doc_id, and of their candidates
+    an equal quota of each kind and verdict is taken, by a hash of the text and the place in it.
     """
-    chosen = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    fitted = docs.filter(_checksum() != 0).select("doc_id", "text")
+    chosen = fitted.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     # Bounded by sample_docs ids, so it is safe to broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("text")
+    rows = fitted.join(F.broadcast(chosen.distinct()), "doc_id").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in arrow.pieces(whole, "text"):
-                found = [
-                    (x, y, kind, zlib.crc32(text.encode()) % 3 == 0)
-                    for text in arrow.strings(batch.column("text"))
-                    for x, y, kind in examples(text)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f[0] for f in found], pa.list_(pa.float64())),
-                        pa.array([f[1] for f in found], pa.bool_()),
-                        pa.array([f[2] for f in found], pa.string()),
-                        pa.array([f[3] for f in found], pa.bool_()),
-                    ],
-                    names=["x", "y", "kind", "back"],
-                )
-
-    sample = rows.mapInArrow(run, "x array<double>, y boolean, kind string, back boolean").limit(SAMPLE_CANDIDATES).collect()
-    sample.sort(key=lambda r: (r["x"], r["y"], r["kind"], r["back"]))
-    width = len(features(" ", (0, "ip", 1)))
-    x = np.array([r["x"] for r in sample]).reshape(-1, width)
-    y, back = np.array([r["y"] for r in sample], bool), np.array([r["back"] for r in sample], bool)
-    return train(x, y, np.array([r["kind"] for r in sample], object), back)
+                found = []
+                for text in arrow.strings(batch.column("text")):
+                    own = hashlib.sha256(text.encode()).digest()
+                    for i, (x, y, kind) in enumerate(examples(text)):
+                        digest = hashlib.blake2b(i.to_bytes(8), key=own, digest_size=8).digest()
+                        found.append((x, y, kind, int.from_bytes(digest, signed=True)))
+                types = (("x", pa.list_(pa.float64())), ("y", pa.bool_()), ("kind", pa.string()), ("h", pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, (_, t) in enumerate(types)], names=[n for n, _ in types])
+
+    every = rows.mapInArrow(run, "x array<double>, y boolean, kind string, h long")
+    quota = SAMPLE_CANDIDATES // (2 * len(KINDS))
+    return top_k_per_group(every, ["kind", "y"], [F.col("h"), F.col("x")], quota, salt_by=["h"]).select("x", "y", "kind")
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Trees learned from a bounded sample of `docs`, thresholds from all its held-back documents.
+
+    Without candidates of both verdicts nothing is learned, and all kinds keep their base spans only.
+    """
+    rows = sorted((r["x"], r["y"], r["kind"]) for r in sample(docs, sample_docs).collect())
+    y = np.array([r[1] for r in rows], np.float64)
+    if len(np.unique(y)) < 2:
+        empty = boosting.Trees(np.zeros((0, 7), np.int64), np.zeros((0, 7)), np.zeros((0, 8)), 0.0)
+        return Model(empty, dict.fromkeys(KINDS, np.inf))
+    trees = boosting.train(np.array([r[0] for r in rows]), y)
+    return Model(trees, thresholds(calibration(docs, trees)))
 
 
 def redacted(text: str, spans: list[Span]) -> str:

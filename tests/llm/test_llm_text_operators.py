@@ -193,6 +193,33 @@ def test_pii_trees_add_respelt_spans_and_keep_the_base(spark):
         assert "98079157628" not in r["text"] or "[" not in pii_boost.redacted(r["text"], every)
 
 
+def test_pii_kinds_with_little_proof_have_a_threshold(spark):
+    """Ten emails are too few to prove a threshold of their own, and a small table has few of all kinds."""
+    few = [(i, t if i < 10 else t.replace("@", " of ")) for i, t in ((r["doc_id"], r["text"]) for r in pii_documents(spark).collect())]
+    text = "the house . mail us at u1 at mail3 dot example dot com today and the river order 98079157628 sent"
+    for rows in (few, few[:40]):
+        model = pii_boost.fit(documents(spark, rows))
+        assert all(np.isfinite(t) for t in model.thresholds.values())
+        assert [s[1] for s in model.spans(text)[1]] == ["email"]
+    found = pii_boost.thresholds(
+        {("email", 1020, True): 5, ("email", 1015, False): 1, ("phone", 900, True): 50, ("phone", 300, True): 1, ("phone", 800, False): 9}
+        | {("ip", 900, True): 30, ("ip", 950, False): 30}
+    )
+    # Few positives: above the look-alikes. None: the fallback. Enough: what they prove, or nothing.
+    assert found == {"email": 1016 / 1024, "card": pii_boost.FALLBACK, "phone": 900 / 1024, "ip": np.inf}
+
+
+def test_pii_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pii_boost, "SAMPLE_CANDIDATES", 400)
+    rows = [(r["doc_id"], r["text"]) for r in pii_documents(spark).collect()]
+    numbers = " ".join(str(10**10 + 7919 * i) for i in range(3000))  # one document holds most of the look-alikes
+    docs = documents(spark, [*rows, (1000, numbers)])
+    models = [pii_boost.fit(d) for d in (docs.coalesce(1), docs.repartition(7, "doc_id"), docs.orderBy(F.desc("doc_id")))]
+    for model in models:
+        assert model.thresholds == models[0].thresholds and np.isfinite(model.thresholds["email"])
+        assert np.array_equal(model.trees.leaves, models[0].trees.leaves)
+
+
 def test_pii_edges(spark):
     model = pii_boost.fit(documents(spark, []))
     assert set(model.thresholds.values()) == {np.inf}
