@@ -2,8 +2,9 @@
 
 The text is the first layer. Each layer is scanned by the base rules and unwrapped in every way that applies: URL and
 Unicode escapes in place, base64 stretches and the compressed data inside them as layers of their own. New layers
-join the worklist until none is new; a layer seen before, by its digest, is a cycle and ends there. Every character
-of a layer knows the stretch of the original text that it came from, so spans found in any layer are mapped back.
+join the worklist until none is new; a layer equal to one that it was decoded from, by its digest, is a cycle and ends
+there. Every character of a layer knows the stretch of the original text that it came from, so spans found in any
+layer are mapped back; equal layers from other stretches are mapped each.
 """
 
 from __future__ import annotations
@@ -227,19 +228,20 @@ def secrets(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Base spans, all spans with those of decoded layers, number of layers, and layers too large to open."""
     base = scan(text)
     every = set(base)
-    seen = {hashlib.sha256(text.encode()).digest()}
-    worklist, unopened = [Layer(text)], 0
+    root = Layer(text)
+    seen = {_key(root)}
+    worklist, unopened = [(root, frozenset({_digest(text)}))], 0
     while worklist:
-        layer = worklist.pop()
+        layer, above = worklist.pop()
         for inner in _unwrapped(layer):
             if inner is None:
                 unopened += 1
                 continue
-            digest = hashlib.sha256(inner.text.encode()).digest()
-            if digest in seen:
+            digest, key = _digest(inner.text), _key(inner)
+            if digest in above or key in seen:
                 continue
-            seen.add(digest)
-            worklist.append(inner)
+            seen.add(key)
+            worklist.append((inner, above | {digest}))
             for start, kind, end in scan(inner.text):
                 first, last = inner.origin(start, end)
                 every.add((first, kind, last))
@@ -247,6 +249,19 @@ def secrets(text: str) -> tuple[list[Span], list[Span], int, int]:
     return base, order, len(seen), unopened
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode(errors="surrogatepass")).digest()
+
+
+def _key(layer: Layer) -> bytes:
+    """Digest of a layer's text and of where each of its characters came from."""
+    starts, ends = layer.map()
+    whole = hashlib.sha256(_digest(layer.text))
+    whole.update(np.ascontiguousarray(starts, np.int64))
+    whole.update(np.ascontiguousarray(ends, np.int64))
+    return whole.digest()
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 

@@ -317,6 +317,16 @@ def test_secrets_below_encodings_map_to_the_text(wrap):
     assert all(low <= s[0] < s[2] <= high for s in spans)
 
 
+@pytest.mark.parametrize("second", [lambda s: base64.b64encode(s.encode()), lambda s: base64.b64encode(gzip.compress(s.encode()))])
+def test_every_copy_of_an_encoded_secret_is_mapped(second):
+    copies = [base64.b64encode(SECRET.encode()).decode(), second(SECRET).decode()]
+    text = f"config {copies[0]} . again {copies[1]} . %41"
+    every = secret_layers.secrets(text)[1]
+    for at, copy in ((text.index(copies[0]), copies[0]), (text.rindex(copies[1]), copies[1])):
+        inside = [s for s in every if at <= s[0] < s[2] <= at + len(copy)]
+        assert {s[1] for s in inside} == {"assign", "hex"}
+
+
 def test_secret_layers_end_and_do_not_open_bombs(spark):
     assert secret_layers.secrets("%41" * 20_000)[2] == 2
     bomb = base64.b64encode(zlib.compress(b"a" * 80_000_000)).decode()
