@@ -10,7 +10,6 @@ layer are mapped back; equal layers from other stretches are mapped each.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -27,8 +26,10 @@ from pyspark.sql import functions as F
 from slink.llm import arrow
 
 KINDS = ("assign", "access", "hex")
-MOST_EXPANSION = 64 << 20  # bytes that one compressed layer may open to; a larger one is reported as unopened
+MOST_EXPANSION = 64 << 20  # bytes that one base64 stretch may open to; the rest is reported as unopened
 LEAST_BASE64 = 16
+LEAST_SECRET = 12  # characters of the shortest base span, "token=" and six more; encodings only make it longer
+CHUNK = 1 << 16
 
 Span = tuple[int, str, int]
 
@@ -42,6 +43,14 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64 that may be broken over lines, also where the break is written as an escape.
+_BREAK = r"(?:(?:\\r)?\\n|\r?\n)[\x20\t]*"
+_LINES = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_SIGNS = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAKS = re.compile(_BREAK)
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_PLAIN = re.compile(rb"[\x09-\x0d\x20-\x7e]{%d,}" % LEAST_SECRET)
+_WIDE = re.compile(rb"(?:[\x09-\x0d\x20-\x7e]\x00){%d,}|(?:\x00[\x09-\x0d\x20-\x7e]){%d,}" % (LEAST_SECRET, LEAST_SECRET))
 
 
 def scan(text: str) -> list[Span]:
@@ -141,31 +150,95 @@ def _unicode(run: str) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def _opened(data: bytes) -> bytes | None:
-    """Decompressed data, the data itself if it is not compressed, None if it opens to too much."""
-    for magic, make in (
-        (b"\x1f\x8b", lambda: zlib.decompressobj(31)),
-        (b"\x78", lambda: zlib.decompressobj(15)),
-        (b"BZh", bz2.BZ2Decompressor),
-        (b"\xfd7zXZ\x00", lzma.LZMADecompressor),
-    ):
-        if data.startswith(magic):
-            opener = make()
-            try:
-                out = opener.decompress(data, MOST_EXPANSION)
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                continue
-            return out if opener.eof or len(out) < MOST_EXPANSION else None
-    if data.startswith(b"\x28\xb5\x2f\xfd"):
+def _opener(magic: bytes):
+    """A decompressor, and how many bytes to give it at once."""
+    if magic.startswith(b"\x28"):
         import zstandard
 
-        opener = zstandard.ZstdDecompressor().stream_reader(data)
-        try:
-            out = opener.read(MOST_EXPANSION)
-        except zstandard.ZstdError:
-            return data
-        return out if len(out) < MOST_EXPANSION else None
-    return data
+        # It has no bound on what it gives out at once, so it gets little.
+        return zstandard.ZstdDecompressor().decompressobj(), 256
+    if magic.startswith(b"BZh"):
+        return bz2.BZ2Decompressor(), CHUNK
+    if magic.startswith(b"\xfd"):
+        return lzma.LZMADecompressor(), CHUNK
+    return zlib.decompressobj(31 if magic.startswith(b"\x1f") else 15), CHUNK
+
+
+def _opened(data: bytes, at: int, magic: bytes, most: int) -> tuple[bytes, int, str]:
+    """What the stream at a place opens to, where it ends, and how: whole, short, broken, or large."""
+    opener, size = _opener(magic)
+    bounded = not magic.startswith(b"\x28")
+    out, held, place, view = [], 0, at, memoryview(data)
+    try:
+        while not opener.eof:
+            if held >= most:
+                return b"", place, "large"
+            piece = getattr(opener, "unconsumed_tail", b"")
+            if not piece and getattr(opener, "needs_input", True):
+                if place >= len(data):
+                    return b"".join(out), len(data), "short"
+                piece = view[place : place + size]
+                place += len(piece)
+            out.append(opener.decompress(piece, most - held) if bounded else opener.decompress(piece))
+            held += len(out[-1])
+    except Exception as error:
+        # zstandard has its own class of errors, and is imported only where it is needed.
+        if not isinstance(error, (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)) and "Zstd" not in type(error).__name__:
+            raise
+        return b"".join(out), at + len(magic), "broken"
+    return b"".join(out), place - len(opener.unused_data), "whole"
+
+
+def _texts(data: bytes) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts in bytes, with the first byte and the size of each character.
+
+    Bytes that are text as a whole are one; of others all stretches of ASCII, in UTF-8 or UTF-16, that can hold a
+    secret: its characters, and those of all its encodings, are ASCII.
+    """
+    whole = _text(data)
+    if whole:
+        sizes = np.array([len(c.encode()) for c in whole])
+        return [(whole, np.r_[0, np.cumsum(sizes)[:-1]], sizes)]
+    found = [(m[0].decode(), np.arange(m.start(), m.end()), np.ones(len(m[0]), int)) for m in _PLAIN.finditer(data)]
+    for m in _WIDE.finditer(data):
+        text = m[0].replace(b"\x00", b"").decode()
+        found.append((text, np.arange(m.start(), m.end(), 2), np.full(len(text), 2)))
+    return found
+
+
+def _streams(data: bytes) -> Iterator[tuple[int, int, str | None]]:
+    """Texts below all compressed streams in bytes, also inside one another, with the outermost stream's place.
+
+    None stands for a stream that is not whole or opens to too much.
+    """
+    left = MOST_EXPANSION
+    # Inner bytes, where they came from (None: the data itself), and digests of the bytes that they came from.
+    worklist: list[tuple[bytes, tuple[int, int] | None, frozenset]] = [(data, None, frozenset())]
+    while worklist:
+        inner, origin, above = worklist.pop()
+        if not _MAGIC.search(inner) or _text(inner):
+            continue
+        digest = hashlib.sha256(inner).digest()
+        if digest in above:
+            continue
+        at = 0
+        while m := _MAGIC.search(inner, at):
+            opened, end, how = _opened(inner, m.start(), m[0], left)
+            place = origin or (m.start(), end if how == "whole" else len(inner))
+            # What only looks like a stream ends at once; a later one may begin right after its first bytes.
+            at = end if how == "whole" else m.end()
+            if how == "large":
+                yield *place, None
+                at = max(at, end)
+                continue
+            left -= len(opened)
+            texts = [t for t, _, _ in _texts(opened)]
+            for text in texts:
+                yield *place, text
+            if how != "whole" and (texts or (how == "short" and len(m[0]) > 2)):
+                yield *place, None
+            if opened:
+                worklist.append((opened, place, above | {digest}))
 
 
 def _text(data: bytes) -> str | None:
@@ -177,55 +250,65 @@ def _text(data: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def _base64(run: str) -> list[tuple[int, bytes]]:
-    """Readings of a stretch: from its first character, and from the others of the first four if that fails."""
-    plain = run.rstrip("=").replace("-", "+").replace("_", "/")
-    readings = []
-    for skip in range(4):
+def _base64(plain: str) -> Iterator[tuple[int, bytes]]:
+    """Readings of a stretch without padding from each of its first four characters, as it may follow other signs."""
+    plain = plain.replace("-", "+").replace("_", "/")
+    for skip in range(min(4, len(plain))):
         body = plain[skip:]
         body = body[: len(body) - 1] if len(body) % 4 == 1 else body
-        try:
-            readings.append((skip, base64.b64decode(body + "=" * (-len(body) % 4), validate=True)))
-        except (binascii.Error, ValueError):
+        yield skip, base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+
+
+def _stretches(text: str) -> Iterator[tuple[str, np.ndarray, int, bool]]:
+    """Base64 of a text: its signs, their places, where it ends, and whether it is only a line of a longer one."""
+    blocks, at = [], 0
+    for m in _LINES.finditer(text):
+        breaks = [(b.start(), b.end()) for b in _BREAKS.finditer(text, m.start(), m.end())]
+        if not breaks:
             continue
-    return readings
+        edges = [m.start(), *(e for b in breaks for e in b), m.end()]
+        lines = [_SIGNS.match(text, first, last) for first, last in zip(edges[::2], edges[1::2], strict=True)]
+        places = np.concatenate([np.arange(*line.span()) for line in lines])
+        blocks.append(m.span())
+        yield "".join(line[0] for line in lines), places, m.end(), False
+    for m in _BASE64.finditer(text):
+        while at < len(blocks) and blocks[at][1] <= m.start():
+            at += 1
+        signs = m[0].rstrip("=")
+        yield signs, np.arange(m.start(), m.start() + len(signs)), m.end(), at < len(blocks) and blocks[at][0] <= m.start()
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer | None]:
-    """Every layer that the given one holds; None stands for data too large to open."""
+    """Every layer that the given one holds; None stands for data too large to open, or not whole."""
     text = layer.text
     if "%" in text:
         yield from filter(None, [_in_place(layer, _PERCENT, _url)])
     if "\\" in text or "&#" in text:
         yield from filter(None, [_in_place(layer, _ESCAPE, _unicode)])
-    for m in _BASE64.finditer(text):
-        run = m[0]
+    starts, ends = layer.map()
+    for signs, places, stop, part in _stretches(text):
         # Words and hexadecimal numbers are no base64: it mixes cases, or has digits and other signs among letters.
-        if run.isalpha() and (run.islower() or run.isupper() or run.istitle()):
+        if signs.isalpha() and (signs.islower() or signs.isupper() or signs.istitle()):
             continue
-        for skip, data in _base64(run):
-            opened = _opened(data)
-            if opened is None:
-                yield None
-                break
-            found = _text(opened)
-            if not found:
-                continue
-            starts, ends = layer.map()
-            if opened is data:
-                sizes = np.array([len(c.encode()) for c in found])
-                first = np.r_[0, np.cumsum(sizes)[:-1]]
-                a = m.start() + skip + first // 3 * 4 + first % 3
-                b = m.start() + skip + (first + sizes - 1) // 3 * 4 + (first + sizes - 1) % 3 + 2
-                yield Layer(found, starts[a], ends[np.minimum(b, m.end()) - 1])
-            else:
-                low, high = starts[m.start() : m.end()].min(), ends[m.start() : m.end()].max()
-                yield Layer(found, np.full(len(found), low), np.full(len(found), high))
-            break
+        for skip, data in _base64(signs):
+            for found, first, sizes in _texts(data):
+                last = first + sizes - 1
+                a = skip + first // 3 * 4 + first % 3
+                b = np.minimum(skip + last // 3 * 4 + last % 3 + 1, len(places) - 1)
+                yield Layer(found, starts[places[a]], ends[places[b]])
+            for first, end, found in _streams(data):
+                if found is None:
+                    # A line of a longer stretch is counted there.
+                    if not part:
+                        yield None
+                    continue
+                a = places[skip + first // 3 * 4 + first % 3]
+                b = stop if end == len(data) else places[skip + (end - 1) // 3 * 4 + (end - 1) % 3 + 1] + 1
+                yield Layer(found, np.full(len(found), starts[a:b].min()), np.full(len(found), ends[a:b].max()))
 
 
 def secrets(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, all spans with those of decoded layers, number of layers, and layers too large to open."""
+    """Base spans, all spans with those of decoded layers, number of layers, and streams too large or not whole."""
     base = scan(text)
     every = set(base)
     root = Layer(text)
@@ -270,8 +353,8 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns, counts and digest of the base spans, all spans, n_layers and n_unopened of each row of `docs`.
 
     Null and empty texts have no spans; texts of any length are read whole; repeated rows give the same spans; other
-    columns are carried or ignored as `keep` says. A compressed layer that opens to more than MOST_EXPANSION bytes is
-    not searched and counts in n_unopened.
+    columns are carried or ignored as `keep` says. n_unopened counts compressed streams that are not whole, of which
+    what can be opened is searched, and those with which a stretch opens to more than MOST_EXPANSION bytes, which are not.
     """
     keep = keep or []
     slim = docs.select(*keep, F.col("text").alias("_text"))

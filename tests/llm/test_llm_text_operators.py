@@ -317,6 +317,53 @@ def test_secrets_below_encodings_map_to_the_text(wrap):
     assert all(low <= s[0] < s[2] <= high for s in spans)
 
 
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def wrapped(data, width, end="\n"):
+    text = b64(data)
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+NOISE = random.Random(3).randbytes(3000).hex().upper().encode()
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: b64(gzip.compress(gzip.compress(s))),
+        lambda s: b64(gzip.compress(bz2.compress(zlib.compress(s)))),
+        lambda s: "api/v2/payload/" + b64(s),
+        lambda s: "user_key_" + b64(s),
+        lambda s: "user_key_" + b64(gzip.compress(s)),
+        lambda s: b64(b"a\x00b\x01" + s),
+        lambda s: b64(s.decode().encode("utf-16")),
+        lambda s: b64(s.decode().encode("utf-16-be")),
+        lambda s: wrapped(b"header of the file, filling up. " + s, 64),
+        lambda s: wrapped(b"x" * 50 + s + b"y" * 99, 76, "\r\n  "),
+        lambda s: wrapped(b"x" * 50 + s + b"y" * 99, 76, "\\n"),
+        lambda s: wrapped(gzip.compress(NOISE + s), 76),
+        lambda s: wrapped(zlib.compress(NOISE + s), 64),
+    ],
+)
+def test_secrets_below_stacked_glued_and_wrapped_encodings(wrap):
+    inner = wrap(SECRET.encode())
+    text = f"é before {inner} after"
+    base, every, layers, unopened = secret_layers.secrets(text)
+    assert not unopened
+    spans = [s for s in every if s not in base]
+    assert {s[1] for s in spans} >= {"assign", "hex"}
+    low, high = text.index(inner), text.index(inner) + len(inner)
+    assert all(low <= s[0] < s[2] <= high for s in spans)
+
+
+def test_streams_that_are_not_whole_are_counted_and_searched():
+    cut = b64(gzip.compress(SECRET.encode() + NOISE)[:2000])
+    _, every, _, unopened = secret_layers.secrets(f"log {cut} end")
+    assert unopened == 1 and {s[1] for s in every} == {"assign", "hex"}
+
+
 @pytest.mark.parametrize("second", [lambda s: base64.b64encode(s.encode()), lambda s: base64.b64encode(gzip.compress(s.encode()))])
 def test_every_copy_of_an_encoded_secret_is_mapped(second):
     copies = [base64.b64encode(SECRET.encode()).decode(), second(SECRET).decode()]
