@@ -13,10 +13,26 @@ from slink.streaming.catalog_stream import catalog_upsert_stream, read_version
 from slink.streaming.requests import first_requests_stream, write_stream
 
 
-ARRIVALS = 4
+ARRIVALS = 4  # at least
+ARRIVAL_ROWS = 250_000  # about; the number of arrivals grows with the table
 DISORDER_MICROS = 50 * 60 * 1_000_000
 
 
+def arrivals(spark, events, rows=ARRIVAL_ROWS):
+    """Folder of files of about `rows` events, each written after the one before, up to 50 minutes out of order."""
+    micros = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    late = F.pmod(F.xxhash64("event_id"), F.lit(DISORDER_MICROS))
+    n = max(ARRIVALS, -(-events.count() // rows))
+    dealt, incoming = new_path(spark, "dealt"), new_path(spark, "arrivals")
+    # One shuffle deals the table into ranges of the time of arrival, whose files are named in their order.
+    events.withColumn("_arrival", micros + late).repartitionByRange(n, "_arrival").drop("_arrival").write.parquet(dealt)
+    stored = spark.read.schema(events.schema).parquet(dealt)
+    # A file source takes its files in the order they were written, so each is written again on its own, in one bounded task.
+    for file in sorted(stored.inputFiles(), key=lambda f: f.rsplit("/", 1)[1]):
+        spark.read.schema(events.schema).parquet(file).coalesce(1).write.mode("append").parquet(incoming)
+    return incoming
+
+
 @query(
     "st1_first_requests_stream",
     """WITH RECURSIVE req AS (SELECT 'query-cache-' || props AS key, event_id AS request_id, epoch_us(ts) AS micros FROM events),
@@ -29,17 +45,9 @@ DISORDER_MICROS = 50 * 60 * 1_000_000
     WHERE micros < ((SELECT max(micros) FROM req) // 1000 - 3600000) * 1000 GROUP BY ALL""",
 )
 def st1(spark, sf_dir):
-    """Events arrive in four files, up to 50 minutes out of order; what the last watermark has passed is decided."""
+    """Events arrive in files of bounded size, out of order; what the last watermark has passed is decided."""
     events = b.table(spark, sf_dir, "events").select("event_id", "props", "ts")
-    micros = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
-    first, last = events.agg(F.min(micros), F.max(micros)).first()
-    span = (last - first + DISORDER_MICROS) // ARRIVALS + 1
-    early = F.pmod(F.xxhash64("event_id"), F.lit(DISORDER_MICROS))
-    arriving = events.withColumn("slot", F.floor((micros - first + early) / span))
-    incoming = new_path(spark, "arrivals")
-    for slot in range(ARRIVALS):
-        # One file per arrival, as a file source takes its files in the order they were written.
-        arriving.filter(F.col("slot") == slot).drop("slot").coalesce(1).write.mode("append").parquet(incoming)
+    incoming = arrivals(spark, events)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
     requests = stream.select(F.concat(F.lit("query-cache-"), "props").alias("key"), "ts", F.col("event_id").alias("request_id"))
     path = new_path(spark, "requests")

@@ -32,14 +32,18 @@ def accepted_positions(micros: np.ndarray, last: int | None, lifetime: int = LIF
     return taken
 
 
+def first_per_time(rows: np.ndarray) -> np.ndarray:
+    """Rows (micros, request_id) in order of time, of each time that with the least id: no other can be accepted."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return rows[np.r_[True, rows[1:, 0] != rows[:-1, 0]]] if len(rows) else rows
+
+
 def _first_requests(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, micros, ids = state.get if state.exists else (None, [], [])
-    waiting = [np.array([micros, ids], np.int64).reshape(2, -1).T]
-    # Two numbers per request of one key in one micro-batch, whose size the source's admission limits bound.
-    if not state.hasTimedOut:
-        waiting += [batch[["micros", "request_id"]].to_numpy(dtype=np.int64) for batch in batches]
-    rows = np.concatenate(waiting)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    rows = np.array([micros, ids], np.int64).reshape(2, -1).T
+    # One row per distinct time is held, and each piece is cut to that as it comes.
+    for batch in [] if state.hasTimedOut else batches:
+        rows = first_per_time(np.concatenate([rows, batch[["micros", "request_id"]].to_numpy(dtype=np.int64)]))
     # No earlier request can come before the watermark, so what lies before it is decided, in order of time.
     watermark = state.getCurrentWatermarkMs()
     open_from = int(np.searchsorted(rows[:, 0], watermark * 1000, side="left"))

@@ -1,8 +1,11 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from slink.plans import streaming_queries
+from slink.streaming import requests
 from slink.streaming.catalog_stream import catalog_upsert_stream, read_version
 from slink.streaming.requests import LIFETIME_MICROS, accepted_positions, first_requests_stream, write_stream
 
@@ -82,3 +85,34 @@ def test_catalog_versions(spark, tmp_path):
     spark.createDataFrame([("T", "D", 4, 4)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     later = catalog_upsert_stream(*again)
     assert later > last and read_version(spark, str(tmp_path / "out"), later).count() == 4
+
+
+def test_arrivals_grow_with_the_table_and_come_in_order(spark):
+    rows = [(i, "p", START + datetime.timedelta(minutes=i)) for i in range(3000)]
+    events = spark.createDataFrame(rows, "event_id long, props string, ts timestamp_ntz")
+    path = streaming_queries.arrivals(spark, events, rows=300)
+    meta = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")
+    files = spark.read.parquet(path).groupBy(meta[0].alias("f"), meta[1].alias("t")).agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    files = files.orderBy("t").collect()
+    assert len(files) >= 9 and sum(f.n for f in files) == 3000 and max(f.n for f in files) < 600
+    late = datetime.timedelta(hours=1)
+    assert all(b.lo > max(a.hi for a in files[: i + 1]) - late for i, b in enumerate(files[1:]))
+
+
+def test_state_holds_distinct_times_only():
+    class State:
+        exists = hasTimedOut = False
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutTimestamp(self, at):
+            pass
+
+    state = State()
+    pieces = [pd.DataFrame({"micros": [7, 5, 7, 5], "request_id": [i + 4, i + 3, i + 2, i + 9]}) for i in (30, 10, 20)]
+    assert list(requests._first_requests(("hot",), iter(pieces), state)) == []
+    assert state.value == (None, [5, 7], [13, 12])
