@@ -15,6 +15,7 @@ from slink.llm import (
     quality_rules,
     secret_layers,
     simhash_pivots,
+    token_alignment,
     token_records,
     toxicity_neighbours,
 )
@@ -125,3 +126,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.components(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.Alignment(docs, *paths, ["doc_id"]).documents()

@@ -37,8 +37,8 @@ _LENGTH, _CHECK, _BODY = "<Q", "<I", "<qBBI"
 _HEAD_BYTES, _CHECK_BYTES, _BODY_BYTES = 12, 4, 14
 _WIDTHS = {2: "<u2", 4: "<u4"}
 # White space of other kinds than blanks and line ends, and runs of white space, keep a text out of the word memory.
-_RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_RUNS = ("  ", "\n ", " \n", "\n\n")
+RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RUNS = ("  ", "\n ", " \n", "\n\n")
 _MARK = "\r"
 
 
@@ -84,21 +84,21 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.mark = self._direct([_MARK])[0]
+        self.mark = self.direct([_MARK])[0]
         self.known: dict[str, bytes] = {}
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
+    def direct(self, texts: list[str]) -> list[bytes]:
         kind = _WIDTHS[self.width]
         return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> Iterator[bytes]:
+    def words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words, many in one call: between them stands a mark that is in none, and that is a piece of its own."""
         kind = _WIDTHS[self.width]
         mark = np.frombuffer(self.mark, kind)[0]
         for start in range(0, len(words), 1000):
             some = words[start : start + 1000]
             joined = _MARK.join(w if w.startswith("\n") else " " + w for w in some)
-            ids = np.frombuffer(self._direct([joined])[0], kind)
+            ids = np.frombuffer(self.direct([joined])[0], kind)
             ends = np.flatnonzero(ids == mark)
             data = ids.tobytes()
             yield from (
@@ -111,11 +111,11 @@ class Encoder:
         if len(known) > REMEMBERED:
             known.clear()
         cut = [
-            None if _RARE.search(t) or any(r in t for r in _RUNS) else t.replace("\n", " \n").split(" ") for t in texts
+            None if RARE.search(t) or any(r in t for r in RUNS) else t.replace("\n", " \n").split(" ") for t in texts
         ]
         missing = list({word for words in cut if words for word in words[1:] if word not in known})
-        known.update(zip(missing, self._words(missing), strict=True))
-        firsts = self._direct([t if words is None else words[0] for t, words in zip(texts, cut, strict=True)])
+        known.update(zip(missing, self.words(missing), strict=True))
+        firsts = self.direct([t if words is None else words[0] for t, words in zip(texts, cut, strict=True)])
         return [
             first if words is None else first + b"".join(map(known.__getitem__, words[1:]))
             for first, words in zip(firsts, cut, strict=True)

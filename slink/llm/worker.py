@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 _HOME = "_slink_worker"
@@ -19,3 +19,42 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in home:
         home[key] = make()
     return home[key]
+
+
+class Generations:
+    """A bounded memory that frequent keys stay in.
+
+    When the young generation is full it becomes the old one, and what was in the old one is let go; a key found in
+    the old one moves up. So keys that come again stay and those that came once leave.
+    """
+
+    def __init__(self, entries: int):
+        self.half = max(1, entries // 2)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key: Any) -> Any:
+        """The value of a key, None if it is not here."""
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: Any, value: Any) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def all(self, keys: Iterable, make: Callable[[list], Iterable]) -> dict:
+        """Values of all the keys (distinct ones); `make` gives those of the missing ones, in their order."""
+        found, missing = {}, []
+        for key in keys:
+            value = self.get(key)
+            if value is None:
+                missing.append(key)
+            else:
+                found[key] = value
+        for key, value in zip(missing, make(missing), strict=True):
+            found[key] = value
+            self.put(key, value)
+        return found
