@@ -18,6 +18,7 @@ from slink.llm import (
     token_alignment,
     token_records,
     toxicity_neighbours,
+    whitening,
 )
 from slink.plans.bindings import table
 from slink.plans.registry import query
@@ -128,6 +129,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.components(table(spark, sf_dir, "documents"))
 
 
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, found, ["vec_id"])
+    shares = [float(e / found.trace) for e in found.eigenvalues] if found else []
+    numbered = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("_i", "whitened"))
+    return numbered.select(
+        "vec_id",
+        (F.col("_i") + 1).alias("component"),
+        F.lit(found.n if found else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(F.lit(shares).cast("array<double>"), F.col("_i")).alias("explained"),
+        F.lit(found.identity_error if found else 0.0).alias("identity_error"),
+    )
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
