@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slink.llm import (
     bpe_fragments,
+    licence_index,
     mixing,
     permutation_index,
     pii_boost,
@@ -129,6 +130,27 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.components(table(spark, sf_dir, "documents"))
 
 
+@query("op11_licences")
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licence_index.scan(docs, licence_index.build(docs), ["doc_id"])
+    base = F.filter("matches", lambda m: m["exact"])
+
+    def labels(matches):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda m: m["first_word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda m: m["first_word"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
