@@ -28,10 +28,10 @@ from tokenizers import Tokenizer
 
 from slink.llm import arrow
 from slink.llm.bpe_fragments import read_spec
-from slink.llm.worker import kept
+from slink.llm.worker import Generations, kept
 
 FILE_BYTES = 64 << 20
-REMEMBERED = 400_000
+REMEMBERED = 800_000  # words that a worker keeps, those that come again the longest
 MASK_DELTA = 0xA282EAD8
 _LENGTH, _CHECK, _BODY = "<Q", "<I", "<qBBI"
 _HEAD_BYTES, _CHECK_BYTES, _BODY_BYTES = 12, 4, 14
@@ -85,7 +85,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.mark = self.direct([_MARK])[0]
-        self.known: dict[str, bytes] = {}
+        self.known = Generations(REMEMBERED)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         kind = _WIDTHS[self.width]
@@ -107,19 +107,18 @@ class Encoder:
             )
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        """Ids of each text; equal texts are encoded once."""
+        distinct = list(dict.fromkeys(texts))
         cut = [
-            None if RARE.search(t) or any(r in t for r in RUNS) else t.replace("\n", " \n").split(" ") for t in texts
-        ]
-        missing = list({word for words in cut if words for word in words[1:] if word not in known})
-        known.update(zip(missing, self.words(missing), strict=True))
-        firsts = self.direct([t if words is None else words[0] for t, words in zip(texts, cut, strict=True)])
-        return [
-            first if words is None else first + b"".join(map(known.__getitem__, words[1:]))
-            for first, words in zip(firsts, cut, strict=True)
+            None if RARE.search(t) or any(r in t for r in RUNS) else t.replace("\n", " \n").split(" ") for t in distinct
         ]
+        known = self.known.all({word for words in cut if words for word in words[1:]}, self.words)
+        firsts = self.direct([t if words is None else words[0] for t, words in zip(distinct, cut, strict=True)])
+        ids = {
+            text: first if words is None else first + b"".join(map(known.__getitem__, words[1:]))
+            for text, first, words in zip(distinct, firsts, cut, strict=True)
+        }
+        return [ids[text] for text in texts]
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> None:

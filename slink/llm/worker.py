@@ -47,8 +47,15 @@ class Generations:
 
     def all(self, keys: Iterable, make: Callable[[list], Iterable]) -> dict:
         """Values of all the keys (distinct ones); `make` gives those of the missing ones, in their order."""
-        found, missing = {}, []
+        found, rest, missing = {}, [], []
+        young = self.young.get
         for key in keys:
+            value = young(key)
+            if value is None:
+                rest.append(key)
+            else:
+                found[key] = value
+        for key in rest:
             value = self.get(key)
             if value is None:
                 missing.append(key)
