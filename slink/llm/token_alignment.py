@@ -205,9 +205,10 @@ class Aligner:
     def batch(self, texts: list[str]) -> tuple[list[tuple], tuple]:
         """Sums of each text, and the distinct pairs of all of them with the texts that hold them."""
         cut = [self.pieces(t) for t in texts]
-        values = self.known.all(dict.fromkeys(chain.from_iterable(cut)), self._by_size)
-        index = {piece: i for i, piece in enumerate(values)}
-        n_a, n_b, n_groups, n_links, spelt, data = zip(*values.values(), strict=True) if values else [()] * 6
+        distinct = set(chain.from_iterable(cut))
+        known = self.known.holding(distinct, self._by_size)
+        index = {piece: i for i, piece in enumerate(distinct)}
+        n_a, n_b, n_groups, n_links, spelt, data = zip(*map(known.__getitem__, index), strict=True) if index else [()] * 6
         sums, rows, doc_of = [], [], []
         for doc, pieces in enumerate(cut):
             at = [index[p] for p in pieces]

@@ -24,14 +24,14 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from slink.llm import arrow
-from slink.llm.bpe_fragments import read_spec
+from slink.llm.bpe_fragments import byte_characters, read_spec
 from slink.llm.worker import Generations, kept
 
 FILE_BYTES = 64 << 20
-REMEMBERED = 800_000  # words that a worker keeps, those that come again the longest
+REMEMBERED, STEMS = 800_000, 400_000  # words and rows of letters that a worker keeps, those that come again the longest
 MASK_DELTA = 0xA282EAD8
 _LENGTH, _CHECK, _BODY = "<Q", "<I", "<qBBI"
 _HEAD_BYTES, _CHECK_BYTES, _BODY_BYTES = 12, 4, 14
@@ -40,6 +40,8 @@ _WIDTHS = {2: "<u2", 4: "<u4"}
 RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 RUNS = ("  ", "\n ", " \n", "\n\n")
 _MARK = "\r"
+# Letters below U+0250, then ASCII punctuation: with the blank before it the letters are one piece, the rest another.
+_STEM = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\[-`{-~]*)\Z")
 
 
 def masked(data: bytes) -> int:
@@ -77,7 +79,8 @@ class Encoder:
 
     Its pre-tokenizer begins a new piece at each blank, and makes each line end a piece, unless they are in a run of
     white space. So texts without such runs are encoded word by word, each with the blank or line end before it, and
-    each distinct one once per worker. Other texts are encoded as they are.
+    each distinct one once per worker; of words that are letters and punctuation each distinct row of letters once.
+    Other texts are encoded as they are.
     """
 
     def __init__(self, spec: str):
@@ -85,34 +88,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.mark = self.direct([_MARK])[0]
-        self.known = Generations(REMEMBERED)
+        # The same model for pieces that are rows of byte characters already, with a mark between them.
+        self.bytes = byte_characters()
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.Split(self.bytes[ord(_MARK)], "isolated")
+        self.known, self.stems, self.tails = Generations(REMEMBERED), Generations(STEMS), Generations(STEMS)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         kind = _WIDTHS[self.width]
         return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words, many in one call: between them stands a mark that is in none, and that is a piece of its own."""
+    def _marked(self, tokenizer: Tokenizer, pieces: list[str], mark: str) -> Iterator[bytes]:
+        """Ids of pieces, many in one call: between them stands a mark that is in none, and that is a piece of its own."""
         kind = _WIDTHS[self.width]
-        mark = np.frombuffer(self.mark, kind)[0]
-        for start in range(0, len(words), 1000):
-            some = words[start : start + 1000]
-            joined = _MARK.join(w if w.startswith("\n") else " " + w for w in some)
-            ids = np.frombuffer(self.direct([joined])[0], kind)
-            ends = np.flatnonzero(ids == mark)
+        number = np.frombuffer(self.mark, kind)[0]
+        for start in range(0, len(pieces), 1000):
+            joined = mark.join(pieces[start : start + 1000])
+            ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, kind)
+            ends = np.flatnonzero(ids == number)
             data = ids.tobytes()
             yield from (
                 data[a * self.width : b * self.width]
                 for a, b in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)
             )
 
+    def _of_stems(self, stems: list[str]) -> Iterator[bytes]:
+        blank = self.bytes[ord(" ")]
+        spelt = [blank + (s if s.isascii() else s.encode().decode("latin-1").translate(self.bytes)) for s in stems]
+        return self._marked(self.merger, spelt, self.bytes[ord(_MARK)])
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, with a blank before each that does not begin with a line end."""
+        cut = [_STEM.match(w) for w in words]
+        stems = self.stems.holding({m[1] for m in cut if m}, self._of_stems)
+        tails = self.tails.holding({m[2] for m in cut if m}, self.direct)
+        rest = [w for w, m in zip(words, cut, strict=True) if not m]
+        others = self._marked(self.tokenizer, [w if w.startswith("\n") else " " + w for w in rest], _MARK)
+        return [stems[m[1]] + tails[m[2]] if m else next(others) for m in cut]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; equal texts are encoded once."""
         distinct = list(dict.fromkeys(texts))
         cut = [
             None if RARE.search(t) or any(r in t for r in RUNS) else t.replace("\n", " \n").split(" ") for t in distinct
         ]
-        known = self.known.all({word for words in cut if words for word in words[1:]}, self.words)
+        known = self.known.holding(set().union(*(words[1:] for words in cut if words)), self.words)
         firsts = self.direct([t if words is None else words[0] for t, words in zip(distinct, cut, strict=True)])
         ids = {
             text: first if words is None else first + b"".join(map(known.__getitem__, words[1:]))

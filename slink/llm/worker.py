@@ -33,35 +33,16 @@ class Generations:
         self.young: dict = {}
         self.old: dict = {}
 
-    def get(self, key: Any) -> Any:
-        """The value of a key, None if it is not here."""
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key: Any, value: Any) -> None:
+    def holding(self, keys: set, make: Callable[[list], Iterable]) -> dict:
+        """A mapping with (at least) all the keys; `make` gives the values of the missing ones, in their order."""
         if len(self.young) >= self.half:
             self.old, self.young = self.young, {}
-        self.young[key] = value
-
-    def all(self, keys: Iterable, make: Callable[[list], Iterable]) -> dict:
-        """Values of all the keys (distinct ones); `make` gives those of the missing ones, in their order."""
-        found, rest, missing = {}, [], []
-        young = self.young.get
-        for key in keys:
-            value = young(key)
-            if value is None:
-                rest.append(key)
-            else:
-                found[key] = value
-        for key in rest:
-            value = self.get(key)
+        missing = []
+        for key in keys.difference(self.young):
+            value = self.old.get(key)
             if value is None:
                 missing.append(key)
             else:
-                found[key] = value
-        for key, value in zip(missing, make(missing), strict=True):
-            found[key] = value
-            self.put(key, value)
-        return found
+                self.young[key] = value
+        self.young.update(zip(missing, make(missing), strict=True))
+        return self.young
