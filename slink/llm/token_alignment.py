@@ -32,9 +32,9 @@ from slink.llm.token_records import RARE, RUNS, Encoder
 from slink.llm.worker import Generations, kept
 from slink.sources.shared import new_path
 
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 6 << 20
 BATCH_DOCS = 65_535
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 B_IDS = 1 << 20  # a pair is one number: id of A times this, plus id of B
 EXPANDED = 64  # a group with more links than this is linked by its distinct ids
 
@@ -108,6 +108,7 @@ class Aligner:
     def __init__(self, spec_a: str, model_b: bytes):
         self.a = Encoder(spec_a)
         self.a.tokenizer.encode_special_tokens = True
+        self.a.stems = Generations(REMEMBERED)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         byte_of = {c: b for b, c in byte_characters().items()}
         vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=True)

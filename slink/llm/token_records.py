@@ -17,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from slink.llm.bpe_fragments import byte_characters, read_spec
 from slink.llm.worker import Generations, kept
 
 FILE_BYTES = 64 << 20
+PIECE_CHARS = 4 << 20
 REMEMBERED, STEMS = 800_000, 400_000  # words and rows of letters that a worker keeps, those that come again the longest
 MASK_DELTA = 0xA282EAD8
 _LENGTH, _CHECK, _BODY = "<Q", "<I", "<qBBI"
@@ -40,8 +42,9 @@ _WIDTHS = {2: "<u2", 4: "<u4"}
 RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 RUNS = ("  ", "\n ", " \n", "\n\n")
 _MARK = "\r"
-# Letters below U+0250, then ASCII punctuation: with the blank before it the letters are one piece, the rest another.
-_STEM = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\[-`{-~]*)\Z")
+# A blank and letters are one piece, punctuation after them another; letters are told apart only below U+0250.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 
 
 def masked(data: bytes) -> int:
@@ -119,12 +122,14 @@ class Encoder:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of words, with a blank before each that does not begin with a line end."""
-        cut = [_STEM.match(w) for w in words]
-        stems = self.stems.holding({m[1] for m in cut if m}, self._of_stems)
-        tails = self.tails.holding({m[2] for m in cut if m}, self.direct)
-        rest = [w for w, m in zip(words, cut, strict=True) if not m]
-        others = self._marked(self.tokenizer, [w if w.startswith("\n") else " " + w for w in rest], _MARK)
-        return [stems[m[1]] + tails[m[2]] if m else next(others) for m in cut]
+        cut = [w.rstrip(_PUNCTUATION) for w in words]
+        plain = [s.isalpha() and (s.isascii() or _LETTERS.fullmatch(s) is not None) for s in cut]
+        stems = self.stems.holding(set(compress(cut, plain)), self._of_stems)
+        ends = [w[len(s) :] for w, s in zip(words, cut, strict=True)]
+        tails = self.tails.holding(set(compress(ends, plain)), self.direct)
+        rest = [w if w.startswith("\n") else " " + w for w, p in zip(words, plain, strict=True) if not p]
+        others = self._marked(self.tokenizer, rest, _MARK)
+        return [stems[s] + tails[e] if p else next(others) for s, e, p in zip(cut, ends, plain, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; equal texts are encoded once."""
@@ -169,7 +174,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> Non
         names = ["part", "seq", "file", "doc_id", "offset", "n_tokens"]
         try:
             for whole in batches:
-                for batch in arrow.pieces(whole, "text"):
+                for batch in arrow.pieces(whole, "text", PIECE_CHARS):
                     rows = []
                     encoded = encoder.encode(arrow.strings(batch.column("text")))
                     for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):

@@ -37,12 +37,9 @@ class Generations:
         """A mapping with (at least) all the keys; `make` gives the values of the missing ones, in their order."""
         if len(self.young) >= self.half:
             self.old, self.young = self.young, {}
-        missing = []
-        for key in keys.difference(self.young):
-            value = self.old.get(key)
-            if value is None:
-                missing.append(key)
-            else:
-                self.young[key] = value
+        fresh = keys.difference(self.young)
+        back = self.old.keys() & fresh
+        self.young.update(zip(back, map(self.old.__getitem__, back), strict=True))
+        missing = list(fresh.difference(back))
         self.young.update(zip(missing, make(missing), strict=True))
         return self.young
