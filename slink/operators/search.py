@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
+from slink.operators.block_stream import pair_stream, strip_count
 from slink.operators.grouping import top_k_per_group
 
-# Documents per block, and the bounds of questions per block. Between these
-# bounds a block has as many questions as keep its hits below HITS_PER_BLOCK:
-# larger question blocks mean fewer copies of the documents.
+# Documents per block, and the fewest questions that are worth a strip of their own.
 DOCUMENT_BLOCK = 8192
 LEAST_QUESTIONS = 64
-QUESTION_BLOCK = 4096
-HITS_PER_BLOCK = 4_000_000
-# Shuffle partitions per pair of blocks.
-SPREAD = 3
 # Questions scored at a time inside a block, which bounds the score matrix.
 SCORED_AT_ONCE = 256
 # Hits are ranked on the full score, less the noise of the arithmetic, and shown with fewer decimals.
@@ -29,16 +25,14 @@ SHOWN_DECIMALS = 4
 
 SOURCE = "data_source_id"
 HIT_SCHEMA = f"question_id long, {SOURCE} long, index_name string, vec_id long, score double, rank int"
-_ARROW_HITS = pa.schema(
-    [
-        ("question_id", pa.int64()),
-        (SOURCE, pa.int64()),
-        ("index_name", pa.string()),
-        ("vec_id", pa.int64()),
-        ("score", pa.float64()),
-        ("rank", pa.int32()),
-    ]
-)
+_ARROW_HITS = [
+    ("question_id", pa.int64()),
+    (SOURCE, pa.int64()),
+    ("index_name", pa.string()),
+    ("vec_id", pa.int64()),
+    ("score", pa.float64()),
+    ("rank", pa.int32()),
+]
 
 
 def limits_for(limits: tuple[int, int], indexes: list[str] = fixed.ALL_INDEXES) -> dict[str, int]:
@@ -58,7 +52,7 @@ def limit_column(k: int | dict[str, int], index: Column) -> Column:
     return chosen
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     """Unit rows of an ARRAY<FLOAT> column, straight from the Arrow buffers."""
     vectors = column.combine_chunks()
     rows = len(vectors)
@@ -68,52 +62,62 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _block_hits(k: int | dict[str, int]):
-    def search(questions: pa.Table, documents: pa.Table) -> pa.Table:
-        if questions.num_rows == 0 or documents.num_rows == 0:
-            return _ARROW_HITS.empty_table()
+def scored(
+    questions: pa.Table, documents: pa.Table, mine: Callable[[int], list[np.ndarray]], at_once: int | None = None
+) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(question rows, data source, document rows, scores) of a strip and a block, a few questions at a time.
+
+    `mine` gives the sets of document rows of a data source that are scored together.
+    """
+    at_once = min(at_once or SCORED_AT_ONCE, SCORED_AT_ONCE)
+    sources, d = questions[SOURCE].to_numpy(), unit_rows(documents["embedding"])
+    for source in np.unique(sources).tolist():
+        asking = np.flatnonzero(sources == source)
+        sets = [rows for rows in mine(source) if len(rows)]
+        for start in range(0, len(asking), at_once) if sets else ():
+            some = asking[start : start + at_once]
+            q = unit_rows(questions["embedding"].take(pa.array(some)))
+            for rows in sets:
+                yield some, source, rows, np.round(q @ d[rows].T, RANKED_DECIMALS) + 0.0
+
+
+def _block_hits(k: int | dict[str, int], carry: list[str]):
+    def search(questions: pa.Table, documents: pa.Table) -> Iterator[pa.RecordBatch]:
         documents = documents.sort_by("vec_id")
-        question_ids, question_sources = questions["question_id"].to_numpy(), questions[SOURCE].to_numpy()
-        q = _matrix(questions["embedding"])
+        question_ids = questions["question_id"].to_numpy()
         document_sources = documents[SOURCE].to_numpy()
         encoded = documents["index_name"].combine_chunks().dictionary_encode()
-        codes, names = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
-        vec_ids = documents["vec_id"].to_numpy()
-        d = _matrix(documents["embedding"])
-        out_q, out_d, out_v, out_s, out_i, out_r = [], [], [], [], [], []
-        groups = [(s, code) for s in np.unique(question_sources) for code in range(len(names))]
-        for source, code in groups:
-            asking = np.flatnonzero(question_sources == source)
-            mine = np.flatnonzero((codes == code) & (document_sources == source))
-            candidates, keep = d[mine].T, min(k if isinstance(k, int) else k[names[code]], len(mine))
-            for start in range(0, len(asking), SCORED_AT_ONCE):
-                some = asking[start : start + SCORED_AT_ONCE]
-                scores = np.round(q[some] @ candidates, RANKED_DECIMALS) + 0.0
-                # Documents are in vec_id order, so a stable sort breaks ties by id.
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-                out_q.append(np.repeat(question_ids[some], keep))
-                out_d.append(np.full(best.size, source, dtype=np.int64))
-                out_v.append(vec_ids[mine][best].ravel())
-                out_s.append(np.take_along_axis(scores, best, axis=1).ravel())
-                out_i.append(np.full(best.size, code, dtype=np.int32))
-                out_r.append(np.tile(np.arange(1, keep + 1, dtype=np.int32), len(scores)))
-        index = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(out_i)), pa.array(names)).cast(pa.string())
-        columns = [np.concatenate(out) for out in (out_q, out_d, out_v, out_s, out_r)]
-        ids, sources, vecs, values, ranks = [pa.array(c) for c in columns]
-        return pa.Table.from_arrays([ids, sources, index, vecs, values, ranks], schema=_ARROW_HITS)
+        codes, names = encoded.indices.to_numpy(), encoded.dictionary
+        carried = [documents[c].combine_chunks() for c in ("vec_id", *carry)]
+
+        def mine(source: int) -> list[np.ndarray]:
+            return [np.flatnonzero((codes == code) & (document_sources == source)) for code in range(len(names))]
+
+        for some, source, rows, scores in scored(questions, documents, mine):
+            code = int(codes[rows[0]])
+            keep = min(k if isinstance(k, int) else k[names[code].as_py()], len(rows))
+            # Documents are in vec_id order, so a stable sort breaks ties by id.
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+            chosen = pa.array(rows[best].ravel())
+            columns = [
+                pa.array(np.repeat(question_ids[some], keep)),
+                pa.array(np.full(best.size, source, np.int64)),
+                names.take(pa.array(np.full(best.size, code, np.int32))),
+                carried[0].take(chosen),
+                pa.array(np.take_along_axis(scores, best, axis=1).ravel()),
+                pa.array(np.tile(np.arange(1, keep + 1, dtype=np.int32), len(some))),
+                *(column.take(chosen) for column in carried[1:]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in _ARROW_HITS] + carry)
 
     return search
 
 
-def _blocks(rows: int, block: int, least: int = 1) -> int:
-    return max(math.ceil(rows / block), least, 1)
-
-
 def document_block_count(documents: DataFrame) -> int:
-    return _blocks(documents.count(), DOCUMENT_BLOCK)
+    return max(1, math.ceil(documents.count() / DOCUMENT_BLOCK))
 
 
-def _source(df: DataFrame) -> Column:
+def source_of(df: DataFrame) -> Column:
     """A question's or document's data source; tables without the column are all of one source."""
     return (F.col(SOURCE) if SOURCE in df.columns else F.lit(1)).cast("long").alias(SOURCE)
 
@@ -123,46 +127,28 @@ def shown_score(score: str = "score") -> Column:
 
 
 def similarity_join(
-    questions: DataFrame, documents: DataFrame, k: int | dict[str, int], document_blocks: int | None = None
+    questions: DataFrame,
+    documents: DataFrame,
+    k: int | dict[str, int],
+    document_blocks: int | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Block-local best hits of every question in every index of its data source, ranked in their block.
 
-    Both sides are cut into blocks by a hash of their unique id, so a block is
-    never larger than planned however the indexes are filled. Each (question
-    block, document block) pair is one matrix product in one task, and only
-    the local top k of each index leaves it. Nothing is broadcast or collected.
+    Documents are cut into blocks by a hash of their unique id, so a block is never larger than planned however the
+    indexes are filled, and questions into strips; a bounded number of tasks streams the blocks past the strips, and
+    only the local top k of each index leaves a block. Nothing is broadcast or collected. With `carry` columns of the
+    documents come along with their hits, so that these need not be joined with the index again.
     """
-    n_questions, document_blocks = questions.count(), document_blocks or document_block_count(documents)
-    parallelism = questions.sparkSession.sparkContext.defaultParallelism
-    hits_each = min(DOCUMENT_BLOCK, k * len(fixed.ALL_INDEXES) if isinstance(k, int) else sum(k.values()))
-    question_block = max(LEAST_QUESTIONS, min(QUESTION_BLOCK, HITS_PER_BLOCK // hits_each))
-    # Enough tasks for the cores, by more question blocks: only these leave nothing to merge.
-    wanted = min(math.ceil(parallelism / document_blocks), math.ceil(n_questions / LEAST_QUESTIONS))
-    question_blocks = _blocks(n_questions, question_block, wanted)
-
-    def spread(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = questions.select(
-        "question_id",
-        _source(questions),
-        "embedding",
-        F.pmod(F.xxhash64("question_id"), F.lit(question_blocks)).cast("int").alias("qb"),
-        spread(document_blocks).alias("db"),
-    )
-    right = documents.select(
-        _source(documents),
-        "index_name",
-        "vec_id",
-        "embedding",
-        F.pmod(F.xxhash64(_source(documents), "index_name", "vec_id"), F.lit(document_blocks)).cast("int").alias("db"),
-        spread(question_blocks).alias("qb"),
-    )
-    # A fixed number of partitions, several per pair: little data but much arithmetic is in each, so they must
-    # neither be merged by size nor often share a task.
-    partitions = SPREAD * question_blocks * document_blocks
-    left, right = (side.repartition(partitions, "qb", "db") for side in (left, right))
-    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(_block_hits(k), HIT_SCHEMA)
+    carry = carry or []
+    blocks = document_blocks or document_block_count(documents)
+    strips = strip_count(questions, questions.count(), blocks, LEAST_QUESTIONS)
+    left = questions.select("question_id", source_of(questions), "embedding")
+    right = documents.select(source_of(documents), "index_name", "vec_id", "embedding", *carry)
+    types = "".join(f", {f.name} {f.dataType.simpleString()}" for f in right.schema.fields if f.name in carry)
+    strip = F.pmod(F.xxhash64("question_id"), F.lit(strips))
+    block = F.pmod(F.xxhash64(SOURCE, "index_name", "vec_id"), F.lit(blocks))
+    return pair_stream(left, right, strip, strips, block, blocks, _block_hits(k, carry), HIT_SCHEMA + types)
 
 
 def top_k_hits(hits: DataFrame, k: int | dict[str, int]) -> DataFrame:
@@ -174,16 +160,30 @@ def top_k_hits(hits: DataFrame, k: int | dict[str, int]) -> DataFrame:
     return ranked if isinstance(k, int) else ranked.filter(F.col("rank") <= limit_column(k, F.col("index_name")))
 
 
-def exact_knn(questions: DataFrame, documents: DataFrame, k: int | dict[str, int]) -> DataFrame:
+def full_knn(
+    questions: DataFrame, documents: DataFrame, k: int | dict[str, int], carry: list[str] | None = None
+) -> DataFrame:
+    """`exact_knn` with the scores that it ranks by."""
+    blocks = document_block_count(documents)
+    found = similarity_join(questions, documents, k, blocks, carry)
+    return found if blocks == 1 else top_k_hits(found, k)
+
+
+def exact_knn(
+    questions: DataFrame, documents: DataFrame, k: int | dict[str, int], carry: list[str] | None = None
+) -> DataFrame:
     """Exact top k by cosine, with `rank` from 1 per question and index.
 
     With one document block the block-local cut is already the answer; with
     more, the block results are cut once more per question and index.
     """
-    blocks = document_block_count(documents)
-    found = similarity_join(questions, documents, k, blocks)
-    ranked = found if blocks == 1 else top_k_hits(found, k)
-    return ranked.withColumn("score", shown_score())
+    return full_knn(questions, documents, k, carry).withColumn("score", shown_score())
+
+
+def overfull_indexes(documents: DataFrame, k: dict[str, int]) -> DataFrame:
+    """(data source, index) pairs with more documents than a question keeps of them; all others are kept whole."""
+    sizes = documents.groupBy(source_of(documents), "index_name").agg(F.count("*").alias("n"))
+    return sizes.filter(F.col("n") > limit_column(k, F.col("index_name"))).select(SOURCE, "index_name")
 
 
 def drop_missing_hits(hits: DataFrame) -> DataFrame:
@@ -193,8 +193,8 @@ def drop_missing_hits(hits: DataFrame) -> DataFrame:
 
 def hits_to_elements(hits: DataFrame, links: DataFrame) -> DataFrame:
     """Vector number to (table, column, value)."""
-    elements = links.select(_source(links), "index_name", "vec_id", "table_id", "column_id", "value")
-    keyed = hits if SOURCE in hits.columns else hits.withColumn(SOURCE, _source(hits))
+    elements = links.select(source_of(links), "index_name", "vec_id", "table_id", "column_id", "value")
+    keyed = hits if SOURCE in hits.columns else hits.withColumn(SOURCE, source_of(hits))
     return keyed.join(elements, [SOURCE, "index_name", "vec_id"])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slink.functions import fixed_values as fixed
 from slink.functions import vectors
 from slink.operators import documents as docs_op
-from slink.operators import packing, question_log, ranking, search, training
+from slink.operators import packing, question_log, ranking, sampling, search, training
 from slink.plans import bindings as b
 from slink.plans import log_bindings as lb
 from slink.plans.catalog_queries import LITERAL_SQL, TOKENS_SQL, TYPE_SQL
@@ -34,7 +34,7 @@ def hits(spark, sf_dir, k=WEIGHTED):
 
 
 def element_hits(spark, sf_dir, k=WEIGHTED):
-    return search.hits_to_elements(hits(spark, sf_dir, k), b.index_documents(spark, sf_dir))
+    return search.exact_knn(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir), k, carry=ranking.ELEMENT)
 
 
 def ranked(spark, sf_dir):
@@ -83,10 +83,10 @@ def j11(spark, sf_dir):
 
 @query(
     "w2_top_k_hits",
-    f"WITH {b.INDEX_CTE}, {b.hits_cte((5, 2))} SELECT question_id, index_name, vec_id, score, hit_rank AS rank FROM hits",
+    f"{HITS} SELECT question_id, index_name, vec_id, score, hit_rank AS rank FROM hits",
 )
 def w2(spark, sf_dir):
-    return hits(spark, sf_dir, search.limits_for((5, 2))).drop("data_source_id")
+    return hits(spark, sf_dir).drop("data_source_id")
 
 
 @query(
@@ -163,8 +163,8 @@ def u1(spark, sf_dir):
     for kind, names in zip(ranking.LEVELS, (fixed.TABLE_INDEXES, fixed.COLUMN_INDEXES, fixed.VALUE_INDEXES), strict=True):
         # Each level searches its own indexes.
         index = b.index_documents(spark, sf_dir).filter(F.col("index_name").isin(names))
-        found = search.exact_knn(b.questions(spark, sf_dir), index, WEIGHTED)
-        levels.append(ranking.best_score(search.hits_to_elements(found, index)).withColumn("level", F.lit(kind)))
+        found = search.exact_knn(b.questions(spark, sf_dir), index, WEIGHTED, carry=ranking.ELEMENT)
+        levels.append(ranking.best_score(found).withColumn("level", F.lit(kind)))
     merged = ranking.union_levels(*levels)
     return merged.groupBy("level", "question_id").agg(
         F.count("*").alias("elements"), F.min("score").alias("low"), F.max("score").alias("high")
@@ -325,6 +325,10 @@ def touched(spark, sf_dir):
     return asked.join(elements(spark, sf_dir), "table_id").withColumn("value", value).select("question_id", *ranking.ELEMENT)
 
 
+def sampler(spark, sf_dir):
+    return sampling.Sampler(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir))
+
+
 def written_features(spark, sf_dir, limits=fixed.TRAINING_RANK_LIMITS):
     return materialize(features(spark, sf_dir, limits), "features")
 
@@ -354,14 +358,14 @@ SEED = 7
 
 @query("j5_positives", TRAINING_FEATURES + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id FROM exact")
 def j5(spark, sf_dir):
-    scores = features(spark, sf_dir, fixed.TRAINING_RANK_LIMITS).filter(F.col("value").isNull())
-    exact = touched(spark, sf_dir).filter(F.col("value").isNull())
-    return training.positives(scores, exact).select("question_id", "table_id", "column_id")
+    found = sampler(spark, sf_dir).positives(touched(spark, sf_dir).filter(F.col("value").isNull()))
+    return found.select("question_id", "table_id", "column_id")
 
 
 @query("j6_positives_ci", TRAINING_FEATURES + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value FROM loose")
 def j6(spark, sf_dir):
-    return training.positives_ci(features(spark, sf_dir, fixed.TRAINING_RANK_LIMITS), touched(spark, sf_dir)).select("question_id", *ranking.ELEMENT)
+    found = sampler(spark, sf_dir).positives(touched(spark, sf_dir).filter(F.col("value").isNotNull()))
+    return found.select("question_id", *ranking.ELEMENT)
 
 
 @query("j7_negative_pool", TRAINING_FEATURES + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value FROM pool")
@@ -373,12 +377,9 @@ def j7(spark, sf_dir):
 
 @query("m8_sample_negatives", TRAINING_FEATURES + f", {POSITIVE_CTE} SELECT question_id, table_id, column_id, value, wanted FROM negative")
 def m8(spark, sf_dir):
-    scores = written_features(spark, sf_dir)
-    found = training.positives_ci(scores, touched(spark, sf_dir)).unionByName(
-        training.positives(scores.filter(F.col("value").isNull()), touched(spark, sf_dir).filter(F.col("value").isNull()))
-    )
-    sampled = training.sample_negatives(training.negative_pool(scores, found), touched(spark, sf_dir), SEED)
-    return sampled.select("question_id", *ranking.ELEMENT, "wanted")
+    drawing, asked = sampler(spark, sf_dir), touched(spark, sf_dir)
+    positive = materialize(drawing.positives(asked), "positives")
+    return drawing.negative_pairs(asked, positive, SEED).select("question_id", *ranking.ELEMENT, "wanted")
 
 
 @query(
@@ -407,8 +408,9 @@ def w13(spark, sf_dir):
 
 
 def training_set(spark, sf_dir, limits=fixed.TRAINING_RANK_LIMITS):
-    groups = b.questions(spark, sf_dir).select("question_id", F.floor(F.col("question_id") / 4).alias("group_id"))
-    return training.build_training_set(written_features(spark, sf_dir, limits), touched(spark, sf_dir), groups, SEED)
+    asking = b.questions(spark, sf_dir)
+    groups = asking.select("question_id", F.floor(F.col("question_id") / 4).alias("group_id"))
+    return sampling.sampled_training_set(asking, b.index_documents(spark, sf_dir), touched(spark, sf_dir), groups, SEED, limits)
 
 
 TRAINING_CTE = f"""{POSITIVE_CTE},

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slink.functions import vectors
-from slink.operators import documents, grouping, ranking, search
+from slink.operators import block_stream, documents, grouping, ranking, search
 
 
 def frames(spark, n_questions=40, n_documents=300, width=8, hot=0.7, seed=1):
@@ -33,7 +33,7 @@ def brute(q, d, names, k):
 @pytest.mark.parametrize("blocks", [(4096, 8192), (16, 8192), (16, 40), (4096, 5)])
 @pytest.mark.parametrize("k", [7, {"value": 3, "column_name": 1000}])
 def test_exact_for_any_block_size(spark, monkeypatch, blocks, k):
-    monkeypatch.setattr(search, "QUESTION_BLOCK", blocks[0])
+    monkeypatch.setattr(block_stream, "STRIP_ROWS", blocks[0])
     monkeypatch.setattr(search, "DOCUMENT_BLOCK", blocks[1])
     monkeypatch.setattr(search, "LEAST_QUESTIONS", 4)
     monkeypatch.setattr(search, "SCORED_AT_ONCE", 3)
