@@ -8,7 +8,9 @@ in_items ARRAY<STRUCT<qualifier, name, value, quoted_identifier, path>>.
 A path (ARRAY<INT>) tells the query that an entry stands in: empty for the outermost one, and one number more for
 each subquery on the way down, so that siblings differ. A query sees the tables of the queries around it.
 A log may also have derived ARRAY<STRUCT<alias, name, qualifier, column, path, inner>>: column `name` of a subquery in
-the FROM of the query at `path` is column `qualifier`.`column` of the subquery, whose own path is `inner`.
+the FROM of the query at `path` is column `qualifier`.`column` of the subquery, whose own path is `inner`. Where the
+subquery shows a star, `name` is `*` and `qualifier` that of its star. Derived tables stand in one another as deep as
+they like.
 """
 
 from __future__ import annotations
@@ -45,13 +47,29 @@ def _place(depth: Column, position: Column, table_id: Column, derived: Column |
     return F.when(table_id.isNotNull(), F.struct(*parts))
 
 
-DERIVED_LEVELS = 8  # derived tables inside one another that a reference is followed through
+EVERY = "*"  # as the name of a derived column: all columns that the subquery's own `*` shows
+
+
+def _fixpoint(first: Column, following, rounds: Column) -> Column:
+    """All entries reached from `first`; `following` gives those reached from one of them in a step.
+
+    A step is taken as often as there are derived columns in the row, more than which no chain of them can have, and
+    only from entries that are new.
+    """
+
+    def step(state: Column, _: Column) -> Column:
+        reached = F.array_distinct(F.flatten(F.transform(state["new"], following)))
+        return F.struct(F.concat(state["all"], state["new"]).alias("all"), F.array_except(reached, F.concat(state["all"], state["new"])).alias("new"))
+
+    empty = F.filter(first, lambda _: F.lit(False))
+    return F.aggregate(rounds, F.struct(empty.alias("all"), first.alias("new")), step, lambda state: F.concat(state["all"], state["new"]))
 
 
 def _readings(derived: Column, qualifier: Column, name: Column, path: Column) -> Column:
     """What a reference can mean: itself, and, for each derived column it can name, that column's source.
 
-    `depth` is that of the query whose FROM has the derived table, null for the reference itself.
+    Sources are followed through derived tables inside one another to the end. `depth` is that of the query whose
+    FROM has the derived table, null for the reference itself.
     """
 
     def struct(qualifier: Column, name: Column, path: Column, depth: Column) -> Column:
@@ -65,25 +83,24 @@ def _readings(derived: Column, qualifier: Column, name: Column, path: Column) ->
             derived,
             lambda d: _encloses(d["path"], path)
             & ~_encloses(d["inner"], path)
-            & (F.lower(d["name"]) == F.lower(name))
+            & ((F.lower(d["name"]) == F.lower(name)) | (d["name"] == EVERY))
             & (qualifier.isNull() | F.coalesce(F.lower(d["alias"]) == F.lower(qualifier), F.lit(False))),
         )
 
-    def source(d: Column, depth: Column) -> Column:
-        return struct(d["qualifier"], d["column"], d["inner"], depth)
-
-    found = F.transform(named(qualifier, name, path), lambda d: source(d, F.size(d["path"])))
-    for _ in range(DERIVED_LEVELS - 1):
-        found = F.flatten(
-            F.transform(
-                found,
-                lambda v: F.concat(
-                    F.array(v),
-                    F.transform(named(v["qualifier"], v["column_name"], v["path"]), lambda d: source(d, v["depth"])),
-                ),
-            )
+    def sources(qualifier: Column, name: Column, path: Column, depth: Column | None) -> Column:
+        """Where the derived columns of that name come from; `*` passes the name on."""
+        return F.transform(
+            named(qualifier, name, path),
+            lambda d: struct(
+                d["qualifier"],
+                F.when(d["name"] == EVERY, name).otherwise(d["column"]),
+                d["inner"],
+                F.size(d["path"]) if depth is None else depth,
+            ),
         )
-        found = F.array_distinct(found)
+
+    first = F.array_distinct(sources(qualifier, name, path, None))
+    found = _fixpoint(first, lambda v: sources(v["qualifier"], v["column_name"], v["path"], v["depth"]), derived)
     itself = F.array(struct(qualifier, name, path, F.lit(None).cast("int")))
     # Most queries have no derived table, and skip all of this.
     return F.when(F.size(derived) > 0, F.concat(itself, found)).otherwise(itself)
@@ -103,14 +120,17 @@ def table_touches(log: DataFrame) -> DataFrame:
 REFERENCE = ["qualifier", "column_name", "value", "times"]
 
 
-def resolve_references(log: DataFrame, references: str, columns: DataFrame, strict: bool = False) -> DataFrame:
-    """Table and column of every reference in an array field of the log.
+def resolve_references(
+    log: DataFrame, references: str, columns: DataFrame, strict: bool = False, carry: list[str] | None = None
+) -> DataFrame:
+    """Table and column of every reference in an array field of the log; `carry` fields of it come along.
 
     A qualifier must equal a table's alias, or its name where it has none. Of
     several tables with the column the nearest enclosing query wins, and in it
     the last table. A reference meets the tables of its own row, so the log is
     never joined with itself; one in a query without tables stays unresolved.
     """
+    carry = carry or []
     fields = {f.name for f in log.schema[references].dataType.elementType.fields}
     nested = "derived" in log.columns
     ref = log.select("query_id", "tables", *(["derived"] if nested else []), F.posexplode(references).alias("ref_no", "r")).select(
@@ -123,30 +143,36 @@ def resolve_references(log: DataFrame, references: str, columns: DataFrame, stri
         (F.col("r.value") if "value" in fields else _null()).alias("value"),
         (F.col("r.times") if "times" in fields else F.lit(1)).alias("times"),
         F.col("r.path").alias("path"),
+        *[F.col(f"r.{c}").alias(c) for c in carry],
     )
     if nested:
-        read = _readings(F.coalesce("derived", F.array().cast(log.schema["derived"].dataType)), *(F.col(c) for c in ("qualifier", "column_name", "path")))
+        read = _readings(_derived(log), *(F.col(c) for c in ("qualifier", "column_name", "path")))
     else:
         read = F.array(F.struct("qualifier", "column_name", "path", F.lit(None).cast("int").alias("depth")))
+    keys = ["query_id", "ref_no", *REFERENCE, *carry]
     ref = ref.withColumn("v", F.explode(read))
-    pairs = ref.select("query_id", "ref_no", *REFERENCE, "v", F.posexplode_outer("tables").alias("position", "t"))
-    visible = _encloses(F.col("t.path"), F.col("v.path")) & (
-        F.col("v.qualifier").isNull() | (F.lower(F.coalesce("t.alias", "t.name")) == F.lower("v.qualifier"))
+    numbered = F.transform("tables", lambda t, i: F.struct(t.alias("t"), i.alias("position")))
+    # Tables out of sight leave before they become rows; the reference itself stays.
+    seen = F.filter(
+        numbered,
+        lambda n: _encloses(n["t"]["path"], F.col("v.path"))
+        & (
+            F.col("v.qualifier").isNull()
+            | (F.lower(F.coalesce(n["t"]["alias"], n["t"]["name"])) == F.lower("v.qualifier"))
+        ),
     )
-    candidates = pairs.select(
-        "query_id",
-        "ref_no",
-        *REFERENCE,
-        "position",
+    candidates = ref.select(*keys, "v", F.explode_outer(seen).alias("n")).select(
+        *keys,
+        F.col("n.position").alias("position"),
         F.col("v.depth").isNotNull().alias("derived"),
-        F.coalesce("v.depth", F.size("t.path")).alias("depth"),
-        F.when(visible, F.lower("t.name")).alias("_table"),
+        F.coalesce("v.depth", F.size("n.t.path")).alias("depth"),
+        F.lower("n.t.name").alias("_table"),
         F.col("v.column_name").alias("_column"),
     )
     known = _catalog(columns).select("table_id", F.col("table_name").alias("_table"), F.col("column_name").alias("_column"))
     matched = candidates.join(known, ["_table", "_column"], "left")
     winner = F.max(F.struct(_place(F.col("depth"), F.col("position"), F.col("table_id"), F.col("derived")).alias("at"), F.col("_column").alias("real")))
-    resolved = matched.groupBy("query_id", "ref_no", *REFERENCE).agg(winner.alias("w"))
+    resolved = matched.groupBy(*keys).agg(winner.alias("w"))
     found = F.col("w.at").isNotNull()
     if strict:
         message = F.concat(F.lit("unresolved column "), F.coalesce(F.concat(F.col("qualifier"), F.lit(".")), F.lit("")), F.col("column_name"))
@@ -154,11 +180,16 @@ def resolve_references(log: DataFrame, references: str, columns: DataFrame, stri
         found = F.when(found, True).otherwise(F.raise_error(message).cast("boolean"))
     # A reference to a derived column touches the column behind it.
     real = F.when(F.col("w.at").isNotNull(), F.col("w.real")).otherwise(F.col("column_name"))
-    rest = [c for c in REFERENCE if c != "column_name"]
+    rest = [c for c in REFERENCE if c != "column_name"] + carry
     numbered = resolved.select("query_id", "ref_no", real.alias("column_name"), *rest, F.col("w.at.table_id").alias("table_id"), found.alias("resolved"))
     return numbered.join(_table_names(columns), "table_id", "left")
 
 
+def _derived(log: DataFrame) -> Column:
+    """The derived columns of a row; a null counts as none."""
+    return F.coalesce("derived", F.array().cast(log.schema["derived"].dataType))
+
+
 def column_touches(log: DataFrame, columns: DataFrame, strict: bool = False) -> DataFrame:
     """Touches per column; `times` of a reference counts its aliases too."""
     resolved = resolve_references(log, "columns", columns, strict).filter("resolved")
@@ -177,17 +208,76 @@ def unresolved_references(log: DataFrame, columns: DataFrame) -> DataFrame:
     return resolved.select("query_id", "qualifier", "column_name")
 
 
+def _named_by(alias: Column, qualifier: Column) -> Column:
+    return qualifier.isNull() | F.coalesce(F.lower(alias) == F.lower(qualifier), F.lit(False))
+
+
+def _scopes(derived: Column, star: Column) -> Column:
+    """Where a star looks: at its own query, and at that of each derived table in it that shows a star itself.
+
+    `order` compares as the places in the FROM do, of which derived tables count as the last.
+    """
+
+    def scope(path: Column, qualifier: Column, order: Column) -> Column:
+        return F.struct(path.alias("path"), qualifier.alias("qualifier"), order.alias("order"))
+
+    def inside(s: Column) -> Column:
+        numbered = F.transform(derived, lambda d, i: F.struct(d.alias("d"), i.alias("i")))
+        stars = F.filter(
+            numbered, lambda n: (n["d"]["name"] == EVERY) & (n["d"]["path"] == s["path"]) & _named_by(n["d"]["alias"], s["qualifier"])
+        )
+        return F.transform(
+            stars, lambda n: scope(n["d"]["inner"], n["d"]["qualifier"], F.concat(s["order"], F.array(F.lit(1), n["i"])))
+        )
+
+    own = F.array(scope(star["path"], star["qualifier"], F.array().cast("array<int>")))
+    return F.when(F.size(derived) > 0, _fixpoint(own, inside, derived)).otherwise(own)
+
+
 def star_touches(log: DataFrame, columns: DataFrame) -> DataFrame:
-    """`*` touches every column in scope (a later table wins a shared name), `t.*` those of t."""
-    stars = log.select("query_id", "tables", F.posexplode("stars").alias("star_no", "s"))
-    scoped = stars.select("query_id", "star_no", "s", F.posexplode("tables").alias("position", "t")).filter(
-        (F.col("t.path") == F.col("s.path"))
-        & (F.col("s.qualifier").isNull() | (F.lower(F.coalesce("t.alias", "t.name")) == F.lower("s.qualifier")))
+    """`*` touches every column in scope (a later table wins a shared name), `t.*` those of t.
+
+    Of a derived table these are the columns that it shows, and what is touched are their sources.
+    """
+    nested = "derived" in log.columns
+    if nested:
+        scopes = _scopes(_derived(log), F.col("s"))
+    else:
+        scopes = F.array(F.struct("s.path", "s.qualifier", F.array().cast("array<int>").alias("order")))
+    stars = log.select("query_id", "tables", *(["derived"] if nested else []), F.posexplode("stars").alias("star_no", "s"))
+    looked = stars.withColumn("scope", F.explode(scopes)).drop("s")
+    numbered = F.transform("tables", lambda t, i: F.struct(t.alias("t"), i.alias("position")))
+    mine = F.filter(
+        numbered,
+        lambda n: (n["t"]["path"] == F.col("scope.path")) & _named_by(F.coalesce(n["t"]["alias"], n["t"]["name"]), F.col("scope.qualifier")),
+    )
+    own = looked.select("query_id", "star_no", "scope.order", F.explode(mine).alias("n")).select(
+        "query_id", "star_no", F.concat("order", F.array(F.lit(0), "n.position")).alias("order"), F.lower("n.t.name").alias("table_name")
     )
-    named = scoped.select("query_id", "star_no", "position", F.lower("t.name").alias("table_name"))
-    shown = named.join(_catalog(columns), "table_name").groupBy("query_id", "star_no", "column_name")
-    winners = shown.agg(F.max(_place(F.lit(0), F.col("position"), F.col("table_id"))).alias("w"))
-    counted = winners.groupBy("query_id", F.col("w.table_id").alias("table_id"), "column_name").agg(F.count("*").alias("touches"))
+    keys = ["query_id", "star_no", "shown", "order", "table_id", "column_name"]
+    shown = own.join(_catalog(columns), "table_name").withColumn("shown", F.col("column_name")).select(*keys)
+    if nested:
+        numbered = F.transform(_derived(log), lambda d, i: F.struct(d.alias("d"), i.alias("i")))
+        mine = F.filter(
+            numbered,
+            lambda n: (n["d"]["name"] != EVERY) & (n["d"]["path"] == F.col("scope.path")) & _named_by(n["d"]["alias"], F.col("scope.qualifier")),
+        )
+        listed = F.transform(
+            mine,
+            lambda n: F.struct(
+                n["d"]["qualifier"].alias("qualifier"),
+                n["d"]["column"].alias("name"),
+                n["d"]["inner"].alias("path"),
+                F.col("star_no"),
+                F.lower(n["d"]["name"]).alias("shown"),
+                F.concat(F.col("scope.order"), F.array(F.lit(1), n["i"])).alias("order"),
+            ),
+        )
+        outputs = looked.filter(F.size(_derived(log)) > 0).withColumn("outputs", listed)
+        behind = resolve_references(outputs, "outputs", columns, carry=["star_no", "shown", "order"]).filter("resolved")
+        shown = shown.unionByName(behind.select(*keys))
+    winners = shown.groupBy("query_id", "star_no", "shown").agg(F.max(F.struct("order", "table_id", "column_name")).alias("w"))
+    counted = winners.groupBy("query_id", "w.table_id", "w.column_name").agg(F.count("*").alias("touches"))
     return counted.join(_table_names(columns), "table_id").select("query_id", "table_name", "column_name", "touches")
 
 

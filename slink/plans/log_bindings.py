@@ -88,17 +88,26 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 #            WHERE c_mktsegment IN ("BUILDING", "segment of the user") AND c_name IN ('x')
 #   error    SELECT orders.o_orderkey, no_such FROM orders AS o, customer WHERE c_name = <user>
 #   bare     SELECT lonely (views of every fourth user: a query without tables)
-#   nested   SELECT d.c, p_name, d.nope FROM (SELECT l_partkey AS c FROM lineitem) AS d, part (purchases of every fourth user)
+#   nested   SELECT d.c, p_name, d.nope, d.* FROM (SELECT l_partkey AS c FROM lineitem) AS d, part (purchases of every fourth user)
+#   deep     SELECT a, * FROM (SELECT b AS a FROM (SELECT l_suppkey AS b FROM lineitem) AS u) AS t, region (clicks of every fourth user)
 KIND_SQL = (
     "CASE WHEN event_type = 'view' AND user_id % 4 = 0 THEN 'bare' "
-    "WHEN event_type = 'purchase' AND user_id % 4 = 1 THEN 'nested' ELSE event_type END"
+    "WHEN event_type = 'purchase' AND user_id % 4 = 1 THEN 'nested' "
+    "WHEN event_type = 'click' AND user_id % 4 = 2 THEN 'deep' ELSE event_type END"
 )
 LOG = {
     "nested": {
         "tables": [("part", None, ()), ("lineitem", None, (1,))],
         "columns": [("d", "c", 1, ()), (None, "p_name", 1, ()), ("d", "nope", 1, ()), (None, "l_partkey", 2, (1,))],
+        "stars": [("d", ())],
         "derived": [("d", "c", None, "l_partkey", (), (1,))],
     },
+    "deep": {
+        "tables": [("region", None, ()), ("lineitem", None, (1, 1))],
+        "columns": [(None, "a", 1, ()), (None, "b", 2, (1,)), (None, "l_suppkey", 2, (1, 1))],
+        "stars": [(None, ())],
+        "derived": [("t", "a", None, "b", (), (1,)), ("u", "b", None, "l_suppkey", (1,), (1, 1))],
+    },
     "bare": {
         "columns": [(None, "lonely", 1, ())],
     },
@@ -187,45 +196,67 @@ def _flat(field: str) -> str:
 _PLACE_SQL = "coalesce(r.shown, r.depth) * 1000000 + CAST(r.shown IS NOT NULL AS INT) * 1000 + t.no"
 
 
+def _sources(reads: str, level: int, field: str) -> str:
+    """What the references of one level mean through a derived column, one level further in."""
+    shown = "len(d.path)" if level == 1 else "r.shown"
+    return f"""{field}_in{level} AS (
+  SELECT r.query_id, r.no, d.qualifier, d."column" AS name, d."inner" AS path, {shown} AS shown
+  FROM {reads} r JOIN derived_flat d ON d.query_id = r.query_id AND d.name = r.name
+  WHERE (r.qualifier IS NULL OR r.qualifier = d.alias) AND r.path[1:len(d.path)] = d.path AND r.path[1:len(d."inner")] <> d."inner"
+)"""
+
+
 def _resolved(field: str, name: str) -> str:
     """References by the paths of the queries around them, so that tables join by equal (query, path)."""
-    return f"""{field}_read AS (
+    return f"""{_sources(f"{field}_flat", 1, field)},
+{_sources(f"{field}_in1", 2, field)},
+{field}_read AS (
   SELECT query_id, no, qualifier, name, path, NULL::INT AS shown FROM {field}_flat
-  UNION ALL
-  SELECT r.query_id, r.no, d.qualifier, d."column", d."inner", len(d.path)
-  FROM {field}_flat r JOIN derived_flat d ON d.query_id = r.query_id AND d.name = r.name
-  WHERE (r.qualifier IS NULL OR r.qualifier = d.alias) AND r.path[1:len(d.path)] = d.path AND r.path[1:len(d."inner")] <> d."inner"
+  UNION ALL SELECT * FROM {field}_in1 UNION ALL SELECT * FROM {field}_in2
 ),
-{field}_seen AS (
+{field}_seen AS MATERIALIZED (
   SELECT query_id, no, qualifier, name, shown, depth, path[1:depth] AS path
   FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM {field}_read)
 ),
-{name} AS (
-  SELECT r.* REPLACE (coalesce(w.real_name, r.name) AS name), w.table_name FROM {field}_flat r LEFT JOIN (
-    SELECT r.query_id, r.no, arg_max(lower(c.table_name), {_PLACE_SQL}) AS table_name, arg_max(r.name, {_PLACE_SQL}) AS real_name
-    FROM {field}_seen r JOIN tables_flat t ON t.query_id = r.query_id AND t.path = r.path
-    JOIN cat c ON lower(c.table_name) = t.name AND lower(c.column_name) = r.name
-    WHERE r.qualifier IS NULL OR r.qualifier = coalesce(t.alias, t.name)
-    GROUP BY r.query_id, r.no) w ON w.query_id = r.query_id AND w.no = r.no
+{field}_won AS MATERIALIZED (
+  SELECT r.query_id, r.no, arg_max(lower(c.table_name), {_PLACE_SQL}) AS table_name, arg_max(r.name, {_PLACE_SQL}) AS real_name
+  FROM {field}_seen r JOIN tables_flat t ON t.query_id = r.query_id AND t.path = r.path
+  JOIN cat c ON lower(c.table_name) = t.name AND lower(c.column_name) = r.name
+  WHERE r.qualifier IS NULL OR r.qualifier = coalesce(t.alias, t.name)
+  GROUP BY r.query_id, r.no
+),
+{name} AS MATERIALIZED (
+  SELECT r.* REPLACE (w.real_name AS name), w.table_name FROM {field}_flat r JOIN {field}_won w ON w.query_id = r.query_id AND w.no = r.no
+  UNION ALL
+  SELECT r.*, NULL AS table_name FROM {field}_flat r ANTI JOIN {field}_won w ON w.query_id = r.query_id AND w.no = r.no
 )"""
 
 
 # needs cat; gives t1..t5(query_id, table_name, column_name, value, touches) and touches
 LOG_CTE = f"""
-{", ".join(f"{field}_flat AS ({_flat(field)})" for field in FIELDS)},
+{", ".join(f"{field}_flat AS MATERIALIZED ({_flat(field)})" for field in FIELDS)},
+star_out_flat AS MATERIALIZED (
+  SELECT s.query_id, s.no * 1000 + d.no AS no, d.qualifier, d."column" AS name, d."inner" AS path, s.no AS star_no, d.name AS shown, d.no AS output
+  FROM stars_flat s JOIN derived_flat d ON d.query_id = s.query_id AND d.path = s.path AND (s.qualifier IS NULL OR s.qualifier = d.alias)
+),
 {_resolved("columns", "columns_resolved")},
 {_resolved("eq", "eq_resolved")},
 {_resolved("in_items", "in_resolved")},
+{_resolved("star_out", "star_out_resolved")},
 t1 AS (SELECT query_id, name AS table_name, NULL::VARCHAR AS column_name, NULL::VARCHAR AS value, count(*) AS touches FROM tables_flat GROUP BY ALL),
 t2 AS (SELECT query_id, table_name, name AS column_name, NULL::VARCHAR AS value, CAST(sum(times) AS BIGINT) AS touches
   FROM columns_resolved WHERE table_name IS NOT NULL GROUP BY ALL),
+star_shown AS (
+  SELECT s.query_id, s.no AS star_no, lower(c.column_name) AS shown, t.no AS place, t.name AS table_name, lower(c.column_name) AS column_name
+  FROM stars_flat s JOIN tables_flat t ON s.query_id = t.query_id AND s.path = t.path AND (s.qualifier IS NULL OR s.qualifier = coalesce(t.alias, t.name))
+  JOIN cat c ON lower(c.table_name) = t.name
+  UNION ALL
+  SELECT query_id, star_no, shown, 1000000 + output, table_name, name FROM star_out_resolved WHERE table_name IS NOT NULL
+),
 t3 AS (
-  SELECT query_id, table_name, column_name, NULL::VARCHAR AS value, count(*) AS touches FROM (
-    SELECT s.query_id, s.no, lower(c.column_name) AS column_name, arg_max(t.name, t.no) AS table_name
-    FROM stars_flat s JOIN tables_flat t ON s.query_id = t.query_id AND s.path = t.path
-      AND (s.qualifier IS NULL OR s.qualifier = coalesce(t.alias, t.name))
-    JOIN cat c ON lower(c.table_name) = t.name GROUP BY s.query_id, s.no, lower(c.column_name)
-  ) GROUP BY ALL
+  SELECT query_id, w.table_name, w.column_name, NULL::VARCHAR AS value, count(*) AS touches FROM (
+    SELECT query_id, star_no, shown, arg_max({{'table_name': table_name, 'column_name': column_name}}, place) AS w
+    FROM star_shown GROUP BY ALL) GROUP BY ALL
 ),
 t4 AS (SELECT query_id, table_name, name AS column_name, value, count(*) AS touches FROM eq_resolved WHERE table_name IS NOT NULL GROUP BY ALL),
 t5 AS (SELECT query_id, table_name, name AS column_name, value, count(*) AS touches FROM in_resolved

@@ -28,61 +28,49 @@ def counts(spark, schema, tables, columns=(), stars=(), eq=(), in_items=()):
 
 
 TWO = {"table1": ["col1", "col2"], "table2": ["col2", "col3"]}
-
-
-def test_two_tables_with_alias_on_a_column(spark):
-    got = counts(spark, {"table1": ["col1", "col3"], "table2": ["col2"]}, [("table1", None), ("table2", None)], [(None, "col1", 1, 0), (None, "col2", 2, 0)])
-    assert got == {("table1", None, None): 1, ("table2", None, None): 1, ("table1", "col1", None): 1, ("table2", "col2", None): 2}
-
-
-def test_alias_on_alias(spark):
-    got = counts(spark, {"table1": ["col1", "col2"], "table2": ["col2"]}, [("table1", None), ("table2", None)], [(None, "col1", 4, 0)])
-    assert got == {("table1", None, None): 1, ("table2", None, None): 1, ("table1", "col1", None): 4}
-
-
-def test_star_later_table_wins(spark):
-    got = counts(spark, TWO, [("table1", None), ("table2", None)], stars=[(None, 0)])
-    assert got == {("table1", None, None): 1, ("table2", None, None): 1, ("table1", "col1", None): 1, ("table2", "col2", None): 1, ("table2", "col3", None): 1}
-
-
-def test_qualified_star(spark):
-    got = counts(spark, TWO, [("table1", None), ("table2", None)], stars=[("table1", 0)])
-    assert got == {("table1", None, None): 1, ("table2", None, None): 1, ("table1", "col1", None): 1, ("table1", "col2", None): 1}
-
-
-def test_count_star_touches_the_table_only(spark):
-    assert counts(spark, TWO, [("table1", None)]) == {("table1", None, None): 1}
-
-
-def test_in_list_of_quoted_identifiers(spark):
-    items = [(None, "col1", v, True, 0) for v in ("one", "two", "three")]
-    got = counts(spark, {"table1": ["id", "col1", "col2"]}, [("table1", None)], [(None, "id", 1, 0), (None, "col1", 1, 0)], in_items=items)
-    assert got == {("table1", None, None): 1, ("table1", "col1", None): 1, ("table1", "id", None): 1} | {("table1", "col1", v): 1 for v in ("one", "two", "three")}
-
-
-def test_in_list_of_numbers_with_star(spark):
-    got = counts(spark, {"table1": ["col1", "col2"]}, [("table1", None)], [(None, "col1", 1, 0)], stars=[(None, 0)])
-    assert got == {("table1", None, None): 1, ("table1", "col1", None): 2, ("table1", "col2", None): 1}
-
-
-def test_single_quoted_in_list_touches_no_values(spark):
-    items = [(None, "col1", "Oregon", False, 0)]
-    assert counts(spark, TWO, [("table1", None)], [(None, "col1", 1, 0)], in_items=items) == {("table1", None, None): 1, ("table1", "col1", None): 1}
-
-
-def test_equality_touches_the_value(spark):
-    got = counts(spark, {"table1": ["id", "col1"]}, [("table1", None)], [(None, "col1", 2, 0)], eq=[(None, "col1", "foo", 0)])
-    assert got == {("table1", None, None): 1, ("table1", "col1", None): 2, ("table1", "col1", "foo"): 1}
-
-
-def test_inner_join_by_alias(spark):
+SHOP = {"orders": ["o_id", "o_day", "note"], "items": ["i_order", "i_part", "note"], "parts": ["p_id", "p_kind"]}
+
+
+def refs(*names):
+    """References of the outermost query, each once; `a.b` is b with the qualifier a, and `x3` in a pair its times."""
+    found = []
+    for name in names:
+        name, times = name if isinstance(name, tuple) else (name, 1)
+        qualifier, _, column = name.rpartition(".")
+        found.append((qualifier or None, column, times, 0))
+    return found
+
+
+# (tables, references, stars, equalities, IN items, what is touched besides each table once)
+CASES = {
+    "names tell the table": (["orders", "parts"], refs("o_id", ("p_kind", 2)), [], [], [], {"orders.o_id": 1, "parts.p_kind": 2}),
+    "aliases of aliases count": (["orders", "items"], refs(("o_day", 5)), [], [], [], {"orders.o_day": 5}),
+    "star of two tables": (
+        ["orders", "items"], [], [None], [], [],
+        {"orders.o_id": 1, "orders.o_day": 1, "items.i_order": 1, "items.i_part": 1, "items.note": 1},
+    ),
+    "star of one of them": (["orders", "items"], [], ["orders"], [], [], {"orders.o_id": 1, "orders.o_day": 1, "orders.note": 1}),
+    "a table alone": (["parts"], [], [], [], [], {}),
+    "IN with names": (["parts"], refs("p_kind"), [], [], [("p_kind", "ring", True), ("p_kind", "bolt", True)], {"parts.p_kind": 1, "parts.p_kind=ring": 1, "parts.p_kind=bolt": 1}),
+    "IN with literals": (["parts"], refs("p_kind"), [], [], [("p_kind", "ring", False)], {"parts.p_kind": 1}),
+    "star and a column": (["parts"], refs("p_id"), [None], [], [], {"parts.p_id": 2, "parts.p_kind": 1}),
+    "equality": (["orders"], refs(("note", 3)), [], [("note", "late")], [], {"orders.note": 3, "orders.note=late": 1}),
+    "join by alias": (["orders o", "items i"], refs("o.o_id", "i.i_order", "o.note", "i.note", "o.o_id"), [], [], [], {"orders.o_id": 2, "items.i_order": 1, "orders.note": 1, "items.note": 1}),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_touches_of_one_query(spark, case):
+    tables, columns, stars, eq, in_items, expected = CASES[case]
+    named = [tuple((t.split() + [None])[:2]) for t in tables]
     got = counts(
-        spark,
-        {"table1": ["col1", "col4"], "table2": ["col2", "col3"]},
-        [("table1", "t1"), ("table2", "t2")],
-        [("t1", "col1", 1, 0), ("t2", "col2", 1, 0), ("t1", "col1", 1, 0), ("t2", "col2", 1, 0)],
+        spark, SHOP, named, columns, [(s, 0) for s in stars], [(None, *e, 0) for e in eq], [(None, *i, 0) for i in in_items]
     )
-    assert got == {("table1", None, None): 1, ("table2", None, None): 1, ("table1", "col1", None): 2, ("table2", "col2", None): 2}
+    want = {(t, None, None): 1 for t, _ in named}
+    for key, n in expected.items():
+        element, _, value = key.partition("=")
+        want[(*element.split("."), value or None)] = n
+    assert got == want
 
 
 def test_unqualified_prefers_last_table_then_outer_scope(spark):
@@ -168,6 +156,60 @@ def test_derived_tables_inside_one_another(spark):
     assert [(r.table_name, r.column_name, r.touches) for r in found] == [("table2", "col1", 3)]
 
 
+@pytest.mark.parametrize("levels", [1, 10, 23])
+def test_derived_tables_are_followed_to_the_end(spark, levels):
+    """SELECT d0.c0 FROM (SELECT c1 AS c0 FROM (SELECT ... FROM parts) AS d1) AS d0."""
+    path = lambda n: [1] * n
+    derived = [(f"d{n}", f"c{n}", None, f"c{n + 1}", path(n), path(n + 1)) for n in range(levels - 1)]
+    derived.append((f"d{levels - 1}", f"c{levels - 1}", None, "p_kind", path(levels - 1), path(levels)))
+    log = spark.createDataFrame([(1, [("parts", None, path(levels))], [("d0", "c0", 1, [])], [(None, [])], [], [], derived)], DERIVED)
+    found = touches.column_touches(log, catalog(spark, SHOP), strict=True).collect()
+    assert [(r.table_name, r.column_name, r.touches) for r in found] == [("parts", "p_kind", 1)]
+    found = touches.star_touches(log, catalog(spark, SHOP)).collect()
+    assert [(r.table_name, r.column_name, r.touches) for r in found] == [("parts", "p_kind", 1)]
+
+
+def test_derived_tables_that_name_each_other_end(spark):
+    derived = [("a", "x", "b", "x", [], [1]), ("b", "x", "a", "x", [1], [2])]
+    log = spark.createDataFrame([(1, [("parts", None, [])], [("a", "x", 1, [])], [], [], [], derived)], DERIVED)
+    assert touches.unresolved_references(log, catalog(spark, SHOP)).count() == 1
+
+
+STARS = {
+    "all of a derived table": ([(None, [])], [("t", "c", None, "note", [], [1])], {("orders", "note"): 1}),
+    "by its alias": ([("t", [])], [("t", "c", None, "note", [], [1]), ("u", "d", None, "o_id", [], [1])], {("orders", "note"): 1}),
+    "another alias": ([("u", [])], [("t", "c", None, "note", [], [1])], {}),
+    "a derived column hides a table's": (
+        [(None, [])], [("t", "p_kind", None, "note", [], [1])], {("orders", "note"): 1, ("parts", "p_id"): 1}
+    ),
+    "a star inside": (
+        [("t", [])], [("t", "*", None, "*", [], [1])], {("orders", "o_id"): 1, ("orders", "o_day"): 1, ("orders", "note"): 1}
+    ),
+    "stars two levels down": (
+        [("t", [])],
+        [("t", "*", None, "*", [], [2]), ("v", "*", "orders", "*", [2], [1])],
+        {("orders", "o_id"): 1, ("orders", "o_day"): 1, ("orders", "note"): 1},
+    ),
+}
+
+
+@pytest.mark.parametrize("case", STARS)
+def test_stars_over_derived_tables(spark, case):
+    """SELECT * FROM (SELECT ... FROM orders) AS t, parts."""
+    stars, derived, expected = STARS[case]
+    tables = [("orders", None, [1])] + ([("parts", None, [])] if "hides" in case else [])
+    log = spark.createDataFrame([(1, tables, [], stars, [], [], derived)], DERIVED)
+    found = touches.star_touches(log, catalog(spark, SHOP)).collect()
+    assert {(r.table_name, r.column_name): r.touches for r in found} == expected
+
+
+def test_a_name_that_comes_through_a_star(spark):
+    """SELECT t.note FROM (SELECT * FROM orders) AS t."""
+    log = spark.createDataFrame([(1, [("orders", None, [1])], [("t", "note", 1, []), ("t", "nope", 1, [])], [], [], [], [("t", "*", None, "*", [], [1])])], DERIVED)
+    found = touches.column_touches(log, catalog(spark, SHOP)).collect()
+    assert [(r.table_name, r.column_name, r.touches) for r in found] == [("orders", "note", 1)]
+
+
 def test_ids_and_back(spark):
     columns = catalog(spark, TWO)
     elements = spark.createDataFrame([("table2", "col3", "x"), ("table1", None, None), ("nope", None, None)], "table_name string, column_name string, value string")
