@@ -138,7 +138,12 @@ class Aligner:
     def _ids_a(self, pieces: list[str]) -> list[np.ndarray]:
         kind = f"<u{self.a.width}"
         words = [p[1:] if p[0] == " " else p for p in pieces]
-        plain = [i for i, w in enumerate(words) if len(w) < 200 and not RARE.search(w) and " " not in w and "\n" not in w[1:]]
+        # The word encoder puts a blank before what does not begin with a line end; runs of white space it does not take.
+        plain = [
+            i
+            for i, (p, w) in enumerate(zip(pieces, words, strict=True))
+            if len(w) < 200 and not RARE.search(w) and " " not in w and "\n" not in p[1:]
+        ]
         out: list = [None] * len(pieces)
         for i, ids in zip(plain, self.a.words([words[i] for i in plain]), strict=True):
             out[i] = ids
