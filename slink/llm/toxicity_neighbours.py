@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The labelled rows of a bounded sample are the examples. Their words that go with a label more than chance
-allows form the vocabulary; the examples are kept in an inverted index cut into blocks of examples, with the largest weight of each
-term in each block. A text's nearest examples are found by visiting blocks in the order of their upper bounds until
-no block can beat the ones found, which is exact. Similarity-weighted votes are turned into probabilities by an
-isotonic fit on the examples themselves, each without its own vote.
+The labelled rows of a bounded sample are the examples, and all their words are the terms. Document frequencies are
+counted over all texts. A term's IDF is damped as far as the examples' labels do not depend on it: nothing is left out,
+but a word that goes with a label stands out of hundreds that do not. The examples are kept in an inverted index cut
+into blocks of like examples, with the largest weight of each term in each block. A text's nearest examples are found
+by visiting blocks in the order of their upper bounds until no block can hold a nearer one, which is exact.
+Similarity-weighted votes are turned into probabilities by an isotonic fit on the examples themselves, each without its
+own vote.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,21 +18,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slink.llm import arrow
 from slink.llm.quality_mil import held_out
 
-SAMPLE_DOCS = 8000  # labelled rows used as examples, at most
-TERMS = 4096  # terms with the strongest link to a label, at most
-LEAST_DOCS = 3
-BACKGROUND = 4.0  # weight of a term that stands for all other words, so that one stray word stays a small part
+SAMPLE_DOCS = 4000  # labelled rows used as examples, at most
+SAMPLE_CHARS = 16_000_000  # characters of all examples together, at most; so the index is bounded too
+DAMPED = 0.05  # share of its IDF that a word without any bearing on the label keeps
 BLOCK = 64
+FIRST_BLOCKS = 8
 NEIGHBOURS = 11
 EVIDENCE = 3
 TOXIC = 0.3
-REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -40,245 +40,299 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the ranges' sizes."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    numbers = np.repeat(starts - before, sizes)
+    numbers += np.arange(len(numbers))
+    return numbers, sizes
+
+
 @dataclass
 class Examples:
-    """Inverted index over the labelled examples. Terms are numbered; postings ascend by example."""
+    """Inverted index over the labelled examples: term -> blocks that hold it -> postings in the block."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    term_weight: np.ndarray  # damped IDF
     doc_ids: np.ndarray
     labels: np.ndarray
-    starts: np.ndarray  # of each term's postings
+    term_blocks: np.ndarray  # of each term, its first entry in the two below; one more at the end
+    block: np.ndarray
+    block_max: np.ndarray
+    postings: np.ndarray  # of each entry, its first posting in the two below; one more at the end
     members: np.ndarray
     weights: np.ndarray
-    block_starts: np.ndarray  # [term, block] -> first posting in the block
-    block_max: np.ndarray  # [term, block]
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))  # calibration: votes ...
     chances: np.ndarray = field(default_factory=lambda: np.zeros(0))  # ... and their probabilities
 
+    def counts(self, text: str) -> dict[int, int]:
+        numbers = self.vocabulary
+        return dict(Counter(numbers[w] for w in words(text) if w in numbers))
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector as (terms, weights), the background last."""
-        t = np.fromiter(sorted(counts), np.int64, len(counts))
-        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t] if len(t) else np.zeros(0)
-        t, w = np.append(t, len(self.vocabulary)), np.append(w, BACKGROUND)
-        return t, w / np.sqrt((w * w).sum())
+        return _vector(self.term_weight, counts)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above zero (ties: smaller number first), and the cosines."""
-        bound = w @ self.block_max[t]
+        """The k examples of largest cosine above zero (ties: smaller doc_id first), and the cosines."""
+        entries, sizes = _ranges(self.term_blocks[t], self.term_blocks[t + 1])
+        block, weight = self.block[entries], np.repeat(w, sizes)
+        blocks = -(-len(self.doc_ids) // BLOCK)
+        bound = np.bincount(block, weight * self.block_max[entries], minlength=blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1] - 1e-12):
-                break
-            first = block * BLOCK
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                a, b = self.block_starts[term, block], self.block_starts[term, block + 1]
-                scores[self.members[a:b] - first] += weight * self.weights[a:b]
+        start, step = 0, FIRST_BLOCKS
+        while start < len(order) and (len(best) < k or bound[order[start]] >= best[-1] - 1e-12):
+            visited = np.zeros(blocks, bool)
+            visited[order[start : start + step]] = True
+            inside = np.flatnonzero(visited[block])
+            postings, sizes = _ranges(self.postings[entries[inside]], self.postings[entries[inside] + 1])
+            parts = np.repeat(weight[inside], sizes)
+            parts *= self.weights[postings]
+            scores = np.bincount(self.members[postings], parts, minlength=len(self.doc_ids))
             found = np.flatnonzero(scores)
-            best_ids = np.concatenate([best_ids, found + first])
-            best = np.concatenate([best, scores[found]])
-            order = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[order], best[order]
+            best_ids, best = np.concatenate([best_ids, found]), np.concatenate([best, scores[found]])
+            first = np.lexsort((self.doc_ids[best_ids], -best))[:k]
+            best_ids, best = best_ids[first], best[first]
+            start, step = start + step, step * 2
         return best_ids, best
 
     def vote(self, ids: np.ndarray, similarity: np.ndarray) -> float:
         return float((similarity * self.labels[ids]).sum() / similarity.sum()) if len(ids) else 0.0
 
+    def vote_of_others(self, i: int, t: np.ndarray, w: np.ndarray) -> float:
+        """The vote on example i, of the others."""
+        ids, similarity = self.nearest(t, w, NEIGHBOURS + 1)
+        others = ids != i
+        return self.vote(ids[others][:NEIGHBOURS], similarity[others][:NEIGHBOURS])
+
     def chance(self, ids: np.ndarray, similarity: np.ndarray) -> float:
         if not len(self.votes):
             return 0.0
         return float(np.interp(self.vote(ids, similarity), self.votes, self.chances))
 
 
+def _vector(term_weight: np.ndarray, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Unit TF-IDF vector as (terms, weights), terms ascending; without terms it is empty."""
+    t = np.fromiter(sorted(counts), np.int64, len(counts))
+    w = (1 + np.log(np.array([counts[i] for i in t.tolist()], np.float64))) * term_weight[t]
+    return t, w / max(float(np.sqrt((w * w).sum())), 1e-300)
+
+
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing fit of y on x, as points to interpolate; each level is shrunk by one imagined row at its mean."""
+    """Non-decreasing fit of y on x, as points to interpolate.
+
+    Each level stands at the mean of its x, so that it rises between levels, and is shrunk by one imagined row at its mean.
+    """
     order = np.argsort(x, kind="stable")
-    levels: list[list[float]] = []  # sum, count, lowest x, highest x
+    levels: list[list[float]] = []  # sum of y, count, sum of x, highest x
     for xi, yi in zip(x[order].tolist(), y[order].tolist(), strict=True):
         levels.append([yi, 1, xi, xi])
         while len(levels) > 1 and (
-            levels[-2][0] * levels[-1][1] >= levels[-1][0] * levels[-2][1] or levels[-2][3] == levels[-1][2]
+            levels[-2][0] * levels[-1][1] >= levels[-1][0] * levels[-2][1] or levels[-2][3] == xi
         ):
-            s, n, _, high = levels.pop()
-            levels[-1] = [levels[-1][0] + s, levels[-1][1] + n, levels[-1][2], high]
-    xs, ys = [], []
-    for s, n, low, high in levels:
-        level = (s + 0.5) / (n + 1)
-        xs += [low, high]
-        ys += [level, level]
-    return np.array(xs), np.maximum.accumulate(np.array(ys)) if ys else np.array(ys)
-
-
-def build(rows: list[tuple[int, int, dict[int, int]]], vocabulary: list[str], doc_freq: np.ndarray) -> Examples:
-    """Index and calibration from (doc_id, label, term counts) of the examples."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    n = len(rows)
-    idf = np.log((n + 1) / (doc_freq + 1)) + 1
-    index = Examples(
-        {term: i for i, term in enumerate(vocabulary)}, idf,
-        np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64),
-        *(np.zeros(0),) * 5,
-    )
-    vectors = [index.vector(counts) for _, _, counts in rows]
+            s, n, sx, high = levels.pop()
+            levels[-1] = [levels[-1][0] + s, levels[-1][1] + n, levels[-1][2] + sx, high]
+    xs = np.array([sx / n for _, n, sx, _ in levels])
+    ys = np.array([(s + 0.5) / (n + 1) for s, n, _, _ in levels])
+    return xs, np.maximum.accumulate(ys) if levels else ys
+
+
+def label_gain(rows: list[tuple[int, int, dict[int, int]]], terms: int) -> np.ndarray:
+    """Of each term, the likelihood ratio of its examples' labels against the labels' shares."""
+    n = np.zeros((2, terms))
+    for label in (0, 1):
+        held = [np.fromiter(counts, np.int64, len(counts)) for _, y, counts in rows if y == label]
+        n[label] = np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=terms)
+    share = sum(y for _, y, _ in rows) / max(len(rows), 1)
+    expected = n.sum(axis=0) * np.array([[1 - share], [share]])
+    seen = n > 0
+    return 2 * np.where(seen, n * np.log(np.where(seen, n, 1) / np.where(seen, expected, 1)), 0).sum(axis=0)
+
+
+def build(
+    rows: list[tuple[int, int, dict[int, int]]], vocabulary: list[str], doc_freq: np.ndarray, docs: int
+) -> tuple[Examples, list[tuple[np.ndarray, np.ndarray]]]:
+    """Index, not yet calibrated, and the examples' vectors, from (doc_id, label, term counts) of the examples.
+
+    `doc_freq` counts, of `docs` texts, those that hold a term. A word keeps half of its IDF where its label gain is
+    what the best of as many words without bearing would reach by chance, and soon all or the damped share beside it.
+    """
+    rows = sorted(rows, key=lambda r: (r[0], r[1], sorted(r[2].items())))
+    n, v = len(rows), len(vocabulary)
+    chance = 2 * np.log(max(v, 2))
+    bearing = 1 / (1 + (chance / np.maximum(label_gain(rows, v), 1e-9)) ** 4)
+    term_weight = np.log1p(docs / np.maximum(doc_freq, 1)) * (DAMPED + (1 - DAMPED) * bearing)
+    vectors = [_vector(term_weight, counts) for _, _, counts in rows]
+    # Like examples share blocks: those whose heaviest term is the same stand together, by label and doc_id else.
+    heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+    order = sorted(range(n), key=lambda i: (rows[i][1], -bearing[heaviest[i]] if v else 0, heaviest[i], i))
+    rows, vectors = [rows[i] for i in order], [vectors[i] for i in order]
     members = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
     of_term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]])
     weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
-    order = np.lexsort((members, of_term))
-    of_term, index.members, index.weights = of_term[order], members[order], weights[order]
-    v, blocks = len(vocabulary) + 1, max(1, -(-n // BLOCK))
-    index.starts = np.searchsorted(of_term, np.arange(v + 1))
-    place = of_term * blocks + index.members // BLOCK
-    edges = np.arange(v)[:, None] * blocks + np.arange(blocks + 1)[None, :]
-    index.block_starts = np.searchsorted(place, edges.ravel()).reshape(v, blocks + 1)
-    index.block_max = np.zeros(v * blocks)
-    np.maximum.at(index.block_max, place, index.weights)
-    index.block_max = index.block_max.reshape(v, blocks)
-    votes = np.zeros(n)
-    for i, (t, w) in enumerate(vectors):
-        ids, similarity = index.nearest(t, w, NEIGHBOURS + 1)
-        others = ids != i
-        votes[i] = index.vote(ids[others][:NEIGHBOURS], similarity[others][:NEIGHBOURS])
+    by_term = np.lexsort((members, of_term))
+    of_term, members, weights = of_term[by_term], members[by_term], weights[by_term]
+    blocks = max(1, -(-n // BLOCK))
+    entry, first = np.unique(of_term * blocks + members // BLOCK, return_index=True)
+    index = Examples(
+        vocabulary={term: i for i, term in enumerate(vocabulary)},
+        term_weight=term_weight,
+        doc_ids=np.array([r[0] for r in rows], np.int64),
+        labels=np.array([r[1] for r in rows], np.float64),
+        term_blocks=np.searchsorted(entry, np.arange(v + 1) * blocks),
+        block=entry % blocks,
+        block_max=np.maximum.reduceat(weights, first) if len(first) else weights,
+        postings=np.append(first, len(members)),
+        members=members,
+        weights=weights,
+    )
+    return index, vectors
+
+
+def calibrate(index: Examples, votes: np.ndarray) -> None:
+    """Probabilities from the votes of the others on each example."""
     index.votes, index.chances = _isotonic(votes, index.labels)
-    return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Examples:
-    """Examples from at most `sample_docs` labelled rows that are not held out, chosen by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Examples:
+    """Examples from at most `sample_docs` labelled rows that are not held out, of at most `sample_chars` characters.
 
-    Exact copies of a text count once. Without labelled rows nothing is known, and every score is 0.
+    They are taken by a hash of doc_id, then by doc_id, text and label, so they do not depend on the order of the rows.
+    Exact copies of a text under one label count once. Without labelled rows nothing is known, and every score is 0.
     """
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = (
-        labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-        .select("doc_id", F.col("toxic").alias("_label"))
+        known.select("doc_id", F.col("toxic").alias("_label"))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "_label")
         .limit(sample_docs)
     )
-    # Bounded by sample_docs ids, so it is safe to broadcast; repeated documents are bounded once more.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    first = rows.groupBy(F.xxhash64("text").alias("_h"), "_label").agg(F.min("doc_id").alias("doc_id"))
+    # Bounded by sample_docs ids, so it is safe to broadcast; documents repeated under one id are bounded once more.
+    found = (
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("_h", "_label")
+        .agg(F.min("doc_id").alias("doc_id"), F.max(F.length("text")).alias("_chars"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "_h", "_label")
+        .limit(sample_docs)
+    )
+    taken, chars = [], 0
+    for r in found.collect():
+        chars += r["_chars"] or 0
+        if chars > sample_chars:
+            break
+        taken.append((r["doc_id"], r["_h"], r["_label"]))
+    spark = docs.sparkSession
+    first = spark.createDataFrame(taken, "doc_id long, _h long, _label int")
     rows = (
-        rows.withColumn("_h", F.xxhash64("text"))
-        .join(F.broadcast(first.limit(sample_docs)), ["_h", "_label", "doc_id"])
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+        .join(F.broadcast(first), ["doc_id", "_h"])
+        .dropDuplicates(["_h", "_label"])
         .select("doc_id", "text", "_label")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, label in zip(arrow.strings(batch.column("text")), batch.column("_label").to_pylist(), strict=True):
-                for term in set(words(text)):
-                    seen.setdefault(term, [0, 0])[label] += 1
-            if len(seen) > REMEMBERED:
-                yield _counts(seen)
-                seen = {}
-        yield _counts(seen)
-
-    n = rows.groupBy("_label").count().collect()
-    sizes = {r["_label"]: r["count"] for r in n}
-    pos, neg = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    share = pos / max(pos + neg, 1)
-
-    def surprise(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
-
-    # Likelihood ratio of the word's label counts against the labels' shares.
-    gain = 2 * (surprise(a, (a + b) * share) + surprise(b, (a + b) * (1 - share)))
-    strong = []
-    if pos and neg:
-        counted = (
-            rows.mapInArrow(count, "term string, a long, b long")
-            .groupBy("term")
-            .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-            .filter((a + b >= LEAST_DOCS) & (a / pos > b / neg))
-            .withColumn("gain", gain)
-            .persist()
-        )
-        # One false word in expectation over all words tried.
-        least = 2 * math.log(max(counted.count(), 1))
-        strong = counted.filter(F.col("gain") >= least).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
-        counted.unpersist()
-    vocabulary = [r["term"] for r in strong]
-    numbers = {term: i for i, term in enumerate(vocabulary)}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(numbers)
         for batch in batches:
-            found = [counts.of(text) for text in arrow.strings(batch.column("text"))]
+            counts = [Counter(words(text)) for text in arrow.strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     batch.column("_label").cast(pa.int32()),
-                    pa.array([list(f) for f in found], pa.list_(pa.int32())),
-                    pa.array([list(f.values()) for f in found], pa.list_(pa.int64())),
+                    pa.array([list(c) for c in counts], pa.list_(pa.string())),
+                    pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "label", "t", "n"],
+                names=["doc_id", "label", "words", "n"],
             )
 
-    sample = rows.mapInArrow(vectors, "doc_id long, label int, t array<int>, n array<long>").limit(sample_docs).collect()
-    examples = [(r["doc_id"], r["label"], dict(zip(r["t"], r["n"], strict=True))) for r in sample]
-    return build(examples, vocabulary, np.array([r["a"] + r["b"] for r in strong], np.float64))
+    sample = rows.mapInArrow(count, "doc_id long, label int, words array<string>, n array<long>").collect()
+    vocabulary = sorted({word for r in sample for word in r["words"]})
+    numbers = {word: i for i, word in enumerate(vocabulary)}
+    examples = [
+        (r["doc_id"], r["label"], {numbers[word]: n for word, n in zip(r["words"], r["n"], strict=True)}) for r in sample
+    ]
+    doc_freq, total = _document_frequency(docs, numbers)
+    index, vectors = build(examples, vocabulary, doc_freq, total)
+    calibrate(index, _votes(spark, index, vectors))
+    return index
 
 
-def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(list(seen), pa.string()),
-            pa.array([c[1] for c in seen.values()], pa.int64()),
-            pa.array([c[0] for c in seen.values()], pa.int64()),
-        ],
-        names=["term", "a", "b"],
-    )
+def _document_frequency(docs: DataFrame, numbers: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all texts each term stands, and the number of texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)  # bounded by the characters of the examples
+    terms = len(numbers)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, seen, texts = shared.value, np.zeros(terms + 1, np.int64), 0
+        for whole in batches:
+            for batch in arrow.pieces(whole, "text"):
+                for text in arrow.strings(batch.column("text")):
+                    held = [numbers[word] for word in set(words(text)) if word in numbers]
+                    seen[held] += 1
+                texts += batch.num_rows
+        seen[terms] = texts
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["term", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    totals = np.zeros(terms + 1)
+    for batch in counted.toArrow().to_batches():  # at most one row a term
+        totals[batch.column("term").to_numpy()] = batch.column("n").to_numpy()
+    shared.unpersist()
+    return totals[:terms], int(totals[terms])
+
+
+def _votes(spark: SparkSession, index: Examples, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The vote of the others on each example, a slice of examples a task."""
+    shared = spark.sparkContext.broadcast((index, vectors))  # bounded by the characters of the examples
 
-class Counts:
-    """Counts of the vocabulary's words in a text."""
-
-    def __init__(self, numbers: dict[str, int]):
-        self.numbers = numbers
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, vectors = shared.value
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            votes = pa.array([index.vote_of_others(i, *vectors[i]) for i in ids], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), votes], names=["id", "vote"])
 
-    def of(self, text: str) -> dict[int, int]:
-        numbers = self.numbers
-        return dict(Counter(numbers[w] for w in words(text) if w in numbers))
+    votes = np.zeros(len(vectors))
+    tasks = min(max(spark.sparkContext.defaultParallelism, 1), len(vectors) // BLOCK + 1)
+    for r in spark.range(0, len(vectors), 1, tasks).mapInArrow(run, "id long, vote double").collect():
+        votes[r["id"]] = r["vote"]
+    shared.unpersist()
+    return votes
 
 
 def score(docs: DataFrame, examples: Examples, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns, score, predicted and evidence (doc_id, label and cosine of the nearest examples).
 
-    Null and empty texts, like all texts without a word of the vocabulary, are nearest to such examples. Without any
-    example the score is 0 and there is no evidence. Repeated rows score alike; texts of any length are read whole; ties between examples go
-    to the smaller doc_id; other columns are carried or ignored as `keep` says.
+    The cosine is over the terms; words in no example are like none of them. Null and empty texts, like all texts that
+    share no word with an example, have no neighbours: their vote is 0 and their evidence is empty. Without any
+    example the score is 0. Repeated rows score alike; texts of any length are read whole; ties between examples go to
+    the smaller doc_id; other columns are carried or ignored as `keep` says.
     """
     keep = keep or []
     slim = docs.select(*keep, F.col("text").alias("_text"))
     kind = "array<struct<doc_id:bigint,label:int,similarity:double>>"
     schema = slim.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast(kind).alias("evidence")).schema
     evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
-    shared = docs.sparkSession.sparkContext.broadcast(examples)  # bounded by SAMPLE_DOCS and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(examples)  # bounded by SAMPLE_DOCS and SAMPLE_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        counts = Counts(index.vocabulary)
-        remembered: dict[tuple, tuple[float, list[dict]]] = {}
 
         def judge(text: str) -> tuple[float, list[dict]]:
-            found = counts.of(text)
-            key = tuple(sorted(found.items()))
-            if key not in remembered:
-                if len(remembered) > REMEMBERED // 10:
-                    remembered.clear()
-                ids, similarity = index.nearest(*index.vector(found), NEIGHBOURS)
-                shown = [
-                    {"doc_id": int(index.doc_ids[i]), "label": int(index.labels[i]), "similarity": float(s)}
-                    for i, s in zip(ids[:EVIDENCE], similarity[:EVIDENCE], strict=True)
-                ]
-                remembered[key] = index.chance(ids, similarity), shown
-            return remembered[key]
+            ids, similarity = index.nearest(*index.vector(index.counts(text)), NEIGHBOURS)
+            shown = [
+                {"doc_id": int(index.doc_ids[i]), "label": int(index.labels[i]), "similarity": float(s)}
+                for i, s in zip(ids[:EVIDENCE], similarity[:EVIDENCE], strict=True)
+            ]
+            return index.chance(ids, similarity), shown
 
         for whole in batches:
             for batch in arrow.pieces(whole, "_text"):
-                judged = [judge(text) for text in arrow.strings(batch.column("_text"))]
+                texts = arrow.strings(batch.column("_text"))
+                once = {text: judge(text) for text in dict.fromkeys(texts)}
+                judged = [once[text] for text in texts]
                 scores = np.array([j[0] for j in judged])
                 columns = [batch.column(k) for k in keep]
                 columns += [

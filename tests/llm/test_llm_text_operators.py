@@ -5,9 +5,11 @@ import bz2
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -501,26 +503,78 @@ def test_toxicity_on_held_out_rows_with_evidence(spark):
     assert all(0 <= r["score"] <= 1 and len(r["evidence"]) == 3 for r in rows)
 
 
-def test_block_max_search_is_exact(spark):
+def test_block_max_search_is_exact():
     rnd = random.Random(12)
     rows = [(i, rnd.randint(0, 1), {rnd.randrange(20): rnd.randint(1, 4) for _ in range(rnd.randint(0, 6))}) for i in range(500)]
-    index = toxicity_neighbours.build(rows, [f"t{i}" for i in range(20)], np.arange(20) + 5.0)
-    dense = np.zeros((500, 21))
-    for i, (_, _, counts) in enumerate(rows):
-        t, w = index.vector(counts)
+    index, vectors = toxicity_neighbours.build(rows, [f"t{i}" for i in range(20)], np.arange(20) + 5.0, 500)
+    dense = np.zeros((500, 20))
+    for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
+    assert np.allclose((dense**2).sum(axis=1)[dense.any(axis=1)], 1)
     for i in range(0, 500, 7):
-        ids, similarity = index.nearest(*index.vector(rows[i][2]), 11)
+        ids, similarity = index.nearest(*vectors[i], 11)
+        if not len(vectors[i][0]):
+            assert not len(ids)
+            continue
         every = dense @ dense[i]
-        want = np.lexsort((np.arange(500), -every.round(12)))[:11]
+        want = np.lexsort((index.doc_ids, -every.round(12)))[: len(ids)]
         assert np.allclose(similarity, every[want]) and (ids == want).mean() > 0.6
 
 
+def test_toxic_neighbours_of_texts_against_plain_tf_idf(spark):
+    docs, labels = toxic_tables(spark)
+    examples = toxicity_neighbours.fit(docs, labels)
+    bags = {r["doc_id"]: Counter(r["text"].split()) for r in docs.collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    terms = sorted({w for i in known for w in bags[i]})
+    assert list(examples.vocabulary) == terms and set(examples.doc_ids.tolist()) == set(known)
+    share = sum(known.values()) / len(known)
+    weight = {}
+    for w in terms:
+        gain = 0.0
+        n = [sum(w in bags[i] for i in known if known[i] == y) for y in (0, 1)]
+        for seen, part in zip(n, (1 - share, share), strict=True):
+            gain += 2 * seen * math.log(seen / (sum(n) * part)) if seen else 0.0
+        bearing = 1 / (1 + (2 * math.log(len(terms)) / max(gain, 1e-9)) ** 4)
+        idf = math.log(1 + len(bags) / sum(w in b for b in bags.values()))
+        weight[w] = idf * (0.05 + 0.95 * bearing)
+
+    def vector(bag):
+        raw = {w: (1 + math.log(n)) * weight[w] for w, n in bag.items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / norm for w, x in raw.items()}
+
+    vectors = {i: vector(bags[i]) for i in known}
+    scored = {r["doc_id"]: r for r in toxicity_neighbours.score(docs, examples, ["doc_id"]).collect()}
+    for i in range(0, 400, 9):
+        own = vector(bags[i])
+        every = {j: sum(x * own.get(w, 0) for w, x in v.items()) for j, v in vectors.items()}
+        nearest = sorted(every, key=lambda j: (-round(every[j], 12), j))[:11]
+        assert [e["doc_id"] for e in scored[i]["evidence"]] == nearest[:3]
+        assert np.allclose([e["similarity"] for e in scored[i]["evidence"]], [every[j] for j in nearest[:3]])
+        vote = sum(every[j] * known[j] for j in nearest) / sum(every[j] for j in nearest)
+        assert math.isclose(scored[i]["score"], float(np.interp(vote, examples.votes, examples.chances)), abs_tol=1e-9)
+    assert len({tuple(e["doc_id"] for e in r["evidence"]) for r in scored.values()}) > 300
+
+
+def test_toxic_examples_do_not_depend_on_the_order_of_rows(spark):
+    docs, labels = toxic_tables(spark)
+    again = docs.union(docs).union(documents(spark, [(3, "another text under a used id"), (3, None)])).repartition(7)
+    one = toxicity_neighbours.fit(again, labels, sample_docs=90)
+    two = toxicity_neighbours.fit(again.repartition(2, "text"), labels.repartition(5).union(labels), sample_docs=90)
+    assert len(one.doc_ids) == 90 and one.doc_ids.tolist() == two.doc_ids.tolist()
+    assert list(one.vocabulary) == list(two.vocabulary)
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.chances, two.chances)
+    few = toxicity_neighbours.fit(docs, labels, sample_chars=5000)
+    assert 0 < len(few.doc_ids) < 40
+
+
 def test_toxicity_edges(spark):
     docs, labels = toxic_tables(spark)
     examples = toxicity_neighbours.fit(docs, labels)
     odd = {r["doc_id"]: r for r in toxicity_neighbours.score(documents(spark, ODD), examples, ["doc_id"]).collect()}
     assert odd[1]["score"] == odd[2]["score"] == odd[4]["score"] and odd[1]["predicted"] == 0
+    assert odd[1]["evidence"] == []
     assert toxicity_neighbours.score(documents(spark, []), examples, ["doc_id"]).count() == 0
     nothing = toxicity_neighbours.fit(docs, labels.limit(0))
     assert {r["score"] for r in toxicity_neighbours.score(docs, nothing, ["doc_id"]).collect()} == {0.0}
