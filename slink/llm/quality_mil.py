@@ -137,19 +137,26 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Network:
-    """Weights of the encoder, the gate and the score; `prior` answers for texts without passages."""
+    """Weights of the encoder, the gate and the score; `prior` answers where nothing could be fitted.
+
+    A text without passages is a bag of its own kind, which has nothing but its indicator: `empty` is its fitted score.
+    """
 
     mean: np.ndarray
     scale: np.ndarray
     weights: dict[str, np.ndarray]
     prior: float
     constant: bool
+    empty: float
 
     def score(self, rows: np.ndarray, owners: np.ndarray, texts: int) -> np.ndarray:
-        scores = np.full(texts, self.prior)
-        if self.constant or not len(rows):
+        scores = np.full(texts, self.empty)
+        if not len(rows):
             return scores
         known, bags = np.unique(owners, return_inverse=True)
+        if self.constant:
+            scores[known] = self.prior
+            return scores
         x = np.clip((rows - self.mean) / self.scale, -6, 6)
         scores[known] = _forward(self.weights, x, bags, len(known))["score"]
         return scores
@@ -199,13 +206,17 @@ def train(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray, steps: int =
     """Fit the network with Adam on labelled bags of passages; deterministic.
 
     Without labelled rows nothing speaks against a text, so every score is 1; with one class it is that class's share.
+    Labelled texts without passages fit the score of such texts (one imagined row of each label): half without any.
     """
+    without = np.ones(len(labels), bool)
+    without[owners] = False
+    empty = float((labels[without].sum() + 1) / (without.sum() + 2))
     prior = float((labels.sum() + 1) / (len(labels) + 1))
     constant = not len(rows) or len(np.unique(labels)) < 2
     mean = rows.mean(axis=0) if len(rows) else np.zeros(FEATURES, np.float32)
     scale = rows.std(axis=0) + np.float32(1e-3) if len(rows) else np.ones(FEATURES, np.float32)
     if constant:
-        return Network(mean, scale, {}, prior, True)
+        return Network(mean, scale, {}, prior, True, empty)
     random = np.random.default_rng(7)
 
     def matrix(*shape: int) -> np.ndarray:
@@ -231,7 +242,7 @@ def train(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray, steps: int =
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w[k] = w[k] - (0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return Network(mean, scale, w, prior, False)
+    return Network(mean, scale, w, prior, False, empty)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -240,15 +251,28 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
-    """Network fitted on at most `sample_docs` labelled rows that are not held out, chosen by a hash of doc_id."""
+    """Network fitted on at most `sample_docs` labelled rows that are not held out.
+
+    They are taken by a hash of doc_id, then by doc_id, text and label, repeated rows once, and enter the fit in that
+    order, so the weights do not depend on the order of the rows.
+    """
     chosen = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .select("doc_id", F.col("quality").alias("_label"))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "_label")
         .limit(sample_docs)
     )
-    # Bounded by sample_docs ids, so it is safe to broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_label")
+    # Bounded by sample_docs ids, so both are safe to broadcast; documents repeated under one id are bounded once more.
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    taken = (
+        hashed.join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "_h", "_label")
+        .distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "_h", "_label")
+        .limit(sample_docs)
+    )
+    rows = hashed.join(F.broadcast(taken), ["doc_id", "_h"]).dropDuplicates(["doc_id", "_h", "_label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -260,11 +284,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> N
                     step = max(1, -(-len(own) // SAMPLE_PASSAGES))
                     packed.append(own[::step].astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(packed, pa.binary()), batch.column("_label").cast(pa.int32())], names=["rows", "label"]
+                    [
+                        batch.column("doc_id").cast(pa.int64()),
+                        batch.column("_h"),
+                        pa.array(packed, pa.binary()),
+                        batch.column("_label").cast(pa.int32()),
+                    ],
+                    names=["doc_id", "h", "rows", "label"],
                 )
 
-    # Repeated documents could exceed the sample, so the rows are bounded once more.
-    sample = rows.mapInArrow(run, "rows binary, label int").limit(sample_docs).collect()
+    sample = rows.mapInArrow(run, "doc_id long, h long, rows binary, label int").collect()  # sample_docs rows at most
+    sample.sort(key=lambda r: (r["doc_id"], r["h"], r["label"]))
     bags = [np.frombuffer(r["rows"], "<f4").reshape(-1, FEATURES) for r in sample]
     stacked = np.concatenate([np.zeros((0, FEATURES), np.float32), *bags])
     owners = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
@@ -274,8 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> N
 def score(docs: DataFrame, network: Network, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns, score and predicted of each row of `docs` (text).
 
-    A null, empty or blank text has no passages and gets the share of good labels; texts of any length are scored
-    whole, in windows of bounded size; repeated rows score alike; other columns are carried or ignored as `keep` says.
+    A null, empty or blank text has no passages; it gets the score fitted on such texts alone, and half, which is not
+    accepted, where no label speaks of one. Texts of any length are scored whole, in windows of bounded size; repeated rows score alike; other columns are carried or ignored as `keep` says.
     """
     keep = keep or []
     slim = docs.select(*keep, F.col("text").alias("_text"))

@@ -93,13 +93,33 @@ def test_quality_edges(spark):
     network = quality_mil.fit(docs, labels.union(spark.createDataFrame([(None, 1, 0), (5, None, None)], labels.schema)))
     odd = {r["doc_id"]: r for r in quality_mil.score(documents(spark, ODD), network, ["doc_id"]).collect()}
     assert len(odd) == len({i for i, _ in ODD})
-    assert odd[1]["score"] == odd[2]["score"] == odd[3]["score"] == pytest.approx(network.prior)
+    assert {odd[i]["score"] for i in (1, 2, 3)} == {0.5} and odd[1]["predicted"] == 0
     assert odd[4]["score"] == odd[5]["score"]
     assert quality_mil.score(documents(spark, []), network, ["doc_id"]).count() == 0
     unlabelled = quality_mil.fit(docs, labels.limit(0))
     assert {r["score"] for r in quality_mil.score(docs, unlabelled, ["doc_id"]).collect()} == {1.0}
 
 
+def test_quality_of_texts_without_words_is_learnt_from_such_texts(spark):
+    docs, labels = quality_tables(spark)
+    empty = [i for i in range(1000, 1040) if zlib.crc32(str(i).encode()) % 4 != 2]
+    more = docs.union(documents(spark, [(i, None if i % 2 else " ") for i in empty]))
+    for label, accepted in ((0, 0), (1, 1)):
+        network = quality_mil.fit(more, labels.union(spark.createDataFrame([(i, label, 0) for i in empty], labels.schema)))
+        assert network.empty == pytest.approx((label * len(empty) + 1) / (len(empty) + 2))
+        rows = quality_mil.score(documents(spark, [(1, None), (2, "")]), network, ["doc_id"]).collect()
+        assert {r["predicted"] for r in rows} == {accepted}
+
+
+def test_quality_fit_does_not_depend_on_the_order_of_rows(spark):
+    docs, labels = quality_tables(spark)
+    again = docs.union(docs).union(documents(spark, [(4, "other " * 60), (4, None)])).repartition(7)
+    one = quality_mil.fit(again, labels, sample_docs=70)
+    two = quality_mil.fit(again.repartition(2, "text"), labels.union(labels).repartition(5), sample_docs=70)
+    assert all(np.array_equal(one.weights[k], two.weights[k]) for k in one.weights)
+    assert one.prior == two.prior and one.empty == two.empty
+
+
 def test_attention_gradients_match_differences():
     random_ = np.random.default_rng(1)
     n, bags = 9, np.array([0, 0, 0, 1, 1, 2, 2, 2, 2])
