@@ -1,4 +1,8 @@
-"""Five stages from raw documents to token ids; all but the last return the columns of documents."""
+"""Five stages from raw documents to token ids; all but the last return the columns of documents.
+
+Columns beside text may hold nulls and bear any name; they are carried as they are. An empty table gives an empty one.
+Texts of any length are read whole. Null and empty texts, ties and repeated rows: see each stage.
+"""
 
 from __future__ import annotations
 
@@ -18,19 +22,22 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null, empty and blank texts go, unless labels speak for such texts. Repeated rows all stay or all go.
+    """
     network = quality_mil.fit(docs, table(spark, sf_dir, "labels"))
     accepted = quality_mil.score(_carried(docs), network, ["text", "row"]).filter("predicted = 1")
     return accepted.select("text", "row.*").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group: the smallest doc_id, null ids last; repeated rows are one."""
     return simhash_pivots.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind; n_chars follows."""
+    """Texts with personal data replaced by its kind; n_chars follows. Every row stays, repeated ones too."""
     clean = pii_boost.find(_carried(docs), pii_boost.fit(docs), ["row"], redact="text").select("text", "row.*")
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
