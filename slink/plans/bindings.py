@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 from slink.functions import fixed_values as fixed
 from slink.operators import catalog
+from slink.plans.warehouse_import import import_catalog, read_imported
+from slink.sources.shared import new_path
 
 TABLES = [
     "benchmark",
@@ -49,6 +51,12 @@ def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog_columns(spark, tables(spark, sf_dir))
 
 
+def imported_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the written catalogue, after an import that profiles all tables with sketch counts."""
+    path = new_path(spark, "catalog")
+    return read_imported(spark, path, "columns", import_catalog(spark, tables(spark, sf_dir), path, approx=True))
+
+
 def warehouse_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog_tables(spark, tables(spark, sf_dir))
 

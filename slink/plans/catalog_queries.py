@@ -82,7 +82,7 @@ def s2(spark, sf_dir):
     FROM cat GROUP BY table_id, table_name""",
 )
 def s11(spark, sf_dir):
-    return catalog.short_schema_text(b.columns(spark, sf_dir))
+    return catalog.short_schema_text(b.imported_columns(spark, sf_dir))
 
 
 # An emptied copy of nation joins the listing, so the filter has something to drop.
@@ -123,12 +123,12 @@ def p4(spark, sf_dir):
 
 @query("p5_limit_columns", f"WITH {b.CATALOG_CTE} SELECT table_name, column_name, ordinal FROM cat WHERE ordinal < 3")
 def p5(spark, sf_dir):
-    return catalog.limit_columns(b.columns(spark, sf_dir), 3).select("table_name", "column_name", "ordinal")
+    return catalog.limit_columns(b.imported_columns(spark, sf_dir), 3).select("table_name", "column_name", "ordinal")
 
 
 @query("p6_string_columns_only", f"WITH {b.CATALOG_CTE} SELECT table_name, column_name FROM cat WHERE type LIKE 'VARCHAR%'")
 def p6(spark, sf_dir):
-    return catalog.string_columns_only(b.columns(spark, sf_dir)).select("table_name", "column_name")
+    return catalog.string_columns_only(b.imported_columns(spark, sf_dir)).select("table_name", "column_name")
 
 
 @query("p7_drop_blank_values", "SELECT source AS value, count(*) AS n FROM documents WHERE source IS NOT NULL AND source <> '' GROUP BY source")
@@ -344,7 +344,7 @@ def w1(spark, sf_dir):
     FROM cat GROUP BY table_id, table_name""",
 )
 def a12(spark, sf_dir):
-    return documents.table_text(b.columns(spark, sf_dir)).select("table_id", "content")
+    return documents.table_text(b.imported_columns(spark, sf_dir)).select("table_id", "content")
 
 
 # values kept for the index: top n of each text column, cleaned, with catalogue ids
@@ -391,7 +391,7 @@ def a16(spark, sf_dir):
     FROM cat WHERE column_name LIKE '%KEY' OR column_name LIKE '%\\_ID' ESCAPE '\\' GROUP BY table_id""",
 )
 def w7(spark, sf_dir):
-    chosen = catalog.default_columns(b.columns(spark, sf_dir), "(KEY|_ID)$")
+    chosen = catalog.default_columns(b.imported_columns(spark, sf_dir), "(KEY|_ID)$")
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "column_name")))
     return chosen.groupBy("table_id").agg(
         F.array_join(F.transform(ordered, lambda c: c["column_name"]), ",").alias("default_columns")
@@ -567,7 +567,7 @@ def f8(spark, sf_dir):
 
 @query("f9_prettify_name", f"WITH {b.CATALOG_CTE} SELECT column_id, replace(lower(column_name), '_', ' ') AS pretty FROM cat")
 def f9(spark, sf_dir):
-    return b.columns(spark, sf_dir).select("column_id", text.prettify_name(F.col("column_name")).alias("pretty"))
+    return b.imported_columns(spark, sf_dir).select("column_id", text.prettify_name(F.col("column_name")).alias("pretty"))
 
 
 KEYWORD_LIST = ", ".join(f"'{k}'" for k in fixed.KEYWORDS)

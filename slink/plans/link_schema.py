@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
+from slink.operators import documents as documents_
 from slink.operators import packing, ranking
+from slink.operators.documents import Embedder
 from slink.operators.ranking import ELEMENT, MlpWeights
 
 
@@ -40,3 +42,18 @@ def link_schema(
     if few_shot is not None:
         ranked = ranking.merge_rankings(ranked, few_shot_rankings(*few_shot))
     return packing.pack_schema(ranked, columns, budget, default_pattern)
+
+
+def link_question_texts(
+    questions: DataFrame,
+    index: DataFrame,
+    columns: DataFrame,
+    budget: Column | int,
+    embedder: Embedder | None = None,
+    **options,
+) -> DataFrame:
+    """One row per question from its `text`: embed as the index was embedded, then `link_schema`.
+
+    `index` and `columns` are those of an import (`warehouse_import.read_imported`).
+    """
+    return link_schema(documents_.embed(questions, "text", embedder), index, columns, budget, **options)
