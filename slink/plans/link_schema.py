@@ -56,4 +56,5 @@ def link_question_texts(
 
     `index` and `columns` are those of an import (`warehouse_import.read_imported`).
     """
-    return link_schema(documents_.embed(questions, "text", embedder), index, columns, budget, **options)
+    asked = questions.withColumn("question_id", F.col("question_id").cast("long"))
+    return link_schema(documents_.embed(asked, "text", embedder), index, columns, budget, **options)

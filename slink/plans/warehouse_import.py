@@ -2,7 +2,8 @@
 
 Below the given path stand `tables`, `columns` and `index`, each with one folder per version. A version is the one before with what
 this import saw on top: known tables and columns keep their ids, new ones get ids behind them, and what is no longer there stays listed.
-An import that was cut off is repeated under its own number, and gives the same result.
+An import that was cut off is repeated under its own number, and gives the same result. One that finds no column leaves an empty version,
+which the next import takes for its own.
 """
 
 from __future__ import annotations
