@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
-from slink.operators.grouping import top_k_per_group
+from slink.operators.grouping import number_rows, top_k_per_group
 from slink.operators.ranking import ELEMENT, FEATURES, MlpWeights, feature_vectors, level
+from slink.sources.stores import materialize
 
 KEY = ["question_id", *ELEMENT]
 BATCH_ROWS = 256
@@ -171,29 +170,40 @@ def _shaped(theta: np.ndarray, inputs: int, hidden: int) -> MlpWeights:
     return MlpWeights(theta[:n].reshape(hidden, inputs), theta[n : n + hidden], theta[n + hidden : n + 2 * hidden], float(theta[-1]))
 
 
-def _gradient(w: MlpWeights, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Summed gradient of the squared error, followed by the summed error and the row count."""
+def _gradient(w: MlpWeights, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """Summed gradient of the squared error, followed by the summed error and the row count; a row counts `n` times."""
+    n = np.ones(len(y)) if n is None else n
     z = x @ w.w1.T + w.b1
     h = np.maximum(z, 0.0)
     residual = h @ w.w2 + w.b2 - y
-    d_out = 2 * residual
+    d_out = 2 * n * residual
     d_z = np.outer(d_out, w.w2) * (z > 0)
-    parts = [(d_z.T @ x).ravel(), d_z.sum(axis=0), h.T @ d_out, [d_out.sum()], [(residual**2).sum()], [len(y)]]
+    parts = [(d_z.T @ x).ravel(), d_z.sum(axis=0), h.T @ d_out, [d_out.sum()], [(n * residual**2).sum()], [n.sum()]]
     return np.concatenate(parts)
 
 
 def _adam_epochs(
-    theta: np.ndarray, inputs: int, hidden: int, x: np.ndarray, y: np.ndarray, epochs: int, rate: float, seed: tuple
+    theta: np.ndarray,
+    inputs: int,
+    hidden: int,
+    rows: tuple[np.ndarray, np.ndarray, np.ndarray],
+    epochs: int,
+    rate: float,
+    seed: tuple,
 ) -> np.ndarray:
-    """Weights after some epochs of Adam over seeded batches of the given rows."""
+    """Weights after some epochs of Adam over seeded batches of the given rows (features, labels, how often each stands).
+
+    A batch's gradient is scaled by the mean count of all rows, so a row that stands often weighs as much over an epoch as its copies would.
+    """
+    x, y, n = rows
     theta, step = theta.copy(), 0
     momentum, velocity = np.zeros_like(theta), np.zeros_like(theta)
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         order = random.permutation(len(y))
         for start in range(0, len(y), BATCH_ROWS):
-            rows = order[start : start + BATCH_ROWS]
-            gradient = _gradient(_shaped(theta, inputs, hidden), x[rows], y[rows])[:-2] / len(rows)
+            some = order[start : start + BATCH_ROWS]
+            gradient = _gradient(_shaped(theta, inputs, hidden), x[some], y[some], n[some])[:-2] / (len(some) * n.mean())
             step += 1
             momentum = 0.9 * momentum + 0.1 * gradient
             velocity = 0.999 * velocity + 0.001 * gradient**2
@@ -201,6 +211,37 @@ def _adam_epochs(
     return theta
 
 
+def placed_rows(examples: DataFrame, kind: str) -> DataFrame:
+    """Distinct examples of one element type with their counts `n`, each in a `part` that only the data decide.
+
+    Rows are numbered in the order of their digest, and `PART_ROWS` in a row make a part, whatever the partitions of the input. Copies
+    are counted before they move, so a row that is a third of the input is one row here.
+    """
+    rows = examples.filter(F.col("element_type") == kind).groupBy("features", "label").agg(F.count("*").cast("double").alias("n"))
+    digest = F.xxhash64("features", "label")
+    numbered = number_rows(rows.withColumn("digest", digest), [], F.shiftright("digest", 52), [F.col(c) for c in ("digest", "features", "label")], "place")
+    return numbered.select("features", "label", "n", "place", F.floor(F.col("place") / PART_ROWS).alias("part"))
+
+
+LOCAL_SCHEMA = "position int, part long, total double"
+
+
+def _local_round(theta: np.ndarray, shape: tuple[int, int], epochs: int, rate: float, seed: tuple):
+    """One part's share of a round: its moved weights times its rows, its squared error, its rows."""
+
+    def local(held: pa.Table) -> pa.Table:
+        held = held.sort_by("place")
+        x = held["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(held.num_rows, -1)
+        rows = x, held["label"].to_numpy(), held["n"].to_numpy()
+        part = held["part"][0].as_py()
+        error, count = _gradient(_shaped(theta, *shape), *rows)[-2:]
+        total = np.concatenate([_adam_epochs(theta, *shape, rows, epochs, rate, (*seed, part)) * count, [error, count]])
+        positions = pa.array(np.arange(len(total), dtype=np.int32))
+        return pa.table({"position": positions, "part": pa.array(np.full(len(total), part, np.int64)), "total": pa.array(total)})
+
+    return local
+
+
 def train_mlp(
     examples: DataFrame,
     kind: str,
@@ -213,17 +254,14 @@ def train_mlp(
 ) -> tuple[MlpWeights, list[float]]:
     """Adam on the mean squared error of one element type; (weights, loss before each round and at the end).
 
-    A round is one job: every part of the rows takes `local_epochs` epochs of
-    256-row batches from the common weights, and Spark sums the results by
-    their row counts to the next common weights. Only that sum, a few hundred
-    numbers, reaches the driver. Up to `PART_ROWS` rows there is one part and
-    the rounds are plain training.
+    A round is one job: every part of `placed_rows` takes `local_epochs` epochs of 256-row batches from the common weights, and the
+    results are averaged by their row counts, in the order of the parts, to the next common weights. Only that average, a few hundred
+    numbers, reaches the driver. The weights depend on the examples and the seed, not on how the examples are partitioned.
     """
     inputs = len(FEATURES[kind])
-    data = examples.filter(F.col("element_type") == kind).select("features", "label")
-    parts = max(1, -(-data.count() // PART_ROWS))
-    data = data.repartition(parts).persist()
-    schema = pa.schema([("position", pa.int32()), ("total", pa.float64())])
+    written = materialize(placed_rows(examples, kind), "training-rows")
+    parts = (written.agg(F.max("part")).first()[0] or 0) + 1
+    data = written.repartition(parts, "part").persist()
     theta, losses = _flat(start or initial_weights(inputs, hidden, seed)), []
     rounds = -(-epochs // local_epochs)
     try:
@@ -231,19 +269,10 @@ def train_mlp(
             # The last round only measures.
             taken = min(local_epochs, epochs - number * local_epochs) if number < rounds else 0
 
-            def local(
-                batches: Iterator[pa.RecordBatch], theta: np.ndarray = theta, taken: int = taken, number: int = number
-            ) -> Iterator[pa.RecordBatch]:
-                held = [b for b in batches if b.num_rows]
-                if held:
-                    x = np.concatenate([b["features"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held])
-                    y = np.concatenate([b["label"].to_numpy(zero_copy_only=False) for b in held])
-                    error = _gradient(_shaped(theta, inputs, hidden), x, y)[-2]
-                    moved = _adam_epochs(theta, inputs, hidden, x, y, taken, learning_rate, (seed, number, len(y)))
-                    total = np.concatenate([moved * len(y), [error, len(y)]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], schema=schema)
-
-            summed = data.mapInArrow(local, "position int, total double").groupBy("position").agg(F.sum("total").alias("total"))
+            local = _local_round(theta, (inputs, hidden), taken, learning_rate, (seed, number))
+            moved = data.groupBy("part").applyInArrow(local, LOCAL_SCHEMA)
+            by_part = F.array_sort(F.collect_list(F.struct("part", "total")))
+            summed = moved.groupBy("position").agg(F.aggregate(by_part, F.lit(0.0), lambda a, p: a + p["total"]).alias("total"))
             rows = summed.orderBy("position").collect()
             if not rows:
                 raise ValueError(f"not enough training data for {kind}")

@@ -70,6 +70,59 @@ def test_training_lowers_the_loss(spark, monkeypatch):
     assert len(averaged) == 21 and averaged[-1] < averaged[0] / 2
 
 
+def plain_adam(model, x, y, n, epochs, rate, seed):
+    """Adam written out for one part, weight by weight of the network."""
+    theta = training._flat(model)
+    m, v, t = np.zeros(len(theta)), np.zeros(len(theta)), 0
+    random = np.random.default_rng(seed)
+    for _ in range(epochs):
+        order = random.permutation(len(y))
+        for first in range(0, len(y), 256):
+            slope = np.zeros(len(theta))
+            for i in order[first : first + 256]:
+                w = training._shaped(theta, x.shape[1], len(model.b1))
+                z = w.w1 @ x[i] + w.b1
+                on = (z > 0) * 1.0
+                error = 2 * n[i] * (w.w2 @ (z * on) + w.b2 - y[i])
+                slope += np.concatenate([np.outer(error * w.w2 * on, x[i]).ravel(), error * w.w2 * on, error * z * on, [error]])
+            slope /= len(order[first : first + 256]) * n.sum() / len(n)
+            t += 1
+            m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+            theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return theta
+
+
+def test_weights_depend_on_the_examples_alone(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    distinct = [("table", x.tolist(), float(x[0] > 0.5)) for x in rng.random((300, 3))]
+    # A third of the rows is one row.
+    rows = distinct + [distinct[7]] * 150
+    examples = spark.createDataFrame(rows, "element_type string, features array<double>, label double")
+    start = training.initial_weights(3, 4, seed=2)
+    options = dict(epochs=3, learning_rate=0.01, hidden=4, start=start, local_epochs=2)
+    thetas = {}
+    for part_rows in (65_536, 64):
+        monkeypatch.setattr(training, "PART_ROWS", part_rows)
+        few, _ = training.train_mlp(examples.coalesce(1), "table", **options)
+        many, _ = training.train_mlp(examples.orderBy(F.rand(1)).repartition(7), "table", **options)
+        thetas[part_rows] = training._flat(few)
+        assert (thetas[part_rows] == training._flat(many)).all()
+        placed = training.placed_rows(examples, "table").toPandas().sort_values("place")
+        assert len(placed) == 300 and placed["n"].sum() == 450 and placed["n"].max() == 151
+        assert placed.groupby("part").size().max() <= part_rows
+        # Each part alone, averaged by rows after each round.
+        model = start
+        for number, epochs in ((0, 2), (1, 1)):
+            moved, total = 0.0, 0.0
+            for part, held in placed.groupby("part"):
+                x, y, n = np.stack(held["features"]), held["label"].to_numpy(), held["n"].to_numpy()
+                moved = moved + n.sum() * plain_adam(model, x, y, n, epochs, 0.01, (0, number, part))
+                total += n.sum()
+            model = training._shaped(moved / total, 3, 4)
+        assert np.abs(training._flat(model) - thetas[part_rows]).max() < 1e-9
+    assert (thetas[64] != thetas[65_536]).any()
+
+
 def test_gradient_is_the_slope_of_the_loss():
     rng = np.random.default_rng(0)
     x, y = rng.random((20, 3)), rng.random(20)
