@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
 from slink.functions import text
-from slink.operators.catalog import long_cells
-from slink.operators.grouping import top_k_per_group
+from slink.operators.catalog import KEY_CHARS, long_cells
+from slink.operators.grouping import salts, top_k_per_group
+from slink.sources.stores import materialize
+
 
+def _sha256(value: Column) -> Column:
+    return F.sha2(value, 256)
 
-def value_counts(tables: dict[str, DataFrame], digest_from: int | None = None) -> DataFrame:
+
+def value_counts(
+    tables: dict[str, DataFrame], digest_from: int | None = None, digest: Callable[[Column], Column] = _sha256
+) -> DataFrame:
     """(table_name, column_name, value, n) of every text column, nulls left out.
 
     With `digest_from`, texts of that many characters or more are counted by
@@ -23,7 +32,7 @@ def value_counts(tables: dict[str, DataFrame], digest_from: int | None = None) -
     cells, keys = cells.filter(value.isNotNull()), ["column_no", "value"]
     if digest_from is not None:
         is_long = F.length(value) >= digest_from
-        cells = cells.select("column_no", F.when(~is_long, value).alias("value"), F.when(is_long, F.sha2(value, 256)).alias("digest"))
+        cells = cells.select("column_no", F.when(~is_long, value).alias("value"), F.when(is_long, digest(value)).alias("digest"))
         keys.append("digest")
     counts = cells.groupBy(*keys).agg(F.count("*").alias("n")).join(names, "column_no")
     return counts.select("table_name", "column_name", *keys[1:], "n")
@@ -38,6 +47,49 @@ def top_values(counts: DataFrame, n: int = fixed.MAX_LIMIT, keys: list[str] | No
     return top_k_per_group(counts, keys, order, n, "value_rank", salt_by=salt_by)
 
 
+def _first_with_ties(counts: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """Rows whose place in their group is n or less, where equal ones share a place; a hot group is cut per salt before."""
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("head", "digest"), F.lit(salts(counts))))
+    near = salted.withColumn("_place", F.rank().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).filter(F.col("_place") <= n)
+    return (
+        near.withColumn("_place", F.rank().over(Window.partitionBy(*keys).orderBy(*order)))
+        .filter(F.col("_place") <= n)
+        .drop("_salt", "_place")
+    )
+
+
+def top_whole_values(tables: dict[str, DataFrame], n: int = fixed.MAX_LIMIT) -> DataFrame:
+    """Most frequent values of each text column with their whole texts, ties by value.
+
+    The first pass counts every value by its first 64 characters and, where it is longer, the digest of all, so no long text is a key.
+    Counts and heads leave n values of a column, and those that equal the last of them in both. A second pass reads the long ones
+    among these again and puts the ties in the order of the whole texts. As long as the names of these few are below the planner's
+    broadcast size, which is so but for a great many long values of one head and count, no other text leaves its task.
+    """
+    cells, names = long_cells(tables, only_strings=True)
+    value = F.col("value")
+    is_long = F.length(value) > KEY_CHARS
+    keyed = cells.filter(value.isNotNull()).select(
+        "column_no", F.left(value, F.lit(KEY_CHARS)).alias("head"), F.when(is_long, _sha256(value)).alias("digest")
+    )
+    counts = keyed.groupBy("column_no", "head", "digest").agg(F.count("*").alias("n"))
+    # A value that is its own head comes before all longer ones of that head.
+    near = materialize(
+        _first_with_ties(counts, ["column_no"], [F.desc("n"), F.asc("head"), F.col("digest").isNotNull()], n), "frequent-values"
+    )
+    wanted = near.filter(F.col("digest").isNotNull()).select("column_no", "digest")
+    texts = (
+        cells.filter(is_long)
+        .withColumn("digest", _sha256(value))
+        .join(wanted, ["column_no", "digest"], "left_semi")
+        .groupBy("column_no", "digest")
+        .agg(F.first("value").alias("text"))
+    )
+    whole = near.join(texts, ["column_no", "digest"], "left").select("column_no", F.coalesce("text", "head").alias("value"), "n")
+    ranked = top_k_per_group(whole, ["column_no"], [F.desc("n"), F.asc("value")], n, "value_rank", salt_by=["value"])
+    return ranked.join(names, "column_no").select("table_name", "column_name", "value", "n", "value_rank")
+
+
 def indexed_values(tables: dict[str, DataFrame], n: int = fixed.MAX_LIMIT) -> DataFrame:
     """Values that go into the indexes: the most frequent of each column, cleaned."""
     top = top_values(value_counts(tables, digest_from=fixed.MAX_VALUE_LENGTH), n)

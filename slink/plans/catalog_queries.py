@@ -323,8 +323,8 @@ def a3(spark, sf_dir):
 
 @query("a4_value_counts", f"SELECT table_name, column_name, md5(value) AS value_digest, n FROM ({VALUE_COUNTS_SQL})")
 def a4(spark, sf_dir):
-    counts = values.value_counts(b.tables(spark, sf_dir))
-    return counts.select("table_name", "column_name", F.md5("value").alias("value_digest"), "n")
+    counts = values.value_counts(b.tables(spark, sf_dir), catalog.KEY_CHARS + 1, F.md5)
+    return counts.select("table_name", "column_name", F.coalesce("digest", F.md5("value")).alias("value_digest"), "n")
 
 
 @query(
@@ -334,7 +334,7 @@ def a4(spark, sf_dir):
       FROM ({VALUE_COUNTS_SQL})) WHERE value_rank <= 50""",
 )
 def w1(spark, sf_dir):
-    top = values.top_values(values.value_counts(b.tables(spark, sf_dir)), 50)
+    top = values.top_whole_values(b.tables(spark, sf_dir), 50)
     return top.select("table_name", "column_name", F.md5("value").alias("value_digest"), "n", "value_rank")
 
 
