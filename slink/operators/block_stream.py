@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,18 @@ from pyspark.sql import functions as F
 STRIP_ROWS = 16_384
 STREAMS_PER_CORE = 4
 
-Kernel = Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]
+# A strip and the blocks that pass it, one after the other, to rows.
+Kernel = Callable[[pa.Table, Iterator[pa.Table]], Iterator[pa.RecordBatch]]
+
+
+def block_by_block(kernel: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]) -> Kernel:
+    """A kernel that takes each block on its own."""
+
+    def run(strip: pa.Table, blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for block in blocks:
+            yield from kernel(strip, block)
+
+    return run
 
 
 def _table(batches: list[pa.RecordBatch], side: str) -> pa.Table:
@@ -28,32 +40,41 @@ def _table(batches: list[pa.RecordBatch], side: str) -> pa.Table:
     return pa.Table.from_batches([pa.RecordBatch.from_arrays(c.flatten(), names=names) for c in columns])
 
 
-def _run(kernel: Kernel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, object, pa.RecordBatch]]:
+    """strip, side, block and rows of stretches of a stream."""
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("strip", "side", "block")), strict=True))
+        start = 0
+        for key, same in groupby(keys):
+            rows = sum(1 for _ in same)
+            yield *key, batch.slice(start, rows)
+            start += rows
+
+
+def _cut(pieces: Iterator[tuple], most: int | None) -> Iterator[pa.Table]:
+    """Tables of the rows of one block each, at most about `most` of them."""
+    for _, same in groupby(pieces, key=lambda p: p[2]):
+        held, rows = [], 0
+        for *_, batch in same:
+            for start in range(0, batch.num_rows, most or batch.num_rows):
+                held.append(batch.slice(start, most or batch.num_rows))
+                rows += held[-1].num_rows
+                if most and rows >= most:
+                    yield _table(held, "r")
+                    held, rows = [], 0
+        if held:
+            yield _table(held, "r")
+
+
+def _run(kernel: Kernel, most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strip: tuple[int, pa.Table] | None = None
-        held: list[pa.RecordBatch] = []
-        current: tuple[int, int, int] | None = None
-
-        def finished() -> Iterator[pa.RecordBatch]:
-            nonlocal strip
-            if held and current[1] == 0:
-                strip = current[0], _table(held, "l")
-            elif held and strip is not None and strip[0] == current[0]:
-                yield from kernel(strip[1], _table(held, "r"))
-
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("strip", "side", "block")), strict=True))
-            start = 0
-            while start < len(keys):
-                stop = start + 1
-                while stop < len(keys) and keys[stop] == keys[start]:
-                    stop += 1
-                if keys[start] != current:
-                    yield from finished()
-                    current, held = keys[start], []
-                held.append(batch.slice(start, stop - start))
-                start = stop
-        yield from finished()
+        for _, cells in groupby(_pieces(batches), key=lambda p: p[0]):
+            sides = groupby(cells, key=lambda p: p[1])
+            side, rows = next(sides)
+            if side == 0:
+                strip = _table([batch for *_, batch in rows], "l")
+                for _, blocks in sides:
+                    yield from kernel(strip, _cut(blocks, most))
 
     return run
 
@@ -73,27 +94,43 @@ def strip_count(left: DataFrame, rows: int, blocks: int, least: int) -> int:
 
 
 def pair_stream(
-    left: DataFrame, right: DataFrame, strip: Column, strips: int, block: Column, blocks: int, kernel: Kernel, schema: str
+    left: DataFrame,
+    right: DataFrame,
+    strip: Column,
+    strips: int,
+    block: Column,
+    blocks: int,
+    kernel: Kernel,
+    schema: str,
+    ranges: int | None = None,
+    group: Column | None = None,
+    most: int | None = None,
 ) -> DataFrame:
-    """What `kernel` gives for each strip of `left` with each block of `right`.
+    """What `kernel` gives for each strip of `left` with the blocks of `right`.
 
     `strip` and `block` are numbers below `strips` and `blocks`, of about equally many rows each. A strip without
-    right rows, or a block without left rows, gives nothing.
+    right rows, or a block without left rows, gives nothing. Blocks pass in their order; with `group`, a text, those
+    of a range pass group by group, cut into tables of about `most` rows. `ranges` of blocks are parts of their own.
     """
-    ranges, tasks = streams(left, strips, blocks)
+    planned, tasks = streams(left, strips, blocks)
+    if ranges is not None:
+        planned, tasks = ranges, max(1, min(strips * ranges, STREAMS_PER_CORE * left.sparkSession.sparkContext.defaultParallelism))
+    ranges = planned
 
     def task(cell: Column) -> Column:
         return F.floor(cell.cast("long") * F.lit(tasks) / F.lit(strips * ranges)).cast("int")
 
+    kind = "string" if group is not None else "int"
     numbered = left.select(strip.cast("int").alias("strip"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("l"))
     first, last = F.col("strip") * ranges, F.col("strip") * ranges + (ranges - 1)
     lefts = numbered.withColumn("task", F.explode(F.sequence(task(first), task(last)))).select(
-        "task", "strip", F.lit(0).alias("side"), F.lit(0).alias("block"), "l"
+        "task", "strip", F.lit(0).alias("side"), F.lit(0).cast(kind).alias("block"), "l"
     )
-    numbered = right.select(block.cast("int").alias("block"), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("r"))
+    row = F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("r")
+    numbered = right.select(block.cast("int").alias("number"), (block if group is None else group).cast(kind).alias("block"), row)
     numbered = numbered.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    cell = F.col("strip") * ranges + F.floor(F.col("block") * F.lit(ranges) / F.lit(blocks)).cast("int")
+    cell = F.col("strip") * ranges + F.floor(F.col("number") * F.lit(ranges) / F.lit(blocks)).cast("int")
     rights = numbered.select(task(cell).alias("task"), "strip", F.lit(1).alias("side"), "block", "r")
     both = lefts.unionByName(rights, allowMissingColumns=True)
     placed = both.repartitionById(tasks, F.col("task")).sortWithinPartitions("strip", "side", "block")
-    return placed.select("strip", "side", "block", "l", "r").mapInArrow(_run(kernel), schema)
+    return placed.select("strip", "side", "block", "l", "r").mapInArrow(_run(kernel, most), schema)

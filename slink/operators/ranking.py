@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
-from slink.operators.block_stream import pair_stream, strip_count
+from slink.operators.block_stream import block_by_block, pair_stream, strip_count
 from slink.operators.search import (
     DOCUMENT_BLOCK,
     LEAST_QUESTIONS,
@@ -20,7 +20,7 @@ from slink.operators.search import (
     document_block_count,
     exact_knn,
     full_knn,
-    limit_column,
+    last_kept,
     limits_for,
     overfull_indexes,
     scored,
@@ -115,8 +115,7 @@ def _cut_points(questions: DataFrame, documents: DataFrame, k: dict[str, int]) -
     if over.isEmpty():
         return None
     of_source = documents.withColumn(SOURCE, source_of(documents))
-    hits = full_knn(questions, of_source.join(over, [SOURCE, "index_name"], "left_semi"), k)
-    last = hits.filter(F.col("rank") == limit_column(k, F.col("index_name")))
+    last = last_kept(questions, of_source.join(over, [SOURCE, "index_name"], "left_semi"), k)
     point = F.struct("index_name", F.struct("score", "vec_id"))
     # At most one entry per index.
     return last.groupBy("question_id").agg(F.map_from_entries(F.collect_list(point)).alias("cuts"))
@@ -201,7 +200,7 @@ def score_features(questions: DataFrame, documents: DataFrame, limits: tuple[int
     block = F.pmod(F.xxhash64(SOURCE, "table_id", "slot"), F.lit(blocks))
     schema = "question_id long, table_id int, column_id int, value string" + "".join(f", {n} double" for n in fixed.ALL_SCORES)
     strip = F.pmod(F.xxhash64("question_id"), F.lit(strips))
-    found = pair_stream(left, right, strip, strips, block, blocks, _element_scores, schema)
+    found = pair_stream(left, right, strip, strips, block, blocks, block_by_block(_element_scores), schema)
     found = found.withColumns({n: shown_score(n) for n in fixed.ALL_SCORES})
     large = sizes.filter(F.col("most") > DOCUMENT_BLOCK)
     if large.isEmpty():

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
-from slink.operators.block_stream import pair_stream, strip_count
+from slink.operators.block_stream import STREAMS_PER_CORE, pair_stream, strip_count, streams
 from slink.operators.grouping import top_k_per_group
 
 # Documents per block, and the fewest questions that are worth a strip of their own.
@@ -19,6 +19,9 @@ DOCUMENT_BLOCK = 8192
 LEAST_QUESTIONS = 64
 # Questions scored at a time inside a block, which bounds the score matrix.
 SCORED_AT_ONCE = 256
+# Best hits (score and document number) that a task holds of one index, and rows that it gives at a time.
+HELD_HITS = 16_000_000
+ROWS_OUT = 100_000
 # Hits are ranked on the full score, less the noise of the arithmetic, and shown with fewer decimals.
 RANKED_DECIMALS = 12
 SHOWN_DECIMALS = 4
@@ -81,34 +84,124 @@ def scored(
                 yield some, source, rows, np.round(q @ d[rows].T, RANKED_DECIMALS) + 0.0
 
 
-def _block_hits(k: int | dict[str, int], carry: list[str]):
-    def search(questions: pa.Table, documents: pa.Table) -> Iterator[pa.RecordBatch]:
-        documents = documents.sort_by("vec_id")
-        question_ids = questions["question_id"].to_numpy()
-        document_sources = documents[SOURCE].to_numpy()
-        encoded = documents["index_name"].combine_chunks().dictionary_encode()
-        codes, names = encoded.indices.to_numpy(), encoded.dictionary
-        carried = [documents[c].combine_chunks() for c in ("vec_id", *carry)]
-
-        def mine(source: int) -> list[np.ndarray]:
-            return [np.flatnonzero((codes == code) & (document_sources == source)) for code in range(len(names))]
-
-        for some, source, rows, scores in scored(questions, documents, mine):
-            code = int(codes[rows[0]])
-            keep = min(k if isinstance(k, int) else k[names[code].as_py()], len(rows))
-            # Documents are in vec_id order, so a stable sort breaks ties by id.
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-            chosen = pa.array(rows[best].ravel())
+NO_VECTOR = np.iinfo(np.int64).max
+# Arithmetic in another order may move a score by less than this.
+NOISE = 1e-9
+
+
+def _nearest(scores: np.ndarray, rows: np.ndarray, vec_ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `keep` best of each line, in any order; of equal scores those of smaller vec_id. Rows below 0 are fillers."""
+    size = scores.shape[1]
+    if keep == size:
+        return scores, rows
+    last = np.partition(scores, size - keep, axis=1)[:, size - keep]
+    chosen = scores >= last[:, None]
+    for i in np.flatnonzero(chosen.sum(axis=1) > keep).tolist():
+        tied = np.flatnonzero(scores[i] == last[i])
+        ids = np.where(rows[i, tied] < 0, NO_VECTOR, vec_ids[rows[i, tied]])
+        chosen[i, tied[np.argsort(ids, kind="stable")][keep - np.count_nonzero(scores[i] > last[i]) :]] = False
+    return scores[chosen].reshape(-1, keep), rows[chosen].reshape(-1, keep)
+
+
+class _Best:
+    """The best hits so far of the questions of one data source in one index."""
+
+    def __init__(self, questions: pa.Table, asking: np.ndarray, k: int, carry: list[str]):
+        self.questions, self.asking, self.k, self.have = questions, asking, k, 0
+        self.columns = ["vec_id", *carry]
+        self.scores, self.rows = np.zeros((len(asking), 0)), np.zeros((len(asking), 0), np.int32)
+        self.held: pa.Table | None = None  # documents that `rows` numbers
+        self.compact = 4 * DOCUMENT_BLOCK
+
+    def add(self, block: pa.Table) -> None:
+        mine = block.select(self.columns)
+        first, n = self.held.num_rows if self.held else 0, block.num_rows
+        self.held = pa.concat_tables([self.held, mine]) if self.held else mine
+        vec_ids, d = self.held["vec_id"].to_numpy(), unit_rows(block["embedding"])
+        keep = min(self.k, self.have + n)
+        if keep > self.have:
+            grown = np.full((len(self.asking), keep), -np.inf), np.full((len(self.asking), keep), -1, np.int32)
+            grown[0][:, : self.have], grown[1][:, : self.have] = self.scores, self.rows
+            self.scores, self.rows = grown
+        new = np.arange(first, first + n, dtype=np.int32)
+        for start in range(0, len(self.asking), SCORED_AT_ONCE):
+            some = slice(start, start + SCORED_AT_ONCE)
+            found = unit_rows(self.questions["embedding"].take(pa.array(self.asking[some]))) @ d.T
+            if self.have < self.k:
+                found = _rounded(found)
+                found = np.concatenate([self.scores[some, : self.have], found], axis=1)
+                rows = np.concatenate([self.rows[some, : self.have], np.broadcast_to(new, (len(found), n))], axis=1)
+                self.scores[some], self.rows[some] = _nearest(found, rows, vec_ids, keep)
+                continue
+            # Most documents are farther than the last hit that is kept.
+            line, place = np.nonzero(~(found < self.scores[some].min(axis=1)[:, None] - NOISE))
+            if not len(line):
+                continue
+            counts = np.bincount(line, minlength=len(found))
+            lines = np.flatnonzero(counts)
+            at = np.arange(len(line)) - (np.cumsum(counts) - counts)[line]
+            more, rows = np.full((len(found), counts.max()), -np.inf), np.full((len(found), counts.max()), -1, np.int32)
+            more[line, at], rows[line, at] = _rounded(found[line, place]), new[place]
+            lines = lines + start
+            more = np.concatenate([self.scores[lines], more[lines - start]], axis=1)
+            rows = np.concatenate([self.rows[lines], rows[lines - start]], axis=1)
+            self.scores[lines], self.rows[lines] = _nearest(more, rows, vec_ids, self.k)
+        self.have = keep
+        if self.held.num_rows > self.compact:
+            used = np.zeros(self.held.num_rows, bool)
+            used[self.rows] = True
+            self.rows = (np.cumsum(used, dtype=np.int32) - 1)[self.rows].astype(np.int32)
+            self.held = self.held.filter(pa.array(used)).combine_chunks()
+            self.compact = 2 * self.held.num_rows + 4 * DOCUMENT_BLOCK
+
+    def hits(self, source: int, name: str, last_only: bool) -> Iterator[pa.RecordBatch]:
+        """In the order of question and rank; with `last_only` only hits of rank k."""
+        if not self.have or last_only and self.have < self.k:
+            return
+        held = self.held.combine_chunks()
+        vec_ids, question_ids = held["vec_id"].to_numpy(), self.questions["question_id"].to_numpy()
+        at_once = max(1, ROWS_OUT // self.have)
+        for start in range(0, len(self.asking), at_once):
+            scores, rows = self.scores[start : start + at_once], self.rows[start : start + at_once]
+            order = np.lexsort((vec_ids[rows], -scores), axis=1)
+            order = order[:, -1:] if last_only else order
+            first = self.have if last_only else 1
+            scores, rows = np.take_along_axis(scores, order, axis=1), pa.array(np.take_along_axis(rows, order, axis=1).ravel())
+            n = len(order)
             columns = [
-                pa.array(np.repeat(question_ids[some], keep)),
-                pa.array(np.full(best.size, source, np.int64)),
-                names.take(pa.array(np.full(best.size, code, np.int32))),
-                carried[0].take(chosen),
-                pa.array(np.take_along_axis(scores, best, axis=1).ravel()),
-                pa.array(np.tile(np.arange(1, keep + 1, dtype=np.int32), len(some))),
-                *(column.take(chosen) for column in carried[1:]),
+                pa.array(np.repeat(question_ids[self.asking[start : start + at_once]], order.shape[1])),
+                pa.array(np.full(order.size, source, np.int64)),
+                pa.DictionaryArray.from_arrays(pa.array(np.zeros(order.size, np.int32)), pa.array([name])).dictionary_decode(),
+                held["vec_id"].combine_chunks().take(rows),
+                pa.array(np.where(np.isinf(scores), np.nan, scores).ravel()),
+                pa.array(np.tile(np.arange(first, self.have + 1, dtype=np.int32), n)),
+                *(held[c].combine_chunks().take(rows) for c in self.columns[1:]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in _ARROW_HITS] + carry)
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in _ARROW_HITS] + self.columns[1:])
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores as they are ranked; what is no number is below all others."""
+    scores = np.round(scores, RANKED_DECIMALS) + 0.0
+    return np.where(np.isnan(scores), -np.inf, scores)
+
+
+def _best_hits(k: int | dict[str, int], carry: list[str], last_only: bool):
+    """Kernel of blocks that come index by index: one set of best hits is held, and given when its index is through."""
+
+    def search(questions: pa.Table, blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        sources, current, best = questions[SOURCE].to_numpy(), None, None
+        for block in blocks:
+            source, name = block[SOURCE][0].as_py(), block["index_name"][0].as_py()
+            if (source, name) != current:
+                if best is not None:
+                    yield from best.hits(*current, last_only)
+                current = source, name
+                best = _Best(questions, np.flatnonzero(sources == source), k if isinstance(k, int) else k[name], carry)
+            if len(best.asking):
+                best.add(block)
+        if best is not None:
+            yield from best.hits(*current, last_only)
 
     return search
 
@@ -123,32 +216,58 @@ def source_of(df: DataFrame) -> Column:
 
 
 def shown_score(score: str = "score") -> Column:
-    return (F.round(score, SHOWN_DECIMALS) + F.lit(0.0)).alias(score)
+    """A ranked score with fewer decimals, halves away from zero; whole numbers, as `round` is slow on many hits."""
+    exact, step = F.rint(F.col(score) * 10.0**RANKED_DECIMALS), 10 ** (RANKED_DECIMALS - SHOWN_DECIMALS)
+    whole = F.floor((F.abs(exact).cast("long") + F.lit(step // 2)) / F.lit(step))
+    shown = F.signum(exact) * whole / F.lit(10.0**SHOWN_DECIMALS) + F.lit(0.0)
+    return F.when(F.isnan(score), F.col(score)).otherwise(shown).alias(score)
+
+
+def _plan(questions: DataFrame, documents: DataFrame, k: int | dict[str, int]) -> tuple[int, int, int]:
+    """Strips of questions, blocks of documents, and the ranges of blocks that are searched apart.
+
+    A strip is small enough for its best hits to be held. Where there are strips for every core a strip meets all
+    documents in one task, whose hits are final; else documents are searched in ranges.
+    """
+    blocks, rows = document_block_count(documents), questions.count()
+    cores = questions.sparkSession.sparkContext.defaultParallelism
+    largest = k if isinstance(k, int) else max(k.values(), default=1)
+    held = math.ceil(rows / max(1, HELD_HITS // max(1, min(largest, blocks * DOCUMENT_BLOCK))))
+    strips = max(held, strip_count(questions, rows, 1, LEAST_QUESTIONS))
+    if strips < cores:
+        return strips, blocks, streams(questions, strips, blocks)[0]
+    # Strips in whole rounds of the cores, so that none waits for another's last one.
+    rounds = min(math.ceil(strips / cores), STREAMS_PER_CORE)
+    return max(strips, rounds * cores), blocks, 1
 
 
 def similarity_join(
     questions: DataFrame,
     documents: DataFrame,
     k: int | dict[str, int],
-    document_blocks: int | None = None,
     carry: list[str] | None = None,
+    plan: tuple[int, int, int] | None = None,
+    last_only: bool = False,
 ) -> DataFrame:
-    """Block-local best hits of every question in every index of its data source, ranked in their block.
+    """Best hits of every question in every index of its data source, ranked, for each range of document blocks.
 
-    Documents are cut into blocks by a hash of their unique id, so a block is never larger than planned however the
-    indexes are filled, and questions into strips; a bounded number of tasks streams the blocks past the strips, and
-    only the local top k of each index leaves a block. Nothing is broadcast or collected. With `carry` columns of the
-    documents come along with their hits, so that these need not be joined with the index again.
+    Documents are cut into ranges by a hash of their unique id, however the indexes are filled, and questions into
+    strips; a bounded number of tasks streams the documents past the strips, index by index. A task holds the best hits
+    of a strip in one index, so only the top k of a whole range leave it: with one range they are final. Nothing is
+    broadcast or collected. With `carry` columns of the documents come along with their hits, so that these need not be
+    joined with the index again. `last_only` gives the hits of rank k alone.
     """
     carry = carry or []
-    blocks = document_blocks or document_block_count(documents)
-    strips = strip_count(questions, questions.count(), blocks, LEAST_QUESTIONS)
-    left = questions.select("question_id", source_of(questions), "embedding")
+    strips, blocks, ranges = plan or _plan(questions, documents, k)
+    left = questions.select("question_id", source_of(questions), "embedding").filter(F.col(SOURCE).isNotNull())
     right = documents.select(source_of(documents), "index_name", "vec_id", "embedding", *carry)
+    right = right.filter(F.col(SOURCE).isNotNull() & F.col("index_name").isNotNull())
     types = "".join(f", {f.name} {f.dataType.simpleString()}" for f in right.schema.fields if f.name in carry)
     strip = F.pmod(F.xxhash64("question_id"), F.lit(strips))
     block = F.pmod(F.xxhash64(SOURCE, "index_name", "vec_id"), F.lit(blocks))
-    return pair_stream(left, right, strip, strips, block, blocks, _block_hits(k, carry), HIT_SCHEMA + types)
+    group = F.concat(F.col(SOURCE).cast("string"), F.lit("/"), F.col("index_name"))
+    kernel = _best_hits(k, carry, last_only)
+    return pair_stream(left, right, strip, strips, block, blocks, kernel, HIT_SCHEMA + types, ranges, group, DOCUMENT_BLOCK)
 
 
 def top_k_hits(hits: DataFrame, k: int | dict[str, int]) -> DataFrame:
@@ -164,9 +283,18 @@ def full_knn(
     questions: DataFrame, documents: DataFrame, k: int | dict[str, int], carry: list[str] | None = None
 ) -> DataFrame:
     """`exact_knn` with the scores that it ranks by."""
-    blocks = document_block_count(documents)
-    found = similarity_join(questions, documents, k, blocks, carry)
-    return found if blocks == 1 else top_k_hits(found, k)
+    plan = _plan(questions, documents, k)
+    found = similarity_join(questions, documents, k, carry, plan)
+    return found if plan[2] == 1 else top_k_hits(found, k)
+
+
+def last_kept(questions: DataFrame, documents: DataFrame, k: dict[str, int]) -> DataFrame:
+    """Of `full_knn`, the hits of the last rank that is kept."""
+    plan = _plan(questions, documents, k)
+    if plan[2] == 1:
+        return similarity_join(questions, documents, k, plan=plan, last_only=True)
+    hits = top_k_hits(similarity_join(questions, documents, k, plan=plan), k)
+    return hits.filter(F.col("rank") == limit_column(k, F.col("index_name")))
 
 
 def exact_knn(
@@ -174,8 +302,8 @@ def exact_knn(
 ) -> DataFrame:
     """Exact top k by cosine, with `rank` from 1 per question and index.
 
-    With one document block the block-local cut is already the answer; with
-    more, the block results are cut once more per question and index.
+    Where each strip of questions meets all documents in one task its hits are already the answer; else the results
+    of the ranges of documents are cut once more per question and index.
     """
     return full_knn(questions, documents, k, carry).withColumn("score", shown_score())
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,43 @@ def test_offsets_are_sequential_per_index(spark):
     assert [r.vec_id for r in numbered if r.index_name == "value"] == list(range(80))
     ordered = [(r.table_id, r.column_id, r.value) for r in numbered if r.index_name == "value"]
     assert ordered == sorted(ordered)
+
+
+@pytest.mark.parametrize("k", [1, 5, 40, 500])
+@pytest.mark.parametrize("block", [3, 50, 1000])
+def test_best_hits_over_blocks_of_copies(monkeypatch, k, block):
+    """Equal scores fall to the smaller vec_id whatever block it came in, and held documents are numbered anew."""
+    monkeypatch.setattr(search, "DOCUMENT_BLOCK", 2)
+    monkeypatch.setattr(search, "SCORED_AT_ONCE", 4)
+    monkeypatch.setattr(search, "ROWS_OUT", 9)
+    rng = np.random.default_rng(3)
+    q, d = rng.integers(-2, 3, (11, 4)).astype(float), rng.integers(-2, 3, (300, 4)).astype(float)
+    ids = rng.permutation(len(d))
+    of = lambda v: pa.array(v.tolist(), pa.list_(pa.float32()))
+    questions = pa.table({"question_id": np.arange(11), "data_source_id": np.ones(11, np.int64), "embedding": of(q)})
+    docs = pa.table({"data_source_id": np.ones(300, np.int64), "index_name": ["value"] * 300, "vec_id": ids, "embedding": of(d[ids]), "c": [f"c{i}" for i in ids]})
+    blocks = [docs.slice(i, block) for i in range(0, 300, block)]
+    found = pa.Table.from_batches(search._best_hits(k, ["c"], False)(questions, iter(blocks))).to_pylist()
+    want = brute(q, d, ["value"] * 300, k)
+    assert {(r["question_id"], r["vec_id"], r["rank"], r["c"]) for r in found} == {(i, j, r, f"c{j}") for i, _, j, _, r in want}
+    last = list(search._best_hits(k, [], True)(questions, iter(blocks)))
+    got = {(r["question_id"], r["vec_id"]) for batch in last for r in batch.to_pylist()}
+    assert got == ({(i, j) for i, _, j, _, r in want if r == k})
+
+
+def test_hits_of_many_questions_are_final(spark, monkeypatch):
+    """Strips for every core meet all documents in one task, so hits are not shuffled."""
+    monkeypatch.setattr(search, "DOCUMENT_BLOCK", 40)
+    monkeypatch.setattr(search, "LEAST_QUESTIONS", 4)
+    questions, docs, *_ = frames(spark)
+    plan = search.full_knn(questions, docs, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("RepartitionBy") + plan.count("Repartition ") <= 1
+    few, *_ = frames(spark, n_questions=3)
+    assert "Window" in search.full_knn(few, docs, 7)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shown_scores_are_rounded_half_up(spark):
+    values = [0.00005, -0.00005, 0.12345, -0.12345, 0.123449999999, 0.0, -0.00004, 1.0, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "score double")
+    rows = df.select(search.shown_score(), (F.round("score", 4) + F.lit(0.0)).alias("want")).collect()
+    assert [str(r.score) for r in rows] == [str(r.want) for r in rows]
