@@ -57,7 +57,9 @@ class Sampler:
         if self.searched:
             keys = [SOURCE, "index_name"]
             found = full_knn(self.questions, self.documents.join(over, keys, "left_semi"), k, ELEMENT)
-            self.hits = materialize(found.select("question_id", SOURCE, "index_name", *ELEMENT, "score"), "kept-hits")
+            # Of an element's kept hits only the lowest counts, so no more than that is written.
+            lowest = found.groupBy("question_id", SOURCE, "index_name", *ELEMENT).agg(F.min("score").alias("score"))
+            self.hits = materialize(lowest, "kept-hits")
             self.free = self.documents.join(over, keys, "left_anti")
         self.elements = materialize(self.free.select(SOURCE, *ELEMENT).distinct(), "elements")
 

@@ -97,3 +97,11 @@ def test_streams_are_bounded_by_the_cores(spark, monkeypatch):
     most = block_stream.STREAMS_PER_CORE * spark.sparkContext.defaultParallelism
     assert found.rdd.getNumPartitions() <= most
     assert found.select("question_id").distinct().count() == 30
+
+
+def test_kept_hits_are_one_row_per_element_and_index(spark):
+    """All hits of a question may be thousands of chunks of few elements."""
+    questions, documents = asking(spark), index(spark)
+    hits = sampling.Sampler(questions, documents, (1000, 20)).hits
+    assert hits.count() == hits.select("question_id", "index_name", *ELEMENT).distinct().count()
+    assert hits.count() < search.full_knn(questions, documents, search.limits_for((1000, 20))).filter("index_name in ('value', 'table_column_and_value')").count()
