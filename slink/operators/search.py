@@ -154,30 +154,41 @@ class _Best:
             self.held = self.held.filter(pa.array(used)).combine_chunks()
             self.compact = 2 * self.held.num_rows + 4 * DOCUMENT_BLOCK
 
-    def hits(self, source: int, name: str, last_only: bool) -> Iterator[pa.RecordBatch]:
-        """In the order of question and rank; with `last_only` only hits of rank k."""
+    def _batch(self, source: int, name: str, asked: np.ndarray, scores: np.ndarray, rows: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
+        n, rows = len(asked), pa.array(rows)
+        columns = [
+            pa.array(asked),
+            pa.array(np.full(n, source, np.int64)),
+            pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([name])).dictionary_decode(),
+            self.held["vec_id"].combine_chunks().take(rows),
+            pa.array(np.where(np.isinf(scores), np.nan, scores)),
+            pa.array(ranks.astype(np.int32)),
+            *(self.held[c].combine_chunks().take(rows) for c in self.columns[1:]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in _ARROW_HITS] + self.columns[1:])
+
+    def hits(self, source: int, name: str, last_only: bool = False, once: bool = False) -> Iterator[pa.RecordBatch]:
+        """In the order of rank; with `last_only` only hits of rank k, with `once` rows of one question have k together."""
         if not self.have or last_only and self.have < self.k:
             return
-        held = self.held.combine_chunks()
-        vec_ids, question_ids = held["vec_id"].to_numpy(), self.questions["question_id"].to_numpy()
+        self.held = self.held.combine_chunks()
+        vec_ids, asked = self.held["vec_id"].to_numpy(), self.questions["question_id"].to_numpy()[self.asking]
+        _, number, counts = np.unique(asked, return_inverse=True, return_counts=True)
+        apart = np.flatnonzero(counts[number] == 1) if once else np.arange(len(asked))
         at_once = max(1, ROWS_OUT // self.have)
-        for start in range(0, len(self.asking), at_once):
-            scores, rows = self.scores[start : start + at_once], self.rows[start : start + at_once]
+        for start in range(0, len(apart), at_once):
+            some = apart[start : start + at_once]
+            scores, rows = self.scores[some], self.rows[some]
             order = np.lexsort((vec_ids[rows], -scores), axis=1)
             order = order[:, -1:] if last_only else order
-            first = self.have if last_only else 1
-            scores, rows = np.take_along_axis(scores, order, axis=1), pa.array(np.take_along_axis(rows, order, axis=1).ravel())
-            n = len(order)
-            columns = [
-                pa.array(np.repeat(question_ids[self.asking[start : start + at_once]], order.shape[1])),
-                pa.array(np.full(order.size, source, np.int64)),
-                pa.DictionaryArray.from_arrays(pa.array(np.zeros(order.size, np.int32)), pa.array([name])).dictionary_decode(),
-                held["vec_id"].combine_chunks().take(rows),
-                pa.array(np.where(np.isinf(scores), np.nan, scores).ravel()),
-                pa.array(np.tile(np.arange(first, self.have + 1, dtype=np.int32), n)),
-                *(held[c].combine_chunks().take(rows) for c in self.columns[1:]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in _ARROW_HITS] + self.columns[1:])
+            ranks = np.arange(self.have + 1 - order.shape[1], self.have + 1)
+            scores, rows = (np.take_along_axis(x, order, axis=1).ravel() for x in (scores, rows))
+            yield self._batch(source, name, np.repeat(asked[some], order.shape[1]), scores, rows, np.tile(ranks, len(some)))
+        for repeated in np.flatnonzero(counts > 1).tolist() if once else ():
+            some = np.flatnonzero(number == repeated)
+            scores, rows = self.scores[some].ravel(), self.rows[some].ravel()
+            order = np.lexsort((vec_ids[rows], -scores))[: self.k]
+            yield self._batch(source, name, np.repeat(asked[some[:1]], len(order)), scores[order], rows[order], np.arange(1, len(order) + 1))
 
 
 def _rounded(scores: np.ndarray) -> np.ndarray:
@@ -186,7 +197,7 @@ def _rounded(scores: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(scores), -np.inf, scores)
 
 
-def _best_hits(k: int | dict[str, int], carry: list[str], last_only: bool):
+def _best_hits(k: int | dict[str, int], carry: list[str], last_only: bool = False, once: bool = False):
     """Kernel of blocks that come index by index: one set of best hits is held, and given when its index is through."""
 
     def search(questions: pa.Table, blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +206,13 @@ def _best_hits(k: int | dict[str, int], carry: list[str], last_only: bool):
             source, name = block[SOURCE][0].as_py(), block["index_name"][0].as_py()
             if (source, name) != current:
                 if best is not None:
-                    yield from best.hits(*current, last_only)
+                    yield from best.hits(*current, last_only, once)
                 current = source, name
                 best = _Best(questions, np.flatnonzero(sources == source), k if isinstance(k, int) else k[name], carry)
             if len(best.asking):
                 best.add(block)
         if best is not None:
-            yield from best.hits(*current, last_only)
+            yield from best.hits(*current, last_only, once)
 
     return search
 
@@ -248,6 +259,7 @@ def similarity_join(
     carry: list[str] | None = None,
     plan: tuple[int, int, int] | None = None,
     last_only: bool = False,
+    once: bool = False,
 ) -> DataFrame:
     """Best hits of every question in every index of its data source, ranked, for each range of document blocks.
 
@@ -255,7 +267,8 @@ def similarity_join(
     strips; a bounded number of tasks streams the documents past the strips, index by index. A task holds the best hits
     of a strip in one index, so only the top k of a whole range leave it: with one range they are final. Nothing is
     broadcast or collected. With `carry` columns of the documents come along with their hits, so that these need not be
-    joined with the index again. `last_only` gives the hits of rank k alone.
+    joined with the index again. `last_only` gives the hits of rank k alone; with `once` rows that repeat a question
+    are one question, as for `top_k_hits`.
     """
     carry = carry or []
     strips, blocks, ranges = plan or _plan(questions, documents, k)
@@ -266,7 +279,7 @@ def similarity_join(
     strip = F.pmod(F.xxhash64("question_id"), F.lit(strips))
     block = F.pmod(F.xxhash64(SOURCE, "index_name", "vec_id"), F.lit(blocks))
     group = F.concat(F.col(SOURCE).cast("string"), F.lit("/"), F.col("index_name"))
-    kernel = _best_hits(k, carry, last_only)
+    kernel = _best_hits(k, carry, last_only, once)
     return pair_stream(left, right, strip, strips, block, blocks, kernel, HIT_SCHEMA + types, ranges, group, DOCUMENT_BLOCK)
 
 
@@ -280,11 +293,11 @@ def top_k_hits(hits: DataFrame, k: int | dict[str, int]) -> DataFrame:
 
 
 def full_knn(
-    questions: DataFrame, documents: DataFrame, k: int | dict[str, int], carry: list[str] | None = None
+    questions: DataFrame, documents: DataFrame, k: int | dict[str, int], carry: list[str] | None = None, once: bool = False
 ) -> DataFrame:
-    """`exact_knn` with the scores that it ranks by."""
+    """`exact_knn` with the scores that it ranks by; with `once` rows that repeat a question are one question."""
     plan = _plan(questions, documents, k)
-    found = similarity_join(questions, documents, k, carry, plan)
+    found = similarity_join(questions, documents, k, carry, plan, once=once)
     return found if plan[2] == 1 else top_k_hits(found, k)
 
 

@@ -194,3 +194,14 @@ def test_shown_scores_are_rounded_half_up(spark):
     df = spark.createDataFrame([(v,) for v in values], "score double")
     rows = df.select(search.shown_score(), (F.round("score", 4) + F.lit(0.0)).alias("want")).collect()
     assert [str(r.score) for r in rows] == [str(r.want) for r in rows]
+
+
+def test_a_repeated_question_is_cut_once(spark):
+    """As the window over question and index would."""
+    questions, docs, *_ = frames(spark)
+    twice = questions.union(questions.filter("question_id < 9").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    got = search.full_knn(twice, docs, 7, once=True)
+    plain = search.full_knn(twice, docs, 10_000)
+    want = search.top_k_hits(plain.drop("rank"), 7)
+    columns = ["question_id", "index_name", "vec_id", "score", "rank"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
