@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -113,10 +113,21 @@ class Examples:
         return float(np.interp(self.vote(ids, similarity), self.votes, self.chances))
 
 
-def _vector(term_weight: np.ndarray, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF vector as (terms, weights), terms ascending; without terms it is empty."""
+Counts = dict[int, int] | tuple[np.ndarray, np.ndarray]
+
+
+def _sorted_counts(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Terms, ascending, and how often each stands in a text."""
+    if isinstance(counts, tuple):
+        return counts
     t = np.fromiter(sorted(counts), np.int64, len(counts))
-    w = (1 + np.log(np.array([counts[i] for i in t.tolist()], np.float64))) * term_weight[t]
+    return t, np.array([counts[i] for i in t.tolist()], np.int64)
+
+
+def _vector(term_weight: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Unit TF-IDF vector as (terms, weights), terms ascending; without terms it is empty."""
+    t, n = _sorted_counts(counts)
+    w = (1 + np.log(n.astype(np.float64))) * term_weight[t]
     return t, w / max(float(np.sqrt((w * w).sum())), 1e-300)
 
 
@@ -139,11 +150,11 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.maximum.accumulate(ys) if levels else ys
 
 
-def label_gain(rows: list[tuple[int, int, dict[int, int]]], terms: int) -> np.ndarray:
+def label_gain(rows: list[tuple[int, int, Counts]], terms: int) -> np.ndarray:
     """Of each term, the likelihood ratio of its examples' labels against the labels' shares."""
     n = np.zeros((2, terms))
     for label in (0, 1):
-        held = [np.fromiter(counts, np.int64, len(counts)) for _, y, counts in rows if y == label]
+        held = [_sorted_counts(counts)[0] for _, y, counts in rows if y == label]
         n[label] = np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=terms)
     share = sum(y for _, y, _ in rows) / max(len(rows), 1)
     expected = n.sum(axis=0) * np.array([[1 - share], [share]])
@@ -152,14 +163,16 @@ def label_gain(rows: list[tuple[int, int, dict[int, int]]], terms: int) -> np.nd
 
 
 def build(
-    rows: list[tuple[int, int, dict[int, int]]], vocabulary: list[str], doc_freq: np.ndarray, docs: int
+    rows: list[tuple[int, int, Counts]], vocabulary: list[str], doc_freq: np.ndarray, docs: int
 ) -> tuple[Examples, list[tuple[np.ndarray, np.ndarray]]]:
     """Index, not yet calibrated, and the examples' vectors, from (doc_id, label, term counts) of the examples.
 
     `doc_freq` counts, of `docs` texts, those that hold a term. A word keeps half of its IDF where its label gain is
     what the best of as many words without bearing would reach by chance, and soon all or the damped share beside it.
     """
-    rows = sorted(rows, key=lambda r: (r[0], r[1], sorted(r[2].items())))
+    rows = [(doc_id, label, _sorted_counts(counts)) for doc_id, label, counts in rows]
+    same = Counter((r[0], r[1]) for r in rows)
+    rows = sorted(rows, key=lambda r: (r[0], r[1], np.stack(r[2], 1).tolist() if same[r[0], r[1]] > 1 else []))
     n, v = len(rows), len(vocabulary)
     chance = 2 * np.log(max(v, 2))
     bearing = 1 / (1 + (chance / np.maximum(label_gain(rows, v), 1e-9)) ** 4)
@@ -246,18 +259,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
                 names=["doc_id", "label", "words", "n"],
             )
 
-    sample = rows.mapInArrow(count, "doc_id long, label int, words array<string>, n array<long>").collect()
-    vocabulary = sorted({word for r in sample for word in r["words"]})
+    sample = rows.mapInArrow(count, "doc_id long, label int, words array<string>, n array<long>").toArrow()
+    vocabulary, examples = _numbered(sample)
+    del sample
     numbers = {word: i for i, word in enumerate(vocabulary)}
-    examples = [
-        (r["doc_id"], r["label"], {numbers[word]: n for word, n in zip(r["words"], r["n"], strict=True)}) for r in sample
-    ]
     doc_freq, total = _document_frequency(docs, numbers)
+    del numbers
     index, vectors = build(examples, vocabulary, doc_freq, total)
+    del examples
     calibrate(index, _votes(spark, index, vectors))
     return index
 
 
+def _numbered(sample: pa.Table) -> tuple[list[str], list[tuple[int, int, Counts]]]:
+    """All words in order, and the rows of `build`. A word is one string however many examples hold it."""
+    listed = sample["words"].combine_chunks()
+    words = listed.flatten().dictionary_encode()
+    vocabulary = words.dictionary.to_pylist()
+    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    terms, times = number[words.indices.to_numpy()], sample["n"].combine_chunks().flatten().to_numpy()
+    ends = np.cumsum(pa.compute.list_value_length(listed).to_numpy()).tolist()
+    examples = []
+    for doc_id, label, i, j in zip(sample["doc_id"].to_pylist(), sample["label"].to_pylist(), [0, *ends], ends):
+        ascending = i + np.argsort(terms[i:j])
+        examples.append((doc_id, label, (terms[ascending], times[ascending])))
+    return [vocabulary[i] for i in order], examples
+
+
 def _document_frequency(docs: DataFrame, numbers: dict[str, int]) -> tuple[np.ndarray, int]:
     """In how many of all texts each term stands, and the number of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(numbers)  # bounded by the characters of the examples
@@ -279,13 +309,14 @@ def _document_frequency(docs: DataFrame, numbers: dict[str, int]) -> tuple[np.nd
     totals = np.zeros(terms + 1)
     for batch in counted.toArrow().to_batches():  # at most one row a term
         totals[batch.column("term").to_numpy()] = batch.column("n").to_numpy()
-    shared.unpersist()
+    shared.destroy()
     return totals[:terms], int(totals[terms])
 
 
 def _votes(spark: SparkSession, index: Examples, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The vote of the others on each example, a slice of examples a task."""
-    shared = spark.sparkContext.broadcast((index, vectors))  # bounded by the characters of the examples
+    # Bounded by the characters of the examples; their vectors are numbers, so the words stay.
+    shared = spark.sparkContext.broadcast((replace(index, vocabulary={}), vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, vectors = shared.value
@@ -298,7 +329,7 @@ def _votes(spark: SparkSession, index: Examples, vectors: list[tuple[np.ndarray,
     tasks = min(max(spark.sparkContext.defaultParallelism, 1), len(vectors) // BLOCK + 1)
     for r in spark.range(0, len(vectors), 1, tasks).mapInArrow(run, "id long, vote double").collect():
         votes[r["id"]] = r["vote"]
-    shared.unpersist()
+    shared.destroy()
     return votes
 
 

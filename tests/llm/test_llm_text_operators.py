@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -689,3 +690,24 @@ def test_long_chain_is_one_component(spark):
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_examples_as_arrays_are_those_as_counts():
+    """The driver holds numbers of words, not the words of each example."""
+    rnd = random.Random(5)
+    texts = [(i % 90, i % 2, {f"w{rnd.randrange(30):02d}": rnd.randint(1, 3) for _ in range(rnd.randint(0, 9))}) for i in range(120)]
+    sample = pa.table(
+        {
+            "doc_id": pa.array([t[0] for t in texts], pa.int64()),
+            "label": pa.array([t[1] for t in texts], pa.int32()),
+            "words": pa.array([list(t[2]) for t in texts], pa.list_(pa.string())),
+            "n": pa.array([list(t[2].values()) for t in texts], pa.list_(pa.int64())),
+        }
+    )
+    vocabulary, rows = toxicity_neighbours._numbered(sample)
+    assert vocabulary == sorted({w for t in texts for w in t[2]})
+    counts = [(i, y, {vocabulary.index(w): n for w, n in c.items()}) for i, y, c in texts]
+    freq = np.arange(len(vocabulary)) + 5.0
+    (one, a), (two, b) = (toxicity_neighbours.build(r, vocabulary, freq, 500) for r in (rows, counts))
+    assert (one.doc_ids == two.doc_ids).all() and (one.weights == two.weights).all() and (one.members == two.members).all()
+    assert all((x[0] == y[0]).all() and (x[1] == y[1]).all() for x, y in zip(a, b, strict=True))
