@@ -32,7 +32,7 @@ from slink.llm.token_records import RARE, RUNS, Encoder
 from slink.llm.worker import Generations, kept
 from slink.sources.shared import new_path
 
-BATCH_CHARS = 6 << 20
+BATCH_CHARS = 3 << 20
 BATCH_DOCS = 65_535
 REMEMBERED = 120_000
 B_IDS = 1 << 20  # a pair is one number: id of A times this, plus id of B

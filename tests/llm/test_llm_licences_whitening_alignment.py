@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -269,3 +270,10 @@ def test_word_memory_encodes_as_the_library(monkeypatch):
     for some in (texts, texts[::-1], texts + texts):
         want = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(some, add_special_tokens=False)]
         assert encoder.encode(some) == want
+
+
+def test_alignment_batches_are_small():
+    """A worker holds the links of one batch, some hundred bytes a character."""
+    rows = pa.RecordBatch.from_pydict({"_text": ["ab " * 300_000] * 8})
+    sizes = [sum(map(len, t.column("_text").to_pylist())) for t in token_alignment._batches(iter([rows]))]
+    assert sum(sizes) == 8 * 900_000 and max(sizes) <= 3 << 20
