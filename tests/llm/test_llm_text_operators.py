@@ -542,6 +542,32 @@ def test_block_max_search_is_exact():
         assert np.allclose(similarity, every[want]) and (ids == want).mean() > 0.6
 
 
+def test_nearest_examples_of_many_texts_at_once(monkeypatch):
+    """Frequent terms as a matrix and the others as postings give what each text alone gives, to the last bit."""
+    rnd = random.Random(3)
+
+    def counts():
+        return {min(rnd.randrange(1, 80) ** 2 // 70, 89): rnd.randint(1, 4) for _ in range(rnd.randint(0, 30))}
+
+    rows = [(i // 2, rnd.randint(0, 1), counts()) for i in range(300)]
+    index, vectors = toxicity_neighbours.build(rows, [f"t{i}" for i in range(90)], np.arange(90) + 5.0, 500)
+    asked = vectors[::3] + [index.vector(counts()) for _ in range(70)]
+    dense = np.zeros((300, 90))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    found = list(index.all_nearest(asked, 11))
+    assert 0 < len(index._frequent[1]) < 90
+    for (t, w), (ids, similarity) in zip(asked, found, strict=True):
+        every = np.array([sum((w[j] * dense[i, t[j]] for j in range(len(t))), 0.0) for i in range(300)])
+        want = [i for i in np.lexsort((index.doc_ids, -every)) if every[i] > 0][:11]
+        assert ids.tolist() == want and similarity.tolist() == every[want].tolist()
+    monkeypatch.setattr(toxicity_neighbours, "DENSE_CELLS", 600)
+    few = toxicity_neighbours.build(rows, [f"t{i}" for i in range(90)], np.arange(90) + 5.0, 500)[0]
+    assert len(few._frequent[1]) == 2
+    again = few.all_nearest(asked, 11)
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(found, again, strict=True))
+
+
 def test_toxic_neighbours_of_texts_against_plain_tf_idf(spark):
     docs, labels = toxic_tables(spark)
     examples = toxicity_neighbours.fit(docs, labels)
