@@ -13,10 +13,12 @@ links, and a pair that every document holds is one row per batch.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -34,7 +36,8 @@ from slink.sources.shared import new_path
 
 BATCH_CHARS = 3 << 20
 BATCH_DOCS = 65_535
-REMEMBERED = 120_000
+REMEMBERED = 320_000  # pieces; a generation holds more than the distinct ones of a batch
+STEMS = 120_000
 B_IDS = 1 << 20  # a pair is one number: id of A times this, plus id of B
 EXPANDED = 64  # a group with more links than this is linked by its distinct ids
 
@@ -108,7 +111,7 @@ class Aligner:
     def __init__(self, spec_a: str, model_b: bytes):
         self.a = Encoder(spec_a)
         self.a.tokenizer.encode_special_tokens = True
-        self.a.stems = Generations(REMEMBERED)
+        self.a.stems = Generations(STEMS)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         byte_of = {c: b for b, c in byte_characters().items()}
         vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=True)
@@ -123,7 +126,9 @@ class Aligner:
         self.blank = self.b.piece_to_id("▁")
         # Pieces may be cut at blanks and line ends only if no token of B goes over them.
         self.cuts = not any("▁" in p.lstrip("▁") or p.startswith("▁▁") and p.strip("▁") or "\n" in p for p in pieces)
-        self.numbers = [str(i) for i in range(max(len(spelt), len(pieces)))]
+        # Each id as text with what follows it: another one of its side, the other side, the next group.
+        self.ids = max(len(spelt), len(pieces))
+        self.numbers = [f"{i}{mark}" for mark in ",|;" for i in range(self.ids)]
         self.known = Generations(REMEMBERED)
 
     def pieces(self, text: str) -> list[str]:
@@ -135,14 +140,16 @@ class Aligner:
             return [whole]
         return [w if w[:1] == "\n" else " " + w for w in text.replace("\n", " \n").split(" ")]
 
-    def _ids_a(self, pieces: list[str]) -> list[np.ndarray]:
+    def _ids_a(self, pieces: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all pieces in a row, and how many each has."""
         kind = f"<u{self.a.width}"
         words = [p[1:] if p[0] == " " else p for p in pieces]
         # The word encoder puts a blank before what does not begin with a line end; runs of white space it does not take.
+        rare = RARE.search("".join(words))
         plain = [
             i
             for i, (p, w) in enumerate(zip(pieces, words, strict=True))
-            if len(w) < 200 and not RARE.search(w) and " " not in w and "\n" not in p[1:]
+            if len(w) < 200 and not (rare and RARE.search(w)) and " " not in w and "\n" not in p[1:]
         ]
         out: list = [None] * len(pieces)
         for i, ids in zip(plain, self.a.words([words[i] for i in plain]), strict=True):
@@ -150,9 +157,9 @@ class Aligner:
         rest = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(rest, self.a.direct([pieces[i] for i in rest]), strict=True):
             out[i] = ids
-        return [np.frombuffer(ids, kind).astype(np.int64) for ids in out]
+        return np.frombuffer(b"".join(out), kind).astype(np.int64), [len(ids) // self.a.width for ids in out]
 
-    def _ids_b(self, pieces: list[str]) -> list[np.ndarray]:
+    def _ids_b(self, pieces: list[str]) -> tuple[np.ndarray, list[int]]:
         """B puts a blank before what it is given: where the piece has its own it is left off, else that blank's token goes."""
         out = []
         for piece, ids in zip(pieces, self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1), strict=True):
@@ -160,8 +167,8 @@ class Aligner:
                 if not ids or ids[0] != self.blank:
                     raise ValueError("a piece without a blank before it is not encoded apart")
                 ids = ids[1:]
-            out.append(np.array(ids, np.int64))
-        return out
+            out.append(ids)
+        return np.fromiter(chain.from_iterable(out), np.int64), list(map(len, out))
 
     def coalesced(self, pieces: list[str]) -> list[tuple]:
         """Values of some pieces, all coalesced at once."""
@@ -172,8 +179,8 @@ class Aligner:
         sides = []
         valid = np.ones(len(pieces), bool)
         for found, spelt in ((self._ids_a(pieces), self.spelt_a), (self._ids_b(pieces), self.spelt_b)):
-            piece = np.repeat(np.arange(len(pieces)), [len(f) for f in found])
-            ids = np.concatenate(found)
+            ids, counts = found
+            piece = np.repeat(np.arange(len(pieces)), counts)
             valid &= np.bincount(piece, spelt.sizes[ids], len(pieces)).astype(np.int64) == sizes
             sides.append((piece, ids, spelt))
         flat = np.frombuffer(b"".join(d for d, v in zip(data, valid, strict=True) if v), np.uint8)
@@ -188,45 +195,56 @@ class Aligner:
         n = int(group_a[-1]) + 1 if len(group_a) else 0
         first_a, first_b = np.searchsorted(group_a, np.arange(n + 1)), np.searchsorted(group_b, np.arange(n + 1))
         piece_of = piece_a[first_a[:-1]] if n else np.zeros(0, np.int64)
-        word_a, word_b = ([self.numbers[i] for i in ids.tolist()] for ids in (a, b))
-        texts = [
-            f"{','.join(word_a[i:j])}|{','.join(word_b[k:m])}"
-            for i, j, k, m in zip(*(x.tolist() for x in (first_a[:-1], first_a[1:], first_b[:-1], first_b[1:])), strict=True)
-        ]
         every = np.arange(len(pieces) + 1)
         groups_at = np.searchsorted(piece_of, every).tolist()
         links_at = np.searchsorted(piece_of[group] if n else group, every).tolist()
         n_a, n_b = np.bincount(piece_a, minlength=len(pieces)).tolist(), np.bincount(piece_b, minlength=len(pieces)).tolist()
-        both = np.stack([pair, times], axis=1)
+        n_links = np.bincount(piece_of[group], times, len(pieces)).astype(np.int64).tolist() if n else [0] * len(pieces)
+        both = np.stack([pair, times], axis=1).tobytes()
+        spelt = self._spelt(a, b, first_a, first_b)
+        tokens_at = (first_a + first_b)[groups_at].tolist()
         out = []
         for i in range(len(pieces)):
             if not same[i]:
                 out.append((0, 0, 0, 0, None, b""))
                 continue
-            some = both[links_at[i] : links_at[i + 1]]
-            text = ";".join(texts[groups_at[i] : groups_at[i + 1]])
-            out.append((n_a[i], n_b[i], groups_at[i + 1] - groups_at[i], int(some[:, 1].sum()), text, some.tobytes()))
+            text = "".join(spelt[tokens_at[i] : tokens_at[i + 1]])[:-1]
+            some = both[16 * links_at[i] : 16 * links_at[i + 1]]
+            out.append((n_a[i], n_b[i], groups_at[i + 1] - groups_at[i], n_links[i], text, some))
         return out
 
+    def _spelt(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> list[str]:
+        """Of all tokens, group by group and in a group A before B, the number with the mark that follows it."""
+        in_a, in_b = np.diff(first_a), np.diff(first_b)
+        if not (in_a.all() and in_b.all()):
+            raise ValueError("a group without tokens of one side")
+        marked = np.empty(len(a) + len(b), np.int64)
+        of_a, of_b = np.arange(len(a)) + np.repeat(first_b[:-1], in_a), np.arange(len(b)) + np.repeat(first_a[1:], in_b)
+        marked[of_a], marked[of_b] = a, b
+        marked[of_a[first_a[1:] - 1]] += self.ids
+        marked[of_b[first_b[1:] - 1]] += 2 * self.ids
+        return list(map(self.numbers.__getitem__, marked.tolist()))
+
     def batch(self, texts: list[str]) -> tuple[list[tuple], tuple]:
         """Sums of each text, and the distinct pairs of all of them with the texts that hold them."""
         cut = [self.pieces(t) for t in texts]
         distinct = set(chain.from_iterable(cut))
         known = self.known.holding(distinct, self._by_size)
         index = {piece: i for i, piece in enumerate(distinct)}
-        n_a, n_b, n_groups, n_links, spelt, data = zip(*map(known.__getitem__, index), strict=True) if index else [()] * 6
+        values = [known[piece] for piece in index]
+        numbers = np.array([v[:4] for v in values], np.int64).reshape(-1, 4)
+        spelt = [v[4] for v in values]
         sums, rows, doc_of = [], [], []
         for doc, pieces in enumerate(cut):
-            at = [index[p] for p in pieces]
-            parts = [spelt[i] for i in at]
+            at = list(map(index.__getitem__, pieces))
+            parts = list(map(spelt.__getitem__, at))
             if not at or None in parts:
                 sums.append((0, 0, 0, 0, ""))
                 continue
             rows.append(np.array(at, np.int64))
             doc_of.append(doc)
-            totals = (sum([column[i] for i in at]) for column in (n_a, n_b, n_groups, n_links))
-            sums.append((*totals, hashlib.sha256(";".join(parts).encode()).hexdigest()))
-        return sums, self._held(data, rows, doc_of, len(texts))
+            sums.append((*numbers[rows[-1]].sum(axis=0).tolist(), hashlib.sha256(";".join(parts).encode()).hexdigest()))
+        return sums, self._held([v[5] for v in values], rows, doc_of, len(texts))
 
     def _by_size(self, pieces: list[str]) -> Iterator[tuple]:
         """Values of the pieces in their order, of about a million characters at once."""
@@ -240,7 +258,7 @@ class Aligner:
         yield from self.coalesced(some)
 
     @staticmethod
-    def _held(data: tuple, rows: list[np.ndarray], doc_of: list[int], n_docs: int) -> tuple:
+    def _held(data: list[bytes], rows: list[np.ndarray], doc_of: list[int], n_docs: int) -> tuple:
         """Distinct pairs (sorted), how many texts hold each, which ones, and where a text holds it more than once."""
         both = np.frombuffer(b"".join(data), np.int64).reshape(-1, 2)
         sizes = np.array([len(d) // 16 for d in data], np.int64)
@@ -268,6 +286,18 @@ class Aligner:
         return pairs[used], held[used], (key % n_docs).astype("<u2"), many.astype("<i4"), times[many].astype("<i8")
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without looking for cycles among the many small values that are made, which have none."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of about `BATCH_CHARS` characters each, a longer row alone."""
     held, chars, rows = [], 0, 0
@@ -325,7 +355,8 @@ class Alignment:
             for seq, table in enumerate(_batches(batches)):
                 n = table.num_rows
                 fields[2] = table.schema.field(_KEEP)
-                sums, (pairs, held, docs_, at, times) = aligner.batch(arrow.strings(table.column("_text")))
+                with _uncollected():
+                    sums, (pairs, held, docs_, at, times) = aligner.batch(arrow.strings(table.column("_text")))
                 columns = [pa.array([base + seq] * n, pa.int64()), pa.array(range(n), pa.int32()), table.column(_KEEP).combine_chunks()]
                 columns += [pa.array(c, f.type) for c, f in zip(zip(*sums, strict=True), fields[3:8], strict=True)]
                 columns += [pa.nulls(n, f.type) for f in fields[8:]]

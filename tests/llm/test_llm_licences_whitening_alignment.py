@@ -277,3 +277,23 @@ def test_alignment_batches_are_small():
     rows = pa.RecordBatch.from_pydict({"_text": ["ab " * 300_000] * 8})
     sizes = [sum(map(len, t.column("_text").to_pylist())) for t in token_alignment._batches(iter([rows]))]
     assert sum(sizes) == 8 * 900_000 and max(sizes) <= 3 << 20
+
+
+def test_pieces_are_spelt_and_remembered():
+    """Groups as text are cut from one row of numbers; a batch's pieces are remembered past the next batch."""
+    whole = token_alignment.Aligner(read_spec(PATH_A), token_alignment.read_model(PATH_B))
+    pieces = [" one", " naïve", "\n", "  two  spaces", " ", " don't", " İx"]
+    plain = plain_alignment()
+    for piece, (n_a, n_b, n_groups, n_links, text, _) in zip(pieces, whole.coalesced(pieces), strict=True):
+        want = plain(piece[1:]) if piece[0] == " " else None
+        if want:
+            assert text == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want)
+            assert (n_a, n_b, n_groups) == (sum(len(a) for a, _ in want), sum(len(b) for _, b in want), len(want))
+            assert n_links == sum(len(a) * len(b) for a, b in want)
+    asked = []
+    by_size = whole._by_size
+    whole._by_size = lambda some: asked.extend(some) or by_size(some)
+    batches = [[f"w{b}x{i} common{i}" for i in range(60_000)] for b in range(3)]
+    for texts in batches:
+        whole.batch(texts)
+    assert len(asked) == 4 * 60_000
