@@ -18,6 +18,7 @@ from slink.operators.search import (
     LEAST_QUESTIONS,
     SOURCE,
     document_block_count,
+    element_knn,
     exact_knn,
     full_knn,
     last_kept,
@@ -231,8 +232,12 @@ def weighted_rank(
     weights: dict[str, float] = DEFAULT_WEIGHTS,
     limits: tuple[int, int] = fixed.WEIGHTED_RANK_LIMITS,
 ) -> DataFrame:
-    """Nine searches, weighted, best per element, one descending list per question."""
-    hits = exact_knn(questions, documents, limits_for(limits), carry=ELEMENT)
+    """Nine searches, weighted, best per element, one descending list per question.
+
+    Unless a weight is negative the highest of an element's hits in an index weighs most, so only that one is moved.
+    """
+    search = element_knn if min(weights.values(), default=0) >= 0 else exact_knn
+    hits = search(questions, documents, limits_for(limits), ELEMENT)
     return order_rankings(best_score(weight_scores(hits, weights)))
 
 

@@ -28,6 +28,7 @@ SHOWN_DECIMALS = 4
 
 SOURCE = "data_source_id"
 HIT_SCHEMA = f"question_id long, {SOURCE} long, index_name string, vec_id long, score double, rank int"
+_ELEMENT_HITS = ["question_id", SOURCE, "index_name", "score"]
 _ARROW_HITS = [
     ("question_id", pa.int64()),
     (SOURCE, pa.int64()),
@@ -191,28 +192,83 @@ class _Best:
             yield self._batch(source, name, np.repeat(asked[some[:1]], len(order)), scores[order], rows[order], np.arange(1, len(order) + 1))
 
 
+    def _numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each held document's element (its carried columns) as a number, and a document of each element."""
+        code = np.zeros(self.held.num_rows, np.int64)
+        for name in self.columns[1:]:
+            column = self.held[name].combine_chunks().dictionary_encode("encode")
+            code = np.unique(code * max(1, len(column.dictionary)) + column.indices.to_numpy(), return_inverse=True)[1]
+        _, first, number = np.unique(code, return_index=True, return_inverse=True)
+        return number, first
+
+    def elements(self, source: int, name: str, fold: str) -> Iterator[pa.RecordBatch]:
+        """Per question and element `FOLDS[fold]` of the scores of its hits."""
+        if not self.have:
+            return
+        self.held = self.held.combine_chunks()
+        number, document = self._numbered()
+        asked, size = self.questions["question_id"].to_numpy()[self.asking], len(document)
+        at_once = max(1, ROWS_OUT // self.have)
+        for start in range(0, len(asked), at_once):
+            scores, rows = (x[start : start + at_once] for x in (self.scores, self.rows))
+            scores = np.where(np.isinf(scores), np.nan, scores).ravel()
+            slot = (np.arange(len(rows))[:, None] * size + number[rows]).ravel()
+            order = np.argsort(slot)
+            slot, scores = slot[order], scores[order]
+            first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+            line, element = np.divmod(slot[first], size)
+            found, n = FOLDS[fold](scores, first), len(first)
+            columns = [
+                pa.array(asked[start + line]),
+                pa.array(np.full(n, source, np.int64)),
+                pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([name])).dictionary_decode(),
+                found if isinstance(found, pa.Array) else pa.array(found),
+                *(self.held[c].combine_chunks().take(pa.array(document[element])) for c in self.columns[1:]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_ELEMENT_HITS, *self.columns[1:]])
+
+
+def _lists(scores: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Scores from each `first` on as one list of `score_steps`."""
+    steps = pa.array(score_steps(scores), mask=np.isnan(scores))
+    return pa.ListArray.from_arrays(pa.array(np.r_[first, len(scores)].astype(np.int32)), steps)
+
+
+# What becomes of the scores of an element's hits; as in Spark NaN is above all others.
+FOLDS = {"highest": np.maximum.reduceat, "lowest": np.fmin.reduceat, "all": _lists}
+
+
+def score_steps(scores: np.ndarray) -> np.ndarray:
+    """`shown_score` as whole numbers of the last shown decimal; NaN is 0."""
+    exact, step = np.rint(np.nan_to_num(scores) * 10.0**RANKED_DECIMALS).astype(np.int64), 10 ** (RANKED_DECIMALS - SHOWN_DECIMALS)
+    return (np.sign(exact) * ((np.abs(exact) + step // 2) // step)).astype(np.int16)
+
+
 def _rounded(scores: np.ndarray) -> np.ndarray:
     """Scores as they are ranked; what is no number is below all others."""
     scores = np.round(scores, RANKED_DECIMALS) + 0.0
     return np.where(np.isnan(scores), -np.inf, scores)
 
 
-def _best_hits(k: int | dict[str, int], carry: list[str], last_only: bool = False, once: bool = False):
+def _best_hits(k: int | dict[str, int], carry: list[str], last_only: bool = False, once: bool = False, fold: str | None = None):
     """Kernel of blocks that come index by index: one set of best hits is held, and given when its index is through."""
 
+    def given(best: _Best, source: int, name: str) -> Iterator[pa.RecordBatch]:
+        return best.elements(source, name, fold) if fold else best.hits(source, name, last_only, once)
+
     def search(questions: pa.Table, blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         sources, current, best = questions[SOURCE].to_numpy(), None, None
         for block in blocks:
             source, name = block[SOURCE][0].as_py(), block["index_name"][0].as_py()
             if (source, name) != current:
                 if best is not None:
-                    yield from best.hits(*current, last_only, once)
+                    yield from given(best, *current)
                 current = source, name
                 best = _Best(questions, np.flatnonzero(sources == source), k if isinstance(k, int) else k[name], carry)
             if len(best.asking):
                 best.add(block)
         if best is not None:
-            yield from best.hits(*current, last_only, once)
+            yield from given(best, *current)
 
     return search
 
@@ -260,6 +316,7 @@ def similarity_join(
     plan: tuple[int, int, int] | None = None,
     last_only: bool = False,
     once: bool = False,
+    fold: str | None = None,
 ) -> DataFrame:
     """Best hits of every question in every index of its data source, ranked, for each range of document blocks.
 
@@ -268,7 +325,8 @@ def similarity_join(
     of a strip in one index, so only the top k of a whole range leave it: with one range they are final. Nothing is
     broadcast or collected. With `carry` columns of the documents come along with their hits, so that these need not be
     joined with the index again. `last_only` gives the hits of rank k alone; with `once` rows that repeat a question
-    are one question, as for `top_k_hits`.
+    are one question, as for `top_k_hits`. With `fold`, of `FOLDS`, there is one row per question, index and element
+    (the carried columns) instead of one per hit.
     """
     carry = carry or []
     strips, blocks, ranges = plan or _plan(questions, documents, k)
@@ -279,8 +337,9 @@ def similarity_join(
     strip = F.pmod(F.xxhash64("question_id"), F.lit(strips))
     block = F.pmod(F.xxhash64(SOURCE, "index_name", "vec_id"), F.lit(blocks))
     group = F.concat(F.col(SOURCE).cast("string"), F.lit("/"), F.col("index_name"))
-    kernel = _best_hits(k, carry, last_only, once)
-    return pair_stream(left, right, strip, strips, block, blocks, kernel, HIT_SCHEMA + types, ranges, group, DOCUMENT_BLOCK)
+    kernel = _best_hits(k, carry, last_only, once, fold)
+    schema = HIT_SCHEMA if fold is None else f"question_id long, {SOURCE} long, index_name string, score {'array<short>' if fold == 'all' else 'double'}"
+    return pair_stream(left, right, strip, strips, block, blocks, kernel, schema + types, ranges, group, DOCUMENT_BLOCK)
 
 
 def top_k_hits(hits: DataFrame, k: int | dict[str, int]) -> DataFrame:
@@ -321,6 +380,25 @@ def exact_knn(
     return full_knn(questions, documents, k, carry).withColumn("score", shown_score())
 
 
+def element_knn(
+    questions: DataFrame, documents: DataFrame, k: int | dict[str, int], element: list[str], fold: str = "highest"
+) -> DataFrame:
+    """Of `exact_knn`, per question, index and element the `highest` or `lowest` shown score, or `all` in an array.
+
+    Hits are folded in the task that finds them, so no row per hit leaves it. The array holds whole steps of the last
+    shown decimal, in any order, and NULL for what is no number.
+    """
+    plan = _plan(questions, documents, k)
+    if plan[2] == 1:
+        found = similarity_join(questions, documents, k, element, plan, fold=fold)
+        return found if fold == "all" else found.withColumn("score", shown_score())
+    hits = top_k_hits(similarity_join(questions, documents, k, element, plan), k).withColumn("score", shown_score())
+    steps = F.when(~F.isnan("score"), F.rint(F.col("score") * 10**SHOWN_DECIMALS).cast("short"))
+    folded = {"highest": F.max("score"), "lowest": F.min("score"), "all": F.collect_list(F.struct(steps.alias("step")))}[fold]
+    found = hits.groupBy("question_id", SOURCE, "index_name", *element).agg(folded.alias("score"))
+    return found.withColumn("score", F.col("score.step")) if fold == "all" else found
+
+
 def overfull_indexes(documents: DataFrame, k: dict[str, int]) -> DataFrame:
     """(data source, index) pairs with more documents than a question keeps of them; all others are kept whole."""
     sizes = documents.groupBy(source_of(documents), "index_name").agg(F.count("*").alias("n"))

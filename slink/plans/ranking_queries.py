@@ -37,6 +37,10 @@ def element_hits(spark, sf_dir, k=WEIGHTED):
     return search.exact_knn(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir), k, carry=ranking.ELEMENT)
 
 
+def element_scores(spark, sf_dir, fold="highest"):
+    return search.element_knn(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir), WEIGHTED, ranking.ELEMENT, fold)
+
+
 def ranked(spark, sf_dir):
     return ranking.weighted_rank(b.questions(spark, sf_dir), b.index_documents(spark, sf_dir))
 
@@ -124,7 +128,7 @@ def f18(spark, sf_dir):
 
 @query("a6_best_score", HITS + "SELECT question_id, table_id, column_id, value, max(score) AS score FROM hits GROUP BY ALL")
 def a6(spark, sf_dir):
-    return ranking.best_score(element_hits(spark, sf_dir))
+    return ranking.best_score(element_scores(spark, sf_dir))
 
 
 LOWS = ", ".join(f"min(score) FILTER (index_name = '{n}') AS {n}_score" for n in fixed.ALL_INDEXES)
@@ -132,7 +136,7 @@ LOWS = ", ".join(f"min(score) FILTER (index_name = '{n}') AS {n}_score" for n in
 
 @query("a7_index_scores", HITS + f"SELECT question_id, table_id, column_id, value, {LOWS} FROM hits GROUP BY question_id, table_id, column_id, value")
 def a7(spark, sf_dir):
-    return ranking.index_scores(element_hits(spark, sf_dir))
+    return ranking.index_scores(element_scores(spark, sf_dir, "lowest"))
 
 
 @query(
@@ -142,7 +146,7 @@ def a7(spark, sf_dir):
     SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, {b.ELEMENT_ORDER_SQL}) AS rank FROM best""",
 )
 def a8(spark, sf_dir):
-    return ranking.dedup_rankings(element_hits(spark, sf_dir)).select(*RANK_COLUMNS)
+    return ranking.dedup_rankings(element_scores(spark, sf_dir)).select(*RANK_COLUMNS)
 
 
 @query(
@@ -162,7 +166,7 @@ def u1(spark, sf_dir):
     for kind, names in zip(ranking.LEVELS, (fixed.TABLE_INDEXES, fixed.COLUMN_INDEXES, fixed.VALUE_INDEXES), strict=True):
         # Each level searches its own indexes.
         index = b.index_documents(spark, sf_dir).filter(F.col("index_name").isin(names))
-        found = search.exact_knn(b.questions(spark, sf_dir), index, WEIGHTED, carry=ranking.ELEMENT)
+        found = search.element_knn(b.questions(spark, sf_dir), index, WEIGHTED, ranking.ELEMENT)
         levels.append(ranking.best_score(found).withColumn("level", F.lit(kind)))
     merged = ranking.union_levels(*levels)
     return merged.groupBy("level", "question_id").agg(

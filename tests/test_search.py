@@ -205,3 +205,45 @@ def test_a_repeated_question_is_cut_once(spark):
     want = search.top_k_hits(plain.drop("rank"), 7)
     columns = ["question_id", "index_name", "vec_id", "score", "rank"]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+@pytest.mark.parametrize("n_questions", [40, 3])
+def test_hits_of_an_element_leave_their_task_as_one_row(spark, monkeypatch, n_questions):
+    """Folded in the search or, with few questions, after it, as the groups of all hits would be."""
+    monkeypatch.setattr(search, "DOCUMENT_BLOCK", 40)
+    monkeypatch.setattr(search, "LEAST_QUESTIONS", 4)
+    monkeypatch.setattr(search, "ROWS_OUT", 50)
+    questions, docs, *_ = frames(spark, n_questions=n_questions)
+    column = F.when(F.col("vec_id") % 3 > 0, (F.col("vec_id") % 7).cast("int"))
+    docs = docs.withColumn("table_id", (F.col("vec_id") % 4).cast("int")).withColumn("column_id", column)
+    docs = docs.withColumn("value", F.when(F.col("vec_id") % 5 == 0, F.concat(F.lit("v"), F.col("vec_id") % 2)))
+    k = {"value": 60, "column_name": 1000}
+    keys = ["question_id", "index_name", *ranking.ELEMENT]
+    hits = search.exact_knn(questions, docs, k, ranking.ELEMENT)
+    steps = F.sort_array(F.collect_list(F.rint(F.col("score") * 10_000).cast("short")))
+    for fold, want in {"highest": F.max("score"), "lowest": F.min("score"), "all": steps}.items():
+        got = search.element_knn(questions, docs, k, ranking.ELEMENT, fold)
+        got = got.withColumn("score", F.sort_array("score")) if fold == "all" else got
+        grouped = hits.groupBy(keys).agg(want.alias("score"))
+        assert sorted(map(str, got.select(*keys, "score").collect())) == sorted(map(str, grouped.select(*keys, "score").collect()))
+
+
+def test_folded_scores_that_are_no_numbers():
+    scores = np.array([0.5, np.nan, 0.25, 0.123449999999, -0.00005, np.nan])
+    first = np.array([0, 2, 5])
+    assert np.array_equal(search.FOLDS["highest"](scores, first), [np.nan, 0.25, np.nan], equal_nan=True)
+    assert np.array_equal(search.FOLDS["lowest"](scores, first), [0.5, -0.00005, np.nan], equal_nan=True)
+    assert search.FOLDS["all"](scores, first).to_pylist() == [[5000, None], [2500, 1234, -1], [None]]
+
+
+def test_weighted_rank_with_negative_weights(spark):
+    """The lowest of several hits of an element is then its best."""
+    rng = np.random.default_rng(5)
+    questions = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "question_id long, embedding array<float>")
+    rows = [("table_name" if i % 2 else "column_name", i, i % 3, 100 * (i % 3) if not i % 2 else None, None, rng.normal(size=4).tolist()) for i in range(60)]
+    docs = spark.createDataFrame(rows, "index_name string, vec_id long, table_id int, column_id int, value string, embedding array<float>")
+    for weights in ({"table_name": 1.5, "column_name": -0.5}, {"table_name": 1.5, "column_name": 0.5}):
+        hits = search.exact_knn(questions, docs, search.limits_for((7, 7)), ranking.ELEMENT)
+        want = ranking.order_rankings(ranking.best_score(ranking.weight_scores(hits, weights)))
+        got = ranking.weighted_rank(questions, docs, weights, (7, 7))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
