@@ -86,11 +86,11 @@ def streams(left: DataFrame, strips: int, blocks: int) -> tuple[int, int]:
     return ranges, max(1, min(strips * ranges, most))
 
 
-def strip_count(left: DataFrame, rows: int, blocks: int, least: int) -> int:
-    """As few strips as can be held; more of them, of `least` rows or more, if the blocks alone leave cores idle."""
+def strip_count(left: DataFrame, rows: int, blocks: int, least: int, most: int = 0) -> int:
+    """As few strips as can be held, of STRIP_ROWS or `most` rows; more, of `least` rows or more, if the blocks alone leave cores idle."""
     cores = left.sparkSession.sparkContext.defaultParallelism
     wanted = min(math.ceil(cores / max(1, blocks)), math.ceil(rows / least))
-    return max(1, math.ceil(rows / STRIP_ROWS), wanted)
+    return max(1, math.ceil(rows / max(STRIP_ROWS, most)), wanted)
 
 
 def pair_stream(

@@ -19,8 +19,9 @@ DOCUMENT_BLOCK = 8192
 LEAST_QUESTIONS = 64
 # Questions scored at a time inside a block, which bounds the score matrix.
 SCORED_AT_ONCE = 256
-# Best hits (score and document number) that a task holds of one index, and rows that it gives at a time.
+# Best hits (score and document number) and numbers of questions' vectors that a task holds, and rows that it gives at a time.
 HELD_HITS = 16_000_000
+HELD_NUMBERS = 4_000_000
 ROWS_OUT = 100_000
 # Hits are ranked on the full score, less the noise of the arithmetic, and shown with fewer decimals.
 RANKED_DECIMALS = 12
@@ -88,6 +89,29 @@ def scored(
 NO_VECTOR = np.iinfo(np.int64).max
 # Arithmetic in another order may move a score by less than this.
 NOISE = 1e-9
+# Documents compared at a time in single precision, and of how many a hit must be kept for that to sort out most.
+SKIMMED_AT_ONCE = 2048
+SKIM_FROM = 32
+
+
+def _near(q: np.ndarray, d: np.ndarray, single: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, places and scores of the pairs of unit rows that are not below `least`, by line and place.
+
+    Single precision, `single` for `d`, sorts out pairs that are below by more than its error.
+    """
+    error = np.float32((q.shape[1] + 8) * 2.0**-22)
+    q32, bound = q.astype(np.float32), (least.astype(np.float32) - error)[:, None]
+    parts = []
+    for start in range(0, len(d), SKIMMED_AT_ONCE):
+        found = q32 @ single[start : start + SKIMMED_AT_ONCE].T
+        line, place = np.divmod(np.flatnonzero(~(found < bound)), found.shape[1])
+        parts.append((line, place + start))
+    line, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(line, kind="stable")
+    line, place = line[order], place[order]
+    scores = np.concatenate([np.einsum("ij,ij->i", q[line[i : i + ROWS_OUT]], d[place[i : i + ROWS_OUT]]) for i in range(0, max(1, len(line)), ROWS_OUT)])
+    close = ~(scores < least[line])
+    return line[close], place[close], scores[close]
 
 
 def _nearest(scores: np.ndarray, rows: np.ndarray, vec_ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +133,10 @@ class _Best:
 
     def __init__(self, questions: pa.Table, asking: np.ndarray, k: int, carry: list[str]):
         self.questions, self.asking, self.k, self.have = questions, asking, k, 0
+        self.vectors = questions["embedding"].take(pa.array(asking)).combine_chunks()
         self.columns = ["vec_id", *carry]
         self.scores, self.rows = np.zeros((len(asking), 0)), np.zeros((len(asking), 0), np.int32)
+        self.seen = 0
         self.held: pa.Table | None = None  # documents that `rows` numbers
         self.compact = 4 * DOCUMENT_BLOCK
 
@@ -125,24 +151,33 @@ class _Best:
             grown[0][:, : self.have], grown[1][:, : self.have] = self.scores, self.rows
             self.scores, self.rows = grown
         new = np.arange(first, first + n, dtype=np.int32)
+        skim = self.have == self.k and self.seen >= SKIM_FROM * self.k
+        self.seen += n
+        single = d.astype(np.float32) if skim else None
         for start in range(0, len(self.asking), SCORED_AT_ONCE):
             some = slice(start, start + SCORED_AT_ONCE)
-            found = unit_rows(self.questions["embedding"].take(pa.array(self.asking[some]))) @ d.T
+            q = unit_rows(pa.chunked_array([self.vectors.slice(start, SCORED_AT_ONCE)]))
             if self.have < self.k:
-                found = _rounded(found)
+                found = _rounded(q @ d.T)
                 found = np.concatenate([self.scores[some, : self.have], found], axis=1)
                 rows = np.concatenate([self.rows[some, : self.have], np.broadcast_to(new, (len(found), n))], axis=1)
                 self.scores[some], self.rows[some] = _nearest(found, rows, vec_ids, keep)
                 continue
             # Most documents are farther than the last hit that is kept.
-            line, place = np.nonzero(~(found < self.scores[some].min(axis=1)[:, None] - NOISE))
+            least = self.scores[some].min(axis=1) - NOISE
+            if skim:
+                line, place, near = _near(q, d, single, least)
+            else:
+                found = q @ d.T
+                line, place = np.nonzero(~(found < least[:, None]))
+                near = found[line, place]
             if not len(line):
                 continue
-            counts = np.bincount(line, minlength=len(found))
+            counts = np.bincount(line, minlength=len(q))
             lines = np.flatnonzero(counts)
             at = np.arange(len(line)) - (np.cumsum(counts) - counts)[line]
-            more, rows = np.full((len(found), counts.max()), -np.inf), np.full((len(found), counts.max()), -1, np.int32)
-            more[line, at], rows[line, at] = _rounded(found[line, place]), new[place]
+            more, rows = np.full((len(q), counts.max()), -np.inf), np.full((len(q), counts.max()), -1, np.int32)
+            more[line, at], rows[line, at] = _rounded(near), new[place]
             lines = lines + start
             more = np.concatenate([self.scores[lines], more[lines - start]], axis=1)
             rows = np.concatenate([self.rows[lines], rows[lines - start]], axis=1)
@@ -296,11 +331,12 @@ def _plan(questions: DataFrame, documents: DataFrame, k: int | dict[str, int]) -
     A strip is small enough for its best hits to be held. Where there are strips for every core a strip meets all
     documents in one task, whose hits are final; else documents are searched in ranges.
     """
-    blocks, rows = document_block_count(documents), questions.count()
+    blocks = document_block_count(documents)
+    rows, width = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
     cores = questions.sparkSession.sparkContext.defaultParallelism
     largest = k if isinstance(k, int) else max(k.values(), default=1)
     held = math.ceil(rows / max(1, HELD_HITS // max(1, min(largest, blocks * DOCUMENT_BLOCK))))
-    strips = max(held, strip_count(questions, rows, 1, LEAST_QUESTIONS))
+    strips = max(held, strip_count(questions, rows, 1, LEAST_QUESTIONS, HELD_NUMBERS // max(1, width or 1)))
     if strips < cores:
         return strips, blocks, streams(questions, strips, blocks)[0]
     # Strips in whole rounds of the cores, so that none waits for another's last one.

@@ -247,3 +247,35 @@ def test_weighted_rank_with_negative_weights(spark):
         want = ranking.order_rankings(ranking.best_score(ranking.weight_scores(hits, weights)))
         got = ranking.weighted_rank(questions, docs, weights, (7, 7))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_pairs_sorted_out_in_single_precision(monkeypatch, k):
+    """Hits that single precision cannot tell apart are still ranked by their full scores, of copies the smaller vec_id."""
+    monkeypatch.setattr(search, "SKIM_FROM", 2)
+    monkeypatch.setattr(search, "SKIMMED_AT_ONCE", 7)
+    monkeypatch.setattr(search, "ROWS_OUT", 5)
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=(6, 16))
+    d = np.concatenate([near[i % 6] + rng.normal(size=(40, 16)) * 10.0 ** -(i % 4) * 1e-4 for i in range(6)]).astype(np.float32).astype(float)
+    d = np.concatenate([d, d[::3]])
+    q = near.astype(np.float32).astype(float)
+    ids = rng.permutation(len(d))
+    of = lambda v: pa.array(v.tolist(), pa.list_(pa.float32()))
+    questions = pa.table({"question_id": np.arange(6), "data_source_id": np.ones(6, np.int64), "embedding": of(q)})
+    docs = pa.table({"data_source_id": np.ones(len(d), np.int64), "index_name": ["value"] * len(d), "vec_id": ids, "embedding": of(d[ids])})
+    used = []
+    plain = search._near
+    monkeypatch.setattr(search, "_near", lambda *a: used.append(1) or plain(*a))
+    found = pa.Table.from_batches(search._best_hits(k, [])(questions, (docs.slice(i, 20) for i in range(0, len(d), 20)))).to_pylist()
+    assert used and {(r["question_id"], r["vec_id"], r["rank"]) for r in found} == {(i, j, r) for i, _, j, _, r in brute(q, d, ["value"] * len(d), k)}
+
+
+def test_strips_are_as_large_as_vectors_allow(spark, monkeypatch):
+    """Each strip meets all documents, so with short vectors few long strips move them less often."""
+    monkeypatch.setattr(block_stream, "STRIP_ROWS", 4)
+    monkeypatch.setattr(search, "LEAST_QUESTIONS", 4)
+    questions, docs, *_ = frames(spark)
+    assert search._plan(questions, docs, 3)[0] == 8
+    monkeypatch.setattr(search, "HELD_NUMBERS", 4 * 8)
+    assert search._plan(questions, docs, 3)[0] == 16
