@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from slink.operators.block_stream import block_by_block, pair_stream, strip_coun
 from slink.operators.search import (
     DOCUMENT_BLOCK,
     LEAST_QUESTIONS,
+    SHOWN_DECIMALS,
     SOURCE,
     document_block_count,
     element_knn,
@@ -72,6 +74,75 @@ def order_rankings(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(window))
 
 
+RANKED_AT_ONCE = 200_000  # hits that a task puts in order at a time, or those of one question
+
+
+def _ranked_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`order_rankings` of rows that come question by question, with a list of scores each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        ids = batch.column("question_id")
+        last = pc.index(ids, ids[-1]).as_py()
+        if last or held and held[-1].column("question_id")[-1] != ids[0]:
+            yield from _rank_questions(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from _rank_questions(pa.Table.from_batches(held))
+
+
+def _rank_questions(lists: pa.Table) -> Iterator[pa.RecordBatch]:
+    lists = lists.combine_chunks()
+    ids = lists["question_id"].combine_chunks()
+    sizes = pc.list_value_length(lists["score"].combine_chunks()).to_numpy()
+    starts = np.flatnonzero(np.r_[True, pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)]) if len(ids) else np.zeros(0, int)
+    before = np.r_[0, np.cumsum(sizes)]
+    first = 0
+    while first < len(starts):
+        after = max(first + 1, int(np.searchsorted(before[starts], before[starts[first]] + RANKED_AT_ONCE)))
+        end = starts[after] if after < len(starts) else len(ids)
+        yield _rank(lists.slice(starts[first], end - starts[first]), starts[first:after] - starts[first])
+        first = after
+
+
+def _rank(lists: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """Rows of whole questions, which begin at `starts`, to one row per score in ranking order."""
+    elements = list(zip(*(lists[c].to_pylist() for c in ELEMENT), strict=True))
+    places = {e: i for i, e in enumerate(sorted(set(elements), key=_element_key))}
+    place = np.array([places[e] for e in elements], np.int64)
+    scores = lists["score"].combine_chunks()
+    row = np.repeat(np.arange(len(place)), pc.list_value_length(scores).to_numpy())
+    steps = scores.flatten()
+    no_number = steps.is_null().to_numpy(zero_copy_only=False)
+    steps = steps.fill_null(0).to_numpy().astype(np.int64)
+    question = np.searchsorted(starts, row, side="right") - 1
+    # NaN stands above all numbers.
+    falling = np.where(no_number, 0, 2 * 10**SHOWN_DECIMALS - steps)
+    order = np.argsort((question * (4 * 10**SHOWN_DECIMALS) + falling) * len(places) + place[row])
+    question, chosen = question[order], pa.array(row[order])
+    rank = np.arange(len(order)) - np.searchsorted(question, np.arange(len(starts)))[question] + 1
+    score = np.where(no_number, np.nan, steps / 10.0**SHOWN_DECIMALS)[order]
+    columns = [lists[c].combine_chunks().take(chosen) for c in ("question_id", *ELEMENT)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(rank.astype(np.int32))], names=["question_id", *ELEMENT, "score", "rank"])
+
+
+def _element_key(element: tuple) -> tuple:
+    """`element_order`, nulls first."""
+    table, column, value = element
+    kind = 2 if value is not None else 1 if column is not None else 0
+    return kind, table is not None, table or 0, -1 if column is None else column, value or ""
+
+
+def order_hit_lists(lists: DataFrame) -> DataFrame:
+    """`order_rankings` of all hits, which come as one list of scores per question, index and element (`element_knn`).
+
+    So a hit is moved as two bytes, and is a row of its own only when it has its rank.
+    """
+    typed = lists.select("question_id", *[F.col(c).cast(t).alias(c) for c, t in zip(ELEMENT, ("int", "int", "string"), strict=True)], "score")
+    placed = typed.repartition("question_id").sortWithinPartitions("question_id")
+    return placed.mapInArrow(_ranked_lists, "question_id long, table_id int, column_id int, value string, score double, rank int")
+
+
 def dedup_rankings(ranked: DataFrame) -> DataFrame:
     """First entry of each element in ranking order, ranked anew."""
     return order_rankings(best_score(ranked))

@@ -157,7 +157,7 @@ def a8(spark, sf_dir):
 )
 def o2(spark, sf_dir):
     """All hits of all nine indexes; an element can stand in the list more than once."""
-    return ranking.order_rankings(element_hits(spark, sf_dir)).select(*RANK_COLUMNS)
+    return ranking.order_hit_lists(element_scores(spark, sf_dir, "all")).select(*RANK_COLUMNS)
 
 
 @query("u1_union_levels", HITS + f"SELECT {b.LEVEL_SQL} AS level, question_id, count(*) AS elements, min(score) AS low, max(score) AS high FROM (SELECT question_id, table_id, column_id, value, max(score) AS score FROM hits GROUP BY ALL) GROUP BY ALL")

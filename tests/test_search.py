@@ -279,3 +279,30 @@ def test_strips_are_as_large_as_vectors_allow(spark, monkeypatch):
     assert search._plan(questions, docs, 3)[0] == 8
     monkeypatch.setattr(search, "HELD_NUMBERS", 4 * 8)
     assert search._plan(questions, docs, 3)[0] == 16
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 100_000])
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_lists_of_scores_are_ranked_as_hits_are(spark, monkeypatch, at_once, batch):
+    """Questions over several batches, equal scores, scores that are no numbers, elements of two indexes and of no table."""
+    monkeypatch.setattr(ranking, "RANKED_AT_ONCE", at_once)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rng = np.random.default_rng(2)
+    elements = [(1, None, None), (None, None, None), (1, 101, None), (2, 201, ""), (2, 201, "é"), (2, None, "z"), (3, 301, "~"), (1, 101, None)]
+    rows = [(q, *e, [None if rng.random() < 0.1 else int(x) for x in rng.integers(-10_000, 10_001, rng.integers(0, 9)) // 2000 * 2000]) for q in range(20) for e in elements]
+    lists = spark.createDataFrame(rows, "question_id long, table_id int, column_id int, value string, score array<short>")
+    hits = lists.withColumn("step", F.explode("score")).withColumn("score", F.when(F.col("step").isNull(), float("nan")).otherwise(F.col("step") / 10_000))
+    columns = ["question_id", *ranking.ELEMENT, "score", "rank"]
+    got = ranking.order_hit_lists(lists).select(columns).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, got)) == sorted(map(str, ranking.order_rankings(hits).select(columns).collect()))
+
+
+def test_all_hits_ranked_without_moving_them_one_by_one(spark):
+    questions, docs, *_ = frames(spark)
+    docs = docs.withColumns({"table_id": (F.col("vec_id") % 4).cast("int"), "column_id": F.lit(None).cast("int"), "value": F.lit(None).cast("string")})
+    lists = search.element_knn(questions, docs, 1000, ranking.ELEMENT, "all")
+    assert lists.count() == 40 * 2 * 4
+    want = ranking.order_rankings(search.exact_knn(questions, docs, 1000, ranking.ELEMENT))
+    got = ranking.order_hit_lists(lists)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
