@@ -196,6 +196,16 @@ def _cut_points(questions: DataFrame, documents: DataFrame, k: dict[str, int]) -
 WIDE_CELLS = 2_000_000  # scores of elements side by side that a task holds
 
 
+def _cuts_of(questions: list) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By index, the last score and its vec_id of every question, below all scores where nothing is cut."""
+    cuts: dict = {}
+    for i, of_question in enumerate(questions):
+        for name, last in of_question or ():
+            scores, vec_ids = cuts.setdefault(name, (np.full(len(questions), -np.inf), np.zeros(len(questions), np.int64)))
+            scores[i], vec_ids[i] = last["score"], last["vec_id"]
+    return cuts
+
+
 def _element_scores(questions: pa.Table, documents: pa.Table) -> Iterator[pa.RecordBatch]:
     """Nine scores of every question of a strip and every element of a block, table scores copied onto columns."""
     elements = documents.select(ELEMENT).append_column("row", pa.array(np.arange(documents.num_rows)))
@@ -209,7 +219,7 @@ def _element_scores(questions: pa.Table, documents: pa.Table) -> Iterator[pa.Rec
     np.logical_or.at(own, of_row, documents["own"].to_numpy(zero_copy_only=False))
     index = np.array([fixed.ALL_INDEXES.index(n) for n in documents["index_name"].to_pylist()])
     vec_ids, sources = documents["vec_id"].to_numpy(), documents[SOURCE].to_numpy()
-    cuts = questions["cuts"].to_pylist() if "cuts" in questions.column_names else None
+    cuts = _cuts_of(questions["cuts"].to_pylist()) if "cuts" in questions.column_names else {}
     question_ids = questions["question_id"].to_numpy()
 
     def mine(source: int) -> list[np.ndarray]:
@@ -218,12 +228,11 @@ def _element_scores(questions: pa.Table, documents: pa.Table) -> Iterator[pa.Rec
 
     at_once = max(1, WIDE_CELLS // (keys.num_rows * len(fixed.ALL_INDEXES)))
     for some, _, rows, scores in scored(questions, documents, mine, at_once):
-        if cuts is not None:
-            for i, question in enumerate(some.tolist()):
-                for name, last in cuts[question] or ():
-                    there = index[rows] == fixed.ALL_INDEXES.index(name)
-                    worse = (scores[i] < last["score"]) | ((scores[i] == last["score"]) & (vec_ids[rows] > last["vec_id"]))
-                    scores[i, there & worse] = np.inf
+        for name, (last, vec_id) in cuts.items():
+            there = np.flatnonzero(index[rows] == fixed.ALL_INDEXES.index(name))
+            of_index, last = scores[:, there], last[some, None]
+            worse = (of_index < last) | ((of_index == last) & (vec_ids[rows[there]] > vec_id[some, None]))
+            scores[:, there] = np.where(worse, np.inf, of_index)
         slot = of_row[rows] * len(fixed.ALL_INDEXES) + index[rows]
         first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
         low = np.minimum.reduceat(scores, first, axis=1)

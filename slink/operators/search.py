@@ -396,15 +396,58 @@ def full_knn(
     return found if plan[2] == 1 else top_k_hits(found, k)
 
 
-def last_kept(questions: DataFrame, documents: DataFrame, k: dict[str, int]) -> DataFrame:
-    """Of `full_knn`, the hits of the last rank that is kept."""
-    plan = _plan(questions, documents, k)
+def _last_kept(questions: DataFrame, documents: DataFrame, k: dict[str, int], plan: tuple[int, int, int]) -> DataFrame:
     if plan[2] == 1:
         return similarity_join(questions, documents, k, plan=plan, last_only=True)
     hits = top_k_hits(similarity_join(questions, documents, k, plan=plan), k)
     return hits.filter(F.col("rank") == limit_column(k, F.col("index_name")))
 
 
+def _finite(vector: str) -> Column:
+    infinite = F.exists(vector, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(~infinite, F.lit(False))
+
+
+def _from_the_end(questions: DataFrame, documents: DataFrame, k: dict[str, int]) -> tuple[list[str], dict[str, int]]:
+    """The indexes of `k` that have documents, and those whose hit of rank k stands nearer to the other end, with its number from there.
+
+    All data sources must have equally many documents in such an index, and all vectors must be finite.
+    """
+    known = documents.filter(F.col("index_name").isin(list(k)) & source_of(documents).isNotNull())
+    sizes = known.groupBy("index_name", source_of(documents)).agg(F.count("*").alias("n"), F.every(_finite("embedding")).alias("finite"))
+    found = sizes.groupBy("index_name").agg(F.min("n").alias("least"), F.max("n").alias("n"), F.every("finite").alias("finite")).collect()
+    back = {r.index_name: r.n - k[r.index_name] + 1 for r in found if r.finite and r.least == r.n and k[r.index_name] <= r.n < 2 * k[r.index_name] - 1}
+    if back and not questions.filter(~_finite("embedding")).isEmpty():
+        back = {}
+    return [r.index_name for r in found], back
+
+
+def last_kept(questions: DataFrame, documents: DataFrame, k: dict[str, int]) -> DataFrame:
+    """Of `full_knn`, the hits of the last rank that is kept.
+
+    A task holds as many hits of a question as it searches for, so strips are cut by the limits of indexes that have
+    documents, and an index of less than twice its limit is searched from the other end: of n documents the hit of
+    rank k is number n - k + 1 by falling vec_id and rising score.
+    """
+    names, back = _from_the_end(questions, documents, k)
+    opposite = questions.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    backwards = documents.filter(F.col("index_name").isin(list(back))).withColumn("vec_id", -F.col("vec_id"))
+    plan = _plan(opposite, backwards, back) if back else None
+    if plan is None or plan[2] > 1:
+        back = {}
+    ahead = {name: k[name] for name in names if name not in back}
+    parts = []
+    if ahead or not back:
+        ahead = ahead or k
+        there = documents.filter(F.col("index_name").isin(list(ahead)))
+        parts.append(_last_kept(questions, there, ahead, _plan(questions, there, ahead)))
+    if back:
+        found = _last_kept(opposite, backwards, back, plan)
+        turned = {"vec_id": -F.col("vec_id"), "score": F.lit(0.0) - F.col("score"), "rank": limit_column(k, F.col("index_name"))}
+        parts.append(found.withColumns(turned))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def exact_knn(
     questions: DataFrame, documents: DataFrame, k: int | dict[str, int], carry: list[str] | None = None
 ) -> DataFrame:

@@ -306,3 +306,41 @@ def test_all_hits_ranked_without_moving_them_one_by_one(spark):
     want = ranking.order_rankings(search.exact_knn(questions, docs, 1000, ranking.ELEMENT))
     got = ranking.order_hit_lists(lists)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+@pytest.mark.parametrize("changed", ["", "nan", "sources"])
+def test_last_kept_from_either_end(spark, monkeypatch, changed):
+    """Equal scores, limits on both sides of half an index, indexes of unequal sizes per source, scores that are no numbers."""
+    monkeypatch.setattr(search, "DOCUMENT_BLOCK", 40)
+    monkeypatch.setattr(search, "LEAST_QUESTIONS", 4)
+    questions, docs, _, _, names = frames(spark)
+    sizes = {n: names.count(n) for n in set(names)}
+    if changed == "sources":
+        docs = docs.withColumn("data_source_id", 1 + (F.col("vec_id") % 7 == 0).cast("int"))
+        questions = questions.withColumn("data_source_id", 1 + (F.col("question_id") % 2).cast("int"))
+    if changed == "nan":
+        docs = docs.withColumn("embedding", F.when(F.col("vec_id") == 5, F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding")))
+    for k in ({"value": 9, "column_name": sizes["column_name"] - 3, "table_name": 10**6}, {n: sizes[n] for n in sizes}, {"value": sizes["value"] - 1, "column_name": sizes["column_name"] + 1}):
+        _, back = search._from_the_end(questions, docs, k)
+        assert back == ({} if changed == "sources" else {n: sizes[n] - k[n] + 1 for n in sizes if sizes[n] / 2 < k[n] <= sizes[n] and not (changed == "nan" and names[5] == n)})
+        want = search.full_knn(questions, docs, k).filter(F.col("rank") == search.limit_column(k, F.col("index_name")))
+        got = search.last_kept(questions, docs, k)
+        columns = ["question_id", "data_source_id", "index_name", "vec_id", "score", "rank"]
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+def test_strips_for_the_last_hit_ignore_limits_of_other_indexes(spark, monkeypatch):
+    monkeypatch.setattr(search, "DOCUMENT_BLOCK", 40)
+    monkeypatch.setattr(search, "LEAST_QUESTIONS", 4)
+    monkeypatch.setattr(search, "HELD_HITS", 40)
+    questions, docs, *_ = frames(spark)
+    plans = []
+    plain = search._plan
+    monkeypatch.setattr(search, "_plan", lambda *a: plans.append(plain(*a)) or plans[-1])
+    search.last_kept(questions, docs.filter("index_name = 'value'"), {"value": 4, "table_name": 10**6})
+    assert [p[0] for p in plans] == [8]
+
+
+def test_no_last_hit_without_documents(spark):
+    questions, docs, *_ = frames(spark)
+    assert search.last_kept(questions, docs.limit(0), {"value": 3, "column_name": 5}).count() == 0
