@@ -23,16 +23,6 @@ STREAMS_PER_CORE = 4
 Kernel = Callable[[pa.Table, Iterator[pa.Table]], Iterator[pa.RecordBatch]]
 
 
-def block_by_block(kernel: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]) -> Kernel:
-    """A kernel that takes each block on its own."""
-
-    def run(strip: pa.Table, blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
-        for block in blocks:
-            yield from kernel(strip, block)
-
-    return run
-
-
 def _table(batches: list[pa.RecordBatch], side: str) -> pa.Table:
     """The rows of one side as a table of their own columns."""
     columns = [batch.column(side) for batch in batches]
@@ -134,3 +124,22 @@ def pair_stream(
     both = lefts.unionByName(rights, allowMissingColumns=True)
     placed = both.repartitionById(tasks, F.col("task")).sortWithinPartitions("strip", "side", "block")
     return placed.select("strip", "side", "block", "l", "r").mapInArrow(_run(kernel, most), schema)
+
+
+def cell_stream(left: DataFrame, right: DataFrame, cells: int, kernel: Kernel, schema: str, order: list[str], most: int) -> DataFrame:
+    """What `kernel` gives for the left rows of each cell and the right rows of the same cell.
+
+    Both sides have `cell`, a number below `cells`; a row that belongs to several cells comes once for each. The left
+    rows of a cell are held together, the right ones pass in `order`, in tables of about `most` rows. A cell without
+    left or without right rows gives nothing.
+    """
+    tasks = max(1, min(cells, STREAMS_PER_CORE * left.sparkSession.sparkContext.defaultParallelism))
+
+    def placed(df: DataFrame, number: int, side: str) -> DataFrame:
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "cell"]).alias(side)
+        task = F.floor(F.col("cell").cast("long") * F.lit(tasks) / F.lit(cells)).cast("int").alias("task")
+        return df.select(task, F.col("cell").cast("int").alias("strip"), F.lit(number).alias("side"), F.lit(0).alias("block"), row)
+
+    both = placed(left, 0, "l").unionByName(placed(right, 1, "r"), allowMissingColumns=True)
+    dealt = both.repartitionById(tasks, F.col("task")).sortWithinPartitions("strip", "side", *[f"r.{c}" for c in order])
+    return dealt.select("strip", "side", "block", "l", "r").mapInArrow(_run(kernel, most), schema)

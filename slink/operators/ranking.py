@@ -13,22 +13,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
-from slink.operators.block_stream import block_by_block, pair_stream, strip_count
+from slink.operators.block_stream import Kernel, cell_stream
+from slink.operators.element_scores import ORDER, SCORE_SCHEMA, all_scores, numbered_documents
 from slink.operators.search import (
     DOCUMENT_BLOCK,
-    LEAST_QUESTIONS,
     SHOWN_DECIMALS,
     SOURCE,
-    document_block_count,
+    cut_points,
     element_knn,
     exact_knn,
-    full_knn,
-    last_kept,
     limits_for,
-    overfull_indexes,
-    scored,
     shown_score,
     source_of,
+    strips_and_ranges,
 )
 from slink.sources.stores import materialize
 
@@ -181,115 +178,54 @@ def copy_table_scores(features: DataFrame) -> DataFrame:
     return features.withColumns(copied)
 
 
-def _cut_points(questions: DataFrame, documents: DataFrame, k: dict[str, int]) -> DataFrame | None:
-    """question_id and, per overfull index, the last hit that is kept (score, vec_id); None where none is overfull."""
-    over = overfull_indexes(documents, k)
-    if over.isEmpty():
-        return None
-    of_source = documents.withColumn(SOURCE, source_of(documents))
-    last = last_kept(questions, of_source.join(over, [SOURCE, "index_name"], "left_semi"), k)
-    point = F.struct("index_name", F.struct("score", "vec_id"))
-    # At most one entry per index.
-    return last.groupBy("question_id").agg(F.map_from_entries(F.collect_list(point)).alias("cuts"))
+WIDE_CELLS = 2_000_000  # scores of elements side by side that a task holds
 
 
-WIDE_CELLS = 2_000_000  # scores of elements side by side that a task holds
+def with_cuts(questions: DataFrame, documents: DataFrame, limits: tuple[int, int]) -> tuple[DataFrame, list[int]]:
+    """Questions with the last hits they keep, and the numbers of the indexes that have more documents than that."""
+    names, cuts = cut_points(questions, documents, limits_for(limits))
+    asked = questions.select(F.col("question_id").cast("long").alias("question_id"), source_of(questions), "embedding").filter(F.col(SOURCE).isNotNull())
+    return asked.join(cuts, "question_id", "left") if names else asked, [fixed.ALL_INDEXES.index(n) for n in names]
 
 
-def _cuts_of(questions: list) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """By index, the last score and its vec_id of every question, below all scores where nothing is cut."""
-    cuts: dict = {}
-    for i, of_question in enumerate(questions):
-        for name, last in of_question or ():
-            scores, vec_ids = cuts.setdefault(name, (np.full(len(questions), -np.inf), np.zeros(len(questions), np.int64)))
-            scores[i], vec_ids[i] = last["score"], last["vec_id"]
-    return cuts
-
-
-def _element_scores(questions: pa.Table, documents: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Nine scores of every question of a strip and every element of a block, table scores copied onto columns."""
-    elements = documents.select(ELEMENT).append_column("row", pa.array(np.arange(documents.num_rows)))
-    keys = elements.group_by(ELEMENT).aggregate([("row", "min")])
-    keys = keys.append_column("number", pa.array(np.arange(keys.num_rows)))
-    number_of: dict = {tuple(r): i for i, r in enumerate(zip(*(keys[c].to_pylist() for c in ELEMENT), strict=True))}
-    of_row = np.array([number_of[r] for r in zip(*(documents[c].to_pylist() for c in ELEMENT), strict=True)])
-    table_of = np.array([number_of.get((t, None, None), -1) for t in keys["table_id"].to_pylist()])
-    is_column = np.array([c is not None and v is None for c, v in zip(keys["column_id"].to_pylist(), keys["value"].to_pylist(), strict=True)])
-    own = np.zeros(keys.num_rows, bool)
-    np.logical_or.at(own, of_row, documents["own"].to_numpy(zero_copy_only=False))
-    index = np.array([fixed.ALL_INDEXES.index(n) for n in documents["index_name"].to_pylist()])
-    vec_ids, sources = documents["vec_id"].to_numpy(), documents[SOURCE].to_numpy()
-    cuts = _cuts_of(questions["cuts"].to_pylist()) if "cuts" in questions.column_names else {}
-    question_ids = questions["question_id"].to_numpy()
-
-    def mine(source: int) -> list[np.ndarray]:
-        rows = np.flatnonzero(sources == source)
-        return [rows[np.lexsort((index[rows], of_row[rows]))]]
-
-    at_once = max(1, WIDE_CELLS // (keys.num_rows * len(fixed.ALL_INDEXES)))
-    for some, _, rows, scores in scored(questions, documents, mine, at_once):
-        for name, (last, vec_id) in cuts.items():
-            there = np.flatnonzero(index[rows] == fixed.ALL_INDEXES.index(name))
-            of_index, last = scores[:, there], last[some, None]
-            worse = (of_index < last) | ((of_index == last) & (vec_ids[rows[there]] > vec_id[some, None]))
-            scores[:, there] = np.where(worse, np.inf, of_index)
-        slot = of_row[rows] * len(fixed.ALL_INDEXES) + index[rows]
-        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        low = np.minimum.reduceat(scores, first, axis=1)
-        wide = np.full((len(some), keys.num_rows, len(fixed.ALL_INDEXES)), np.nan)
-        wide.reshape(len(some), -1)[:, slot[first]] = np.where(np.isinf(low), np.nan, low)
-        shown = own & ~np.isnan(wide).all(axis=2)
-        copied = np.flatnonzero(is_column)
-        tables = np.where(table_of[copied] >= 0, table_of[copied], 0)
-        n = len(fixed.TABLE_SCORES)
-        wide[:, copied, :n] = np.where((table_of[copied] >= 0)[None, :, None], wide[:, tables, :n], np.nan)
-        question, element = np.nonzero(shown)
-        values = wide[question, element]
-        chosen = pa.array(element)
-        columns = [pa.array(question_ids[some][question]), *(keys[c].combine_chunks().take(chosen) for c in ELEMENT)]
-        columns += [pa.array(values[:, i], mask=np.isnan(values[:, i])) for i in range(values.shape[1])]
-        yield pa.RecordBatch.from_arrays(columns, names=["question_id", *ELEMENT, *fixed.ALL_SCORES])
+def element_stream(questions: DataFrame, documents: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+    """What `kernel` gives for strips of questions with all documents, which pass table by table and element by element.
+
+    With fewer strips than cores documents are dealt to ranges by table and element; a table's own documents go to
+    every range that has elements of it, and `own` says in which of them the table itself counts.
+    """
+    strips, ranges = strips_and_ranges(questions, documents)
+    strip = F.pmod(F.xxhash64("question_id"), F.lit(strips)) * ranges
+    left = questions.withColumn("cell", F.explode(F.sequence(strip, strip + (ranges - 1))))
+    right = numbered_documents(documents)
+    if ranges == 1:
+        right = right.withColumns({"range": F.lit(0), "own": F.lit(True)})
+    else:
+        sizes = materialize(right.groupBy(SOURCE, "table_id").agg(F.ceil(F.count("*") / DOCUMENT_BLOCK).cast("int").alias("slots")), "table-sizes")
+        placed = right.join(sizes, [SOURCE, "table_id"])
+
+        def of_slot(slot: Column) -> Column:
+            return F.pmod(F.xxhash64(SOURCE, "table_id", slot), F.lit(ranges))
+
+        everywhere = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda slot: of_slot(slot.cast("int"))))
+        mine = of_slot(F.pmod(F.xxhash64("column_id", "value"), F.col("slots")).cast("int"))
+        right = placed.withColumn("range", F.explode(F.when(level() == "table", everywhere).otherwise(F.array(mine))))
+        right = right.withColumn("own", (level() != "table") | (F.col("range") == of_slot(F.lit(0)))).drop("slots")
+    right = right.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    right = right.withColumn("cell", F.col("strip") * ranges + F.col("range")).drop("strip", "range")
+    return cell_stream(left, right, strips * ranges, kernel, schema, ORDER, DOCUMENT_BLOCK)
 
 
 def score_features(questions: DataFrame, documents: DataFrame, limits: tuple[int, int] = fixed.TRAINING_RANK_LIMITS) -> DataFrame:
     """One wide row per question and element found in any index.
 
-    Documents are cut into blocks by table and element, so the task that scores a block has all documents of its
-    elements and of their tables, and gives finished rows: nothing of the size of questions times elements is
-    shuffled. Only indexes with more documents than the limit are searched before, for the last hit that each
-    question keeps. A table one of whose elements has more than a block of documents goes through its hits instead.
+    Documents pass a strip of questions element by element, a table's own first, so a task gives finished rows however
+    many documents an element has: nothing of the size of questions times elements or hits is shuffled. Only indexes
+    with more documents than the limit are searched before, for the last hit that each question keeps.
     """
-    names = limits_for(limits)
-    of_source = documents.withColumn(SOURCE, source_of(documents))
-    per_element = of_source.groupBy(SOURCE, *ELEMENT).agg(F.count("*").alias("n"))
-    sizes = per_element.groupBy(SOURCE, "table_id").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    sizes = materialize(sizes, "table-sizes")
-    cuts = _cut_points(questions, documents, names)
-    left = questions.select("question_id", source_of(questions), "embedding")
-    left = left if cuts is None else left.join(cuts, "question_id", "left")
-    blocks = document_block_count(documents)
-    strips = strip_count(questions, questions.count(), blocks, LEAST_QUESTIONS)
-    placed = of_source.join(sizes.filter(F.col("most") <= DOCUMENT_BLOCK), [SOURCE, "table_id"])
-    slots = F.ceil(F.col("n") / DOCUMENT_BLOCK).cast("int")
-    slot = F.pmod(F.xxhash64("column_id", "value"), slots).cast("int")
-    # A table's own documents go with each part of its elements; they count as elements in the first part only.
-    slot = F.when(level() == "table", F.sequence(F.lit(0), slots - 1)).otherwise(F.array(slot))
-    right = placed.withColumn("slot", F.explode(slot)).select(
-        SOURCE, "index_name", "vec_id", "embedding", *[F.col(c).cast(t).alias(c) for c, t in zip(ELEMENT, ("int", "int", "string"), strict=True)],
-        ((level() != "table") | (F.col("slot") == 0)).alias("own"), "slot",
-    )
-    block = F.pmod(F.xxhash64(SOURCE, "table_id", "slot"), F.lit(blocks))
-    schema = "question_id long, table_id int, column_id int, value string" + "".join(f", {n} double" for n in fixed.ALL_SCORES)
-    strip = F.pmod(F.xxhash64("question_id"), F.lit(strips))
-    found = pair_stream(left, right, strip, strips, block, blocks, block_by_block(_element_scores), schema)
-    found = found.withColumns({n: shown_score(n) for n in fixed.ALL_SCORES})
-    large = sizes.filter(F.col("most") > DOCUMENT_BLOCK)
-    if large.isEmpty():
-        return found
-    rest = of_source.join(large, [SOURCE, "table_id"], "left_semi")
-    hits = full_knn(questions, of_source, names, ELEMENT).join(rest.select(SOURCE, "index_name", "vec_id"), [SOURCE, "index_name", "vec_id"], "left_semi")
-    general = copy_table_scores(index_scores(hits.withColumn("score", shown_score())))
-    return found.unionByName(general.select(*found.columns))
+    asked, over = with_cuts(questions, documents, limits)
+    found = element_stream(asked, documents, all_scores(over, WIDE_CELLS), SCORE_SCHEMA)
+    return found.withColumns({"table_id": F.col("table_id").cast("int"), "column_id": F.col("column_id").cast("int"), **{n: shown_score(n) for n in fixed.ALL_SCORES}})
 
 
 def feature_vector(kind: str) -> Column:

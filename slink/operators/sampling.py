@@ -2,8 +2,9 @@
 
 A training set keeps the touched elements of a question and as many others, so scoring all elements for all questions
 is nearly all wasted. Here the touched elements are looked up, the others are drawn by digest from blocks of the
-element list, and only these pairs meet vectors. Indexes with more documents than a question keeps of them are
-searched before, as only the hits that are kept count there; their number is bounded by the limits.
+element list, and only these pairs meet vectors: a question goes to the tables of its elements, whose documents pass
+it there. Indexes with more documents than a question keeps of them are searched before for the last kept hit, as
+only documents up to it count.
 """
 
 from __future__ import annotations
@@ -12,22 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
-from slink.functions import vectors
 from slink.operators import training
-from slink.operators.grouping import top_k_per_group
-from slink.operators.ranking import ELEMENT, copy_table_scores, feature_vectors, index_scores, level
-from slink.operators.search import (
-    RANKED_DECIMALS,
-    SOURCE,
-    full_knn,
-    limits_for,
-    overfull_indexes,
-    shown_score,
-    source_of,
-)
+from slink.operators.block_stream import cell_stream
+from slink.operators.element_scores import DRAWN_SCHEMA, ORDER, SCORE_SCHEMA, all_scores, first_known, numbered_documents, wanted_scores
+from slink.operators.grouping import number_rows, top_k_per_group
+from slink.operators.ranking import ELEMENT, LEVELS, WIDE_CELLS, element_stream, feature_vectors, level, with_cuts
+from slink.operators.search import DOCUMENT_BLOCK, HELD_NUMBERS, LEAST_QUESTIONS, SOURCE, shown_score, source_of
 from slink.sources.stores import materialize
 
 ELEMENT_BLOCK = 4096
+# Documents of a table that pass its questions in one task.
+TABLE_DOCUMENTS = 65_536
 KEY = ["question_id", *ELEMENT]
 
 
@@ -47,69 +43,77 @@ class Sampler:
     """
 
     def __init__(self, questions: DataFrame, documents: DataFrame, limits: tuple[int, int] = fixed.TRAINING_RANK_LIMITS):
-        k = limits_for(limits)
-        self.questions = questions.select("question_id", source_of(questions), "embedding")
         self.documents = documents.select(source_of(documents), "index_name", "vec_id", *ELEMENT, "embedding")
-        over = materialize(overfull_indexes(documents, k), "overfull")
-        self.searched = not over.isEmpty()
-        self.hits = None
-        self.free = self.documents
-        if self.searched:
-            keys = [SOURCE, "index_name"]
-            found = full_knn(self.questions, self.documents.join(over, keys, "left_semi"), k, ELEMENT)
-            # Of an element's kept hits only the lowest counts, so no more than that is written.
-            lowest = found.groupBy("question_id", SOURCE, "index_name", *ELEMENT).agg(F.min("score").alias("score"))
-            self.hits = materialize(lowest, "kept-hits")
-            self.free = self.documents.join(over, keys, "left_anti")
-        self.elements = materialize(self.free.select(SOURCE, *ELEMENT).distinct(), "elements")
-
-    def known(self, pairs: DataFrame) -> DataFrame:
-        """Those (question, element) pairs that have a score: the element is in an index kept whole, or a kept hit."""
-        asked = pairs.select(*KEY).distinct().join(self.questions.select("question_id", SOURCE), "question_id")
-        found = asked.join(self.elements, _same_element(asked, self.elements), "left_semi")
-        if self.hits is None:
-            return found
-        hits = self.hits.select(*KEY, SOURCE).distinct()
-        same = (asked["question_id"] == hits["question_id"]) & _same_element(asked, hits)
-        return found.union(asked.join(hits, same, "left_semi")).distinct()
+        asked, self.over = with_cuts(questions, self.documents, limits)
+        self.searched = bool(self.over)
+        self.questions = materialize(asked, "asked") if self.searched else asked
+        # An element is sure to have a score if it is in an index that is kept whole.
+        cut = F.col("index_name").isin([fixed.ALL_INDEXES[i] for i in self.over])
+        sure = F.max(~F.coalesce(cut, F.lit(False))).alias("sure")
+        self.all_elements = materialize(self.documents.groupBy(SOURCE, *ELEMENT).agg(sure), "elements")
+        self.elements = self.all_elements.filter("sure").drop("sure")
+        in_doubt = self.all_elements.filter(~F.col("sure"))
+        self.doubtful = self.documents.join(in_doubt, _same_element(self.documents, in_doubt), "left_semi") if self.searched else None
+
+    @property
+    def hits(self) -> DataFrame | None:
+        """Of the kept hits in indexes that were searched the lowest score per question, index and element."""
+        if not self.searched:
+            return None
+        names = [fixed.ALL_INDEXES[i] for i in self.over]
+        there = self.documents.filter(F.col("index_name").isin(names))
+        wide = element_stream(self.questions, there, all_scores(self.over, WIDE_CELLS), SCORE_SCHEMA)
+        scores = F.explode(F.array(*[F.struct(F.lit(n).alias("index_name"), F.col(f"{n}_score").alias("score")) for n in names]))
+        return wide.select(*KEY, scores.alias("hit")).select(*KEY, "hit.*").filter(F.col("score").isNotNull())
 
     def value_candidates(self, touches: DataFrame) -> DataFrame:
-        """Scored value elements that a touched value means: those equal to it but for case."""
+        """Value elements that a touched value means: those equal to it but for case."""
         wanted = touches.filter(F.col("value").isNotNull()).select(
             "question_id", "table_id", "column_id", F.lower("value").alias("_lower")
         )
         asked = wanted.distinct().join(self.questions.select("question_id", SOURCE), "question_id")
-        values = self.elements.filter(F.col("value").isNotNull()).withColumn("_lower", F.lower("value"))
-        found = asked.join(values, [SOURCE, "table_id", "column_id", "_lower"]).select(*KEY)
-        if self.hits is not None:
-            hits = self.hits.filter(F.col("value").isNotNull()).select(*KEY, SOURCE).distinct().withColumn("_lower", F.lower("value"))
-            found = found.union(asked.join(hits, ["question_id", SOURCE, "table_id", "column_id", "_lower"]).select(*KEY)).distinct()
-        return found
+        values = self.all_elements.filter(F.col("value").isNotNull()).withColumn("_lower", F.lower("value"))
+        return asked.join(values, [SOURCE, "table_id", "column_id", "_lower"]).select(*KEY)
 
     def score(self, pairs: DataFrame) -> DataFrame:
-        """The nine scores of known (question, element) pairs, table scores copied onto columns."""
-        pairs = materialize(pairs.select(*KEY).distinct(), "pairs")
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("column_id", "int"), ("value", "string"))]
-        tables = pairs.filter(level() == "column").select("question_id", "table_id", *none)
-        wanted = pairs.union(tables).distinct().join(self.questions.select("question_id", SOURCE), "question_id")
-        free = self.free.withColumnsRenamed({"embedding": "_document"}).withColumn("_length", vectors.norm(F.col("_document")))
-        met = wanted.join(free, _same_element(wanted, free)).select(
-            wanted["question_id"], "index_name", *[wanted[c] for c in ELEMENT], "_document", "_length"
-        )
-        asked = self.questions.select("question_id", F.col("embedding").alias("_question"), vectors.norm(F.col("embedding")).alias("_asked"))
-        lengths = F.col("_asked") * F.col("_length")
-        cosine = F.when(lengths == 0, 0.0).otherwise(vectors.dot(F.col("_question"), F.col("_document")) / lengths)
-        scored = met.join(asked, "question_id").select(*KEY, "index_name", (F.round(cosine, RANKED_DECIMALS) + 0.0).alias("score"))
-        if self.hits is not None:
-            same = (wanted["question_id"] == self.hits["question_id"]) & _same_element(wanted, self.hits)
-            kept = self.hits.join(wanted, same, "left_semi").select(*KEY, "index_name", "score")
-            scored = scored.unionByName(kept)
-        wide = copy_table_scores(index_scores(scored.withColumn("score", shown_score())))
-        return wide.join(pairs, training._null_safe(wide, pairs), "left_semi")
+        """The nine scores of those (question, element) pairs that have one, table scores copied onto columns.
+
+        A question goes once to each table that it has elements of, and the table's documents pass there, so what is
+        moved grows with the pairs and with the documents, not with the documents of each pair. Large tables are cut
+        into slots by element, each with the table's own documents, and many questions of a slot into strips.
+        """
+        documents = numbered_documents(self.documents)
+        slots = documents.groupBy(SOURCE, "table_id").agg(F.ceil(F.count("*") / TABLE_DOCUMENTS).cast("int").alias("slots"))
+        slots = materialize(slots, "table-sizes")
+        slot = F.pmod(F.xxhash64(F.col("column_id").cast("long"), "value"), F.col("slots")).cast("int")
+        element = F.struct(F.col("column_id").cast("long").alias("column_id"), "value")
+        sources = self.questions.select("question_id", SOURCE).distinct()
+        placed = pairs.select(*KEY).distinct().join(sources, "question_id").join(slots, [SOURCE, "table_id"])
+        wanted = placed.groupBy("question_id", SOURCE, "table_id", slot.alias("slot")).agg(F.collect_list(element).alias("wanted"))
+        wanted = materialize(wanted, "wanted-elements")
+
+        width, cores = self.documents.agg(F.max(F.size("embedding"))).first()[0], pairs.sparkSession.sparkContext.defaultParallelism
+        most = min(HELD_NUMBERS // max(1, width or 1), max(LEAST_QUESTIONS, -(-wanted.count() // (2 * cores))))
+        strips = F.ceil(F.count("*") / most).cast("int").alias("strips")
+        cells = wanted.groupBy(SOURCE, "table_id", "slot").agg(strips).withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
+        place = [F.col(c) for c in (SOURCE, "table_id", "slot", "strip")]
+        cells = materialize(number_rows(cells, [], F.pmod(F.xxhash64(*place), F.lit(ELEMENT_BLOCK)), place, "cell"), "cells")
+
+        strip = F.pmod(F.xxhash64("question_id"), F.col("strips")).cast("int")
+        counted = cells.filter("strip = 0").select(SOURCE, "table_id", "slot", "strips")
+        left = wanted.join(counted, [SOURCE, "table_id", "slot"]).withColumn("strip", strip).drop("strips")
+        left = left.join(cells.drop("strips"), [SOURCE, "table_id", "slot", "strip"]).select("cell", "question_id", SOURCE, "wanted")
+        left = left.join(self.questions, ["question_id", SOURCE])
+        everywhere = F.when(level() == "table", F.sequence(F.lit(0), F.col("slots") - 1)).otherwise(F.array(slot))
+        right = documents.join(slots, [SOURCE, "table_id"]).withColumn("slot", F.explode(everywhere)).drop("slots")
+        right = right.join(cells.select(SOURCE, "table_id", "slot", "cell"), [SOURCE, "table_id", "slot"]).drop("slot")
+        found = cell_stream(left, right, max(1, cells.count()), wanted_scores(self.over), SCORE_SCHEMA, ORDER, DOCUMENT_BLOCK)
+        types = {c: F.col(c).cast(pairs.schema[c].dataType) for c in KEY}
+        return found.withColumns({**types, **{n: shown_score(n) for n in fixed.ALL_SCORES}})
 
     def positives(self, touches: DataFrame) -> DataFrame:
         """Touched elements with their scores: exact ones, and for values the best of those equal but for case."""
-        plain = self.known(touches.filter(F.col("value").isNull())).select(*KEY)
+        plain = touches.filter(F.col("value").isNull()).select(*KEY)
         found = materialize(self.score(plain.union(self.value_candidates(touches))), "touched-scores")
         return found.filter(F.col("value").isNull()).unionByName(training.positives_ci(found, touches))
 
@@ -141,15 +145,22 @@ class Sampler:
         drawn = F.array_sort(F.transform("elements", lambda e: F.struct(digest(e).alias("digest"), e.alias("e"))))
         first = met.select("question_id", "level", "wanted", F.explode(F.slice(drawn, F.lit(1), (F.col("wanted") + F.col("held")).cast("int"))).alias("d"))
         pool = first.select("question_id", "level", "wanted", "d.digest", "d.e.*")
-        if self.hits is not None:
-            also = self.hits.select(*KEY, SOURCE).distinct()
-            also = also.join(self.elements, _same_element(also, self.elements), "left_anti").withColumn("level", level())
+        if self.searched:
+            also = self._first_known(wanted, seed)
             also = also.join(wanted.drop("held"), ["question_id", "level"])
-            pool = pool.unionByName(also.select("question_id", "level", "wanted", training.sample_order(seed).alias("digest"), *ELEMENT))
+            pool = pool.unionByName(also.select(*[F.col(c).cast(pool.schema[c].dataType).alias(c) for c in pool.columns]))
         left = pool.join(taken, training._null_safe(pool, taken), "left_anti")
         order = [F.col("digest"), *[F.col(c) for c in ELEMENT]]
         return top_k_per_group(left, ["question_id", "level"], order, F.col("wanted"), "_place", ELEMENT).select(*KEY, "level", "wanted")
 
+    def _first_known(self, wanted: DataFrame, seed: int) -> DataFrame:
+        """question, level, digest and element: of the elements in doubt that have a kept hit the first by digest, as many as are wanted and held."""
+        n = [F.max(F.when(F.col("level") == name, F.col("wanted") + F.col("held"))) for name in LEVELS]
+        draw = wanted.groupBy("question_id").agg(F.array(*[F.coalesce(x, F.lit(0)).cast("long") for x in n]).alias("draw"))
+        found = element_stream(self.questions.join(draw, "question_id"), self.doubtful, first_known(self.over, WIDE_CELLS, seed), DRAWN_SCHEMA)
+        # Documents in ranges have each their first ones, and a question may be there twice.
+        return found.distinct()
+
 
 def short_pools(pairs: DataFrame, touches: DataFrame) -> DataFrame:
     """Questions and levels for which fewer negatives were drawn than are wanted, none included."""

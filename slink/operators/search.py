@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slink.functions import fixed_values as fixed
-from slink.operators.block_stream import STREAMS_PER_CORE, pair_stream, strip_count, streams
-from slink.operators.grouping import top_k_per_group
+from slink.operators.block_stream import STREAMS_PER_CORE, cell_stream, pair_stream, strip_count, streams
+from slink.operators.grouping import number_rows, top_k_per_group
+from slink.sources.stores import materialize
 
 # Documents per block, and the fewest questions that are worth a strip of their own.
 DOCUMENT_BLOCK = 8192
@@ -67,23 +68,22 @@ def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def scored(
-    questions: pa.Table, documents: pa.Table, mine: Callable[[int], list[np.ndarray]], at_once: int | None = None
-) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-    """(question rows, data source, document rows, scores) of a strip and a block, a few questions at a time.
-
-    `mine` gives the sets of document rows of a data source that are scored together.
-    """
-    at_once = min(at_once or SCORED_AT_ONCE, SCORED_AT_ONCE)
-    sources, d = questions[SOURCE].to_numpy(), unit_rows(documents["embedding"])
-    for source in np.unique(sources).tolist():
-        asking = np.flatnonzero(sources == source)
-        sets = [rows for rows in mine(source) if len(rows)]
-        for start in range(0, len(asking), at_once) if sets else ():
-            some = asking[start : start + at_once]
-            q = unit_rows(questions["embedding"].take(pa.array(some)))
-            for rows in sets:
-                yield some, source, rows, np.round(q @ d[rows].T, RANKED_DECIMALS) + 0.0
+def unit_vectors(column: pa.ChunkedArray, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """`unit_rows`, and which rows have no vector: null, with null numbers, or not of `width`; these are NaN."""
+    vectors = column.combine_chunks()
+    sizes = np.nan_to_num(vectors.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    width = int(sizes.max(initial=0)) if width is None else width
+    flat = vectors.flatten()
+    if flat.null_count:
+        without = np.unique(np.repeat(np.arange(len(sizes)), sizes)[flat.is_null().to_numpy(zero_copy_only=False)])
+    else:
+        without = np.zeros(0, int)
+    null = (sizes != width) | ~vectors.is_valid().to_numpy(zero_copy_only=False)
+    null[without] = True
+    units = np.full((len(sizes), width), np.nan)
+    if not null.all() and width:
+        units[~null] = unit_rows(pa.chunked_array([vectors.filter(pa.array(~null))]))
+    return units, null
 
 
 NO_VECTOR = np.iinfo(np.int64).max
@@ -158,7 +158,7 @@ class _Best:
             some = slice(start, start + SCORED_AT_ONCE)
             q = unit_rows(pa.chunked_array([self.vectors.slice(start, SCORED_AT_ONCE)]))
             if self.have < self.k:
-                found = _rounded(q @ d.T)
+                found = rounded(q @ d.T)
                 found = np.concatenate([self.scores[some, : self.have], found], axis=1)
                 rows = np.concatenate([self.rows[some, : self.have], np.broadcast_to(new, (len(found), n))], axis=1)
                 self.scores[some], self.rows[some] = _nearest(found, rows, vec_ids, keep)
@@ -177,7 +177,7 @@ class _Best:
             lines = np.flatnonzero(counts)
             at = np.arange(len(line)) - (np.cumsum(counts) - counts)[line]
             more, rows = np.full((len(q), counts.max()), -np.inf), np.full((len(q), counts.max()), -1, np.int32)
-            more[line, at], rows[line, at] = _rounded(near), new[place]
+            more[line, at], rows[line, at] = rounded(near), new[place]
             lines = lines + start
             more = np.concatenate([self.scores[lines], more[lines - start]], axis=1)
             rows = np.concatenate([self.rows[lines], rows[lines - start]], axis=1)
@@ -279,7 +279,7 @@ def score_steps(scores: np.ndarray) -> np.ndarray:
     return (np.sign(exact) * ((np.abs(exact) + step // 2) // step)).astype(np.int16)
 
 
-def _rounded(scores: np.ndarray) -> np.ndarray:
+def rounded(scores: np.ndarray) -> np.ndarray:
     """Scores as they are ranked; what is no number is below all others."""
     scores = np.round(scores, RANKED_DECIMALS) + 0.0
     return np.where(np.isnan(scores), -np.inf, scores)
@@ -344,6 +344,12 @@ def _plan(questions: DataFrame, documents: DataFrame, k: int | dict[str, int]) -
     return max(strips, rounds * cores), blocks, 1
 
 
+def strips_and_ranges(questions: DataFrame, documents: DataFrame) -> tuple[int, int]:
+    """Strips of questions, and ranges of documents, of a stream that holds no hits."""
+    strips, _, ranges = _plan(questions, documents, 1)
+    return strips, ranges
+
+
 def similarity_join(
     questions: DataFrame,
     documents: DataFrame,
@@ -448,6 +454,113 @@ def last_kept(questions: DataFrame, documents: DataFrame, k: dict[str, int]) ->
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+# Numbers of the vectors of an index that a task holds whole, and scores of questions with them side by side.
+HELD_INDEX_NUMBERS = 32_000_000
+HELD_SCORES = 4_000_000
+# Documents by whose scores those that cannot be the last hit are told, and cells of the search for each core.
+TRIED = 1024
+CELLS_PER_CORE = 3
+
+
+class _Held:
+    """All documents of an index, for the hit of rank `k` of each question; there are more than `k`."""
+
+    def __init__(self, documents: pa.Table, k: int):
+        self.k, self.name, self.vec_ids = k, documents["index_name"][0].as_py(), documents["vec_id"].to_numpy()
+        self.vectors = documents["embedding"].combine_chunks()
+        width = int(np.nan_to_num(self.vectors.value_lengths().to_numpy(zero_copy_only=False)).max())
+        self.single, self.clean = np.empty((width, len(self.vec_ids)), np.float32), True
+        for start in range(0, len(self.vec_ids), DOCUMENT_BLOCK):
+            units, _ = unit_vectors(pa.chunked_array([self.vectors.slice(start, DOCUMENT_BLOCK)]), width)
+            self.single[:, start : start + len(units)] = units.T
+            self.clean = self.clean and bool(np.isfinite(units).all())
+        self.error = np.float32((width + 8) * 2.0**-22)
+        self.tried = np.unique(np.linspace(0, len(self.vec_ids) - 1, TRIED).astype(int))
+
+    def last(self, questions: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Scores and vec_ids of the hits of rank k."""
+        units, _ = unit_vectors(questions["embedding"], len(self.single))
+        clean = self.clean and bool(np.isfinite(units).all())
+        at_once = max(1, min(SCORED_AT_ONCE, HELD_SCORES // len(self.vec_ids)))
+        for start in range(0, len(units), at_once):
+            q = units[start : start + at_once]
+            found = q.astype(np.float32) @ self.single
+            if not clean:
+                found = np.where(np.isnan(found), np.float32(-np.inf), found)
+            chosen = [self._one(line, scores) for line, scores in zip(q, found, strict=True)]
+            yield np.array([s for s, _ in chosen]), np.array([i for _, i in chosen], np.int64)
+
+    def _one(self, q: np.ndarray, scores: np.ndarray) -> tuple[float, int]:
+        share = self.k / len(scores)
+        sure = share + 4 * math.sqrt(share * (1 - share) / len(self.tried)) + 2 / len(self.tried)
+        below = len(self.tried) - 1 - int(sure * len(self.tried))
+        least = np.partition(scores[self.tried], below)[below] if sure < 0.9 else -np.inf
+        near = np.flatnonzero(scores >= least)
+        few = scores[near]
+        last = np.partition(few, len(few) - self.k)[len(few) - self.k] if len(few) >= self.k else -np.inf
+        if last - 2 * self.error < least:  # the tried ones were not like the others
+            near, few = np.arange(len(scores)), scores
+            last = np.partition(few, len(few) - self.k)[len(few) - self.k]
+        # Single precision leaves these in doubt; they are ranked by their full scores.
+        doubtful = near[(few >= last - 2 * self.error) & (few <= last + 2 * self.error)]
+        units, _ = unit_vectors(pa.chunked_array([self.vectors.take(pa.array(doubtful))]), len(self.single))
+        full = rounded(np.einsum("ij,ij->i", np.broadcast_to(q, units.shape), units))
+        place = np.lexsort((self.vec_ids[doubtful], -full))[self.k - 1 - np.count_nonzero(few > last + 2 * self.error)]
+        return full[place], self.vec_ids[doubtful[place]]
+
+
+def _last_of_held(k: dict[str, int]):
+    def search(documents: pa.Table, blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        held = _Held(documents, k[documents["index_name"][0].as_py()])
+        for block in blocks:
+            scores, vec_ids = (np.concatenate(x) for x in zip(*held.last(block), strict=True))
+            name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(scores), np.int32)), pa.array([held.name])).dictionary_decode()
+            yield pa.RecordBatch.from_arrays([block["question_id"].combine_chunks(), name, pa.array(scores), pa.array(vec_ids)], names=["question_id", "index_name", "score", "vec_id"])
+
+    return search
+
+
+def last_of_held(questions: DataFrame, documents: DataFrame, groups: DataFrame, k: dict[str, int]) -> DataFrame:
+    """Of `full_knn`, the score and vec_id of the last kept hit, what is no number below all others.
+
+    `groups` are (data source, index) pairs of more documents than are kept. A task holds the documents of one and
+    questions pass them, so neither hits are held nor do documents move once per strip of the questions.
+    """
+    groups = materialize(number_rows(groups.select(SOURCE, "index_name"), [], F.lit(0), [F.col(SOURCE), F.col("index_name")], "number"), "searched")
+    n, rows = groups.count(), questions.count()
+    cores = questions.sparkSession.sparkContext.defaultParallelism
+    strips = max(1, min(math.ceil(CELLS_PER_CORE * cores / max(1, n)), math.ceil(rows / LEAST_QUESTIONS)))
+    first = F.col("number") * strips
+    right = questions.select(F.col("question_id").cast("long").alias("question_id"), source_of(questions), "embedding").join(groups, SOURCE)
+    right = right.select((first + F.pmod(F.xxhash64("question_id"), F.lit(strips))).alias("cell"), "question_id", "embedding")
+    left = documents.select(source_of(documents), "index_name", "vec_id", "embedding").join(groups, [SOURCE, "index_name"])
+    left = left.select(F.explode(F.sequence(first, first + (strips - 1))).alias("cell"), "index_name", "vec_id", "embedding")
+    schema = "question_id long, index_name string, score double, vec_id long"
+    return cell_stream(left, right, max(1, n * strips), _last_of_held(k), schema, [], DOCUMENT_BLOCK)
+
+
+def cut_points(questions: DataFrame, documents: DataFrame, k: dict[str, int]) -> tuple[list[str], DataFrame]:
+    """Indexes with more documents than a question keeps of them, and per question its last kept hits there.
+
+    `cut_scores` and `cut_ids` have a place for each of these indexes; where nothing is cut all scores are above.
+    Only an index too large for a task is searched with its hits held.
+    """
+    sizes = documents.groupBy(source_of(documents), "index_name").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"))
+    sizes = materialize(sizes.filter(F.col(SOURCE).isNotNull() & (F.col("n") > limit_column(k, F.col("index_name")))), "overfull")
+    names = sorted(r.index_name for r in sizes.select("index_name").distinct().collect())
+    fits = F.col("n") * F.greatest(F.col("width"), F.lit(1)) <= HELD_INDEX_NUMBERS
+    found = last_of_held(questions, documents, sizes.filter(fits), k)
+    large = sizes.filter(~fits)
+    if not large.isEmpty():
+        of_source = documents.withColumn(SOURCE, source_of(documents))
+        rest = last_kept(questions, of_source.join(large, [SOURCE, "index_name"], "left_semi"), k)
+        no_number = F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score"))
+        found = found.unionByName(rest.select("question_id", "index_name", no_number.alias("score"), "vec_id"))
+    last = [F.min(F.when(F.col("index_name") == n, F.struct("score", "vec_id"))) for n in names]
+    cuts = [F.coalesce(x["score"], F.lit(float("-inf"))) for x in last], [F.coalesce(x["vec_id"], F.lit(NO_VECTOR)) for x in last]
+    return names, found.groupBy("question_id").agg(*[F.array(*x).alias(c) for c, x in zip(("cut_scores", "cut_ids"), cuts, strict=True)])
+
+
 def exact_knn(
     questions: DataFrame, documents: DataFrame, k: int | dict[str, int], carry: list[str] | None = None
 ) -> DataFrame:
@@ -478,12 +591,6 @@ def element_knn(
     return found.withColumn("score", F.col("score.step")) if fold == "all" else found
 
 
-def overfull_indexes(documents: DataFrame, k: dict[str, int]) -> DataFrame:
-    """(data source, index) pairs with more documents than a question keeps of them; all others are kept whole."""
-    sizes = documents.groupBy(source_of(documents), "index_name").agg(F.count("*").alias("n"))
-    return sizes.filter(F.col("n") > limit_column(k, F.col("index_name"))).select(SOURCE, "index_name")
-
-
 def drop_missing_hits(hits: DataFrame) -> DataFrame:
     """Imported hits use -1 for `nothing found`."""
     return hits.filter(F.col("vec_id") >= 0)
